@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("curate",)
+MODULES = ("curate", "sampling", "learning")
 
 
 def load_all() -> None:

@@ -486,9 +486,9 @@ def config_mismatch(spark, sf):
 @query(
     "join_mapping",
     with_ctes(
-        """SELECT name, label, CASE WHEN "Patient" IS NULL THEN 'patient-unmapped'
-                ELSE printf('patient-%03d', "Patient") END AS patient,
-            CASE WHEN "Slide" IS NULL THEN 'slide-unmapped' ELSE printf('slide-%04d', "Slide") END AS slide
+        """SELECT a.name, label, CASE WHEN m."Patient" IS NULL THEN 'patient-unmapped'
+                ELSE printf('patient-%03d', m."Patient") END AS patient,
+            CASE WHEN m."Slide" IS NULL THEN 'slide-unmapped' ELSE printf('slide-%04d', m."Slide") END AS slide
         FROM fx_a a LEFT JOIN fx_mapping m ON a.name = m."Name" """,
         "fx_a",
         "fx_mapping",
