@@ -12,40 +12,57 @@ def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _from_java(text: Column) -> Column:
+    """Spark's text of a non-negative double in the shortest JSON form."""
+
+    def scientific(parts: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_replace(parts[0], r"\.", ""), r"0+$", "")
+        return _let(
+            F.struct(
+                F.when(digits == "", "0").otherwise(digits).alias("d"), parts[1].cast("int").alias("e")
+            ),
+            spelled,
+        )
+
+    def spelled(v: Column) -> Column:
+        d, e = v["d"], v["e"]
+        tail = F.substring(d, 2, 40)
+        mantissa = F.concat(F.substring(d, 1, 1), F.when(tail == "", "").otherwise(F.concat(F.lit("."), tail)))
+        padded = F.rpad(d, F.greatest(e + 2, F.length(d)), "0")
+        return (
+            F.when(e == -4, F.concat(F.lit("0.000"), d))
+            .when((e >= 0) & (e < 16), F.concat(F.substr(padded, F.lit(1), e + 1), F.lit("."), F.substr(padded, e + 2)))
+            .otherwise(
+                F.concat(
+                    mantissa, F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.format_string("%02d", F.abs(e))
+                )
+            )
+        )
+
+    return F.when(text.contains("E"), _let(F.split(text, "E"), scientific)).otherwise(text)
+
+
 def json_number(x) -> Column:
     """A double in the shortest JSON text form with a two-digit exponent (3e-05, 0.1, 2.0).
 
     NaN and infinities, which JSON lacks, are spelled as strings.
     """
-    x = _col(x).cast("double")
-    text = F.abs(x).cast("string")
-    sci = text.contains("E")
-    mant = F.when(sci, F.split(text, "E")[0]).otherwise(text)
-    exp = F.when(sci, F.split(text, "E")[1]).cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mant, r"\.", ""), r"0+$", "")
-    digits = F.when(digits == "", "0").otherwise(digits)
-    head, tail = F.substring(digits, 1, 1), F.substring(digits, 2, 40)
-    mantissa = F.when(tail == "", head).otherwise(F.concat(head, F.lit("."), tail))
-    sign = F.when(exp < 0, "-").otherwise("+")
-    power = F.format_string("%02d", F.abs(exp))
-    spread = F.rpad(digits, F.greatest(exp + 1, F.length(digits)), "0")
-    rest = F.substr(spread, exp + 2)
-    whole = F.concat(
-        F.substr(spread, F.lit(1), exp + 1), F.lit("."), F.when(rest == "", "0").otherwise(rest)
-    )
-    plain = (
-        F.when(~sci, text)
-        .when(exp == -4, F.concat(F.lit("0.000"), digits))
-        .when((exp >= 0) & (exp < 16), whole)
-        .otherwise(F.concat(mantissa, F.lit("e"), sign, power))
-    )
-    return (
-        F.when(F.isnan(x), F.lit('"__NaN__"'))
-        .when(x == float("inf"), F.lit('"__Infinity__"'))
-        .when(x == float("-inf"), F.lit('"__-Infinity__"'))
-        .when(x.isNull(), F.lit("null"))
-        .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), plain))
-    )
+
+    def spell(v: Column) -> Column:
+        return (
+            F.when(F.isnan(v), F.lit('"__NaN__"'))
+            .when(v == float("inf"), F.lit('"__Infinity__"'))
+            .when(v == float("-inf"), F.lit('"__-Infinity__"'))
+            .when(v.isNull(), F.lit("null"))
+            .otherwise(F.concat(F.when(v < 0, "-").otherwise(""), _let(F.abs(v).cast("string"), _from_java)))
+        )
+
+    return _let(_col(x).cast("double"), spell)
 
 
 def json_string(s) -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("curate", "sampling", "learning")
+MODULES = ("curate", "sampling", "learning", "pixel")
 
 
 def load_all() -> None:

@@ -330,7 +330,7 @@ def ensemble_source_mean(spark, sf):
 
 
 RARE = [2, 7]
-THRESHOLDS = [1.0, 0.5, 1.3, 0.9, 1.1, 0.05, 2.0, 0.8, 1.0, 0.7]
+THRESHOLDS = [1.0, 0.95, 1.1, 0.98, 1.03, 0.9, 1.05, 1.02, 1.0, 0.97]
 cte(
     "fx_boosted",
     """SELECT name, cls, q / sum(q) OVER (PARTITION BY name) AS p FROM (
@@ -763,7 +763,7 @@ def fold_summary(spark, sf):
                 coalesce(sum(n) FILTER (pred = cls), 0)::DOUBLE AS p, sum(n)::DOUBLE AS t
                 FROM c, (SELECT unnest(range(10)) AS cls) GROUP BY cls)
         SELECT 'fixed' AS config_id, 0 AS fold,
-            {sql_r6('(sum(tp) * max(t) - sum(s * p)) / sqrt((max(t) * max(t) - sum(p * p)) * (max(t) * max(t) - sum(s * s)))')} AS mcc,
+            {sql_r6('CASE WHEN max(t) * max(t) > sum(p * p) THEN (sum(tp) * max(t) - sum(s * p)) / sqrt((max(t) * max(t) - sum(p * p)) * (max(t) * max(t) - sum(s * s))) ELSE 0 END')} AS mcc,
             {sql_r6('avg(CASE WHEN s > 0 THEN tp / s ELSE 0 END) FILTER (s + p > 0)')} AS recall,
             {sql_r6('avg(2 * tp / (s + p)) FILTER (s + p > 0)')} AS f1, {sql_r6('sum(tp) / max(t)')} AS accuracy FROM k""",
         "fx_ensemble",
