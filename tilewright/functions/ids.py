@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.functions.vectors import let
+
 NUL = "\u0000"
 
 
@@ -12,17 +14,12 @@ def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _from_java(text: Column) -> Column:
     """Spark's text of a non-negative double in the shortest JSON form."""
 
     def scientific(parts: Column) -> Column:
         digits = F.regexp_replace(F.regexp_replace(parts[0], r"\.", ""), r"0+$", "")
-        return _let(
+        return let(
             F.struct(
                 F.when(digits == "", "0").otherwise(digits).alias("d"), parts[1].cast("int").alias("e")
             ),
@@ -44,7 +41,7 @@ def _from_java(text: Column) -> Column:
             )
         )
 
-    return F.when(text.contains("E"), _let(F.split(text, "E"), scientific)).otherwise(text)
+    return F.when(text.contains("E"), let(F.split(text, "E"), scientific)).otherwise(text)
 
 
 def json_number(x) -> Column:
@@ -59,10 +56,10 @@ def json_number(x) -> Column:
             .when(v == float("inf"), F.lit('"__Infinity__"'))
             .when(v == float("-inf"), F.lit('"__-Infinity__"'))
             .when(v.isNull(), F.lit("null"))
-            .otherwise(F.concat(F.when(v < 0, "-").otherwise(""), _let(F.abs(v).cast("string"), _from_java)))
+            .otherwise(F.concat(F.when(v < 0, "-").otherwise(""), let(F.abs(v).cast("string"), _from_java)))
         )
 
-    return _let(_col(x).cast("double"), spell)
+    return let(_col(x).cast("double"), spell)
 
 
 def json_string(s) -> Column:

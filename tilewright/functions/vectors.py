@@ -10,6 +10,14 @@ def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it.
+
+    Without it Catalyst copies the value into every use, and nested uses multiply.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def dot(a, b) -> Column:
     """Inner product, accumulated in double."""
     return F.aggregate(
@@ -30,10 +38,12 @@ def l2_norm(x) -> Column:
 def l2_normalize(x) -> Column:
     """Unit-length copy; an all-zero vector stays zero."""
     x = _col(x)
-    norm = l2_norm(x)
-    return F.when(
-        norm > 0, F.transform(x, lambda v: (v.cast("double") / norm).cast("float"))
-    ).otherwise(x)
+    return let(
+        l2_norm(x),
+        lambda norm: F.when(
+            norm > 0, F.transform(x, lambda v: (v.cast("double") / norm).cast("float"))
+        ).otherwise(x),
+    )
 
 
 def is_finite(x) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import u01
-from tilewright.functions.vectors import l2_norm
+from tilewright.functions.vectors import l2_norm, let
 from tilewright.operators.ranking import hash_bucket, rank_in_group
 
 
@@ -180,8 +180,7 @@ def intra_source_cosine(views: DataFrame) -> DataFrame:
 
     With unit views u_i the mean over pairs is 1 - (|sum u|^2 - n) / (n (n - 1)).
     """
-    norm = l2_norm("x") + 1e-8
-    unit = F.transform("x", lambda v: v.cast("double") / norm)
+    unit = let(l2_norm("x") + 1e-8, lambda n: F.transform("x", lambda v: v.cast("double") / n))
     per_source = views.groupBy("foundation", F.split("name", "#aug")[0].alias("source_name")).agg(
         Summarizer.mean(array_to_vector(unit)).alias("m"), F.count(F.lit(1)).alias("n")
     )
@@ -209,26 +208,35 @@ def orient_stain(he: Column) -> Column:
     with more red density comes first.
     """
 
-    def column(j: int) -> Column:
-        v = F.array(*[F.get(he, F.lit(2 * i + j)) for i in range(3)])
+    def positive(v: Column) -> Column:
         size = F.transform(v, lambda t: F.abs(t))
         lead = F.get(v, F.array_position(size, F.array_max(size)).cast("int") - 1)
         return F.when(lead < 0, F.transform(v, lambda t: -t)).otherwise(v)
 
-    a, b = column(0), column(1)
-    first = F.when(F.get(a, F.lit(0)) < F.get(b, F.lit(0)), b).otherwise(a)
-    second = F.when(F.get(a, F.lit(0)) < F.get(b, F.lit(0)), a).otherwise(b)
-    return F.flatten(F.zip_with(first, second, lambda p, q: F.array(p, q)))
+    def column(j: int) -> Column:
+        return let(F.array(*[F.get(he, F.lit(2 * i + j)) for i in range(3)]), positive)
+
+    def ordered(ab: Column) -> Column:
+        a, b = ab["a"], ab["b"]
+        swap = F.get(a, F.lit(0)) < F.get(b, F.lit(0))
+        return F.flatten(
+            F.zip_with(a, b, lambda p, q: F.when(swap, F.array(q, p)).otherwise(F.array(p, q)))
+        )
+
+    return let(F.struct(column(0).alias("a"), column(1).alias("b")), ordered)
 
 
 def normalize_stain(he: Column, eps: float = 1e-8) -> Column:
     """Unit-length stain columns of a row-major 3x2 array."""
 
-    def norm(j: int) -> Column:
-        return F.sqrt(sum(F.get(he, F.lit(2 * i + j)) * F.get(he, F.lit(2 * i + j)) for i in range(3))) + eps
+    def scaled(v: Column) -> Column:
+        def norm(j: int) -> Column:
+            return F.sqrt(sum(F.pow(F.get(v, F.lit(2 * i + j)), F.lit(2.0)) for i in range(3))) + eps
+
+        n = F.array(norm(0), norm(1))
+        return let(n, lambda m: F.transform(v, lambda t, i: t / F.get(m, i % 2)))
 
-    n0, n1 = norm(0), norm(1)
-    return F.transform(he, lambda v, i: v / F.when(i % 2 == 0, n0).otherwise(n1))
+    return let(he, scaled)
 
 
 def slide_profile_median(profiles: DataFrame, min_patches: int = 3, min_valid: int = 3) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import hash32, mix32
-from tilewright.functions.vectors import chunk_bounds, chunk_slices
+from tilewright.functions.vectors import chunk_bounds, chunk_slices, let
 from tilewright.schema import HEAD, N_CLASSES
 
 # Score of a class the head never saw, before the softmax.
@@ -204,8 +204,13 @@ def ensemble_proba(
 
 
 def _renormalize(p: Column) -> Column:
-    total = F.aggregate(p, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(p, lambda v: v / F.greatest(total, F.lit(1e-12)))
+    """Divide by the sum, which is computed once per row."""
+
+    def scaled(q: Column) -> Column:
+        total = F.aggregate(q, F.lit(0.0), lambda a, v: a + v)
+        return let(F.greatest(total, F.lit(1e-12)), lambda t: F.transform(q, lambda v: v / t))
+
+    return let(p, scaled)
 
 
 def rare_boost(proba, rare: list[int], boost: float = 1.10) -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("curate", "sampling", "learning", "pixel")
+MODULES = ("curate", "sampling", "learning", "pixel", "ingest")
 
 
 def load_all() -> None:

@@ -330,6 +330,14 @@ cte(
     "fx_ext_all",
 )
 
+
+
+def all_pairs(spark: SparkSession, foundations: list[str], suffixes: list[str]) -> DataFrame:
+    """The expected (foundation, suffix) grid of a run."""
+    pairs = [F.struct(F.lit(f).alias("foundation"), F.lit(s).alias("suffix")) for f in foundations for s in suffixes]
+    return spark.range(1).select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+
+
 # --- live feed ------------------------------------------------------------------
 
 FEED_CLASSES = {"click": "CT", "view": "IC", "purchase": "MP", "signup": "NC", "error": "PN"}
