@@ -88,12 +88,13 @@ def weighted_specificity(conf: DataFrame, by: tuple[str, ...] = RUN) -> DataFram
 
 
 def weighted_auroc(
-    df: DataFrame, by: tuple[str, ...] = RUN, proba: str = "proba", buckets: int = 65_536
+    df: DataFrame, by: tuple[str, ...] = RUN, proba: str = "proba", buckets: int = 4096
 ) -> DataFrame:
     """Support-weighted one-vs-rest rank AUC; one-class columns are skipped.
 
-    Rows are first counted per distinct score.  Running counts are then taken inside
-    score buckets and offset by the earlier buckets, so no task orders a whole class.
+    Rows are first counted per distinct score.  Wins inside a score bucket and wins over
+    all earlier buckets add up, so no task orders a whole class and only bucket totals
+    are ever accumulated along a class.
     """
     long = df.select(*by, "y", F.posexplode(proba).alias("cls", "s"))
     y = F.col("y") == F.col("cls")
@@ -103,22 +104,23 @@ def weighted_auroc(
         .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
         .withColumn("_b", F.floor(F.col("s") * buckets).cast("int"))
     )
-    upto = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    start = (
-        score.groupBy(*key, "_b")
-        .agg(F.sum("neg").alias("_n"))
-        .withColumn("_below", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-        .drop("_n")
-    )
     inside = W.partitionBy(*key, "_b").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    ranked = score.join(start, [*key, "_b"]).withColumn(
-        "_below", F.col("_below") + F.coalesce(F.sum("neg").over(inside), F.lit(0))
-    )
-    per_class = ranked.groupBy(*key).agg(
-        F.sum("pos").cast("double").alias("p"),
-        F.sum("neg").cast("double").alias("n"),
+    local = score.withColumn("_below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    bucket = local.groupBy(*key, "_b").agg(
+        F.sum("pos").cast("double").alias("pos"),
+        F.sum("neg").cast("double").alias("neg"),
         F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2.0)).alias("wins"),
     )
+    upto = W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    per_class = (
+        bucket.withColumn("_below", F.coalesce(F.sum("neg").over(upto), F.lit(0.0)))
+        .groupBy(*key)
+        .agg(
+            F.sum("pos").alias("p"),
+            F.sum("neg").alias("n"),
+            F.sum(F.col("wins") + F.col("pos") * F.col("_below")).alias("wins"),
+        )
+    )
     ok = (F.col("p") > 0) & (F.col("n") > 0)
     auc = F.col("wins") / (F.col("p") * F.col("n"))
     return per_class.groupBy(*by).agg(

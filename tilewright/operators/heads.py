@@ -27,7 +27,7 @@ from tilewright.schema import HEAD, N_CLASSES
 
 # Score of a class the head never saw, before the softmax.
 ABSENT = {"ridge": -20.0, "lda": -1e9}
-MAX_MODEL_VALUES = 100_000_000
+MAX_HEAD_ROWS = 20_000
 
 
 @dataclass
@@ -44,11 +44,13 @@ Bank = dict[str, list[Head]]
 
 
 def head_bank(heads: DataFrame) -> Bank:
-    """Collect a head table into matrices, after checking its size."""
-    total = heads.agg(F.sum(F.size("coef"))).first()[0] or 0
-    if total > MAX_MODEL_VALUES:
-        raise ValueError(f"head table of {total} values is above {MAX_MODEL_VALUES}")
-    pdf = heads.toPandas()
+    """Collect a head table into matrices; more rows than a model can have are an error.
+
+    One evaluation: the table may be the lazy result of a fit over all vectors.
+    """
+    pdf = heads.limit(MAX_HEAD_ROWS + 1).toPandas()
+    if len(pdf) > MAX_HEAD_ROWS:
+        raise ValueError(f"head table has more than {MAX_HEAD_ROWS} rows")
     bank: Bank = {}
     for (source, kind, start, stop), g in pdf.groupby(["source", "kind", "start", "stop"], sort=True):
         w = np.zeros((stop - start, N_CLASSES))

@@ -14,6 +14,7 @@ from tilewright.operators import validate as V
 from tilewright.plans import fixtures as fx
 from tilewright.plans.fixtures import cte, sql_l2, sql_norm, sql_r6, sql_u, sql_vec, with_ctes
 from tilewright.plans.registry import query
+from tilewright.session import materialize
 from tilewright.schema import CLASSES, EXTERNAL_CLASS_IDS, EXTERNAL_CLASSES, class_table
 
 NOW_S = 1_000_000_000
@@ -60,6 +61,11 @@ def ext(spark, sf):
     return D.dedup_keep_first(ext_all(spark, sf))
 
 
+def ext_table(spark, sf):
+    """The deduplicated index as a written table, for plans that pass over it repeatedly."""
+    return materialize(ext(spark, sf), "patch-index")
+
+
 _EXT_COLS = ["relpath", "specimen", "image_id", "left", "top", "downsample", "label", "label_int"]
 
 
@@ -222,7 +228,7 @@ def selection(spark, sf):
     from tilewright.functions.hashing import hash32, u01
     from tilewright.operators.ranking import hash_bucket, rank_in_group
 
-    base = ext(spark, sf).select("patch_uid", F.col("label_int").cast("int").alias("label_int"))
+    base = ext_table(spark, sf).select("patch_uid", F.col("label_int").cast("int").alias("label_int"))
     out = base
     for model, keep in (("a", hash32("a", "patch_uid") % 3 != 0), ("b", hash32("b", "patch_uid") % 2 == 0)):
         u = u01(f"order-{model}", "patch_uid")
@@ -658,7 +664,7 @@ def pixels(spark, sf, per_tile: int = 64):
         return F.when(white == 1, 255).otherwise(F.least(F.greatest(entry[c] + noise, F.lit(0)), F.lit(255))).cast("int")
 
     return (
-        fx.table(spark, sf, "part")
+        fx.table(spark, sf, "part", spread=True)
         .select(F.col("p_partkey").alias("tile_id"), F.explode(F.sequence(F.lit(0), F.lit(per_tile - 1))).alias("i"))
         .withColumn("h", h)
         .select("tile_id", channel("r").alias("r"), channel("g").alias("g"), channel("b").alias("b"))
@@ -823,7 +829,7 @@ def reuse_index_join(spark, sf):
 )
 def reconcile_blocks(spark, sf):
     i = F.col("image_id")
-    blocks = ext(spark, sf).select(
+    blocks = ext_table(spark, sf).select(
         F.when(i % 40 == 39, "m2").otherwise("m1").alias("model_key"), (i % 40).alias("block"), "patch_uid"
     )
     registry = blocks.where(

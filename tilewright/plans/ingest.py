@@ -462,10 +462,10 @@ def stream_commit(spark, sf):
 @query(
     "stream_min_age",
     with_ctes(
-        """SELECT patch_uid, epoch_us(date_trunc('second', mtime)) // 1000000 + 1 AS second_end, count(*) AS n
-        FROM fx_feed WHERE size > 0 GROUP BY ALL
-        HAVING epoch_us(date_trunc('second', mtime)) // 1000000 + 1
-            <= (SELECT epoch_ms(max(mtime)) FROM fx_feed WHERE size > 0) / 1000.0::DOUBLE - 120""",
+        """WITH w AS (SELECT patch_uid, epoch_us(date_trunc('second', mtime)) // 1000000 + 1 AS second_end FROM fx_feed WHERE size > 0)
+        SELECT patch_uid, second_end, count(*) AS n FROM w
+        WHERE second_end <= (SELECT epoch_ms(max(mtime)) FROM fx_feed WHERE size > 0) / 1000.0::DOUBLE - 120
+        GROUP BY patch_uid, second_end""",
         "fx_feed",
     ),
 )

@@ -17,7 +17,7 @@ from tilewright.operators import folds as FO
 from tilewright.operators import heads as H
 from tilewright.operators import registry as R
 from tilewright.plans import fixtures as fx
-from tilewright.plans.curate import aligned, all_sources, ext, ext_all
+from tilewright.plans.curate import aligned, all_sources, ext_all, ext_table
 from tilewright.plans.fixtures import cte, sql_l2, sql_r6, sql_u, sql_vec, with_ctes
 from tilewright.plans.registry import query
 
@@ -624,7 +624,7 @@ def runs(spark, sf) -> DataFrame:
         for c in range(N)
     ]
     return (
-        fx.table(spark, sf, "lineitem")
+        fx.table(spark, sf, "lineitem", spread=True)
         .withColumn("y", (p % 10).cast("int"))
         .withColumn("fold", F.col("l_linenumber") % 5)
         .where(~((F.col("fold") == 0) & (F.col("y") == 9)))
@@ -798,7 +798,7 @@ def score_and_evaluate(spark, sf):
 def surrogate_keys(spark, sf):
     from tilewright.session import materialize
 
-    keys = ext(spark, sf).select(F.concat_ws(":", "specimen", "patch_uid").alias("patch_key"), "image_id")
+    keys = ext_table(spark, sf).select(F.concat_ws(":", "specimen", "patch_uid").alias("patch_key"), "image_id")
     first = materialize(
         R.surrogate_keys(keys.where("image_id % 3 = 0"), None, "patch_key", "patch_id"), "patch-ids"
     )
@@ -817,7 +817,7 @@ def _reg(df: DataFrame) -> DataFrame:
     ),
 )
 def registry_insert(spark, sf):
-    e = ext(spark, sf)
+    e = ext_table(spark, sf)
     return R.registry_insert(
         _reg(e.where("image_id % 3 = 0")), _reg(e.where("image_id % 3 = 1")), ["model_key", "patch_uid"]
     )
@@ -835,7 +835,7 @@ def registry_insert(spark, sf):
 )
 def registry_conflicts(spark, sf):
     return R.registry_conflicts(
-        ext(spark, sf).where("image_id % 3 = 0"),
+        ext_table(spark, sf).where("image_id % 3 = 0"),
         ext_all(spark, sf).where("image_id % 2 = 0"),
         ["patch_uid"],
     )

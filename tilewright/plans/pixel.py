@@ -192,7 +192,7 @@ def image_bytes(spark, sf):
         (i(v) + k * 3) % 8 * 8 + (v * 5 + k + F.floor(v / SIDE) * 3) % 8
     ).cast("int")
     hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda v: F.get(table, cell(v))), "")
-    return fx.table(spark, sf, "part").select(
+    return fx.table(spark, sf, "part", spread=True).select(
         F.concat(F.lit("tile_"), k.cast("string")).alias("key"),
         F.concat(F.lit("slide-"), (k % 40).cast("string")).alias("slide"),
         F.lit(SIDE).alias("w"),

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.operators import aggregate as A
-from tilewright.operators import joins as J
-from tilewright.operators import ontology as O
 from tilewright.operators import sample as S
 from tilewright.operators import setops as SO
 from tilewright.operators.evaluate import rank_configs as rank_op
 from tilewright.operators.folds import group_kfold as kfold_op
 from tilewright.plans import fixtures as fx
-from tilewright.plans.curate import COLOR_TOL, PALETTE, ext, pixels, sections
+from tilewright.plans.curate import ext, ext_table, sections
 from tilewright.plans.fixtures import cte, sql_r6, sql_u, with_ctes
 from tilewright.plans.registry import query
 from tilewright.schema import EXTERNAL_CLASSES, class_table
@@ -40,7 +38,7 @@ cte(
     with_ctes("SELECT patch_uid, label, specimen, round FROM fx_round_robin", "fx_round_robin"),
 )
 def round_robin_select(spark, sf):
-    return S.round_robin_select(ext(spark, sf), QUOTA).select("patch_uid", "label", "specimen", "round")
+    return S.round_robin_select(ext_table(spark, sf), QUOTA).select("patch_uid", "label", "specimen", "round")
 
 
 @query(
@@ -54,7 +52,7 @@ def round_robin_select(spark, sf):
     ),
 )
 def round_robin_report(spark, sf):
-    e = ext(spark, sf)
+    e = ext_table(spark, sf)
     return S.round_robin_report(e, S.round_robin_select(e, QUOTA))
 
 
@@ -63,12 +61,12 @@ def round_robin_report(spark, sf):
     with_ctes(f"SELECT patch_uid, label FROM ({_low('label', 300, seed=7)})", "fx_ext"),
 )
 def reservoir_per_class(spark, sf):
-    return S.reservoir_per_class(ext(spark, sf), 300, seed=7).select("patch_uid", "label")
+    return S.reservoir_per_class(ext_table(spark, sf), 300, seed=7).select("patch_uid", "label")
 
 
 def _have(spark, sf):
     """Already embedded rows per class, zeros included."""
-    return A.class_counts(ext(spark, sf).where("image_id % 8 = 0"), class_table(spark, EXTERNAL_CLASSES))
+    return A.class_counts(ext_table(spark, sf).where("image_id % 8 = 0"), class_table(spark, EXTERNAL_CLASSES))
 
 
 cte(
@@ -110,7 +108,7 @@ def quota_plan(spark, sf):
     ),
 )
 def interleave_by_class(spark, sf):
-    out = S.interleave_by_class(ext(spark, sf).drop("position"), class_table(spark, EXTERNAL_CLASSES))
+    out = S.interleave_by_class(ext_table(spark, sf).drop("position"), class_table(spark, EXTERNAL_CLASSES))
     return out.select("patch_uid", "label", "round", "position")
 
 
@@ -158,7 +156,7 @@ def cap_per_class(spark, sf):
 )
 def select_exact_per_class(spark, sf):
     out = S.select_exact_per_class(
-        ext(spark, sf), 200, class_table(spark, EXTERNAL_CLASSES), seed=42, source_offset=10_000
+        ext_table(spark, sf), 200, class_table(spark, EXTERNAL_CLASSES), seed=42, source_offset=10_000
     )
     return out.select("patch_uid", "label", fx.r6("shuffle_u").alias("shuffle_u"))
 
@@ -182,7 +180,7 @@ def cap_rows(spark, sf):
     with_ctes(f"SELECT patch_uid, specimen, label FROM ({_low('specimen, label', 3)})", "fx_ext"),
 )
 def per_specimen_cap(spark, sf):
-    return S.per_specimen_cap(ext(spark, sf), 3).select("patch_uid", "specimen", "label")
+    return S.per_specimen_cap(ext_table(spark, sf), 3).select("patch_uid", "specimen", "label")
 
 
 @query(
@@ -288,7 +286,7 @@ def crop_grid(spark, sf):
     ),
 )
 def stratified_split(spark, sf):
-    return S.stratified_split(ext(spark, sf), 0.1, key="patch_uid").select("patch_uid", "label", "role")
+    return S.stratified_split(ext_table(spark, sf), 0.1, key="patch_uid").select("patch_uid", "label", "role")
 
 
 @query("group_kfold")
@@ -458,7 +456,7 @@ def specimen_queue(spark, sf):
     ),
 )
 def resume_progress(spark, sf):
-    e = ext(spark, sf)
+    e = ext_table(spark, sf)
     return SO.resume_progress(
         e.where("image_id % 3 <> 1"), e.where(F.substring("specimen", 2, 1) == "7").select("specimen")
     )
