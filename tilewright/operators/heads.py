@@ -205,7 +205,7 @@ def ensemble_proba(
 # --- decision rule -------------------------------------------------------------------
 
 
-def _renormalize(p: Column) -> Column:
+def renormalize(p: Column) -> Column:
     """Divide by the sum, which is computed once per row."""
 
     def scaled(q: Column) -> Column:
@@ -221,14 +221,14 @@ def rare_boost(proba, rare: list[int], boost: float = 1.10) -> Column:
     if not rare or boost == 1.0:
         return p
     factors = F.array(*[F.lit(boost if c in rare else 1.0) for c in range(N_CLASSES)])
-    return _renormalize(F.zip_with(p, factors, lambda a, f: a * f))
+    return renormalize(F.zip_with(p, factors, lambda a, f: a * f))
 
 
 def apply_thresholds(proba, thresholds: list[float]) -> Column:
     """Divide by the class thresholds and renormalise; argmax is the decision."""
     p = proba if isinstance(proba, Column) else F.col(proba)
     t = F.array(*[F.lit(max(float(v), 1e-6)) for v in thresholds])
-    return _renormalize(F.zip_with(p, t, lambda a, b: a / b))
+    return renormalize(F.zip_with(p, t, lambda a, b: a / b))
 
 
 # --- fitting -------------------------------------------------------------------------

@@ -634,9 +634,8 @@ def runs(spark, sf) -> DataFrame:
             "y",
             F.array(*raw).alias("r"),
         )
-        .withColumn("t", F.aggregate("r", F.lit(0.0), lambda a, v: a + v))
-        .withColumn("proba", F.transform("r", lambda v: v / F.col("t")))
-        .drop("r", "t")
+        .withColumn("proba", H.renormalize(F.col("r")))
+        .drop("r")
     )
 
 

@@ -237,7 +237,7 @@ def library(spark, sf):
 
 
 def image_views(spark, sf):
-    rows = image_bytes(spark, sf).select("key", (F.length("rgb") % 1 + 2).cast("int").alias("copies"))
+    rows = image_bytes(spark, sf).select("key", F.lit(2).alias("copies"))
     return AU.expand_views(rows, "copies", 42, "key").select("key", "view", "geom")
 
 
