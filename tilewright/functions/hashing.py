@@ -21,7 +21,8 @@ def _col(c) -> Column:
 def hash32(seed, *keys) -> Column:
     """First 32 bits of md5(seed:key:...), as a long."""
     text = F.concat_ws(":", F.lit(str(seed)), *[_col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    # Never NULL; saying so keeps Catalyst from adding null checks that hash again.
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def u01(seed, *keys) -> Column:

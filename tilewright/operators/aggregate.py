@@ -98,7 +98,7 @@ def norm_summary(df: DataFrame, max_rows: int = 20_000, seed: int = 42, key: str
     j = F.ceil(i * last / span)
     picked = (F.col("_n") <= max_rows) | ((j < max_rows) & (F.floor(j * span / last) == i))
     return (
-        ranked.join(n, "foundation")
+        ranked.join(F.broadcast(n), "foundation")  # bounded: one row per source
         .where(picked)
         .groupBy("foundation")
         .agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import hash32
 from tilewright.schema import N_CLASSES
+from tilewright.session import broadcast_if_small
 
 
 def _assign(counts: np.ndarray, k: int) -> np.ndarray:
@@ -73,4 +74,5 @@ def group_kfold(
     df: DataFrame, k: int = 5, group: str = "patient", forced: tuple[str, ...] = (), **kw
 ) -> DataFrame:
     """Attach ``fold``; -1 marks rows that belong to every training side."""
-    return df.where("label >= 0").join(fold_table(df, k, group, forced, **kw), group)
+    folds = broadcast_if_small(fold_table(df, k, group, forced, **kw), "folds")
+    return df.where("label >= 0").join(folds, group)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import u01
 from tilewright.functions.text import augmented_tag, label_source_tag, safe_patient, safe_slide
+from tilewright.session import broadcast_if_small
 
 
 def join_mapping(df: DataFrame, mapping: DataFrame, name: str = "name") -> DataFrame:
@@ -232,7 +233,7 @@ def lookup_area_class(areas: DataFrame, palette: DataFrame) -> DataFrame:
     classes = palette.select(F.col("acronym").alias("_a"), "cls").distinct()
     return (
         areas.withColumn("acronym", F.col("structure.acronym"))
-        .join(classes, F.col("acronym") == F.col("_a"), "left")
+        .join(broadcast_if_small(classes, "acronyms"), F.col("acronym") == F.col("_a"), "left")
         .drop("_a", "structure")
     )
 

@@ -18,6 +18,9 @@ from tilewright.functions.hashing import u01
 
 BUCKETS = 16384
 
+# Spark's spark.sql.optimizer.windowGroupLimitThreshold.
+MAP_SIDE_LIMIT = 1000
+
 
 def hash_bucket(u: Column, buckets: int = BUCKETS) -> Column:
     """Coarse order of a uniform: equal-width, hence evenly filled."""
@@ -80,6 +83,7 @@ def take_lowest(
     ``k`` is one number, or a quota table (group columns, ``k``); groups without
     a quota row yield nothing.  ``out`` names an optional column with the rank.
     """
+    bounded = bounded or not by
     df, keys = _by(df, by)
     tagged = df.withColumn("_piece", coarse)
     pieces = piece_counts(tagged, keys, F.col("_piece"))
@@ -90,23 +94,15 @@ def take_lowest(
         pieces = pieces.withColumn("_k", F.lit(int(k)))
     reached = pieces.where(F.col("_before") < F.col("_k"))
     inside = F.row_number().over(W.partitionBy(*keys, "_piece").orderBy(*fine))
-    if out:
-        offsets = reached.select(*keys, "_piece", "_before", "_k")
-        kept = (
-            tagged.join(_maybe_broadcast(offsets, bounded), [*keys, "_piece"])
-            .withColumn(out, F.col("_before") + inside)
-            .where(F.col(out) <= F.col("_k"))
-            .drop("_piece", "_before", "_k")
-        )
-    else:
-        # _before grows with _piece, so both maxima belong to the cut piece.
+    if bounded and not out:
+        # _before grows with _piece, so all three maxima belong to the cut piece.
         cut = reached.groupBy(*keys).agg(
             F.max("_piece").alias("_cut"),
             F.max("_before").alias("_before"),
             F.max("_k").alias("_k"),
         )
         kept = (
-            tagged.join(_maybe_broadcast(cut, bounded), keys)
+            tagged.join(F.broadcast(cut), keys)
             .where(F.col("_piece") <= F.col("_cut"))
             .withColumn("_r", inside)
             .where(
@@ -115,6 +111,16 @@ def take_lowest(
             )
             .drop("_piece", "_cut", "_before", "_k", "_r")
         )
+    else:
+        # Joined on the piece as well, so that a dominant group spreads over its pieces.
+        offsets = reached.select(*keys, "_piece", "_before", "_k")
+        rank = out or "_r"
+        kept = (
+            tagged.join(_maybe_broadcast(offsets, bounded), [*keys, "_piece"])
+            .withColumn(rank, F.col("_before") + inside)
+            .where(F.col(rank) <= F.col("_k"))
+            .drop("_piece", "_before", "_k", *([] if out else ["_r"]))
+        )
     return kept if by else kept.drop("_all")
 
 
@@ -128,7 +134,13 @@ def bottom_k(
     buckets: int = BUCKETS,
     out: str | None = None,
 ) -> DataFrame:
-    """Uniform sample without replacement: the k smallest (u(seed, key), key)."""
+    """Uniform sample without replacement: the k smallest (u(seed, key), key).
+
+    Many groups with a small ``k`` take one window, which Spark prunes to ``k`` rows per
+    group in every map task; otherwise the cut is found from piece counts.
+    """
+    if by and not bounded and not out and isinstance(k, int) and k <= MAP_SIDE_LIMIT:
+        return first_by(df.withColumn("_u", u01(seed, key)), by, [F.col("_u"), F.col(key)], k).drop("_u")
     tagged = df.withColumn("_u", u01(seed, key))
     kept = take_lowest(
         tagged,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.text import PATCH_UID
 from tilewright.functions.vectors import is_finite, zeros_like
+from tilewright.session import broadcast_if_small
 
 
 def finite_gate(
@@ -37,7 +38,7 @@ def finite_gate(
     keys = by or ["foundation"]
     share = df.groupBy(*keys).agg(F.avg((~good).cast("double")).alias("_bad"))
     return (
-        df.join(share, keys)
+        df.join(broadcast_if_small(share, "bad-share"), keys)
         .withColumn(
             x,
             F.when(good, F.col(x)).when(F.col("_bad") <= max_bad, zeros).otherwise(fail),

@@ -124,7 +124,29 @@ def permute_features(spark, sf):
     return out.select("foundation", "name", fx.vec_text("x").alias("x"))
 
 
-@query("feature_masks")
+_MASK_U = {
+    "random": sql_u(42, "'a'", "k", "i"),
+    "balanced": sql_u(42, "'a'", "'deck'", "r", "i"),
+    "cover": sql_u(42, "'a'", "'cover'", "i"),
+}
+
+
+@query(
+    "feature_masks",
+    with_ctes(
+        f"""WITH f AS (SELECT unnest(range(64)) AS i),
+            drawn AS (SELECT 'random' AS scheme, k, i FROM f, (SELECT unnest(range(4)) AS k)
+                    QUALIFY row_number() OVER (PARTITION BY k ORDER BY {_MASK_U['random']}, i) <= 26
+                UNION SELECT 'balanced', place // 26, i FROM (SELECT i, r * 64 + row_number() OVER (PARTITION BY r ORDER BY {_MASK_U['balanced']}, i) - 1 AS place
+                    FROM f, (SELECT unnest(range(2)) AS r)) WHERE place < 104),
+            masks AS (SELECT * FROM drawn UNION SELECT scheme, floor({_MASK_U['cover']} * 4)::BIGINT, i
+                FROM f, (SELECT DISTINCT scheme FROM drawn) s WHERE NOT EXISTS (SELECT 1 FROM drawn d WHERE d.scheme = s.scheme AND d.i = f.i))
+        SELECT scheme, name, k::INTEGER AS mask, count(*)::INTEGER AS width,
+            array_to_string(list(CAST(round(x[i + 1]::DOUBLE * 1e6) AS BIGINT) ORDER BY i), ',') AS x
+        FROM fx_a, masks GROUP BY scheme, name, k""",
+        "fx_a",
+    ),
+)
 def feature_masks(spark, sf):
     d = fx.patches(spark, sf).select("name", "x")
     out = []
@@ -589,7 +611,20 @@ def oof_run(spark, sf):
     return oof.select("name", "patient", "fold", "y", E.argmax("proba").alias("pred"))
 
 
-@query("heads_export")
+@query(
+    "heads_export",
+    with_ctes(
+        """WITH s AS (SELECT foundation AS source, label FROM fx_a UNION ALL SELECT foundation, label FROM fx_b
+                UNION ALL SELECT foundation, label FROM fx_c),
+            c AS (SELECT source, count(DISTINCT label) AS n_classes, array_to_string(list_sort(list(DISTINCT label)), ',') AS classes
+                FROM s GROUP BY source)
+        SELECT source, 'ridge' AS kind, start, start + 16 AS stop, n_classes, classes, true AS dims_ok, 'probe' AS role
+        FROM c JOIN (VALUES ('a', 0), ('a', 16), ('a', 32), ('a', 48), ('b', 0), ('b', 16), ('c', 0), ('c', 16)) AS v(source, start) USING (source)""",
+        "fx_a",
+        "fx_b",
+        "fx_c",
+    ),
+)
 def heads_export(spark, sf):
     return H.heads_manifest(H.fit_ridge_heads(all_sources(spark, sf), size=16), DIMS)
 
