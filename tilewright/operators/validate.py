@@ -175,7 +175,7 @@ MUST_MATCH = (
     "input_size",
     "pooling",
     "feature_postprocessing",
-    "brats_label_to_int",
+    "label_to_int",
 )
 
 

@@ -471,7 +471,7 @@ def _config_row(version: int):
         F.lit(224).alias("input_size"),
         F.when(c % 5 == 0, F.lit(None)).when((c % 13 == 0) & F.lit(version == 2), F.lit(None)).otherwise("cls").alias("pooling"),
         F.lit("none").alias("feature_postprocessing"),
-        F.lit('{"CT":0}').alias("brats_label_to_int"),
+        F.lit('{"CT":0}').alias("label_to_int"),
     ]
 
 

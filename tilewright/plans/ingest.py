@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import os
 import struct
 import tarfile
 import zlib
@@ -27,6 +26,7 @@ from tilewright.session import scratch_path
 from tilewright.sources import npz as NZ
 from tilewright.sources import tables as TB
 from tilewright.sources import tarshards as TS
+from tilewright.sources.files import make_dirs, publish
 from tilewright.streaming import ingest as ST
 
 SHARDS = 8
@@ -35,11 +35,7 @@ SHARDS = 8
 
 
 def _publish(path: str, data: bytes) -> None:
-    """Write next to the target, then rename: a retried task replaces its own file."""
-    tmp = f"{path}.tmp-{TaskContext.get().taskAttemptId()}"
-    with open(tmp, "wb") as f:
-        f.write(data)
-    os.replace(tmp, path)
+    publish(path, data, TaskContext.get().taskAttemptId())
 
 
 def png(w: int, h: int, rgb: bytes) -> bytes:
@@ -70,7 +66,7 @@ def labelled_images(spark, sf):
 def tar_folder(spark, sf) -> str:
     """Write the labelled tiles as tar shards, one task per shard."""
     root = scratch_path(spark, "shards")
-    os.makedirs(root, exist_ok=True)
+    make_dirs(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_no, buf, tar, count = None, None, None, 0
@@ -143,7 +139,7 @@ def sample_first_n(spark, sf):
 def npz_folder(spark, sf) -> str:
     """Write source ``b`` as one legacy array file per (patient, slide)."""
     root = scratch_path(spark, "npz")
-    os.makedirs(root, exist_ok=True)
+    make_dirs(root)
 
     def write(rows: list) -> None:
         buf = io.BytesIO()
@@ -271,7 +267,7 @@ def image_folder(spark, sf) -> str:
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 folder = f"{root}/part-{r.shard_no}"
-                os.makedirs(folder, exist_ok=True)
+                make_dirs(folder)
                 suffix = "txt" if r.n % 10 == 9 else "PNG" if r.n % 10 == 4 else "png"
                 _publish(f"{folder}/{r.key}.{suffix}", png(r.w, r.h, r.rgb))
                 n += 1

@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(named)
+    if named.startswith("file:"):  # plain paths work for Spark and for Python writers alike
+        named = "/" + named[len("file:"):].lstrip("/")
     return named.rstrip("/")
 
 

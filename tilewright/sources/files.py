@@ -10,24 +10,39 @@ from pyarrow import fs
 
 
 def _split(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path.replace("file:///", "/") if path.startswith("file:///") else path)
+    if path.startswith("file:"):
+        path = "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
 
 
 def expand(pattern: str) -> list[str]:
     """Sorted paths of a glob; remote globs may use wildcards in the last segment."""
-    if "://" not in pattern and not pattern.startswith("file:"):
-        return sorted(glob.glob(pattern))
     filesystem, path = _split(pattern)
+    if isinstance(filesystem, fs.LocalFileSystem):
+        return sorted(glob.glob(path))
     folder, name = posixpath.split(path)
-    scheme = pattern.split("://")[0] if "://" in pattern else "file"
-    found = filesystem.get_file_info(fs.FileSelector(folder))
-    hits = sorted(i.path for i in found if fnmatch.fnmatch(posixpath.basename(i.path), name))
-    return hits if scheme == "file" else [f"{scheme}://{p}" for p in hits]
+    base = pattern[: len(pattern) - len(name)]  # keeps scheme and authority
+    found = (posixpath.basename(i.path) for i in filesystem.get_file_info(fs.FileSelector(folder)))
+    return sorted(base + n for n in found if fnmatch.fnmatch(n, name))
 
 
 def open_file(path: str):
     """A seekable binary file."""
     filesystem, p = _split(path)
     return filesystem.open_input_file(p)
+
+
+def make_dirs(path: str) -> None:
+    filesystem, p = _split(path)
+    filesystem.create_dir(p, recursive=True)
+
+
+def publish(path: str, data: bytes, attempt: int) -> None:
+    """Write next to the target, then move: a retried task replaces its own file."""
+    filesystem, p = _split(path)
+    tmp = f"{p}.tmp-{attempt}"
+    with filesystem.open_output_stream(tmp) as out:
+        out.write(data)
+    filesystem.move(tmp, p)
