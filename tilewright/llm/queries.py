@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import language
+from tilewright.llm import language, neardup, suffix
 from tilewright.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,13 @@ def query(key: str, oracle: str | None = None):
 @query("op1_language")
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op9_near_duplicates")
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
