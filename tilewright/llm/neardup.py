@@ -11,7 +11,9 @@ after about n + 128 log 128 hashes instead of 128 n.
 2. Representatives that agree on one of 25 bands of five places are candidates: a pair at 0.85
    is missed with a chance of 4e-7.
 3. In each band bucket every member is held against the bucket's first one; verified links form
-   components. Pairs of a bucket that are still apart are then held against each other, block by block.
+   components. Buckets whose members are still in several components are then compared whole, in
+   cells of two blocks of bounded size: a task multiplies the incidence matrix of a cell with itself
+   and returns the links that join components, at most one less than it has members.
 4. Links count only where the full sets satisfy ``100 * intersection >= 85 * union``.
 """
 
@@ -21,6 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ from tilewright.llm.components import components
 WORDS, PERCENT = 5, 85
 PLACES, BANDS, ROWS = 128, 25, 5
 BLOCK = 1 << 20
+#: Members of a block of a crowded bucket, rows of cells that a task gets at once, columns of a matrix.
+BLOCK_MEMBERS, PART_ROWS, COLUMNS = 256, 1024, 8192
 
 _U = np.uint64
 _BASE = 0x2545F4914F6CDD1D
@@ -178,6 +183,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")
 
 
+def _joining_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """For each cell, links that join its components."""
+    found: list[tuple[int, int]] = []
+    for _, cell in group.groupby("cell", sort=False):
+        sets = [np.frombuffer(x, _U) for x in cell["items"]]
+        head, root = cell["head"].to_numpy(), cell["component"].to_numpy().copy()
+        sizes = np.array([len(x) for x in sets])
+        known, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.cumsum(times > 1) - 1  # a shingle of one member is in no intersection
+        row = np.repeat(np.arange(len(sets)), sizes)[times[place] > 1]
+        column = rank[place[times[place] > 1]]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(rank[-1]) + 1 if len(rank) else 0, COLUMNS):
+            inside = (column >= at) & (column < at + COLUMNS)
+            x = np.zeros((len(sets), COLUMNS), np.float32)
+            x[row[inside], column[inside] - at] = 1
+            both += x @ x.T
+        both = both.astype(np.int64)
+        union = sizes[:, None] + sizes[None, :] - both
+        for i, j in zip(*np.nonzero(np.triu(100 * both >= percent * union, 1))):
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
+                found.append((int(head[i]), int(head[j])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -211,18 +242,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     links = stored(_verified(pairs, sets, percent), "links")
     labels = components(links)
 
-    # members of one bucket that are still in different components and were not yet compared
+    # members of one bucket that are still in different components
     placed = in_bucket.join(labels.withColumnRenamed("node", "head"), "head", "left").select(
-        "bucket", "head", "n", F.coalesce("component", "head").alias("component")
+        "bucket", "head", F.coalesce("component", "head").alias("component")
     )
     apart = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high and size > 2")
-    left = stored(placed.join(apart.select("bucket"), "bucket"), "apart")
-    x = left.select("bucket", F.col("head").alias("a"), "n", F.col("component").alias("ca"))
-    y = left.select("bucket", F.col("head").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-    more = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        further = stored(_verified(more, sets, percent), "links")
+    blocks = F.ceil(F.col("size") / BLOCK_MEMBERS)
+    mine = F.pmod(F.xxhash64("head"), blocks)
+    cells = stored(
+        placed.join(apart.select("bucket", "size"), "bucket")
+        .select("bucket", "head", "component", mine.alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
+        .select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), "head", "component"),
+        "cells",
+    )
+    n = cells.count()
+    if n:
+        dealt = cells.join(sets.select(F.col("doc_id").alias("head"), "items"), "head")
+        part = F.pmod(F.xxhash64("cell"), F.lit(-(-n // PART_ROWS)))
+        further = stored(dealt.groupBy(part.alias("part")).applyInPandas(lambda g: _joining_links(g, percent), "a long, b long"), "links")
         if not further.isEmpty():
             labels = components(links.union(further))
 
