@@ -14,6 +14,8 @@ An item of four to seven tokens is one window of its own length; shorter items t
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,26 +71,21 @@ def templates(rows: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _windows(form: str, n: int) -> str:
-    """Hashes of all windows of n tokens."""
-    return f"case when size({form}) >= {n} then transform(sequence(0, size({form}) - {n}), i -> xxhash64(slice({form}, i + 1, {n}))) else array() end"
+def _windows(n: int) -> str:
+    """Hashes of all windows of n tokens; the typed form only of windows that hold a name."""
+    return f"""case when size(plain) >= {n} then flatten(transform(sequence(0, size(plain) - {n}), i ->
+        filter(array(named_struct('at', i, 'form', 'plain', 'hash', xxhash64(slice(plain, i + 1, {n}))),
+                     named_struct('at', i, 'form', 'typed', 'hash', if(array_contains(slice(typed, i + 1, {n}), '<name>'), xxhash64(slice(typed, i + 1, {n})), null))),
+               s -> s.hash is not null))) else array() end"""
 
 
 def _hashed(told: DataFrame, lengths: list[int], short: bool = False) -> DataFrame:
-    """``(key, length, form, at, hash)``; the typed form only of windows that hold a name."""
-    parts = []
-    for n in lengths:
-        of = told.where(F.size("plain") == n) if short and n < WINDOW else told
-        plain = of.select("key", F.lit(n).alias("length"), F.lit("plain").alias("form"), F.posexplode(F.expr(_windows("plain", n))).alias("at", "hash"))
-        named = of.where("array_contains(typed, '<name>')")
-        typed = named.select(
-            "key", F.lit(n).alias("length"), F.lit("typed").alias("form"), F.posexplode(F.expr(_windows("typed", n))).alias("at", "hash")
-        )
-        parts += [plain, typed]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+    """``(key, length, at, form, hash)``; ``short``: windows below the full length are whole items."""
+    parts = [
+        told.select("key", F.lit(n).alias("length"), F.inline(F.expr(f"if(size(plain) = {n}, {_windows(n)}, array())" if short and n < WINDOW else _windows(n))))
+        for n in lengths
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -98,7 +95,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str
     item's windows, ``n_slots`` the item's slot values seen. Null and empty texts match nothing; rows
     without an id are not judged; rows that share an id are judged together. Empty tables give no rows.
     """
-    items = stored(templates(bench.where(F.col(item).isNotNull()), item, item_text).where(F.size("plain") >= SHORTEST), "items")
+    items = stored(templates(bench.where(F.col(item).isNotNull()), item, item_text), "items").where(F.size("plain") >= SHORTEST)
     sizes = [r[0] for r in items.select(F.least(F.size("plain"), F.lit(WINDOW)).alias("n")).distinct().collect()]  # 4 to 8
     lengths = sorted(sizes) or [WINDOW]
     wanted = stored(_hashed(items, lengths, short=True).withColumnRenamed("key", "item_id").withColumnRenamed("at", "item_at"), "windows")
@@ -154,15 +151,15 @@ def _sql_templates(table: str, key: str) -> str:
     units = ", ".join(f"'{u}'" for u in UNITS)
     stops = ", ".join("chr(10)" if s == "\n" else f"'{s}'" for s in STOPS)
     return f"""
-    SELECT key, list_transform(told, t -> CASE WHEN t.kind IN ('w', '<name>') THEN t.value ELSE t.kind END) AS plain,
-           list_transform(told, t -> CASE WHEN t.kind = 'w' THEN t.value ELSE t.kind END) AS typed,
-           list_transform(told, t -> t.value) AS val
-    FROM (SELECT key, list_filter(list_transform(raw, (w, i) -> {{'value': lower(w), 'kind':
+    SELECT key, list_transform(told, lambda t: CASE WHEN t.kind IN ('w', '<name>') THEN t.value ELSE t.kind END) AS plain,
+           list_transform(told, lambda t: CASE WHEN t.kind = 'w' THEN t.value ELSE t.kind END) AS typed,
+           list_transform(told, lambda t: t.value) AS val
+    FROM (SELECT key, list_filter(list_transform(raw, lambda w, i: {{'value': lower(w), 'kind':
             CASE WHEN w >= '0' AND w < ':' THEN '<num>'
                  WHEN i > 1 AND raw[i - 1] >= '0' AND raw[i - 1] < ':' AND lower(w) IN ({units}) THEN '<unit>'
                  WHEN w IN ({stops}) OR w IN ('%', '°', '$', '€', '£') THEN ''
                  WHEN i > 1 AND w[1] <> lower(w[1]) AND w[2:] = lower(w[2:]) AND length(w) > 1 AND raw[i - 1] NOT IN ({stops}) THEN '<name>'
-                 ELSE 'w' END}}), t -> t.kind <> '') AS told
+                 ELSE 'w' END}}), lambda t: t.kind <> '') AS told
           FROM (SELECT {key} AS key, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS raw FROM {table} WHERE {key} IS NOT NULL))"""
 
 

@@ -3,7 +3,7 @@
 Rows with equal texts form a group that is never split. Groups lie in the order of a 64-bit hash. The
 smallest feasible capacity is found by binary search: a capacity is feasible if filling shards one
 after the other, each as far as the next group still fits, needs no more shards than there are. The
-cuts are where that filling puts them.
+cuts keep that capacity and lie as near to even shares as it allows.
 
 The driver never sees the groups. It works on totals of key ranges (atoms), at first 2**14 equal
 ones. Where a cut may fall at any capacity that is still open, atoms are split further in a Spark
@@ -16,7 +16,7 @@ shards that are left; there are fewer such groups than shards.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -56,6 +56,28 @@ def fill(weights: list[int], ends: list[int], capacity: int, shards: int) -> lis
     return None
 
 
+def even_cuts(weights: list[int], ends: list[int], capacity: int, shards: int) -> list[int]:
+    """Cuts that keep the capacity and leave each shard as near to an even share of the rest as they can."""
+    total, last = ends[-1], len(weights)
+    back = [last]  # the earliest end of each shard from which the later ones can hold the rest
+    for _ in range(shards - 1):
+        end = back[-1]
+        need = (ends[end - 1] if end else 0) - capacity
+        back.append(bisect_left(ends, need) + 1 if need > 0 else 0)
+    back.reverse()
+    cuts, at = [], 0
+    for j in range(shards):
+        done = ends[at - 1] if at else 0
+        most = bisect_right(ends, done + capacity)
+        share = done + (total - done) / (shards - j)
+        i = bisect_right(ends, share)
+        if i < last and ends[i] - share < share - (ends[i - 1] if i else 0):
+            i += 1
+        at = min(max(i, back[j], at), most)
+        cuts.append(at)
+    return cuts
+
+
 def smallest_capacity(weights: list[int], shards: int) -> tuple[int, list[int]]:
     """The smallest feasible capacity and its cuts."""
     ends = list(accumulate(weights))
@@ -119,6 +141,8 @@ def cuts(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
             inside = groups.withColumn("p", F.shiftrightunsigned("h", 64 - bits)).join(wanted, "p", "left_semi").drop("p")
             atoms += _totals(inside, finer)
         atoms.sort(key=lambda a: a.start)
+    weights = [a.weight for a in atoms]
+    at = even_cuts(weights, list(accumulate(weights)), high, shards)
     starts = [a.start for a in atoms] + [1 << 64]
     return high, [starts[k] for k in at[:-1]]
 

@@ -6,11 +6,12 @@ A passage is a string of ``length`` bytes (50) that also starts in a document wi
 2. Each string of 50 bytes is filed under its anchor, the smallest hash among its 16-byte
    substrings. Equal strings have equal anchors, and consecutive strings mostly share one, so a
    segment (the run of strings under one anchor) is what is sorted and moved, not single suffixes.
-3. Anchors that only one document holds cannot match and are left out.
+3. Anchors that only one document holds cannot match and are left out. A text that is a copy of an
+   earlier document's is covered as a whole and goes no further.
 4. The others are dealt into buckets by anchor. A chunk sends the first of its equal segments
    only: the rest are covered by it. So a passage in very many documents sends one segment a chunk.
-5. In a bucket, documents come in batches by id. A batch gets a sorted array of its strings' suffixes
-   (their first 50 bytes), is merge-scanned against each level of the family, and becomes a level
+5. In a bucket, strings whose fingerprint recurs in another document are kept, and documents come in
+   batches by id. A batch gets a sorted array of its suffixes (their first 50 bytes), is merge-scanned against each level of the family, and becomes a level
    itself; levels of equal size merge, so each suffix is merged at most log2(batches) times.
 6. Covered ranges go back to their chunk.
 
@@ -38,11 +39,12 @@ from tilewright.llm.common import stored
 LENGTH = 50
 ANCHOR = 16
 #: Bytes of text: of a chunk, of a block of positions hashed at once, of text per bucket.
-CHUNK, BLOCK, PER_BUCKET = 4 << 20, 1 << 20, 4 << 20
+CHUNK, BLOCK, PER_BUCKET = 1 << 20, 1 << 18, 4 << 20
 #: Strings of a batch in a bucket, and of a segment at most.
 BATCH, RUN = 1 << 17, 256
 
 _U = np.uint64
+_DROPPED = _U(16)
 _BASE = 0x5851F42D4C957F2D
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 _powers: dict[str, np.ndarray] = {}
@@ -122,7 +124,8 @@ def _block_segments(pieces: list[tuple[int, int, bytes]], length: int, anchor: i
     rows, offs = np.array([r for r, _, _ in pieces]), np.array([o for _, o, _ in pieces])
     p = piece[first]
     start = at[first] - (ends - lens)[p] + offs[p]
-    return Segments(least[first], rows[p], start, start + size)
+    # smallest hashes are small numbers; mixed again they are even, so buckets are too
+    return Segments(_mixed(least[first] ^ _U(0x6A09E667F3BCC909)), rows[p], start, start + size)
 
 
 def segments(texts: list[bytes | None], length: int = LENGTH, anchor: int = ANCHOR) -> Segments:
@@ -145,19 +148,37 @@ def segments(texts: list[bytes | None], length: int = LENGTH, anchor: int = ANCH
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers as compressed planes of bytes, the low ones first."""
     out = io.BytesIO()
     for a in arrays:
-        np.save(out, a, allow_pickle=False)
-    return zstandard.compress(out.getvalue(), 1)
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T
+        out.write(f"{a.dtype.str},{len(a)};".encode())
+        out.write(planes.tobytes())
+    return zstandard.compress(out.getvalue(), 3)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
-    src, out = io.BytesIO(zstandard.decompress(blob)), []
-    while src.tell() < len(src.getbuffer()):
-        out.append(np.load(src, allow_pickle=False))
+    raw, at, out = zstandard.decompress(blob), 0, []
+    while at < len(raw):
+        end = raw.index(b";", at)
+        kind, n = raw[at:end].decode().split(",")
+        kind, n, at = np.dtype(kind), int(n), end + 1
+        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * kind.itemsize
     return out
 
 
+def _pack_keys(keys: np.ndarray, *more: np.ndarray) -> bytes:
+    """Sorted keys as differences."""
+    return _pack(keys[:1], np.diff(keys), *more)
+
+
+def _unpack_keys(blob: bytes) -> list[np.ndarray]:
+    first, steps, *more = _unpack(blob)
+    return [np.cumsum(np.concatenate([first, steps]), dtype=_U), *more]
+
+
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     """Buckets are ranges of keys, so that a sorted array falls into slices."""
     return ((keys >> _U(40)) * _U(n) >> _U(24)).astype(np.int64)
@@ -211,32 +232,57 @@ class LogarithmicIndex:
         self.levels.append(batch)
 
 
+def _recurring(contents: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Segment and offset of the strings whose fingerprint also occurs in another document.
+
+    Other strings match nothing, so they need no place in a suffix array.
+    """
+    prints, segment, offset = [], [], []
+    lot, size, first = [], 0, 0
+    for n, c in enumerate(contents):
+        lot.append(c)
+        size += len(c)
+        if size < BLOCK and n + 1 < len(contents):
+            continue
+        data = np.frombuffer(b"".join(lot), np.uint8)
+        lens = np.array([len(x) for x in lot])
+        sizes = lens - length + 1
+        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        begin = np.repeat(np.cumsum(lens) - lens, sizes) + within
+        sums = _prefix(data)
+        prints.append(_mixed((sums[begin + length] - sums[begin]) * _power(len(data) + 1)[1][begin]))
+        segment.append(np.repeat(np.arange(first, first + len(lot)), sizes))
+        offset.append(within)
+        lot, size, first = [], 0, n + 1
+    key, segment, offset = np.concatenate(prints), np.concatenate(segment), np.concatenate(offset)
+    order = np.argsort(key)
+    key, doc = key[order], docs[segment[order]]
+    group = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    several = np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group)
+    keep = np.sort(order[np.repeat(several, np.diff(np.append(group, len(key))))])
+    return segment[keep], offset[keep]
+
+
 def scan_bucket(contents: list[bytes], docs: np.ndarray, length: int = LENGTH, batch: int = BATCH) -> list[np.ndarray]:
     """For each segment: which of its strings start in a segment of a document with a smaller id.
 
     Segments are distinct in content; equal ones of other documents are the caller's.
     """
-    out: list[np.ndarray] = [np.zeros(0, bool)] * len(contents)
-    index, order = LogarithmicIndex(), np.argsort(docs, kind="stable")
-    strings_of = np.array([len(c) - length + 1 for c in contents], np.int64)
-    total = np.cumsum(strings_of[order])
-    at = 0
-    while at < len(order):
-        done = total[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(total, done + batch, "right")))
-        to = int(np.searchsorted(docs[order], docs[order[to - 1]], "right"))  # a document stays in one batch
-        lot = order[at:to]
-        data = np.frombuffer(b"".join(contents[i] for i in lot), np.uint8)
-        sizes = strings_of[lot]
-        firsts = np.cumsum(sizes + length - 1) - (sizes + length - 1)
-        begin = np.repeat(firsts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        strings = np.lib.stride_tricks.sliding_window_view(data, length)[begin].view(f"S{length}").ravel()
-        owner = np.repeat(docs[lot], sizes)
-        level = _level(strings, owner, 1)
-        place = np.searchsorted(level.strings, strings)
-        earliest = np.minimum(level.docs, index.first_documents(level.strings))[place]
-        for i, m in zip(lot, np.split(earliest < owner, np.cumsum(sizes)[:-1])):
-            out[i] = m
+    out = [np.zeros(len(c) - length + 1, bool) for c in contents]
+    segment, offset = _recurring(contents, docs, length)
+    order = np.argsort(docs[segment], kind="stable")
+    segment, offset = segment[order], offset[order]
+    owner = docs[segment]
+    index, at = LogarithmicIndex(), 0
+    while at < len(owner):
+        to = min(at + batch, len(owner))
+        to = int(np.searchsorted(owner, owner[to - 1], "right"))  # a document stays in one batch
+        strings = np.array([contents[s][o : o + length] for s, o in zip(segment[at:to].tolist(), offset[at:to].tolist())], f"S{length}")
+        level = _level(strings, owner[at:to], 1)
+        earliest = np.minimum(level.docs, index.first_documents(level.strings))
+        hit = np.flatnonzero(earliest[np.searchsorted(level.strings, strings)] < owner[at:to]) + at
+        for s, o in zip(segment[hit].tolist(), offset[hit].tolist()):
+            out[s][o] = True
         index.add(level)
         at = to
     return out
@@ -244,7 +290,7 @@ def scan_bucket(contents: list[bytes], docs: np.ndarray, length: int = LENGTH, b
 
 def _ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -289,7 +335,10 @@ def _chunks(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _shared_anchors(chunks: DataFrame, id_col: str, text: str, length: int, anchor: int, buckets: int) -> DataFrame:
-    """For each chunk, the anchors that at least two documents hold."""
+    """For each chunk, the anchors that at least two documents hold.
+
+    Only 48 bits of an anchor travel; a chance agreement costs a comparison and changes nothing.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -300,38 +349,58 @@ def _shared_anchors(chunks: DataFrame, id_col: str, text: str, length: int, anch
                     continue
                 doc = np.array([0 if i is None else i for i in ids], np.int64)[s.row]
                 order = np.lexsort((doc, s.key))
-                key, doc = s.key[order], doc[order]
+                key, doc = s.key[order] >> _DROPPED, doc[order]
                 first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 several = np.maximum.reduceat(doc, first) != doc[first]
-                rows = [(n, chunk, key[first][sl].tobytes(), np.packbits(several[sl]).tobytes()) for n, sl in _by_bucket(key[first], buckets)]
-                bucket, own, keys, flags = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), pa.array(keys, pa.binary()), pa.array(flags, pa.binary())], names=["bucket", "chunk", "keys", "several"])
+                rows = [(n, chunk, _pack_keys(key[first][sl], several[sl].astype(np.uint8))) for n, sl in _by_bucket(key[first] << _DROPPED, buckets)]
+                bucket, own, keys = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(own), pa.array(keys, pa.binary())], names=["bucket", "chunk", "keys"])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, _U) for k in group["keys"]]
-        several = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[: len(k)] for f, k in zip(group["several"], keys)])
+        keys, several = zip(*map(_unpack_keys, group["keys"]))
+        several = np.concatenate(several)
         known, place, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         shared = times > 1
         shared[place[several > 0]] = True
         kept = np.split(shared[place], np.cumsum([len(k) for k in keys])[:-1])
-        out = [(c, k[m].tobytes()) for c, k, m in zip(group["chunk"], keys, kept) if m.any()]
+        out = [(c, _pack_keys(k[m])) for c, k, m in zip(group["chunk"], keys, kept) if m.any()]
         return pd.DataFrame(out, columns=["chunk", "keys"])
 
-    anchors = chunks.select("chunk", "rows").mapInArrow(emit, "bucket long, chunk long, keys binary, several binary")
+    anchors = chunks.select("chunk", "rows").mapInArrow(emit, "bucket long, chunk long, keys binary")
     return anchors.groupBy("bucket").applyInPandas(meet, "chunk long, keys binary").groupBy("chunk").agg(F.collect_list("keys").alias("keys"))
 
 
+def _copies(chunks: DataFrame, id_col: str, text: str, length: int) -> DataFrame:
+    """For each chunk, the rows whose whole text a document with a smaller id has."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids, texts = _texts(_rows(blob), id_col, text)
+                known = [(i, t) for i, t in enumerate(texts) if t is not None and len(t) >= length]
+                marks = [hashlib.blake2b(t, digest_size=16).digest() for _, t in known]
+                columns = [[chunk] * len(known), [i for i, _ in known], [ids[i] for i, _ in known]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(marks, pa.binary())], names=["chunk", "row", "doc", "mark"])
+
+    marks = stored(chunks.select("chunk", "rows").mapInArrow(mark, "chunk long, row long, doc long, mark binary"), "marks")
+    first = marks.groupBy("mark").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    return marks.join(first, "mark").where("doc > first").groupBy("chunk").agg(F.collect_list("row").alias("copies"))
+
+
 def _spans(chunks: DataFrame, shared: DataFrame, id_col: str, text: str, length: int, anchor: int, buckets: int, batch: int) -> DataFrame:
     """Covered byte ranges of each chunk's rows, as packed arrays."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, blob, lists in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for chunk, blob, lists, copies in zip(*(b.column(i).to_pylist() for i in range(4))):
                 ids, texts = _texts(_rows(blob), id_col, text)
-                keys = np.sort(np.concatenate([np.frombuffer(k, _U) for k in lists]))
+                whole = np.array(copies or [], np.int64)
+                ends = np.array([len(texts[i]) for i in whole.tolist()], np.int64)
+                for i in whole.tolist():
+                    texts[i] = None
+                keys = np.sort(np.concatenate([_unpack_keys(k)[0] for k in lists or []] or [np.zeros(0, _U)]))
                 s = segments(texts, length, anchor)
-                at = np.minimum(np.searchsorted(keys, s.key), len(keys) - 1)
-                keep = np.flatnonzero(keys[at] == s.key)
+                keep = np.flatnonzero(np.isin(s.key >> _DROPPED, keys, kind="sort"))
                 doc = np.array([0 if i is None else i for i in ids], np.int64)[s.row[keep]]
                 keep = keep[np.lexsort((doc, s.key[keep]))]
                 doc = np.array([0 if i is None else i for i in ids], np.int64)[s.row[keep]]
@@ -339,7 +408,12 @@ def _spans(chunks: DataFrame, shared: DataFrame, id_col: str, text: str, length:
                 first: dict[bytes, int] = {}
                 here = np.array([first.setdefault(c, d) == d for c, d in zip(content, doc.tolist())], bool)
                 done = keep[~here]  # an earlier document of this chunk has all of the segment
-                out = [(chunk % buckets, chunk, True, _pack(s.row[done].astype(np.int32), s.start[done], s.stop[done] + length - 1))] if len(done) else []
+                covered = _pack(
+                    np.concatenate([s.row[done], whole]).astype(np.int32),
+                    np.concatenate([s.start[done], np.zeros(len(whole), np.int64)]),
+                    np.concatenate([s.stop[done] + length - 1, ends]),
+                )
+                out = [(chunk % buckets, chunk, True, covered)] if len(done) or len(whole) else []
                 sent, doc, content = keep[here], doc[here], [c for c, h in zip(content, here) if h]
                 for n, sl in _by_bucket(s.key[sent], buckets):
                     sizes = np.array([len(c) for c in content[sl]], np.int32)
@@ -377,7 +451,9 @@ def _spans(chunks: DataFrame, shared: DataFrame, id_col: str, text: str, length:
                     out.append((chunk, _pack(a[:, 0].astype(np.int32), a[:, 1], a[:, 2])))
         return pd.DataFrame(out, columns=["chunk", "blob"])
 
-    joined = chunks.select("chunk", "rows").join(shared, "chunk").select("chunk", "rows", "keys")
+    hints = shared.unionByName(_copies(chunks, id_col, text, length), allowMissingColumns=True)
+    hints = hints.groupBy("chunk").agg(F.first("keys", True).alias("keys"), F.first("copies", True).alias("copies"))
+    joined = chunks.select("chunk", "rows").join(hints, "chunk").select("chunk", "rows", "keys", "copies")
     found = joined.mapInArrow(emit, "bucket long, chunk long, done boolean, blob binary")
     return found.groupBy("bucket").applyInPandas(meet, "chunk long, blob binary").groupBy("chunk").agg(F.collect_list("blob").alias("blobs"))
 
