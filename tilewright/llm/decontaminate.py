@@ -147,30 +147,37 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def _sql_templates(table: str, key: str) -> str:
-    """The same tokens in DuckDB's SQL."""
+    """The same tokens in DuckDB's SQL, one row for each."""
     units = ", ".join(f"'{u}'" for u in UNITS)
     stops = ", ".join("chr(10)" if s == "\n" else f"'{s}'" for s in STOPS)
     return f"""
-    SELECT key, list_transform(told, lambda t: CASE WHEN t.kind IN ('w', '<name>') THEN t.value ELSE t.kind END) AS plain,
-           list_transform(told, lambda t: CASE WHEN t.kind = 'w' THEN t.value ELSE t.kind END) AS typed,
-           list_transform(told, lambda t: t.value) AS val
-    FROM (SELECT key, list_filter(list_transform(raw, lambda w, i: {{'value': lower(w), 'kind':
-            CASE WHEN w >= '0' AND w < ':' THEN '<num>'
-                 WHEN i > 1 AND raw[i - 1] >= '0' AND raw[i - 1] < ':' AND lower(w) IN ({units}) THEN '<unit>'
-                 WHEN w IN ({stops}) OR w IN ('%', '°', '$', '€', '£') THEN ''
-                 WHEN i > 1 AND w[1] <> lower(w[1]) AND w[2:] = lower(w[2:]) AND length(w) > 1 AND raw[i - 1] NOT IN ({stops}) THEN '<name>'
-                 ELSE 'w' END}}), lambda t: t.kind <> '') AS told
-          FROM (SELECT {key} AS key, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS raw FROM {table} WHERE {key} IS NOT NULL))"""
-
-
+    SELECT key, row_number() OVER (PARTITION BY key ORDER BY i) AS pos, count(*) OVER (PARTITION BY key) AS total, lower(w) AS val,
+           CASE WHEN kind IN ('w', '<name>') THEN lower(w) ELSE kind END AS plain, CASE WHEN kind = 'w' THEN lower(w) ELSE kind END AS typed
+    FROM (SELECT *, CASE WHEN w >= '0' AND w < ':' THEN '<num>'
+                         WHEN prev >= '0' AND prev < ':' AND lower(w) IN ({units}) THEN '<unit>'
+                         WHEN w IN ({stops}) OR w IN ('%', '°', '$', '€', '£') THEN ''
+                         WHEN prev IS NOT NULL AND w[1] <> lower(w[1]) AND w[2:] = lower(w[2:]) AND length(w) > 1 AND prev NOT IN ({stops}) THEN '<name>'
+                         ELSE 'w' END AS kind
+          FROM (SELECT key, i, w, lag(w) OVER (PARTITION BY key ORDER BY i) AS prev
+                FROM (SELECT key, unnest(raw) AS w, generate_subscripts(raw, 1) AS i
+                      FROM (SELECT {key} AS key, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS raw FROM {table} WHERE {key} IS NOT NULL))))
+    WHERE kind <> ''"""
+
+
+def _sql_windows(n: int, source: str, where: str) -> str:
+    row = lambda c: "[" + ", ".join(f"lead({c}, {k}) OVER (PARTITION BY key ORDER BY pos)" for k in range(n)) + "]"
+    return f"""SELECT key, {n} AS n, pos, total - {n} + 1 AS total, {row('plain')} AS p, {row('typed')} AS t, {row('val')} AS v
+        FROM {source} WHERE {where} QUALIFY pos <= {source}.total - {n} + 1"""
+
+
+_SIZES = range(SHORTEST, WINDOW + 1)
 ORACLE = f"""
-WITH d AS ({_sql_templates("documents", "doc_id")}), b AS (SELECT * FROM ({_sql_templates("benchmark", "item_id")}) WHERE len(plain) >= {SHORTEST}),
-bw AS (SELECT key AS item_id, least(len(plain), {WINDOW}) AS n, unnest(range(1, greatest(len(plain) - {WINDOW} + 2, 2))) AS j, plain, typed, val FROM b),
-bwin AS (SELECT item_id, n, j, len(plain) - n + 1 AS total, plain[j:j+n-1] AS p, typed[j:j+n-1] AS t, val[j:j+n-1] AS v FROM bw),
-dw AS (SELECT key AS doc_id, n, unnest(range(1, len(plain) - n + 2)) AS i, plain, typed, val FROM d, (SELECT DISTINCT n FROM bwin) WHERE len(plain) >= n),
-dwin AS (SELECT doc_id, n, i, plain[i:i+n-1] AS p, typed[i:i+n-1] AS t, val[i:i+n-1] AS v FROM dw),
-hit AS (SELECT doc_id, item_id, i - j AS diagonal, j, total, bwin.t AS t, bwin.v AS bv, dwin.v AS dv FROM dwin JOIN bwin ON dwin.n = bwin.n AND dwin.p = bwin.p
-        UNION SELECT doc_id, item_id, i - j, j, total, bwin.t, bwin.v, dwin.v FROM dwin JOIN bwin ON dwin.n = bwin.n AND dwin.t = bwin.t),
+WITH d AS MATERIALIZED ({_sql_templates("documents", "doc_id")}), b AS MATERIALIZED ({_sql_templates("benchmark", "item_id")}),
+bwin AS MATERIALIZED ({" UNION ALL ".join(_sql_windows(n, "b", f"b.total {'>=' if n == WINDOW else '='} {n}") for n in _SIZES)}),
+dwin AS ({" UNION ALL ".join(_sql_windows(n, "d", f"{n} IN (SELECT n FROM bwin)") for n in _SIZES)}),
+hit AS (SELECT dwin.key AS doc_id, bwin.key AS item_id, dwin.pos - bwin.pos AS diagonal, bwin.pos AS j, bwin.total AS total, bwin.t AS t, bwin.v AS bv, dwin.v AS dv
+        FROM dwin JOIN bwin ON dwin.n = bwin.n AND dwin.p = bwin.p
+        UNION SELECT dwin.key, bwin.key, dwin.pos - bwin.pos, bwin.pos, bwin.total, bwin.t, bwin.v, dwin.v FROM dwin JOIN bwin ON dwin.n = bwin.n AND dwin.t = bwin.t),
 counted AS (SELECT doc_id, item_id, diagonal, count(DISTINCT j) AS n_windows, max(total) AS total FROM hit GROUP BY ALL),
 slot AS (SELECT doc_id, item_id, diagonal, unnest(t) AS kind, unnest(bv) AS mine, unnest(dv) AS theirs FROM hit),
 slots AS (SELECT doc_id, item_id, diagonal, count(DISTINCT (mine, theirs)) AS n_pairs, count(DISTINCT mine) AS n_mine, count(DISTINCT theirs) AS n_theirs

@@ -201,7 +201,7 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     rows = pages.select(host_and_path(url)[0], F.col(html)).mapInArrow(walk, "host string, page long, path string, style long, content long")
     once = rows.dropDuplicates(["host", "page", "path"])
     # counts of each value first: a host may hold a third of the pages
-    kinds = once.select("host", "path", F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.col("style").alias("value")), F.struct(F.lit("c"), F.col("content")))).alias("v"))
+    kinds = once.select("host", "path", F.explode(F.array(F.struct(F.lit("s").alias("kind"), F.col("style").alias("value")), F.struct(F.lit("c").alias("kind"), F.col("content").alias("value")))).alias("v"))
     own = kinds.groupBy("host", "path", "v.kind", "v.value").agg(F.count("*").alias("n"))
     own = stored(own, "style-tree")
     everywhere = own.groupBy(F.lit(None).cast("string").alias("host"), "path", "kind", "value").agg(F.sum("n").alias("n"))

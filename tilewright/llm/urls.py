@@ -1,8 +1,10 @@
 """URL filter: rules first, then naive Bayes over segmented host and path words.
 
 Host labels such as ``cheappills`` are split into words by the most likely sequence under a unigram
-model (Viterbi); the unigrams are the words of all page titles. Multinomial naive Bayes learns from the
-pages that a rule decides and judges the others. Counts cover all rows.
+model (Viterbi); the unigrams are the words of all page titles and the seed words. Multinomial naive
+Bayes learns from all pages: those whose segmented host has a seed word are examples of what to block,
+the others of what to allow. So words that go with the seeds count too. Rules speak of sections, not of
+unwanted hosts, so they are no labels; where one fits, it decides. Counts cover all rows.
 """
 
 from __future__ import annotations
@@ -29,6 +31,12 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: Host words of unwanted sites.
+SEEDS = (
+    "ad", "ads", "adult", "bet", "bets", "betting", "bingo", "casino", "click", "dating", "diet", "escort", "gambling", "hack", "jackpot", "keygen",
+    "loan", "loans", "lottery", "malware", "nude", "payday", "pharma", "phish", "phishing", "pill", "pills", "poker", "porn", "replica", "scam", "sex",
+    "slots", "spam", "torrent", "track", "tracker", "tracking", "viagra", "virus", "warez", "xxx",
+)
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -77,14 +85,16 @@ class Unigrams:
         return out[::-1]
 
 
-def unigrams(pages: DataFrame, html: str = "html", words: int = WORDS) -> Unigrams:
-    """Word counts over the titles of all pages."""
+def unigrams(pages: DataFrame, html: str = "html", words: int = WORDS, seeds: tuple[str, ...] = SEEDS) -> Unigrams:
+    """Word counts over the titles of all pages; a seed word counts as one in a thousand words at least."""
     title = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1)
     every = pages.select(F.explode(F.regexp_extract_all(F.lower(title), F.lit(r"\p{L}{2,20}"), F.lit(0))).alias("word"))
     counts = every.groupBy("word").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
     top = counts.orderBy(F.desc("count"), "word").limit(words).collect()
-    return Unigrams({r["word"]: -math.log(r["count"] / total) for r in top}, float(total or 1))
+    costs = {r["word"]: -math.log(r["count"] / total) for r in top}
+    costs |= {w: min(costs.get(w, math.inf), math.log(1000)) for w in seeds}
+    return Unigrams(costs, float(total or 1))
 
 
 _NAME = re.compile(r"[^\W\d_]+|\d+")
@@ -130,13 +140,12 @@ class Bayes:
 
 
 def fit_bayes(rows: DataFrame, tokens: int = TOKENS) -> Bayes:
-    """From ``(tokens, ruled)``; with rows of one class only, or none, everything is allowed."""
-    rows = rows.where("ruled is not null")
-    classes = {r.ruled: r["count"] for r in rows.groupBy("ruled").count().collect()}
+    """From ``(tokens, label)``; with rows of one class only, or none, everything is allowed."""
+    classes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(classes) < 2:
         return Bayes(-1.0)
-    block, allow = (F.sum(F.when(F.col("ruled") == c, 1).otherwise(0)).alias(c) for c in ("block", "allow"))
-    counts = stored(rows.select("ruled", F.explode("tokens").alias("token")).groupBy("token").agg(block, allow), "url-tokens")
+    block, allow = (F.sum(F.when(F.col("label") == c, 1).otherwise(0)).alias(c) for c in ("block", "allow"))
+    counts = stored(rows.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(block, allow), "url-tokens")
     whole = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("n")).first()
     if not whole.n:
         return Bayes(math.log(classes["block"] / classes["allow"]))
@@ -145,16 +154,17 @@ def fit_bayes(rows: DataFrame, tokens: int = TOKENS) -> Bayes:
     return Bayes(math.log(classes["block"] / classes["allow"]), odds)
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", rules=RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """``(page_id, host, path, rule, verdict, score)`` of every row.
 
     ``score`` is the log odds for block; the verdict is the rule's, else ``block`` above 0 and ``allow``
     otherwise. A url that is null or has no host is judged by the prior.
     """
-    words = unigrams(pages, html)
+    words = unigrams(pages, html, seeds=seeds)
     parts = pages.select(F.col(id_col).alias("page_id"), *host_and_path(url)).select("page_id", "host", "path", *ruled(rules))
     rows = stored(tokenized(parts, words), "urls")
-    model = fit_bayes(rows)
+    seeded = F.arrays_overlap("tokens", F.array(*[F.lit("h:" + w) for w in seeds]))
+    model = fit_bayes(rows.select("tokens", F.when(seeded, "block").otherwise("allow").alias("label")))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
