@@ -97,11 +97,6 @@ def test_folds_keep_groups_together(spark):
     assert max(sizes) < 1.5 * min(sizes)
 
 
-def test_folds_in_blocks(spark):
-    blocks = FO.fold_table(fx.patches(spark, SF), 3, groups_per_block=8)
-    assert blocks.count() == 23 and blocks.select("fold").distinct().count() == 3
-
-
 # --- text, vectors, gates ------------------------------------------------------------------
 
 
@@ -302,13 +297,60 @@ def test_second_run_commits_nothing_and_partial_state_is_an_error(spark):
     first = SI.stream_ingest(SI.read_feed(spark, folder), root).count()
     assert SI.stream_ingest(SI.read_feed(spark, folder), root).count() == first > 0
     half = scratch_path(spark, "r")
-    spark.read.schema("patch_uid string, batch_id bigint").parquet(f"{root}/registry").limit(3).write.partitionBy(
-        "batch_id"
-    ).parquet(half)
+    SI.written(spark, f"{root}/registry", "patch_uid string").limit(3).write.partitionBy("block").parquet(half)
     with pytest.raises(RuntimeError, match="partially registered"):
         SI.recover(spark, f"{root}/data", half)
 
 
+def _feed(spark, folder, rows):
+    df = spark.createDataFrame(rows, "event_id bigint, path string, patch_uid string, cls string, m bigint, size bigint")
+    df = df.select("event_id", "path", "patch_uid", "cls", F.timestamp_seconds("m").alias("mtime"), "size")
+    df.coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_late_and_young_files_pass_once(spark):
+    root, folder = scratch_path(spark, "t"), scratch_path(spark, "f")
+    _feed(spark, folder, [(1, "p1", "u1", "CT", 1000, 5), (2, "p2", "u2", "CT", 5000, 5)])
+    _feed(spark, folder, [(3, "p3", "u3", "IC", 4990, 5), (4, "p4", "u4", "IC", 10, 5)])  # u4 is old and late
+    feed = SI.read_feed(spark, folder, 1)
+    uids = lambda df: sorted(r["patch_uid"] for r in df.collect())
+    assert uids(SI.stream_min_age(feed, root, 120, lambda: 5000.0)) == ["u1", "u4"]
+    SI.release_rest(spark, root, 120, 5200.0)  # the feed is quiet
+    SI.release_rest(spark, root, 120, 5300.0)
+    assert uids(SI.written(spark, f"{root}/out", SI.FEED)) == ["u1", "u2", "u3", "u4"]
+    assert uids(SI.stream_dedup(feed, scratch_path(spark, "d"))) == ["u1", "u2", "u3", "u4"]
+
+
+def test_a_lost_checkpoint_commits_nothing_twice(spark):
+    import shutil
+
+    root, folder = scratch_path(spark, "t"), scratch_path(spark, "f")
+    rows = [(i, f"p{i}", f"u{i}", "CT", 1000 + i, 5) for i in range(4)]
+    _feed(spark, folder, rows)
+    SI.stream_ingest(SI.read_feed(spark, folder), root)
+    shutil.rmtree(f"{root}/ckpt")
+    _feed(spark, folder, [(9, "p9", "u9", "IC", 2000, 5), (10, "p1b", "u1", "IC", 3000, 5)])
+    again = SI.stream_ingest(SI.read_feed(spark, folder), root)
+    assert sorted(r["patch_uid"] for r in again.collect()) == ["u0", "u1", "u2", "u3", "u9"]
+
+
+def test_unnamed_directories_come_last(spark):
+    rows = [("u", "new_dir", "f", 1, 1), ("u", "b", "f", 1, 1), ("u", "a", "f", 1, 1)]
+    df = spark.createDataFrame(rows, "patch_uid string, source_dir string, filename string, mtime_s bigint, size_bytes bigint")
+    from tilewright.operators import dedup
+
+    assert dedup.dedup_keep_first(df, source_order=["b", "a"]).first()["source_dir"] == "b"
+
+
+def test_alignment_errors(spark):
+    one = spark.createDataFrame([("p", "n", 1, [1.0], "a")], "patient string, name string, label smallint, x array<float>, foundation string")
+    other = one.withColumn("name", F.lit("m"))
+    with pytest.raises(ValueError, match="no overlapping keys"):
+        J.align_sources({"a": one, "b": other})
+    with pytest.raises(Exception, match="occurs twice"):
+        J.align_sources({"a": one, "b": one.union(one)}).collect()
+
+
 def test_stains_are_recovered(spark):
     rows = PX.profiles(spark, SF).where("valid").collect()
     assert len(rows) > 100
@@ -322,12 +364,26 @@ def test_transfer_to_own_stain_without_jitter_keeps_colours():
     rng = np.random.default_rng(0)
     cells = rng.integers(0, 64, 256)
     img = np.array(PX.COLORS, dtype=np.uint8)[cells].reshape(16, 16, 3)
-    he, maxc, conc = ST.decompose(img)
-    back = ST.recompose(conc, maxc, he, maxc, img.shape, np.ones(2), np.zeros(2))
+    own = ST.estimate(img)
+    back = ST.restained(img, own, own, np.ones(2), np.zeros(2))
     assert np.abs(back.astype(int) - img.astype(int)).mean() < 6
-    for move in range(1, 8):
-        assert sorted(ST.turned(img, move).ravel()) == sorted(img.ravel())
-    assert not np.array_equal(ST.turned(img, 4), img)
+    seen = {ST.moved(img, g).tobytes() for g in range(8)}
+    assert len(seen) == 8 and all(sorted(x) == sorted(img.tobytes()) for x in seen)
+
+
+def test_plane_normal_is_the_direction_of_least_variance():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        od = rng.normal(size=(200, 3)) @ rng.normal(size=(3, 3))
+        _, vec = np.linalg.eigh(np.cov(od, rowvar=False))
+        assert abs(abs(ST.plane_normal(od) @ vec[:, 0]) - 1) < 1e-9
+
+
+def test_empty_stain_library_is_an_error(spark):
+    views = spark.createDataFrame([("k", "v")], "key string, view string")
+    empty = spark.createDataFrame([], "slide string, he array<double>, maxc array<double>")
+    with pytest.raises(ValueError, match="empty"):
+        ST.stain_manifold_sample(views, empty, "discrete")
 
 
 def test_encoder_contract(spark):

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +21,9 @@ def permutation(dim: int, seed, source: str) -> list[int]:
 
 
 def take(x, index: list[int]) -> Column:
-    """Elements of ``x`` at the given 0-based positions."""
+    """Elements of ``x`` at the given 0-based positions; the positions are one literal."""
     col = x if isinstance(x, Column) else F.col(x)
-    return F.transform(F.array(*[F.lit(i) for i in index]), lambda i: F.get(col, i))
+    return F.transform(F.lit(np.array(index, np.int32)), lambda i: F.get(col, i))
 
 
 def permute_features(df: DataFrame, dims: dict[str, int], seed=42, x: str = "x") -> DataFrame:
@@ -37,32 +37,28 @@ def permute_features(df: DataFrame, dims: dict[str, int], seed=42, x: str = "x")
 def feature_masks(
     dim: int, n_masks: int, fraction: float, min_dim: int, scheme: str, seed=42, source: str = ""
 ) -> list[list[int]]:
-    """Feature subsets; every feature is in at least one.
+    """Feature subsets of equal width; every feature is in at least one.
 
-    ``random`` draws each mask on its own, ``balanced`` deals features from shuffled
-    decks so that coverage stays even.
+    The features lie on a circle in hash order. ``balanced`` masks are arcs of it that start at
+    equal distances, so neighbouring features are in equally many masks, give or take one.
+    ``random`` masks hold every n-th feature of the circle and fill up with the features of the
+    smallest hash for this mask. Either way the arcs or the n-th features cover all.
     """
-    m = min(max(min_dim, round(fraction * dim)), dim)
-    if m >= dim:
-        return [list(range(dim))] * n_masks
-    if scheme == "random":
-        masks = [
-            set(sorted(range(dim), key=lambda i: (u_value(seed, source, k, i), i))[:m])
-            for k in range(n_masks)
-        ]
-    elif scheme == "balanced":
-        decks = math.ceil(n_masks * m / dim)
-        pool = [
-            i
-            for r in range(decks)
-            for i in sorted(range(dim), key=lambda i: (u_value(seed, source, "deck", r, i), i))
-        ]
-        masks = [set(pool[k * m : (k + 1) * m]) for k in range(n_masks)]
-    else:
+    width = min(dim, max(min_dim, round(fraction * dim), -(-dim // n_masks)))
+    if scheme not in ("random", "balanced"):
         raise ValueError(f"unknown mask scheme {scheme!r}")
-    for i in set(range(dim)) - set().union(*masks):
-        masks[int(u_value(seed, source, "cover", i) * n_masks)].add(i)
-    return [sorted(s) for s in masks]
+    circle = permutation(dim, f"{seed}-home", source)
+    masks = []
+    for k in range(n_masks):
+        if scheme == "balanced":
+            start = k * dim // n_masks
+            chosen = [circle[(start + i) % dim] for i in range(width)]
+        else:
+            home = circle[k::n_masks]
+            others = sorted(set(range(dim)) - set(home), key=lambda i: (u_value(seed, source, k, i), i))
+            chosen = home + others[: width - len(home)]
+        masks.append(sorted(chosen))
+    return masks
 
 
 def apply_masks(df: DataFrame, masks: list[list[int]], x: str = "x") -> DataFrame:

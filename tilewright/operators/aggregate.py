@@ -8,9 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tilewright.functions.hashing import u01
 from tilewright.functions.vectors import l2_norm, let
-from tilewright.operators.ranking import hash_bucket, rank_in_group
 
 
 def cell_counts(df: DataFrame, by: tuple[str, ...] = ("patient", "label")) -> DataFrame:
@@ -81,33 +79,55 @@ def scan_stats(
     )
 
 
-def norm_summary(df: DataFrame, max_rows: int = 20_000, seed: int = 42, key: str = "name") -> DataFrame:
-    """p05 / median / p95 of row norms on at most ``max_rows`` evenly spaced rows.
+def norm_summary(df: DataFrame, points: tuple[float, ...] = (0.05, 0.5, 0.95)) -> DataFrame:
+    """n, p05, median and p95 of all row norms per source, interpolated between ranks.
 
-    Rows are spaced over the hash order of ``key`` per foundation, so the choice does
-    not depend on partitioning and no task sees a whole source.
+    Sketched quantiles bracket each rank, rows below a bracket are only counted, and only the
+    distinct norms inside it are ordered; so neither a source nor a crowded norm meets in one task.
     """
-    u = u01(seed, key)
-    narrow = df.select("foundation", key, l2_norm("x").alias("norm"))
-    n = narrow.groupBy("foundation").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = rank_in_group(narrow, ["foundation"], hash_bucket(u), [u, F.col(key)], out="_i")
-    # Row i (0-based) is picked when some j < max_rows has floor(j*(n-1)/(max_rows-1)) = i.
-    i = F.col("_i") - 1
-    last = F.lit(max(max_rows - 1, 1))
-    span = F.greatest(F.col("_n") - 1, F.lit(1))
-    j = F.ceil(i * last / span)
-    picked = (F.col("_n") <= max_rows) | ((j < max_rows) & (F.floor(j * span / last) == i))
-    return (
-        ranked.join(F.broadcast(n), "foundation")  # bounded: one row per source
-        .where(picked)
-        .groupBy("foundation")
-        .agg(
-            F.count(F.lit(1)).alias("n_sample"),
-            F.percentile("norm", F.lit(0.05)).alias("p05"),
-            F.percentile("norm", F.lit(0.5)).alias("median"),
-            F.percentile("norm", F.lit(0.95)).alias("p95"),
+    narrow = df.select("foundation", l2_norm("x").alias("norm")).where("norm IS NOT NULL")
+    counted = narrow.groupBy("foundation", "norm").agg(F.count(F.lit(1)).alias("w"))
+    slack, accuracy = 2e-5, 100_000
+    edges = narrow.groupBy("foundation").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("norm", [max(p - slack, 0.0) for p in points], accuracy).alias("lo"),
+        F.percentile_approx("norm", [min(p + slack, 1.0) for p in points], accuracy).alias("hi"),
+    )
+    one = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(p).alias("p"), F.col("lo")[i].alias("lo"), F.col("hi")[i].alias("hi"))
+                for i, p in enumerate(points)
+            ]
         )
     )
+    # rank p * (n - 1) lies between two rows, which may fall just beyond the sketch's bracket
+    wanted = edges.select("foundation", "n", one.alias("e")).select(
+        "foundation", "n", "e.*", (F.col("e.p") * (F.col("n") - 1)).alias("at")
+    )
+    tagged = counted.join(F.broadcast(wanted), "foundation")  # bounded: rows are sources x points
+    below = tagged.groupBy("foundation", "p").agg(
+        F.coalesce(F.sum(F.when(F.col("norm") < F.col("lo"), F.col("w"))), F.lit(0)).alias("before"),
+        F.max(F.when(F.col("norm") < F.col("lo"), F.col("norm"))).alias("under"),
+        F.min(F.when(F.col("norm") > F.col("hi"), F.col("norm"))).alias("over"),
+    )
+    inside = tagged.where((F.col("norm") >= F.col("lo")) & (F.col("norm") <= F.col("hi")))
+    upto = W.partitionBy("foundation", "p").orderBy("norm").rowsBetween(W.unboundedPreceding, 0)
+    placed = inside.join(F.broadcast(below), ["foundation", "p"]).withColumn("last", F.col("before") + F.sum("w").over(upto))
+    first, second = F.floor("at"), F.ceil("at")
+    at = lambda rank: F.min(F.when(F.col("last") > rank, F.col("norm")))
+    found = placed.groupBy("foundation", "p").agg(
+        F.max("n").alias("n"),
+        F.max("at").alias("at"),
+        F.when(F.max("before") > F.max(first), F.max("under")).otherwise(at(first)).alias("a"),
+        F.coalesce(at(second), F.max("over")).alias("b"),
+    )
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))
+    names = ("p05", "median", "p95")
+    return found.groupBy("foundation").agg(
+        F.max("n").alias("n_rows"),
+        *[F.max(F.when(F.col("p") == p, value)).alias(c) for p, c in zip(points, names)],
+    )
 
 
 def looks_unit_normed() -> Column:
@@ -119,8 +139,8 @@ def looks_unit_normed() -> Column:
     )
 
 
-def unit_norm_test(df: DataFrame, **kw) -> DataFrame:
-    return norm_summary(df, **kw).select("foundation", looks_unit_normed().alias("unit_norm"))
+def unit_norm_test(df: DataFrame) -> DataFrame:
+    return norm_summary(df).select("foundation", looks_unit_normed().alias("unit_norm"))
 
 
 def unit_stats(files: DataFrame, unit: str = "source_dir") -> DataFrame:
@@ -202,41 +222,19 @@ def intra_source_summary(views: DataFrame) -> DataFrame:
 
 
 def orient_stain(he: Column) -> Column:
-    """Sign- and order-consistent stain pair from a row-major 3x2 array.
-
-    Each column is flipped so that its largest component is positive; the column
-    with more red density comes first.
-    """
-
-    def positive(v: Column) -> Column:
-        size = F.transform(v, lambda t: F.abs(t))
-        lead = F.get(v, F.array_position(size, F.array_max(size)).cast("int") - 1)
-        return F.when(lead < 0, F.transform(v, lambda t: -t)).otherwise(v)
-
-    def column(j: int) -> Column:
-        return let(F.array(*[F.get(he, F.lit(2 * i + j)) for i in range(3)]), positive)
-
-    def ordered(ab: Column) -> Column:
-        a, b = ab["a"], ab["b"]
-        swap = F.get(a, F.lit(0)) < F.get(b, F.lit(0))
-        return F.flatten(
-            F.zip_with(a, b, lambda p, q: F.when(swap, F.array(q, p)).otherwise(F.array(p, q)))
-        )
-
-    return let(F.struct(column(0).alias("a"), column(1).alias("b")), ordered)
+    """Both stains of a row-major 3x2 array with a positive total density, the redder one first."""
+    at = lambda i: F.get(he, F.lit(i))
+    sign = [F.when(at(j) + at(2 + j) + at(4 + j) < 0, -1.0).otherwise(1.0) for j in (0, 1)]
+    part = [[at(2 * i + j) * sign[j] for i in range(3)] for j in (0, 1)]
+    pairs = lambda a, b: F.array(*[v for i in range(3) for v in (part[a][i], part[b][i])])
+    return F.when(part[0][0] < part[1][0], pairs(1, 0)).otherwise(pairs(0, 1))
 
 
 def normalize_stain(he: Column, eps: float = 1e-8) -> Column:
     """Unit-length stain columns of a row-major 3x2 array."""
-
-    def scaled(v: Column) -> Column:
-        def norm(j: int) -> Column:
-            return F.sqrt(sum(F.pow(F.get(v, F.lit(2 * i + j)), F.lit(2.0)) for i in range(3))) + eps
-
-        n = F.array(norm(0), norm(1))
-        return let(n, lambda m: F.transform(v, lambda t, i: t / F.get(m, i % 2)))
-
-    return let(he, scaled)
+    at = lambda i: F.get(he, F.lit(i))
+    norm = [F.sqrt(at(j) * at(j) + at(2 + j) * at(2 + j) + at(4 + j) * at(4 + j)) + eps for j in (0, 1)]
+    return F.array(*[at(i) / norm[i % 2] for i in range(6)])
 
 
 def slide_profile_median(profiles: DataFrame, min_patches: int = 3, min_valid: int = 3) -> DataFrame:

@@ -18,12 +18,16 @@ def consolidate_keep_last(parts: DataFrame) -> DataFrame:
 
 
 def dedup_keep_first(df: DataFrame, key: str = "patch_uid", source_order: list[str] | None = None) -> DataFrame:
-    """First source directory wins per key; the rest of the order makes it total."""
+    """First source directory wins per key; the rest of the order makes it total.
+
+    Directories that ``source_order`` does not name come last, by their name.
+    """
     if source_order:
-        rank = F.array_position(F.array(*[F.lit(s) for s in source_order]), F.col("source_dir"))
+        place = F.array_position(F.array(*[F.lit(s) for s in source_order]), F.col("source_dir"))
+        rank = F.when(place > 0, place).otherwise(F.lit(len(source_order) + 1))
     else:
         rank = F.col("source_dir")
-    return first_by(df, [key], [rank, F.col("filename"), F.col("mtime_s"), F.col("size_bytes")])
+    return first_by(df, [key], [rank, F.col("source_dir"), F.col("filename"), F.col("mtime_s"), F.col("size_bytes")])
 
 
 def duplicate_counts(df: DataFrame, key: str = "patch_uid") -> DataFrame:
@@ -33,20 +37,14 @@ def duplicate_counts(df: DataFrame, key: str = "patch_uid") -> DataFrame:
     ).withColumn("n_duplicates", F.col("n_rows") - F.col("n_keys"))
 
 
-def repeated_keys(df: DataFrame, keys: list[str], preview: int = 5) -> DataFrame:
-    """The first few repeated keys, for an error message; empty means unique."""
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > 1)
-        .orderBy(*keys)
-        .limit(preview)
-    )
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Every repeated key with its count; empty means unique."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
-def assert_unique_uid(df: DataFrame, keys: list[str]) -> DataFrame:
+def assert_unique_uid(df: DataFrame, keys: list[str], preview: int = 5) -> DataFrame:
     """Return ``df``, or raise with a preview of the repeated keys."""
-    rows = repeated_keys(df, keys).collect()  # at most ``preview`` rows
+    rows = repeated_keys(df, keys).orderBy(*keys).limit(preview).collect()
     if rows:
         raise ValueError(f"repeated keys, e.g. {[tuple(r)[:-1] for r in rows]}")
     return df

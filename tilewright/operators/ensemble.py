@@ -19,7 +19,7 @@ from tilewright.operators.sample import cap_per_class, stratified_split
 from tilewright.schema import N_CLASSES
 
 
-def match_representation(extra: DataFrame, home: DataFrame, mode: str = "auto", **kw) -> DataFrame:
+def match_representation(extra: DataFrame, home: DataFrame, mode: str = "auto") -> DataFrame:
     """L2-normalise foreign vectors when the home source is unit length.
 
     ``auto`` decides per source from the home norms, ``l2`` always, ``none`` never.
@@ -30,7 +30,7 @@ def match_representation(extra: DataFrame, home: DataFrame, mode: str = "auto",
         return extra.withColumn("x", l2_normalize("x"))
     if mode != "auto":
         raise ValueError(f"unknown mode {mode!r}")
-    unit = norm_summary(home, **kw).select("foundation", looks_unit_normed().alias("_unit"))
+    unit = norm_summary(home).select("foundation", looks_unit_normed().alias("_unit"))
     return (
         extra.join(F.broadcast(unit), "foundation", "left")  # bounded: one row per source
         .withColumn("x", F.when(F.col("_unit"), l2_normalize("x")).otherwise(F.col("x")))

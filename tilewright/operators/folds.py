@@ -1,78 +1,48 @@
-"""Stratified group folds."""
+"""Stratified group folds by one distributed rule."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import hash32
-from tilewright.schema import N_CLASSES
-from tilewright.session import broadcast_if_small
+from tilewright.operators.ranking import rank_in_group
 
+PIECES = 1024
 
-def _assign(counts: np.ndarray, k: int) -> np.ndarray:
-    """Greedy folds for one table of group x class counts.
 
-    Groups with uneven class counts go first; each goes where the class shares of the
-    folds stay most even, then to the smallest fold.
-    """
-    total = np.maximum(counts.sum(axis=0), 1)
-    order = np.argsort(-counts.std(axis=1), kind="stable")
-    folds = np.zeros((k, counts.shape[1]))
-    out = np.zeros(len(counts), dtype=np.int32)
-    for g in order:
-        trial = folds[None, :, :] + np.eye(k)[:, :, None] * counts[g]
-        spread = (trial / total).std(axis=1).mean(axis=1)
-        size = folds.sum(axis=1)
-        out[g] = min(range(k), key=lambda f: (round(spread[f], 12), size[f], f))
-        folds[out[g]] += counts[g]
-    return out
-
-
-def fold_table(
-    df: DataFrame,
-    k: int,
-    group: str = "patient",
-    forced: tuple[str, ...] = (),
-    groups_per_block: int = 20_000,
-) -> DataFrame:
+def fold_table(df: DataFrame, k: int, group: str = "patient", forced: tuple[str, ...] = ()) -> DataFrame:
     """(group, fold): every eligible group in one of ``k`` folds, forced groups in -1.
 
-    The greedy rule is sequential, so it runs on the group x class count table, in
-    blocks of hashed groups: each block is stratified, hence so is their union.  Up to
-    ``groups_per_block`` groups there is a single block and the rule is global.
+    A group's stratum is its most frequent class (the lowest of equal ones). In a stratum,
+    groups lie in the order of their size, the largest first, then of their hash, and are dealt
+    out there and back: 0, 1, .., k-1, k-1, .., 0. Each stratum starts one fold later, so that the
+    large groups of different strata do not meet. The same rule holds for any number of groups.
     """
     if k < 2:
         raise ValueError("need at least two folds")
-    n = df.where("label >= 0").groupBy(group).agg(
-        *[F.count_if(F.col("label") == c).cast("double").alias(f"c{c}") for c in range(N_CLASSES)]
+    counts = df.where("label >= 0").groupBy(group, "label").agg(F.count(F.lit(1)).alias("c"))
+    groups = counts.groupBy(group).agg(
+        F.sum("c").alias("n"), F.max_by("label", F.struct("c", -F.col("label"))).alias("stratum")
     )
     is_forced = F.col(group).isin(*forced) if forced else F.lit(False)
-    eligible = n.where(~is_forced)
+    eligible = groups.where(~is_forced)
     n_groups = eligible.count()
     if n_groups < 2:
         raise ValueError(f"need at least two groups for folds, found {n_groups}")
     k = min(k, n_groups)
-    blocks = max(1, n_groups // groups_per_block)
-    cols = [f"c{c}" for c in range(N_CLASSES)]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(group, kind="stable").reset_index(drop=True)
-        return pd.DataFrame({group: pdf[group], "fold": _assign(pdf[cols].to_numpy(), k)})
-
-    placed = (
-        eligible.withColumn("_b", F.pmod(hash32("fold", group), F.lit(blocks)))
-        .groupBy("_b")
-        .applyInPandas(run, f"{group} string, fold int")
+    # descending sizes as pieces: exact up to PIECES rows, then one piece for each binary order
+    exact = F.lit(0) - F.least(F.col("n"), F.lit(PIECES))
+    piece = F.when(F.col("n") <= PIECES, exact).otherwise(-PIECES - F.floor(F.log2("n")))
+    ranked = rank_in_group(
+        eligible, ["stratum"], piece.cast("int"), [F.desc("n"), hash32("fold", group), F.col(group)], out="_r", bounded=True
     )
-    return placed.unionByName(n.where(is_forced).select(group, F.lit(-1).alias("fold")))
+    at = F.pmod(F.col("_r") - 1, F.lit(2 * k))
+    there = F.when(at < k, at).otherwise(2 * k - 1 - at)
+    placed = ranked.select(group, F.pmod(there + F.col("stratum"), F.lit(k)).cast("int").alias("fold"))
+    return placed.unionByName(groups.where(is_forced).select(group, F.lit(-1).alias("fold")))
 
 
-def group_kfold(
-    df: DataFrame, k: int = 5, group: str = "patient", forced: tuple[str, ...] = (), **kw
-) -> DataFrame:
+def group_kfold(df: DataFrame, k: int = 5, group: str = "patient", forced: tuple[str, ...] = ()) -> DataFrame:
     """Attach ``fold``; -1 marks rows that belong to every training side."""
-    folds = broadcast_if_small(fold_table(df, k, group, forced, **kw), "folds")
-    return df.where("label >= 0").join(folds, group)
+    return df.where("label >= 0").join(fold_table(df, k, group, forced), group)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import u01
 from tilewright.functions.text import augmented_tag, label_source_tag, safe_patient, safe_slide
-from tilewright.session import broadcast_if_small
 
 
 def join_mapping(df: DataFrame, mapping: DataFrame, name: str = "name") -> DataFrame:
@@ -27,12 +27,12 @@ def join_mapping(df: DataFrame, mapping: DataFrame, name: str = "name") -> DataF
 
 
 def align_sources(
-    sources: dict[str, DataFrame], on: tuple[str, ...] = ("patient", "name")
+    sources: dict[str, DataFrame], on: tuple[str, ...] = ("patient", "name"), must_overlap: bool = True
 ) -> DataFrame:
     """N-way inner join of the sources on their key: one ``x_<source>`` per source.
 
-    A label that differs between sources fails the job.  Keys must be unique per
-    source (consolidate first).
+    A label that differs between sources fails the job, and so does a key that a source
+    holds twice (consolidate first). Sources without a common key are an error.
     """
     names = list(sources)
     first, rest = names[0], names[1:]
@@ -44,7 +44,13 @@ def align_sources(
         same = reduce(lambda a, b: a & b, [F.col("label") == F.col(f"_y_{s}") for s in rest])
         fail = F.raise_error(F.concat(F.lit("labels disagree for "), F.col(on[-1]))).cast("smallint")
         out = out.withColumn("label", F.when(same, F.col("label")).otherwise(fail))
-    return out.drop(*[f"_y_{s}" for s in rest])
+    out = out.drop(*[f"_y_{s}" for s in rest])
+    once = W.partitionBy(*on)  # the join has dealt the rows by this key, and a key has few rows
+    fail = F.raise_error(F.concat(F.lit("key occurs twice in a source: "), F.col(on[-1]))).cast("smallint")
+    out = out.withColumn("label", F.when(F.count(F.lit(1)).over(once) == 1, F.col("label")).otherwise(fail))
+    if must_overlap and out.isEmpty():
+        raise ValueError(f"no overlapping keys between {names}")
+    return out
 
 
 def assert_same_keys(sources: dict[str, DataFrame], key: str = "name") -> DataFrame:
@@ -79,57 +85,63 @@ def assert_same_keys(sources: dict[str, DataFrame], key: str = "name") -> DataFr
 
 def anti_join_done(df: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Drop rows whose key is already committed."""
-    return df.join(done.select(*keys).distinct(), keys, "left_anti")
+    return df.join(done.select(*keys), keys, "left_anti")
 
 
 def semi_join_targets(df: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
     """Keep only planned keys; place it before any Python stage."""
-    return df.join(plan.select(*keys).distinct(), keys, "left_semi")
+    return df.join(plan.select(*keys), keys, "left_semi")
 
 
-def donor_theta_join(
-    views: DataFrame,
-    donors: DataFrame,
-    seed: int = 42,
-    max_donors: int = 4096,
-) -> DataFrame:
+def donor_theta_join(views: DataFrame, donors: DataFrame, seed: int = 42) -> DataFrame:
     """One donor per view with another patient and another class, uniform over those.
 
-    ``donors`` is the capped pool of ``donor_candidates``.  Its size is checked
-    inside the plan, then it travels as one array value (a scalar subquery): every
-    view filters it in place, so no pair of rows is ever emitted.
+    Donors are numbered in the order (class, patient, name). What a view must not take are the
+    numbers of its class and of its patient's cells, a few ranges; a number drawn from what is
+    left is moved past them and joined. So no view ever meets more than its own donor.
     """
-    pool = donors.limit(max_donors + 1).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    F.col("name").alias("key"),
-                    F.col("patient").alias("patient"),
-                    F.col("label").alias("label"),
-                )
-            )
-        ).alias("p")
-    ).select(
-        F.when(F.size("p") <= max_donors, F.col("p"))
-        .otherwise(
-            F.raise_error(F.lit("donor pool above max_donors")).cast(
-                "array<struct<key:string,patient:string,label:smallint>>"
-            )
+    cells = donors.groupBy("label", "patient").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("label").orderBy("patient").rowsBetween(W.unboundedPreceding, -1)
+    inside = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    per_class = cells.groupBy("label").agg(F.sum("n").alias("size"))
+    blocks = F.broadcast(  # bounded: one row per class
+        per_class.withColumn(
+            "base", F.coalesce(F.sum("size").over(W.orderBy("label").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         )
-        .alias("p")
     )
-    allowed = F.filter(
-        F.col("_pool"),
-        lambda d: (d["patient"] != F.col("patient")) & (d["label"] != F.col("label")),
+    starts = inside.join(blocks, "label").withColumn("start", F.col("base") + F.col("before"))
+    own = F.row_number().over(W.partitionBy("label", "patient").orderBy("name"))
+    numbered = (
+        donors.withColumn("_i", own)
+        .join(starts.select("label", "patient", "start"), ["label", "patient"])
+        .select(F.col("name").alias("donor"), (F.col("start") + F.col("_i") - 1).alias("number"))
     )
-    pick = F.get(F.col("_ok"), F.floor(u01(seed, "view") * F.size("_ok")).cast("int"))
-    fail = F.raise_error(F.concat(F.lit("no donor for "), F.col("view"))).cast("string")
-    return (
-        views.withColumn("_pool", pool.scalar())
-        .withColumn("_ok", allowed)
-        .withColumn("donor", F.when(F.size("_ok") > 0, pick["key"]).otherwise(fail))
-        .drop("_pool", "_ok")
+    span = lambda start, n: F.struct(start.alias("a"), (start + n).alias("e"))
+    mine = starts.groupBy("patient").agg(
+        F.collect_list(F.struct("label", span(F.col("start"), F.col("n")).alias("r"))).alias("_mine")
+    )
+    whole = blocks.select("label", span(F.col("base"), F.col("size")).alias("_block"), F.col("size").alias("_size"))
+    total = donors.agg(F.count(F.lit(1)).alias("c")).scalar()
+    others = F.transform(F.filter("_mine", lambda m: m["label"] != F.col("label")), lambda m: m["r"])
+    barred = F.array_sort(
+        F.filter(
+            F.concat(F.array("_block"), F.coalesce(others, F.expr("array()"))), lambda r: r.isNotNull() & (r["e"] > r["a"])
+        )
     )
+    left = total - F.aggregate("_barred", F.lit(0).cast("long"), lambda s, r: s + r["e"] - r["a"])
+    moved = F.aggregate(
+        "_barred", F.floor(u01(seed, "view") * F.col("_left")), lambda i, r: F.when(i >= r["a"], i + r["e"] - r["a"]).otherwise(i)
+    )
+    fail = F.raise_error(F.concat(F.lit("no donor for "), F.col("view"))).cast("long")
+    drawn = (
+        views.join(mine, "patient", "left")
+        .join(whole, "label", "left")
+        .withColumn("_barred", barred)
+        .withColumn("_left", left)
+        .withColumn("number", F.when(F.col("_left") > 0, moved).otherwise(fail))
+        .select(*views.columns, "number")
+    )
+    return drawn.join(numbered, "number", "left").drop("number")
 
 
 def merge_augmented(identity: DataFrame, augmented: dict[str, DataFrame], foundation: str) -> DataFrame:
@@ -168,11 +180,16 @@ def reuse_index_join(
     now_s: int,
     min_age_s: int,
 ) -> DataFrame:
-    """Status of every row of a prior index against the files that exist now."""
-    files = live.select("relpath", F.col("mtime_s").alias("_m"), F.col("size_bytes").alias("_z")).dropDuplicates(["relpath"])
-    names = parsed.select(
-        "relpath", F.col("patch_uid").alias("_uid"), F.col("label").alias("_lab")
-    ).dropDuplicates(["relpath"])
+    """Status of every row of a prior index against the files that exist now.
+
+    A path that is listed more than once counts as its latest version (then the larger one).
+    """
+    files = live.select("relpath", F.col("mtime_s").alias("_m"), F.col("size_bytes").alias("_z"))
+    files = files.groupBy("relpath").agg(F.max(F.struct("_m", "_z")).alias("_f")).select("relpath", "_f.*")
+    names = parsed.select("relpath", F.col("patch_uid").alias("_uid"), F.col("label").alias("_lab"), "mtime_s", "size_bytes")
+    names = (
+        names.groupBy("relpath").agg(F.max(F.struct("mtime_s", "size_bytes", "_uid", "_lab")).alias("_n")).select("relpath", "_n._uid", "_n._lab")
+    )
     done = committed.select(F.col("patch_uid").alias("_uid")).distinct().withColumn("_done", F.lit(True))
     status = (
         F.when(~F.col("label").isin(*classes), "unsupported_label")
@@ -233,7 +250,7 @@ def lookup_area_class(areas: DataFrame, palette: DataFrame) -> DataFrame:
     classes = palette.select(F.col("acronym").alias("_a"), "cls").distinct()
     return (
         areas.withColumn("acronym", F.col("structure.acronym"))
-        .join(broadcast_if_small(classes, "acronyms"), F.col("acronym") == F.col("_a"), "left")
+        .join(classes, F.col("acronym") == F.col("_a"), "left")
         .drop("_a", "structure")
     )
 

@@ -18,9 +18,6 @@ from tilewright.functions.hashing import u01
 
 BUCKETS = 16384
 
-# Spark's spark.sql.optimizer.windowGroupLimitThreshold.
-MAP_SIDE_LIMIT = 1000
-
 
 def hash_bucket(u: Column, buckets: int = BUCKETS) -> Column:
     """Coarse order of a uniform: equal-width, hence evenly filled."""
@@ -136,11 +133,14 @@ def bottom_k(
 ) -> DataFrame:
     """Uniform sample without replacement: the k smallest (u(seed, key), key).
 
-    Many groups with a small ``k`` take one window, which Spark prunes to ``k`` rows per
-    group in every map task; otherwise the cut is found from piece counts.
+    ``bounded`` declares few groups of any size (classes, sources): the cut is found from
+    piece counts. Otherwise there are many groups of which none is large (specimens, slides),
+    and one window per group does; Spark prunes it to ``k`` rows in every map task. A quota
+    table always takes the first way.
     """
-    if by and not bounded and not out and isinstance(k, int) and k <= MAP_SIDE_LIMIT:
-        return first_by(df.withColumn("_u", u01(seed, key)), by, [F.col("_u"), F.col(key)], k).drop("_u")
+    if by and not bounded and isinstance(k, int):
+        order = [F.col("_u"), F.col(key)]
+        return first_by(df.withColumn("_u", u01(seed, key)), by, order, k, out=out).drop("_u")
     tagged = df.withColumn("_u", u01(seed, key))
     kept = take_lowest(
         tagged,
@@ -154,11 +154,15 @@ def bottom_k(
     return kept.drop("_u")
 
 
-def first_by(df: DataFrame, by: list[str], order: list[Column], k: int = 1) -> DataFrame:
-    """First ``k`` rows per key for a small fixed ``k``.
+def first_by(
+    df: DataFrame, by: list[str], order: list[Column], k: int = 1, out: str | None = None
+) -> DataFrame:
+    """First ``k`` rows per key, with their rank as ``out`` if asked for.
 
     Spark prunes each map task to ``k`` rows per key before the shuffle
     (WindowGroupLimit), so a key with very many copies stays cheap.
     """
+    rank = out or "_rn"
     rn = F.row_number().over(W.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_rn", rn).where(F.col("_rn") <= k).drop("_rn")
+    kept = df.withColumn(rank, rn).where(F.col(rank) <= k)
+    return kept if out else kept.drop(rank)

@@ -30,6 +30,7 @@ def round_robin_select(df: DataFrame, quota: int, seed: int = 42, key: str = "pa
     """
     per_specimen = bottom_k(df, ["label", "specimen"], quota, key, seed, out="round")
     order = u01(f"{seed}-specimen", "specimen")
+    per_specimen = per_specimen.withColumn("round", F.col("round").cast("long"))
     return take_lowest(
         per_specimen,
         ["label"],
@@ -59,13 +60,17 @@ def quota_plan(
     target: int | None = None,
     add: int | None = None,
     buffer_ratio: float = 0.03,
+    spare_limit: int | None = None,
 ) -> DataFrame:
-    """Rows needed per class and the candidate capacity that covers rare failures."""
+    """Rows needed per class and the candidate capacity that covers rare failures.
+
+    ``spare_limit`` bounds what is added to the need; without it the ratio alone decides.
+    """
     if (target is None) == (add is None):
         raise ValueError("give exactly one of target and add")
     need = F.lit(int(add)) if target is None else F.greatest(F.lit(int(target)) - F.col("n"), F.lit(0))
     spare = F.greatest(F.lit(4), F.ceil(F.col("need") * F.lit(float(buffer_ratio))))
-    capacity = F.least(F.col("need") + spare, F.col("need") + 10_000)
+    capacity = F.col("need") + (spare if spare_limit is None else F.least(spare, F.lit(int(spare_limit))))
     return counts.withColumn("need", need.cast("long")).withColumn(
         "capacity", F.when(F.col("need") <= 0, 0).otherwise(capacity).cast("long")
     )
@@ -151,7 +156,7 @@ def select_exact_per_class(
 
 def cap_rows(df: DataFrame, cap: int, seed: int = 42, by: str = "foundation", key: str = "name") -> DataFrame:
     """Uniform cap per source, original (patient, slide, name) order kept."""
-    kept = df if cap <= 0 else bottom_k(df, [by], cap, key, seed)
+    kept = df if cap <= 0 else bottom_k(df, [by], cap, key, seed, bounded=True)
     return kept.orderBy(by, "patient", "slide", key)
 
 

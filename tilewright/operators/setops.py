@@ -98,7 +98,7 @@ def cap_extras(extras: DataFrame, cap: int, seed: int = 42) -> DataFrame:
     if cap <= 0:
         return extras
     keyed = extras.withColumn("_row_key", F.concat_ws("/", "pool", "name"))
-    return bottom_k(keyed, ["foundation"], cap, "_row_key", seed).drop("_row_key")
+    return bottom_k(keyed, ["foundation"], cap, "_row_key", seed, bounded=True).drop("_row_key")
 
 
 def extras_summary(extras: DataFrame, expected: DataFrame) -> DataFrame:

@@ -558,8 +558,9 @@ def assert_same_keys(spark, sf):
 @query(
     "anti_join_done",
     with_ctes(
-        """SELECT relpath, patch_uid FROM fx_ext_all WHERE patch_uid NOT IN
-            (SELECT patch_uid FROM fx_ext_all WHERE image_id % 3 = 0)""",
+        """WITH e AS MATERIALIZED (SELECT relpath, patch_uid, image_id FROM fx_ext_all),
+            done AS MATERIALIZED (SELECT DISTINCT patch_uid FROM e WHERE image_id % 3 = 0)
+        SELECT relpath, patch_uid FROM e ANTI JOIN done USING (patch_uid)""",
         "fx_ext_all",
     ),
 )
@@ -607,7 +608,7 @@ def donor_candidates(spark, sf):
     "donor_theta_join",
     with_ctes(
         f"""WITH ok AS (SELECT v.name AS view, v.patient, v.label, d.name AS donor,
-                row_number() OVER (PARTITION BY v.name ORDER BY d.name) - 1 AS i,
+                row_number() OVER (PARTITION BY v.name ORDER BY d.label, d.patient, d.name) - 1 AS i,
                 count(*) OVER (PARTITION BY v.name) AS n
             FROM fx_views v JOIN fx_donors d ON v.patient <> d.patient AND v.label <> d.label)
         SELECT view, patient, label, donor FROM ok WHERE i = floor({sql_u(42, 'view')} * n)""",
@@ -664,7 +665,7 @@ def pixels(spark, sf, per_tile: int = 64):
         return F.when(white == 1, 255).otherwise(F.least(F.greatest(entry[c] + noise, F.lit(0)), F.lit(255))).cast("int")
 
     return (
-        fx.table(spark, sf, "part", spread=True)
+        fx.table(spark, sf, "part")
         .select(F.col("p_partkey").alias("tile_id"), F.explode(F.sequence(F.lit(0), F.lit(per_tile - 1))).alias("i"))
         .withColumn("h", h)
         .select("tile_id", channel("r").alias("r"), channel("g").alias("g"), channel("b").alias("b"))
@@ -776,10 +777,10 @@ def merge_summary(spark, sf):
                 CASE WHEN image_id % 17 = 0 THEN patch_uid || 'x' ELSE patch_uid END AS patch_uid,
                 CASE WHEN image_id % 13 = 0 THEN 'CT' WHEN image_id % 19 = 0 THEN 'WM' ELSE label END AS label
             FROM fx_ext),
-            f AS (SELECT relpath, any_value(mtime_s) AS m, any_value(size_bytes) AS z FROM fx_files
-                GROUP BY relpath HAVING count(*) = 1),
-            g AS (SELECT DISTINCT relpath, patch_uid AS uid, label AS lab FROM fx_ext_all),
-            many AS (SELECT relpath FROM fx_files GROUP BY relpath HAVING count(*) > 1)
+            f AS (SELECT relpath, mtime_s AS m, size_bytes AS z FROM fx_files
+                QUALIFY row_number() OVER (PARTITION BY relpath ORDER BY mtime_s DESC, size_bytes DESC) = 1),
+            g AS (SELECT relpath, patch_uid AS uid, label AS lab FROM fx_ext_all
+                QUALIFY row_number() OVER (PARTITION BY relpath ORDER BY mtime_s DESC, size_bytes DESC, patch_uid DESC, label DESC) = 1)
         SELECT idx.relpath, idx.patch_uid, idx.label,
             CASE WHEN idx.label NOT IN {SQL_EXTERNAL} THEN 'unsupported_label' WHEN m IS NULL THEN 'missing_source'
                 WHEN z <= 0 OR {NOW_S} - m < {MIN_AGE_S} THEN 'too_new_or_empty'
@@ -787,8 +788,7 @@ def merge_summary(spark, sf):
                 WHEN lab <> idx.label THEN 'label_mismatch'
                 WHEN uid IN (SELECT patch_uid FROM fx_ext_all WHERE image_id % 3 = 0) THEN 'already_committed'
                 ELSE 'available' END AS status
-        FROM idx LEFT JOIN f USING (relpath) LEFT JOIN g USING (relpath)
-        WHERE idx.relpath NOT IN (SELECT relpath FROM many)""",
+        FROM idx LEFT JOIN f USING (relpath) LEFT JOIN g USING (relpath)""",
         "fx_ext",
     ),
 )
@@ -799,12 +799,10 @@ def reuse_index_join(spark, sf):
         F.when(i % 17 == 0, F.concat("patch_uid", F.lit("x"))).otherwise(F.col("patch_uid")).alias("patch_uid"),
         F.when(i % 13 == 0, "CT").when(i % 19 == 0, "WM").otherwise(F.col("label")).alias("label"),
     )
-    # A path listed twice has no single mtime; such paths are set aside on both sides.
     live = fx.files(spark, sf)
-    many = live.groupBy("relpath").count().where("count > 1")
     committed = ext_all(spark, sf).where("image_id % 3 = 0")
     return J.reuse_index_join(
-        index.join(many, "relpath", "left_anti"),
+        index,
         live,
         ext_all(spark, sf),
         committed,
@@ -989,8 +987,7 @@ def duplicate_counts(spark, sf):
 @query(
     "assert_unique_uid",
     with_ctes(
-        """SELECT patch_uid, count(*) AS n FROM fx_ext_all GROUP BY patch_uid HAVING count(*) > 1
-        ORDER BY patch_uid LIMIT 5""",
+        """SELECT patch_uid, count(*) AS n FROM fx_ext_all GROUP BY patch_uid HAVING count(*) > 1""",
         "fx_ext_all",
     ),
 )
@@ -1118,7 +1115,6 @@ def scan_stats(spark, sf):
     return A.scan_stats(files, supported, committed, NOW_S, MIN_AGE_S)
 
 
-NORM_ROWS = 200
 cte(
     "fx_norms",
     f"""SELECT foundation, name, {sql_norm('x')} AS norm FROM (SELECT foundation, name, x FROM fx_a
@@ -1129,12 +1125,8 @@ cte(
 )
 cte(
     "fx_norm_summary",
-    f"""WITH r AS (SELECT foundation, norm, count(*) OVER (PARTITION BY foundation) AS n,
-            row_number() OVER (PARTITION BY foundation ORDER BY {sql_u(42, 'name')}, name) - 1 AS i FROM fx_norms),
-        pick AS (SELECT DISTINCT foundation, CASE WHEN n <= {NORM_ROWS} THEN j ELSE j * (n - 1) // {NORM_ROWS - 1} END AS i
-            FROM (SELECT foundation, n, unnest(range({NORM_ROWS})) AS j FROM (SELECT DISTINCT foundation, n FROM r)))
-    SELECT foundation, count(*) AS n_sample, quantile_cont(norm, 0.05) AS p05, quantile_cont(norm, 0.5) AS median,
-        quantile_cont(norm, 0.95) AS p95 FROM r SEMI JOIN pick USING (foundation, i) GROUP BY foundation""",
+    """SELECT foundation, count(*) AS n_rows, quantile_cont(norm, 0.05) AS p05, quantile_cont(norm, 0.5) AS median,
+        quantile_cont(norm, 0.95) AS p95 FROM fx_norms GROUP BY foundation""",
     "fx_norms",
 )
 
@@ -1147,13 +1139,13 @@ def all_sources(spark, sf):
 @query(
     "norm_summary",
     with_ctes(
-        f"""SELECT foundation, n_sample, {sql_r6('p05')} AS p05, {sql_r6('median')} AS median,
+        f"""SELECT foundation, n_rows, {sql_r6('p05')} AS p05, {sql_r6('median')} AS median,
             {sql_r6('p95')} AS p95 FROM fx_norm_summary""",
         "fx_norm_summary",
     ),
 )
 def norm_summary(spark, sf):
-    out = A.norm_summary(all_sources(spark, sf), max_rows=NORM_ROWS)
+    out = A.norm_summary(all_sources(spark, sf))
     for c in ("p05", "median", "p95"):
         out = out.withColumn(c, fx.r6(c))
     return out
@@ -1168,7 +1160,7 @@ def norm_summary(spark, sf):
     ),
 )
 def unit_norm_test(spark, sf):
-    return A.unit_norm_test(all_sources(spark, sf), max_rows=NORM_ROWS)
+    return A.unit_norm_test(all_sources(spark, sf))
 
 
 @query(
@@ -1284,11 +1276,7 @@ def stain_like(spark, sf):
 
 def _median_sql() -> str:
     med = ", ".join(f"median(x[{i + 1}]::DOUBLE) FILTER (valid) AS h{i}" for i in range(6))
-    lead = lambda a, b, c: (
-        f"(CASE WHEN abs({a}) >= abs({b}) AND abs({a}) >= abs({c}) THEN {a} "
-        f"WHEN abs({b}) >= abs({c}) THEN {b} ELSE {c} END)"
-    )
-    s0, s1 = lead("h0", "h2", "h4"), lead("h1", "h3", "h5")
+    s0, s1 = "(h0 + h2 + h4)", "(h1 + h3 + h5)"
     flip = ", ".join(
         [f"CASE WHEN {s0} < 0 THEN -h{i} ELSE h{i} END AS a{i // 2}" for i in (0, 2, 4)]
         + [f"CASE WHEN {s1} < 0 THEN -h{i} ELSE h{i} END AS b{i // 2}" for i in (1, 3, 5)]

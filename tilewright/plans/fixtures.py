@@ -17,12 +17,9 @@ N_SLIDES = 92
 CHUNK = 16
 
 
-def table(spark: SparkSession, sf: str, name: str, spread: bool = False) -> DataFrame:
-    """A given table; ``spread`` deals out one that arrives in fewer splits than cores,
-    for plans that expand every row into many."""
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table."""
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 # --- rendering shared by Spark and DuckDB -----------------------------------
@@ -260,7 +257,7 @@ cte(
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """Patch image files as a directory listing: one row per file."""
-    li = table(spark, sf, "lineitem", spread=True)
+    li = table(spark, sf, "lineitem")
     p, o, n = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
     label = F.get(F.array(*[F.lit(c) for c in EXTERNAL_CLASSES]), (p % 5).cast("int"))
     label = (

@@ -437,51 +437,57 @@ def stream_ingest(spark, sf):
 )
 def stream_commit(spark, sf):
     """Replay a batch and lose a registry entry: both leave the committed state unchanged."""
+    from tilewright.session import materialize
+
     root = scratch_path(spark, "commit")
     committed = ST.stream_ingest(live(spark, sf), root)
+    run = ST.run_id(spark, f"{root}/ckpt")
     # Replay batch 1 from its own input, then drop batch 2's registry and recover it.
-    again = committed.where("batch_id = 1").drop("batch_id")
-    from tilewright.session import materialize
-
-    ST.committer(f"{root}/data", f"{root}/registry")(materialize(again, "replay"), 1)
-    kept = spark.read.schema("patch_uid string, batch_id bigint").parquet(f"{root}/registry")
+    again = committed.where(F.col("block") == f"{run}-1").drop("block")
+    ST.committer(f"{root}/data", f"{root}/registry", f"{root}/ckpt")(materialize(again, "replay"), 1)
+    kept = ST.written(spark, f"{root}/registry", "patch_uid string")
     partial = scratch_path(spark, "registry")
-    kept.where("batch_id <> 2").write.partitionBy("batch_id").parquet(partial)
+    kept.where(F.col("block") != f"{run}-2").write.partitionBy("block").parquet(partial)
     ST.recover(spark, f"{root}/data", partial)
-    data = spark.read.schema("patch_uid string, batch_id bigint").parquet(f"{root}/data")
-    reg = spark.read.schema("patch_uid string, batch_id bigint").parquet(partial)
-    n = data.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_data"))
-    r = reg.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_registered"))
-    return n.join(r, "batch_id").select(F.col("batch_id").cast("int").alias("batch"), "n_data", "n_registered")
+    data = ST.written(spark, f"{root}/data", "patch_uid string")
+    reg = ST.written(spark, partial, "patch_uid string")
+    n = data.groupBy("block").agg(F.count(F.lit(1)).alias("n_data"))
+    r = reg.groupBy("block").agg(F.count(F.lit(1)).alias("n_registered"))
+    batch = F.substring_index("block", "-", -1).cast("int").alias("batch")
+    return n.join(r, "block").select(batch, "n_data", "n_registered")
 
 
 @query(
     "stream_min_age",
     with_ctes(
-        """WITH w AS (SELECT patch_uid, epoch_us(date_trunc('second', mtime)) // 1000000 + 1 AS second_end FROM fx_feed WHERE size > 0)
-        SELECT patch_uid, second_end, count(*) AS n FROM w
-        WHERE second_end <= (SELECT epoch_ms(max(mtime)) FROM fx_feed WHERE size > 0) / 1000.0::DOUBLE - 120
-        GROUP BY patch_uid, second_end""",
-        "fx_feed",
+        """SELECT patch_uid, path, cls FROM fx_appends WHERE size > 0
+        QUALIFY row_number() OVER (PARTITION BY patch_uid ORDER BY batch, mtime, path) = 1""",
+        "fx_appends",
     ),
 )
 def stream_min_age(spark, sf):
-    out = ST.stream_min_age(live(spark, sf), scratch_path(spark, "min-age"))
-    return out.select("patch_uid", F.unix_seconds("second_end").alias("second_end"), "n")
+    """The clock stands at the newest file while the feed runs and passes the rest afterwards."""
+    root = scratch_path(spark, "min-age")
+    newest = fx.feed(spark, sf).agg(F.max("mtime").cast("double")).first()[0] or 0.0
+    ST.stream_min_age(live(spark, sf), root, 120, lambda: newest)
+    ST.release_rest(spark, root, 120, newest + 121)
+    return ST.written(spark, f"{root}/out", ST.FEED).select("patch_uid", "path", "cls")
 
 
 @query(
     "stream_dedup",
     with_ctes(
-        f"""SELECT DISTINCT patch_uid FROM fx_feed WHERE {sql_hash32('reg', 'patch_uid')} % 10 <> 0""", "fx_feed"
+        f"""SELECT patch_uid, path, cls FROM fx_appends WHERE {sql_hash32('reg', 'patch_uid')} % 10 <> 0
+        QUALIFY row_number() OVER (PARTITION BY patch_uid ORDER BY batch, mtime, path) = 1""",
+        "fx_appends",
     ),
 )
 def stream_dedup(spark, sf):
     from tilewright.functions.hashing import hash32
 
     registry = fx.feed(spark, sf).where(hash32("reg", "patch_uid") % 10 == 0).select("patch_uid").distinct()
-    out = ST.stream_dedup(live(spark, sf), scratch_path(spark, "dedup"), "2 days", registry)
-    return out.select("patch_uid")
+    out = ST.stream_dedup(live(spark, sf), scratch_path(spark, "dedup"), registry)
+    return out.select("patch_uid", "path", "cls")
 
 
 def stream_targets(spark, sf) -> dict[str, int]:

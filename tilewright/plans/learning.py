@@ -124,23 +124,17 @@ def permute_features(spark, sf):
     return out.select("foundation", "name", fx.vec_text("x").alias("x"))
 
 
-_MASK_U = {
-    "random": sql_u(42, "'a'", "k", "i"),
-    "balanced": sql_u(42, "'a'", "'deck'", "r", "i"),
-    "cover": sql_u(42, "'a'", "'cover'", "i"),
-}
+_HOME_U, _MASK_U = sql_u("42-home", "'a'", "i"), sql_u(42, "'a'", "k", "i")
 
 
 @query(
     "feature_masks",
     with_ctes(
-        f"""WITH f AS (SELECT unnest(range(64)) AS i),
-            drawn AS (SELECT 'random' AS scheme, k, i FROM f, (SELECT unnest(range(4)) AS k)
-                    QUALIFY row_number() OVER (PARTITION BY k ORDER BY {_MASK_U['random']}, i) <= 26
-                UNION SELECT 'balanced', place // 26, i FROM (SELECT i, r * 64 + row_number() OVER (PARTITION BY r ORDER BY {_MASK_U['balanced']}, i) - 1 AS place
-                    FROM f, (SELECT unnest(range(2)) AS r)) WHERE place < 104),
-            masks AS (SELECT * FROM drawn UNION SELECT scheme, floor({_MASK_U['cover']} * 4)::BIGINT, i
-                FROM f, (SELECT DISTINCT scheme FROM drawn) s WHERE NOT EXISTS (SELECT 1 FROM drawn d WHERE d.scheme = s.scheme AND d.i = f.i))
+        f"""WITH c AS (SELECT i, row_number() OVER (ORDER BY {_HOME_U}, i) - 1 AS place FROM (SELECT unnest(range(64)) AS i)),
+            m AS (SELECT unnest(range(4)) AS k),
+            masks AS (SELECT 'balanced' AS scheme, k, i FROM c, m WHERE (place - k * 16 + 64) % 64 < 26
+                UNION ALL SELECT 'random', k, i FROM c, m
+                    QUALIFY row_number() OVER (PARTITION BY k ORDER BY place % 4 <> k, {_MASK_U}, i) <= 26)
         SELECT scheme, name, k::INTEGER AS mask, count(*)::INTEGER AS width,
             array_to_string(list(CAST(round(x[i + 1]::DOUBLE * 1e6) AS BIGINT) ORDER BY i), ',') AS x
         FROM fx_a, masks GROUP BY scheme, name, k""",
@@ -659,7 +653,7 @@ def runs(spark, sf) -> DataFrame:
         for c in range(N)
     ]
     return (
-        fx.table(spark, sf, "lineitem", spread=True)
+        fx.table(spark, sf, "lineitem")
         .withColumn("y", (p % 10).cast("int"))
         .withColumn("fold", F.col("l_linenumber") % 5)
         .where(~((F.col("fold") == 0) & (F.col("y") == 9)))

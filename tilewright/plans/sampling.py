@@ -11,7 +11,7 @@ from tilewright.operators.evaluate import rank_configs as rank_op
 from tilewright.operators.folds import group_kfold as kfold_op
 from tilewright.plans import fixtures as fx
 from tilewright.plans.curate import ext, ext_table, sections
-from tilewright.plans.fixtures import cte, sql_r6, sql_u, with_ctes
+from tilewright.plans.fixtures import cte, sql_hash32, sql_r6, sql_u, with_ctes
 from tilewright.plans.registry import query
 from tilewright.schema import EXTERNAL_CLASSES, class_table
 
@@ -82,7 +82,7 @@ cte(
     "quota_plan",
     with_ctes(
         """SELECT label, label_int, n, need::BIGINT AS need, (CASE WHEN need <= 0 THEN 0 ELSE
-            least(need + greatest(4, ceil(need * 0.03::DOUBLE)), need + 10000) END)::BIGINT AS capacity, mode FROM (
+            need + greatest(4, ceil(need * 0.03::DOUBLE)) END)::BIGINT AS capacity, mode FROM (
             SELECT *, greatest(1500 - n, 0) AS need, 'target' AS mode FROM fx_have
             UNION ALL SELECT *, 500, 'add' FROM fx_have)""",
         "fx_have",
@@ -289,7 +289,19 @@ def stratified_split(spark, sf):
     return S.stratified_split(ext_table(spark, sf), 0.1, key="patch_uid").select("patch_uid", "label", "role")
 
 
-@query("group_kfold")
+@query(
+    "group_kfold",
+    with_ctes(
+        f"""WITH c AS (SELECT patient, label, count(*) AS c FROM fx_a WHERE label >= 0 GROUP BY ALL),
+            g AS (SELECT patient, sum(c) AS n, arg_max(label, c * 100 - label) AS stratum FROM c GROUP BY patient),
+            r AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY n DESC, {sql_hash32('fold', 'patient')}, patient) - 1) % 10 AS step
+                FROM g WHERE patient NOT IN ('patient-007', 'patient-013')),
+            f AS (SELECT patient, ((CASE WHEN step < 5 THEN step ELSE 9 - step END + stratum) % 5)::INTEGER AS fold FROM r
+                UNION ALL SELECT patient, -1 FROM g WHERE patient IN ('patient-007', 'patient-013'))
+        SELECT name, patient, label, fold FROM fx_a JOIN f USING (patient) WHERE label >= 0""",
+        "fx_a",
+    ),
+)
 def group_kfold(spark, sf):
     return kfold_op(fx.patches(spark, sf), 5, forced=("patient-007", "patient-013")).select(
         "name", "patient", "label", "fold"

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -54,11 +53,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def broadcast_if_small(df: DataFrame, label: str, max_rows: int = 100_000) -> DataFrame:
-    """``df`` computed once and, if its counted size allows, marked for broadcast.
-
-    Beyond ``max_rows`` the join strategy is left to Spark.
-    """
-    table = materialize(df, label)
-    return F.broadcast(table) if table.count() <= max_rows else table

@@ -1,16 +1,20 @@
 """Structured Streaming over a live patch directory.
 
-The feed is a folder that another process keeps writing.  Each micro-batch takes the
+The feed is a folder that another process keeps writing. Each micro-batch takes the
 new files; rows are held until they are old enough, deduplicated, counted against class
-quotas, and committed data first, registry second.  Every write is keyed by batch id, so
-a replayed batch overwrites itself.
+quotas, and committed data first, registry second.
+
+Every write goes to a block named after the checkpoint's own id and the batch, so a replayed
+batch overwrites itself, while a new checkpoint, whose batches start at 0 again, adds blocks
+beside the old ones and skips what they hold.
 """
 
 from __future__ import annotations
 
+import json
+import time
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,118 +39,163 @@ def drain(writer, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def _committed(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
-    """Rows that earlier batches committed; empty before the first commit."""
-    try:
-        df = spark.read.schema(f"{schema}, batch_id bigint").parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], f"{schema}, batch_id bigint")
-    return df.where(F.col("batch_id") < batch_id)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path exists in its file system; faults other than its absence are raised."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave to the checkpoint; a lost checkpoint gets another one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def _block(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    return f"{run_id(spark, checkpoint)}-{batch_id}"
+
+
+def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All blocks below ``path`` with their name; empty before the first one."""
+    schema = f"{schema}, block string"
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def committer(data: str, registry: str, schema: str = FEED, key: str = "patch_uid") -> Callable:
+def committer(data: str, registry: str, checkpoint: str, schema: str = FEED, key: str = "patch_uid") -> Callable:
     """A ``foreachBatch`` function: non-empty files, once per key, data then registry."""
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = _committed(spark, registry, batch_id, f"{key} string").select(key)
-        new = first_by(batch.where("size > 0"), [key], [F.col("mtime"), F.col("path")])
-        new = new.join(known, key, "left_anti")
-        out = f"{data}/batch_id={batch_id}"
-        new.write.mode("overwrite").parquet(out)
-        spark.read.schema(schema).parquet(out).select(key).write.mode("overwrite").parquet(
-            f"{registry}/batch_id={batch_id}"
-        )
+        commit_block(batch, _block(batch.sparkSession, checkpoint, batch_id), data, registry, schema, key)
 
     return commit
 
 
-def recover(spark: SparkSession, data: str, registry: str, key: str = "patch_uid") -> list[int]:
+def commit_block(batch: DataFrame, block: str, data: str, registry: str, schema: str = FEED, key: str = "patch_uid") -> None:
+    """Commit a batch as ``block``: what any other block registers is left out."""
+    spark = batch.sparkSession
+    known = written(spark, registry, f"{key} string").where(F.col("block") != block)
+    new = first_by(batch.where("size > 0"), [key], [F.col("mtime"), F.col("path")])
+    new = new.join(known, key, "left_anti")
+    out = f"{data}/block={block}"
+    new.write.mode("overwrite").parquet(out)
+    spark.read.schema(schema).parquet(out).select(key).write.mode("overwrite").parquet(f"{registry}/block={block}")
+
+
+def recover(spark: SparkSession, data: str, registry: str, key: str = "patch_uid") -> list[str]:
     """Register data blocks that a crash left without a registry entry.
 
     A block whose registry holds only a part of its keys is an error.
     """
-    blocks = spark.read.schema(f"{key} string, batch_id bigint").parquet(data)
-    have = _committed(spark, registry, 2**62, f"{key} string")
+    blocks = written(spark, data, f"{key} string")
+    have = written(spark, registry, f"{key} string")
     state = (
-        blocks.groupBy("batch_id")
+        blocks.groupBy("block")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(have.groupBy("batch_id").agg(F.count(F.lit(1)).alias("r")), "batch_id", "left")
+        .join(have.groupBy("block").agg(F.count(F.lit(1)).alias("r")), "block", "left")
         .where(F.coalesce("r", F.lit(0)) != F.col("n"))
-        .collect()  # one row per broken batch
+        .collect()  # one row per broken block
     )
-    partial = [r["batch_id"] for r in state if r["r"]]
+    partial = [r["block"] for r in state if r["r"]]
     if partial:
-        raise RuntimeError(f"partially registered batches {partial}")
+        raise RuntimeError(f"partially registered blocks {partial}")
     for r in state:
-        b = r["batch_id"]
-        blocks.where(F.col("batch_id") == b).select(key).write.mode("overwrite").parquet(
-            f"{registry}/batch_id={b}"
-        )
-    return sorted(r["batch_id"] for r in state)
+        b = r["block"]
+        blocks.where(F.col("block") == b).select(key).write.mode("overwrite").parquet(f"{registry}/block={b}")
+    return sorted(r["block"] for r in state)
 
 
 def stream_ingest(feed: DataFrame, root: str, schema: str = FEED) -> DataFrame:
     """Drain the feed through the committer; returns the committed rows."""
-    drain(feed.writeStream.foreachBatch(committer(f"{root}/data", f"{root}/registry", schema)), f"{root}/ckpt")
-    return feed.sparkSession.read.schema(f"{schema}, batch_id bigint").parquet(f"{root}/data")
+    commit = committer(f"{root}/data", f"{root}/registry", f"{root}/ckpt", schema)
+    drain(feed.writeStream.foreachBatch(commit), f"{root}/ckpt")
+    return written(feed.sparkSession, f"{root}/data", schema)
+
 
+def _release(waiting: DataFrame, block: str, root: str, seconds: int, now: float, schema: str) -> None:
+    """Commit what is old enough at ``now`` and keep the rest for later."""
+    spark = waiting.sparkSession
+    old = F.col("mtime").cast("double") <= F.lit(float(now) - seconds)
+    commit_block(waiting.where(old), block, f"{root}/out", f"{root}/registry", schema)
+    waiting.where(~old).write.mode("overwrite").parquet(f"{root}/young/block={block}")
 
-def hold_min_age(feed: DataFrame, seconds: int = 120) -> DataFrame:
-    """Emit a uid once the event-time watermark says its file is ``seconds`` old.
 
-    A file source never offers a file twice, so young rows are held in state instead of
-    filtered out.
+def age_gate(root: str, checkpoint: str, seconds: int, clock: Callable[[], float], schema: str = FEED) -> Callable:
+    """A ``foreachBatch`` function that holds files until the clock says they are old enough.
+
+    A file source never offers a file twice, so young rows travel from batch to batch. What counts
+    is the clock, not the other files' times: a file with an old time that arrives late passes at once.
     """
-    return (
-        feed.where("size > 0")
-        .withWatermark("mtime", f"{seconds} seconds")
-        .groupBy(F.window("mtime", "1 second").alias("w"), "patch_uid")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("patch_uid", F.col("w.end").alias("second_end"), "n")
-    )
+
+    def hold(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        waiting = batch.where("size > 0")
+        before = f"{root}/young/block={_block(spark, checkpoint, batch_id - 1)}"
+        if batch_id and exists(spark, before):
+            waiting = waiting.unionByName(spark.read.schema(schema).parquet(before))
+        _release(waiting, _block(spark, checkpoint, batch_id), root, seconds, clock(), schema)
+
+    return hold
+
+
+def release_rest(spark: SparkSession, root: str, seconds: int, now: float, schema: str = FEED) -> None:
+    """Run on the clock when the feed is quiet: pass every held file that is old enough by now.
+
+    Files that already passed are in the registry, so all blocks of held files can be offered again.
+    """
+    waiting = written(spark, f"{root}/young", schema).drop("block")
+    _release(waiting, f"clock-{int(now)}", root, seconds, now, schema)
+
+
+def stream_min_age(
+    feed: DataFrame, root: str, seconds: int = 120, clock: Callable[[], float] = time.time, schema: str = FEED
+) -> DataFrame:
+    """Drain the feed; returns the files that were old enough, once per uid, with path and class."""
+    drain(feed.writeStream.foreachBatch(age_gate(root, f"{root}/ckpt", seconds, clock, schema)), f"{root}/ckpt")
+    return written(feed.sparkSession, f"{root}/out", schema)
 
 
-def stream_min_age(feed: DataFrame, root: str, seconds: int = 120) -> DataFrame:
-    held = hold_min_age(feed, seconds)
-    drain(held.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out"), f"{root}/ckpt")
-    return feed.sparkSession.read.schema(held.schema).parquet(f"{root}/out")
+def stream_dedup(feed: DataFrame, root: str, registry: DataFrame | None = None, schema: str = FEED) -> DataFrame:
+    """First sight of every uid, however late; registered uids never pass."""
 
+    def once(batch: DataFrame, batch_id: int) -> None:
+        block = _block(batch.sparkSession, f"{root}/ckpt", batch_id)
+        seen = written(batch.sparkSession, f"{root}/out", schema).where(F.col("block") != block)
+        new = first_by(batch, ["patch_uid"], [F.col("mtime"), F.col("path")]).join(seen.select("patch_uid"), "patch_uid", "left_anti")
+        if registry is not None:
+            new = new.join(registry.select("patch_uid"), "patch_uid", "left_anti")
+        new.write.mode("overwrite").parquet(f"{root}/out/block={block}")
 
-def stream_dedup(feed: DataFrame, root: str, delay: str, registry: DataFrame | None = None) -> DataFrame:
-    """First sight of every uid within the delay; registered uids never pass."""
-    once = feed.withWatermark("mtime", delay).dropDuplicatesWithinWatermark(["patch_uid"])
-    if registry is not None:
-        once = once.join(registry.select("patch_uid").distinct(), "patch_uid", "left_anti")
-    once = once.select("patch_uid", "cls")
-    drain(once.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out"), f"{root}/ckpt")
-    return feed.sparkSession.read.schema(once.schema).parquet(f"{root}/out")
+    drain(feed.writeStream.foreachBatch(once), f"{root}/ckpt")
+    return written(feed.sparkSession, f"{root}/out", schema)
 
 
-def quota_taker(out: str, quota: dict[str, int], schema: str, seed: int = 42) -> Callable:
+def quota_taker(out: str, totals: str, checkpoint: str, quota: dict[str, int], seed: int = 42) -> Callable:
     """A ``foreachBatch`` function that fills class quotas across batches.
 
-    What earlier batches took is counted from their own output, so a replay takes the
-    same rows; inside a batch the rows come in hash order.
+    Each block writes how many rows it took of each class, so a batch reads a few rows for each
+    earlier block instead of their files; inside a batch the rows come in hash order.
     """
 
     def take(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        taken = _committed(spark, out, batch_id, schema).groupBy("cls").agg(F.count(F.lit(1)).alias("t"))
+        block = _block(spark, checkpoint, batch_id)
+        earlier = written(spark, totals, "cls string, t bigint").where(F.col("block") != block)
+        taken = earlier.groupBy("cls").agg(F.sum("t").alias("t"))
         want = spark.createDataFrame(sorted(quota.items()), "cls string, q bigint")  # one row per class
         left = want.join(taken, "cls", "left").select(
             "cls", F.greatest(F.col("q") - F.coalesce("t", F.lit(0)), F.lit(0)).alias("k")
         )
-        rows = batch.where("size > 0")
-        kept = bottom_k(rows, ["cls"], left, "path", seed, bounded=True)
-        kept.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        kept = bottom_k(batch.where("size > 0"), ["cls"], left, "path", seed, bounded=True)
+        kept.write.mode("overwrite").parquet(f"{out}/block={block}")
+        now = spark.read.schema(batch.schema).parquet(f"{out}/block={block}").groupBy("cls").agg(F.count(F.lit(1)).alias("t"))
+        now.coalesce(1).write.mode("overwrite").parquet(f"{totals}/block={block}")
 
     return take
 
 
 def stream_quota(feed: DataFrame, root: str, quota: dict[str, int], schema: str = FEED) -> DataFrame:
-    drain(feed.writeStream.foreachBatch(quota_taker(f"{root}/out", quota, schema)), f"{root}/ckpt")
-    return feed.sparkSession.read.schema(f"{schema}, batch_id bigint").parquet(f"{root}/out")
+    take = quota_taker(f"{root}/out", f"{root}/totals", f"{root}/ckpt", quota)
+    drain(feed.writeStream.foreachBatch(take), f"{root}/ckpt")
+    return written(feed.sparkSession, f"{root}/out", schema)
 
 
 def stream_class_counts(feed: DataFrame, root: str) -> DataFrame:
