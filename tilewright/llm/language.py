@@ -5,7 +5,7 @@ bound from its letters, each rotated by its place: ``rot2(a) * rot1(b) * c``. A
 bundle (sum) of its trigrams, a language the bundle of its training documents, and a document gets
 the language whose prototype has the largest cosine.
 
-Text is lower-cased; a run of other characters than letters counts as one gap symbol.
+Text is lower-cased; a run of other characters than letters counts as one gap symbol, and so does the end.
 """
 
 from __future__ import annotations
@@ -56,9 +56,9 @@ class Profiler:
 
     def _counted(self, pieces: list[tuple[int, str]], rows: int) -> tuple[np.ndarray, np.ndarray]:
         """Counts (rows x trigrams) and the trigrams' vectors; no trigram spans two pieces."""
-        points = np.frombuffer("\n".join(p for _, p in pieces).encode("utf-32-le", "replace"), np.uint32)
-        owner = np.repeat([r for r, _ in pieces], [len(p) + 1 for _, p in pieces])[: len(points)]
-        piece = np.repeat(np.arange(len(pieces)), [len(p) + 1 for _, p in pieces])[: len(points)]
+        points = np.frombuffer("".join(p + "\n" for _, p in pieces).encode("utf-32-le", "replace"), np.uint32)
+        owner = np.repeat([r for r, _ in pieces], [len(p) + 1 for _, p in pieces])
+        piece = np.repeat(np.arange(len(pieces)), [len(p) + 1 for _, p in pieces])
         letter = _is_letter()[points]
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # the first of a run of other characters
@@ -101,7 +101,7 @@ class Profiler:
             yield rows, pieces
 
     def bundles(self, texts: list[str | None]) -> np.ndarray:
-        """A bundle for each text; all zero where the text is null or has fewer than three symbols."""
+        """A bundle for each text; all zero where the text is null or has fewer than two letters."""
         out = np.zeros((len(texts), self.dimensions), np.float32)
         for rows, pieces in self.blocks(texts):
             for part in _parts(pieces):
