@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without what an earlier document holds; ``n_chars`` follows the text."""
-    cut = suffix.remove_repeats(docs)
-    kept = cut.where((F.size("removed_spans") == 0) | (F.length("text") > 0)).select(*docs.columns)
+    cut = suffix.remove_repeats(docs, spans_col="__removed")
+    kept = cut.where((F.size("__removed") == 0) | (F.length("text") > 0)).select(*docs.columns)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import stored
 
 WINDOW, LEAST, SHORTEST = 8, 6, 4
-#: Distinct benchmark hashes (16 bytes each in a hash table) up to which they travel to every task.
+#: Keys (hashes of windows, ids of documents with a match) up to which they travel to every task.
 BROADCAST_ROWS = 1_000_000
 
 #: Tokens, sentence ends, and units that may follow a number.
@@ -71,21 +71,28 @@ def templates(rows: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _windows(n: int) -> str:
-    """Hashes of all windows of n tokens; the typed form only of windows that hold a name."""
-    return f"""case when size(plain) >= {n} then flatten(transform(sequence(0, size(plain) - {n}), i ->
-        filter(array(named_struct('at', i, 'form', 'plain', 'hash', xxhash64(slice(plain, i + 1, {n}))),
-                     named_struct('at', i, 'form', 'typed', 'hash', if(array_contains(slice(typed, i + 1, {n}), '<name>'), xxhash64(slice(typed, i + 1, {n})), null))),
-               s -> s.hash is not null))) else array() end"""
+def _windows(n: int, where: str = "true") -> str:
+    """Hashes of all windows of n tokens; those of the typed form follow if there is a name."""
+    each = "transform(sequence(0, size(plain) - {n}), i -> xxhash64(slice({form}, i + 1, {n})))"
+    plain, typed = (each.format(n=n, form=f) for f in ("plain", "typed"))
+    return f"case when size(plain) >= {n} and {where} then if(array_contains(typed, '<name>'), concat({plain}, {typed}), {plain}) else array() end"
 
 
 def _hashed(told: DataFrame, lengths: list[int], short: bool = False) -> DataFrame:
-    """``(key, length, at, form, hash)``; ``short``: windows below the full length are whole items."""
+    """``(key, length, size, at, hash)``; ``short``: windows below the full length are whole items."""
     parts = [
-        told.select("key", F.lit(n).alias("length"), F.inline(F.expr(f"if(size(plain) = {n}, {_windows(n)}, array())" if short and n < WINDOW else _windows(n))))
+        told.select(
+            "key", F.lit(n).alias("length"), F.size("plain").alias("size"), F.posexplode(F.expr(_windows(n, f"size(plain) = {n}" if short and n < WINDOW else "true"))).alias("at", "hash")
+        )
         for n in lengths
     ]
-    return reduce(DataFrame.union, parts)
+    every = reduce(DataFrame.union, parts)
+    return every.select("key", "length", (F.col("at") % (F.col("size") - F.col("length") + 1)).alias("at"), "hash")
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """Keys for a broadcast if they are few; beyond that both sides are shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -99,15 +106,14 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str
     sizes = [r[0] for r in items.select(F.least(F.size("plain"), F.lit(WINDOW)).alias("n")).distinct().collect()]  # 4 to 8
     lengths = sorted(sizes) or [WINDOW]
     wanted = stored(_hashed(items, lengths, short=True).withColumnRenamed("key", "item_id").withColumnRenamed("at", "item_at"), "windows")
-    hashes = wanted.select("hash").distinct()
-    if hashes.count() <= BROADCAST_ROWS:
-        hashes = F.broadcast(hashes)
+    hashes = _small(wanted.select("hash").distinct())
     told = templates(docs.where(F.col(id_col).isNotNull()), id_col, text)
     seen = stored(_hashed(told, lengths).join(hashes, "hash", "left_semi"), "hits").withColumnRenamed("key", "doc_id")
-    pairs = seen.join(wanted, ["hash", "length", "form"]).select("doc_id", "item_id", "length", "at", "item_at").distinct()
+    pairs = seen.join(wanted, ["hash", "length"]).select("doc_id", "item_id", "length", "at", "item_at").distinct()
 
     # the tokens themselves decide, and show what fills the slots
-    found = templates(docs.join(seen.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_semi"), id_col, text)
+    ids = _small(stored(seen.select(F.col("doc_id").alias(id_col)).distinct(), "hit-ids"))
+    found = templates(docs.join(ids, id_col, "left_semi"), id_col, text)
     of_doc = found.select(F.col("key").alias("doc_id"), F.col("plain").alias("dp"), F.col("typed").alias("dt"), F.col("value").alias("dv"))
     of_item = items.select(F.col("key").alias("item_id"), F.col("plain").alias("ip"), F.col("typed").alias("it"), F.col("value").alias("iv"))
     cut = lambda name, at: f"slice({name}, {at} + 1, length)"
@@ -143,7 +149,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; the columns stay as they are."""
     found = stored(matches(docs, bench).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(_small(found), "doc_id", "left_anti").select(*docs.columns)
 
 
 def _sql_templates(table: str, key: str) -> str:

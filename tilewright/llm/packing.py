@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,36 +28,81 @@ from tilewright.llm.common import stored
 from tilewright.llm.tokens import installed, tokenizer
 
 FILE, END, CAPACITY, WINDOWS = "word_bpe_49k.json", 2, 4096, 96
-#: Words whose ids a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 300_000, 32
+#: Words and stems whose ids a worker remembers in each of two generations, and the longest that it does.
+REMEMBERED, LONGEST = 250_000, 32
+#: ASCII marks that are pieces of their own behind a letter.
+MARKS = ".,;:!?*%&$#"
 
-_known: dict[str, dict[str, bytes]] = {}
+class Recent:
+    """A bounded memory: what was asked for of late stays, the rest goes a generation at a time."""
+
+    def __init__(self, limit: int):
+        self.limit, self.new, self.old = limit, {}, {}
+
+    def look(self, keys: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
+        found, missing = {}, []
+        for k in keys:
+            v = self.new.get(k)
+            if v is None:
+                v = self.old.get(k)
+                if v is None:
+                    missing.append(k)
+                    continue
+                self.new[k] = v
+            found[k] = v
+        return found, missing
+
+    def put(self, items: dict[str, bytes]) -> None:
+        self.new.update((k, v) for k, v in items.items() if len(k) <= LONGEST)
+        if len(self.new) > self.limit:
+            self.new, self.old = {}, self.new
+
+
+_known: dict[str, tuple[Recent, Recent]] = {}
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
     The tokenizer drops white space and its pieces never reach over it, so a text is cut at spaces
-    and line ends and the ids of each word are remembered.
+    and line ends and the ids of each word are remembered. A word that ends with marks behind a letter
+    is two pieces, and ASCII letters are lower-cased one by one, so words share their stems.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.known = _known.setdefault(path, {})
+        self.words, self.stems = _known.setdefault(path, (Recent(REMEMBERED), Recent(REMEMBERED)))
+
+    def _ids(self, stems: list[str]) -> dict[str, bytes]:
+        """Encodes stems as one text and deals the ids out by their offsets."""
+        out: dict[str, bytes] = {}
+        for at in range(0, len(stems), 4096):
+            lot = stems[at : at + 4096]
+            e = self.tokenizer.encode(" ".join(lot), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(w) + 1 for w in lot)])
+            place = np.array([a for a, _ in e.offsets], np.int64)
+            raw = np.array(e.ids, "<u4").tobytes()
+            edges = (4 * np.searchsorted(place, starts)).tolist()
+            out.update((w, raw[a:b]) for w, a, b in zip(lot, edges, edges[1:]))
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for ws in words for w in ws if w not in known})
-        fresh = [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        known.update(zip(new, fresh))
-        out = [b"".join([known[w] for w in ws]) for ws in words]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return out
+        known, new = self.words.look({w for ws in words for w in ws})
+        if new:
+            cut = {}
+            for w in new:
+                stem = w.rstrip(MARKS)
+                stem = stem if stem and stem[-1].isascii() and stem[-1].isalpha() else w
+                cut[w] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, w[len(stem) :])
+            stems, missing = self.stems.look({s for pair in cut.values() for s in pair})
+            fresh = self._ids(missing)
+            self.stems.put(fresh)
+            stems |= fresh
+            made = {w: stems[a] + stems[b] for w, (a, b) in cut.items()}
+            self.words.put(made)
+            known |= made
+        return [b"".join([known[w] for w in ws]) for ws in words]
 
 
 def difference(sizes: list[int], k: int) -> list[int]:

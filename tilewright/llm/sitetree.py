@@ -211,10 +211,16 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def noise_paths(tree: DataFrame, pages: int = PAGES, importance: float = IMPORTANCE) -> DataFrame:
-    """``(host, noise)``: the paths that go; the null host is for hosts without enough pages."""
+    """``(host, noise)``: the paths that go; the null host is for hosts without enough pages.
+
+    An element is as important as the most important one inside it.
+    """
     own = tree.where((F.col("n_pages") >= pages) & F.col("path").contains("/body"))
-    low = F.collect_list(F.when(F.greatest("importance", "texts") < importance, F.col("path")))
-    return own.groupBy("host").agg(low.alias("noise"))
+    low = F.greatest("importance", "texts") < importance
+    sides = own.groupBy("host").agg(
+        F.collect_list(F.when(low, F.col("path"))).alias("low"), F.collect_list(F.when(~low, F.concat("path", F.lit("/")))).alias("kept")
+    )
+    return sides.select("host", F.expr("filter(low, p -> not exists(kept, q -> startswith(q, p || '/')))").alias("noise"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

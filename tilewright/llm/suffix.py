@@ -495,14 +495,14 @@ def _covered(docs: DataFrame, id_col: str, text: str, length: int, anchor: int,
     return chunks.select("chunk", "rows").join(spans, "chunk", "left").select("rows", "blobs")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, batch: int = BATCH) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text``, and ``removed_spans`` (byte ranges).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, batch: int = BATCH, spans_col: str = "removed_spans") -> DataFrame:
+    """``docs`` with the repeated bytes cut out of ``text``, and ``spans_col`` (byte ranges).
 
     Where a cut falls into a character, the rest of that character goes too. Null texts and rows
     without an id stay as they are, and no other row loses bytes to them; rows with equal ids lose
-    nothing to each other. An existing column ``removed_spans`` is replaced.
+    nothing to each other. An existing column of that name is replaced.
     """
-    keep = [c for c in docs.columns if c != "removed_spans"]
+    keep = [c for c in docs.columns if c != spans_col]
     fields = [docs.schema[c] for c in keep]
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     arrow_spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -517,9 +517,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 new = [t if not s else kept_bytes(t, s).decode("utf-8", "ignore").encode() for t, s in zip(raw, spans)]
                 columns = [pa.array(new, pa.binary()).cast(pa.string()) if i == at else rows.column(i) for i in range(rows.num_columns)]
                 listed = pa.array([[{"start": a, "stop": e} for a, e in s] for s in spans], arrow_spans)
-                yield pa.RecordBatch.from_arrays([*columns, listed], names=[*keep, "removed_spans"])
+                yield pa.RecordBatch.from_arrays([*columns, listed], names=[*keep, spans_col])
 
-    return _covered(docs.select(*(F.col(f"`{c}`") for c in keep)), id_col, text, length, anchor, batch).mapInArrow(finish, T.StructType([*fields, T.StructField("removed_spans", spans_type)]))
+    return _covered(docs.select(*(F.col(f"`{c}`") for c in keep)), id_col, text, length, anchor, batch).mapInArrow(finish, T.StructType([*fields, T.StructField(spans_col, spans_type)]))
 
 
 def digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, batch: int = BATCH) -> DataFrame:
