@@ -68,7 +68,7 @@ def copies_per_patch(n, target, lo: int, hi: int, u: Column) -> Column:
 
 def geometry(seed, key: str, j: str) -> Column:
     """Move of view ``j``: one of the 7 non-identity flips and turns, each used once
-    before any repeats; bit 4 flips, the low bits turn by quarter circles."""
+    before any repeats; the numbers are those of ``stain.SYMMETRIES``."""
     turn = F.floor(F.col(j) / 7)
     deck = F.array_sort(
         F.array(*[F.struct(u01(seed, key, turn, F.lit(m)).alias("u"), F.lit(m).alias("m")) for m in range(1, 8)])
