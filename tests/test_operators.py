@@ -393,3 +393,23 @@ def test_encoder_contract(spark):
 
     with pytest.raises(TypeError, match="open"):
         EM.embed_batch(PX.image_bytes(spark, SF), NoOpen())
+
+
+def test_crowded_scores_spread_over_buckets(spark):
+    rng = np.random.default_rng(3)
+    s = np.concatenate([10.0 ** -rng.uniform(2, 12, 3000), 1 - 10.0 ** -rng.uniform(2, 12, 3000), [0.0, 1.0, 0.5]])
+    df = spark.createDataFrame([(float(x),) for x in s], "s double").withColumn("b", E._score_bucket(F.col("s"), 1024))
+    rows = sorted((r["s"], r["b"]) for r in df.collect())
+    assert [b for _, b in rows] == sorted(b for _, b in rows)
+    assert max(r["count"] for r in df.groupBy("b").count().collect()) < 20
+
+
+def test_npz_with_crops(spark, tmp_path):
+    from tilewright.sources.npz import scan_npz
+
+    x = np.arange(24, dtype=np.float32).reshape(3, 2, 4)
+    np.savez(f"{tmp_path}/a.npz", X=x, y=np.array([1, 2, 3]), names=np.array(["p", "q", "r"]), patient="P", slide="S")
+    got = {r["name"]: r["x"] for r in scan_npz(spark, f"{tmp_path}/*.npz", "crops").collect()}
+    assert got["q"] == x[1].tolist()
+    with pytest.raises(Exception, match="lengths disagree"):
+        scan_npz(spark, f"{tmp_path}/*.npz").collect()

@@ -87,14 +87,22 @@ def weighted_specificity(conf: DataFrame, by: tuple[str, ...] = RUN) -> DataFram
     )
 
 
+def _score_bucket(s: Column, buckets: int) -> Column:
+    """Grows with the score; fine near 0 and near 1."""
+    to_zero = F.floor(F.log2(F.greatest(s, F.lit(1e-300))) * buckets)
+    to_one = -F.ceil(F.log2(F.greatest(1.0 - s, F.lit(1e-17))) * buckets)
+    return F.when(s < 0.5, to_zero).otherwise(to_one).cast("int")
+
+
 def weighted_auroc(
-    df: DataFrame, by: tuple[str, ...] = RUN, proba: str = "proba", buckets: int = 4096
+    df: DataFrame, by: tuple[str, ...] = RUN, proba: str = "proba", buckets: int = 1024
 ) -> DataFrame:
     """Support-weighted one-vs-rest rank AUC; one-class columns are skipped.
 
     Rows are first counted per distinct score.  Wins inside a score bucket and wins over
     all earlier buckets add up, so no task orders a whole class and only bucket totals
-    are ever accumulated along a class.
+    are ever accumulated along a class.  Buckets have equal relative width towards 0 and
+    towards 1 (``buckets`` for each halving), so scores that crowd at either end spread.
     """
     long = df.select(*by, "y", F.posexplode(proba).alias("cls", "s"))
     y = F.col("y") == F.col("cls")
@@ -102,7 +110,7 @@ def weighted_auroc(
     score = (
         long.groupBy(*key, "s")
         .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-        .withColumn("_b", F.floor(F.col("s") * buckets).cast("int"))
+        .withColumn("_b", _score_bucket(F.col("s"), buckets))
     )
     inside = W.partitionBy(*key, "_b").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
     local = score.withColumn("_below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))

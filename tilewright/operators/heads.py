@@ -27,7 +27,6 @@ from tilewright.schema import HEAD, N_CLASSES
 
 # Score of a class the head never saw, before the softmax.
 ABSENT = {"ridge": -20.0, "lda": -1e9}
-MAX_HEAD_ROWS = 20_000
 
 
 @dataclass
@@ -44,13 +43,14 @@ Bank = dict[str, list[Head]]
 
 
 def head_bank(heads: DataFrame) -> Bank:
-    """Collect a head table into matrices; more rows than a model can have are an error.
+    """Collect a head table into matrices: sources x chunks x kinds x classes rows.
 
-    One evaluation: the table may be the lazy result of a fit over all vectors.
+    A head that occurs twice is an error, so the table cannot outgrow its model. One evaluation:
+    it may be the lazy result of a fit over all vectors.
     """
-    pdf = heads.limit(MAX_HEAD_ROWS + 1).toPandas()
-    if len(pdf) > MAX_HEAD_ROWS:
-        raise ValueError(f"head table has more than {MAX_HEAD_ROWS} rows")
+    pdf = heads.toPandas()
+    if pdf.duplicated(["source", "kind", "start", "stop", "cls"]).any():
+        raise ValueError("a head occurs twice in the head table")
     bank: Bank = {}
     for (source, kind, start, stop), g in pdf.groupby(["source", "kind", "start", "stop"], sort=True):
         w = np.zeros((stop - start, N_CLASSES))

@@ -1,7 +1,8 @@
 """``spark.read.format("npz")``: legacy array files, one input partition per file.
 
-``kind=patch`` reads slide files (X, y, names, patient, slide), ``kind=block`` reads
-external blocks (X, label_int, patch_uid, model_key, ...).
+``kind=patch`` reads slide files (X, y, names, patient, slide), ``kind=crops`` those with one
+vector for each crop of a patch (X of three axes), ``kind=block`` external blocks (X, label_int,
+patch_uid, model_key, ...).
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from tilewright.sources.files import expand, open_file
 
 SCHEMAS = {
     "patch": "file string, patient string, slide string, name string, label smallint, x array<float>",
+    "crops": "file string, patient string, slide string, name string, label smallint, x array<array<float>>",
     "block": "file string, model_key string, patch_uid string, label_int smallint, x array<float>",
 }
 CHUNK = 1024
@@ -60,7 +62,8 @@ class NpzReader(DataSourceReader):
         return [FilePartition(p) for p in paths]
 
     def read(self, partition: FilePartition):
-        need = {"patch": ("X", "y", "names", "patient", "slide"), "block": ("X", "label_int", "patch_uid", "model_key")}
+        slide = ("X", "y", "names", "patient", "slide")
+        need = {"patch": slide, "crops": slide, "block": ("X", "label_int", "patch_uid", "model_key")}
         with open_file(partition.path) as f, np.load(f, allow_pickle=self.pickled) as d:
             missing = set(need[self.kind]) - set(d.files)
             if missing:
@@ -68,7 +71,7 @@ class NpzReader(DataSourceReader):
             arrays = {k: d[k] for k in need[self.kind]}
         x = np.asarray(arrays["X"], dtype=np.float32)
         lengths = {len(arrays[k]) for k in need[self.kind][:3]}
-        if x.ndim != 2 or len(lengths) != 1:
+        if x.ndim != (3 if self.kind == "crops" else 2) or len(lengths) != 1:
             raise ValueError(f"{partition.path}: array lengths disagree")
         name = posixpath.basename(partition.path)
         for a in range(0, len(x), CHUNK):
@@ -77,8 +80,10 @@ class NpzReader(DataSourceReader):
 
     def _batch(self, name: str, arrays: dict, x: np.ndarray, part: slice) -> pa.RecordBatch:
         n = len(x)
-        offsets = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
-        vectors = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(x).ravel(), pa.float32()))
+        vectors = pa.array(np.ascontiguousarray(x).ravel(), pa.float32())
+        for axis in range(x.ndim - 1, 0, -1):
+            offsets = np.arange(0, len(vectors) + 1, x.shape[axis], dtype=np.int32)
+            vectors = pa.ListArray.from_arrays(offsets, vectors)
 
         def text(k: str) -> pa.Array:
             return pa.array([str(v) for v in arrays[k][part]], pa.string())
@@ -87,7 +92,7 @@ class NpzReader(DataSourceReader):
             return pa.array([str(arrays[k].item())] * n, pa.string())
 
         files = pa.array([name] * n, pa.string())
-        if self.kind == "patch":
+        if self.kind != "block":
             cols = {
                 "file": files,
                 "patient": same("patient"),
