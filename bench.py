@@ -26,7 +26,7 @@ KEYS = (
     "tta_scores",
     "metrics_multiclass",
     "weighted_auroc",
-    "fit_ridge_heads",
+    "fit_ridge_wide",
     "annotate_tiles",
     "surrogate_keys",
     "score_and_evaluate",

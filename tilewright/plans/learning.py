@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.functions import ids as ID
@@ -28,6 +29,7 @@ DIMS = {"a": 64, "b": 32, "c": 32}
 # --- vector functions ------------------------------------------------------------------
 
 _SCALED = f"list_transform(x, lambda v: (v * ({fx.SQL_VEC_NO} % 4))::FLOAT)"
+from tilewright.session import materialize
 
 
 @query(
@@ -570,21 +572,117 @@ def _head_rows(h: DataFrame) -> DataFrame:
     return h.select("source", "kind", "start", "stop", "cls", fx.vec_text("coef").alias("coef"), fx.r6("intercept").alias("intercept"))
 
 
-@query("fit_ridge_heads")
-def fit_ridge_heads(spark, sf):
+@query("fit_ridge_wide")
+def fit_ridge_wide(spark, sf):
+    """Chunks of production shape; ``fit_ridge_heads`` checks the same solver in closed form."""
     return _head_rows(H.fit_ridge_heads(all_sources(spark, sf), size=16))
 
 
-@query("fit_logistic_heads")
+GRADIENT_TOL = 2e-4
+
+
+@query(
+    "fit_logistic_heads",
+    with_ctes(
+        """WITH u AS (SELECT foundation AS source, label, len(x) AS d FROM fx_a UNION ALL SELECT foundation, label, len(x) FROM fx_b
+                UNION ALL SELECT foundation, label, len(x) FROM fx_c),
+            h AS (SELECT DISTINCT source, label, d FROM u WHERE label >= 0)
+        SELECT source, unnest(range(0, d, 32))::INTEGER AS start, label::INTEGER AS cls, true AS stationary FROM h""",
+        "fx_a",
+        "fx_b",
+        "fx_c",
+    ),
+)
 def fit_logistic_heads(spark, sf):
-    return _head_rows(H.fit_logistic_heads(fx.patches(spark, sf, "b"), size=32, max_iter=20))
+    """Heads of all sources, held against their optimality condition: the penalised gradient vanishes."""
+    rows = all_sources(spark, sf).where("label >= 0")
+    alpha = 3e-5
+    heads = materialize(H.fit_logistic_heads(rows, size=32, alpha=alpha), "logistic")
+    n = rows.groupBy("foundation", "label").agg(F.count(F.lit(1)).alias("n"))
+    n = n.withColumn("total", F.sum("n").over(W.partitionBy("foundation"))).withColumn("k", F.count(F.lit(1)).over(W.partitionBy("foundation")))
+    balance = n.select(F.col("foundation").alias("source"), F.col("label").cast("int").alias("cls"), "total", (F.col("total") / (F.col("k") * F.col("n"))).alias("w"))
+    h = heads.join(balance, ["source", "cls"])
+    x = F.transform(F.slice("x", F.col("start") + 1, F.col("stop") - F.col("start")), lambda v: v.cast("double"))
+    z = F.aggregate(F.zip_with("xs", "coef", lambda a, b: a * b), F.col("intercept"), lambda s, v: s + v)
+    hit = F.col("label") == F.col("cls")
+    each = (
+        rows.withColumnRenamed("foundation", "source").join(h, "source").withColumn("xs", x)
+        .withColumn("wt", F.when(hit, F.col("w")).otherwise(1.0))
+        .withColumn("r", F.col("wt") * (1.0 / (1.0 + F.exp(-z)) - hit.cast("double")))
+    )
+    slope = each.select("source", "start", "cls", "coef", "total", "wt", "r", F.posexplode("xs").alias("j", "v"))
+    per_dim = slope.groupBy("source", "start", "cls", "j").agg(
+        (F.abs(F.sum(F.col("r") * F.col("v")) / F.sum("wt") + alpha * F.first("total") / F.sum("wt") * F.first(F.get("coef", "j")))).alias("g"),
+        F.abs(F.sum("r") / F.sum("wt")).alias("g0"),
+    )
+    return per_dim.groupBy("source", "start", "cls").agg((F.greatest(F.max("g"), F.max("g0")) < GRADIENT_TOL).alias("stationary"))
 
 
-@query("fit_shrinkage_lda")
-def fit_shrinkage_lda(spark, sf):
+@query("fit_lda_wide")
+def fit_lda_wide(spark, sf):
+    """One chunk for each source; ``fit_shrinkage_lda`` checks the same solver in closed form."""
     return _head_rows(H.fit_shrinkage_lda(all_sources(spark, sf)))
 
 
+# Two dims to a chunk: the normal equations have a closed form that SQL can write down.
+cte(
+    "fx_pairs",
+    """WITH u AS (SELECT foundation, label, x FROM fx_a UNION ALL SELECT foundation, label, x FROM fx_b UNION ALL SELECT foundation, label, x FROM fx_c),
+        n AS (SELECT foundation, label, count(*) AS n FROM u WHERE label >= 0 GROUP BY ALL),
+        w AS (SELECT foundation, label, n, sum(n) OVER (PARTITION BY foundation) / (count(*) OVER (PARTITION BY foundation) * n::DOUBLE) AS w FROM n),
+        c AS (SELECT foundation, label, x, unnest(range(0, len(x), 2)) AS start FROM u WHERE label >= 0)
+    SELECT c.foundation AS source, start::INTEGER AS start, label, w, n, x[start + 1]::DOUBLE AS x1, x[start + 2]::DOUBLE AS x2
+    FROM c JOIN w USING (foundation, label)""",
+    "fx_a",
+    "fx_b",
+    "fx_c",
+)
+
+
+def _sql_heads(kind: str) -> str:
+    coef = "CAST(round(k1 * 1e6) AS BIGINT) || ',' || CAST(round(k2 * 1e6) AS BIGINT)"
+    return f"""SELECT source, '{kind}' AS kind, start, (start + 2)::INTEGER AS stop, label::INTEGER AS cls, {coef} AS coef, {sql_r6('icpt')} AS intercept FROM solved"""
+
+
+@query(
+    "fit_ridge_heads",
+    with_ctes(
+        f"""WITH g AS (SELECT source, start, sum(w) AS sw, sum(w * x1) AS s1, sum(w * x2) AS s2, sum(w * x1 * x1) AS s11, sum(w * x1 * x2) AS s12,
+                sum(w * x2 * x2) AS s22 FROM fx_pairs GROUP BY ALL),
+            c AS (SELECT source, start, label, sum(w) AS n, sum(w * x1) AS c1, sum(w * x2) AS c2 FROM fx_pairs GROUP BY ALL),
+            m AS (SELECT *, s1 / sw AS m1, s2 / sw AS m2, (2 * n - sw) / sw AS my FROM g JOIN c USING (source, start)),
+            e AS (SELECT *, s11 - sw * m1 * m1 + 10 AS a11, s12 - sw * m1 * m2 AS a12, s22 - sw * m2 * m2 + 10 AS a22,
+                2 * c1 - s1 - sw * m1 * my AS b1, 2 * c2 - s2 - sw * m2 * my AS b2 FROM m),
+            k AS (SELECT *, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS k1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS k2 FROM e),
+            solved AS (SELECT *, my - m1 * k1 - m2 * k2 AS icpt FROM k)
+        {_sql_heads('ridge')}""",
+        "fx_pairs",
+    ),
+)
+def fit_ridge_heads(spark, sf):
+    return _head_rows(H.fit_ridge_heads(all_sources(spark, sf), size=2, min_dim=2))
+
+
+@query(
+    "fit_shrinkage_lda",
+    with_ctes(
+        f"""WITH p AS (SELECT * FROM fx_pairs WHERE n >= 2),
+            c AS (SELECT source, start, label, count(*) AS n, avg(x1) AS u1, avg(x2) AS u2 FROM p GROUP BY ALL),
+            g AS (SELECT source, start, count(*) AS t, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22 FROM p GROUP BY ALL),
+            d AS (SELECT source, start, sum(n * u1 * u1) AS d11, sum(n * u1 * u2) AS d12, sum(n * u2 * u2) AS d22, max(n) AS most FROM c GROUP BY ALL),
+            v AS (SELECT source, start, most, (s11 - d11) / greatest(t - 1, 1) AS v11, (s12 - d12) / greatest(t - 1, 1) AS v12, (s22 - d22) / greatest(t - 1, 1) AS v22
+                FROM g JOIN d USING (source, start)),
+            h AS (SELECT source, start, most, 0.9 * v11 + 0.05 * (v11 + v22) AS a11, 0.9 * v12 AS a12, 0.9 * v22 + 0.05 * (v11 + v22) AS a22 FROM v),
+            k AS (SELECT *, (a22 * u1 - a12 * u2) / (a11 * a22 - a12 * a12) AS k1, (a11 * u2 - a12 * u1) / (a11 * a22 - a12 * a12) AS k2 FROM c JOIN h USING (source, start)),
+            solved AS (SELECT *, -0.5 * (u1 * k1 + u2 * k2) + ln(n::DOUBLE / most) AS icpt FROM k)
+        {_sql_heads('lda')}""",
+        "fx_pairs",
+    ),
+)
+def fit_shrinkage_lda(spark, sf):
+    return _head_rows(H.fit_shrinkage_lda(all_sources(spark, sf), size=2))
+
+
 @query("ensemble_fit")
 def ensemble_fit(spark, sf):
     """Fit with extra rows, then predict the unlabelled tenth: the decision per row."""
