@@ -413,3 +413,27 @@ def test_npz_with_crops(spark, tmp_path):
     assert got["q"] == x[1].tolist()
     with pytest.raises(Exception, match="lengths disagree"):
         scan_npz(spark, f"{tmp_path}/*.npz").collect()
+
+
+def test_own_estimators_plug_in(spark):
+    base = {s: fx.patches(spark, SF, s) for s in "bc"}
+    seen = []
+
+    def own(df, size, min_dim):
+        seen.append(size)
+        return H.fit_ridge_heads(df, size, min_dim, alpha=1.0)
+
+    model = EN.ensemble_fit(base, size=16, grid_size=3, kinds=(own,))
+    assert seen == [16] and {h.kind for bank in model.bank.values() for h in bank} == {"ridge"}
+
+
+def test_stacked_sources_are_normalised(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 2), (rng.normal(size=3) + i % 2).tolist(), (100 * (rng.normal(size=2) - i % 2)).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "label smallint, x_a array<float>, x_b array<float>")
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    plain = [("s", lab, np.concatenate([unit(a), unit(b)]).tolist()) for lab, a, b in rows]
+    want = H.fit_shrinkage_lda(spark.createDataFrame(plain, "foundation string, label smallint, x array<float>"))
+    get = lambda h: {r["cls"]: [*r["coef"], r["intercept"]] for r in h.collect()}
+    a, b = get(H.fit_stacked_lda(df, ["x_a", "x_b"])), get(want)
+    assert a.keys() == b.keys() and all(np.allclose(a[c], b[c], rtol=1e-3, atol=1e-4) for c in a)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -84,6 +85,13 @@ class EnsembleModel:
         )
 
 
+FITTERS: dict[str, Callable[[DataFrame, int, int], DataFrame]] = {
+    "ridge": H.fit_ridge_heads,
+    "logistic": H.fit_logistic_heads,
+    "lda": lambda df, size, min_dim: H.fit_shrinkage_lda(df, size=size),
+}
+
+
 def ensemble_fit(
     base: dict[str, DataFrame],
     extras: DataFrame | None = None,
@@ -95,7 +103,7 @@ def ensemble_fit(
     passes: int = 1,
     boost: float = 1.10,
     rare_quantile: float = 0.35,
-    kinds: tuple[str, ...] = ("ridge",),
+    kinds: tuple[str | Callable[[DataFrame, int, int], DataFrame], ...] = ("ridge",),
     how: str = "source_mean",
     seed: int = 42,
     key: str = "name",
@@ -103,7 +111,8 @@ def ensemble_fit(
     """Split aligned base rows, fit heads per source, calibrate on base rows.
 
     Extra rows join the fit side of their source only: rare classes, the split and the
-    thresholds never see them.
+    thresholds never see them.  ``kinds`` names fitters or holds own ones: functions of the fit rows
+    (foundation, label, x), the chunk size and the least width that return a head table.
     """
     sources = sorted(base)
     aligned = align_sources({s: base[s] for s in sources})
@@ -124,11 +133,8 @@ def ensemble_fit(
         if extras is not None:
             fit = fit.unionByName(extras.where("label >= 0").select("foundation", "label", "x"))
         fit = fit.persist()
-        fitters = {
-            "ridge": lambda: H.fit_ridge_heads(fit, size, min_dim),
-            "logistic": lambda: H.fit_logistic_heads(fit, size, min_dim),
-        }
-        heads = reduce(DataFrame.unionByName, [fitters[k]() for k in kinds])
+        chosen = [k if callable(k) else FITTERS[k] for k in kinds]
+        heads = reduce(DataFrame.unionByName, [f(fit, size, min_dim) for f in chosen])
         model = EnsembleModel(H.head_bank(heads), rare=rare, boost=boost, how=how)
         fit.unpersist()
         cal = aligned.join(roles.where("role = 'cal'").select(key), key, "left_semi")

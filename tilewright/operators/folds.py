@@ -14,10 +14,10 @@ PIECES = 1024
 def fold_table(df: DataFrame, k: int, group: str = "patient", forced: tuple[str, ...] = ()) -> DataFrame:
     """(group, fold): every eligible group in one of ``k`` folds, forced groups in -1.
 
-    A group's stratum is its most frequent class (the lowest of equal ones). In a stratum,
-    groups lie in the order of their size, the largest first, then of their hash, and are dealt
-    out there and back: 0, 1, .., k-1, k-1, .., 0. Each stratum starts one fold later, so that the
-    large groups of different strata do not meet. The same rule holds for any number of groups.
+    A group's stratum is its most frequent class (the lowest of equal ones). Groups lie in the
+    order of their stratum, then of their size, the largest first, then of their hash, and are dealt
+    out there and back: 0, 1, .., k-1, k-1, .., 0. So folds differ by one group at most, in all and
+    by two in a stratum. The same rule holds for any number of groups.
     """
     if k < 2:
         raise ValueError("need at least two folds")
@@ -35,11 +35,15 @@ def fold_table(df: DataFrame, k: int, group: str = "patient", forced: tuple[str,
     exact = F.lit(0) - F.least(F.col("n"), F.lit(PIECES))
     piece = F.when(F.col("n") <= PIECES, exact).otherwise(-PIECES - F.floor(F.log2("n")))
     ranked = rank_in_group(
-        eligible, ["stratum"], piece.cast("int"), [F.desc("n"), hash32("fold", group), F.col(group)], out="_r", bounded=True
+        eligible,
+        [],
+        (F.col("stratum") * 2 * PIECES + piece).cast("int"),
+        [F.desc("n"), hash32("fold", group), F.col(group)],
+        out="_r",
     )
     at = F.pmod(F.col("_r") - 1, F.lit(2 * k))
     there = F.when(at < k, at).otherwise(2 * k - 1 - at)
-    placed = ranked.select(group, F.pmod(there + F.col("stratum"), F.lit(k)).cast("int").alias("fold"))
+    placed = ranked.select(group, there.cast("int").alias("fold"))
     return placed.unionByName(groups.where(is_forced).select(group, F.lit(-1).alias("fold")))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import hash32, mix32
-from tilewright.functions.vectors import chunk_bounds, chunk_slices, let
+from tilewright.functions.vectors import chunk_bounds, chunk_slices, l2_normalize, let
 from tilewright.schema import HEAD, N_CLASSES
 
 # Score of a class the head never saw, before the softmax.
@@ -398,6 +398,15 @@ def fit_shrinkage_lda(df: DataFrame, shrinkage: float = 0.1, size: int | None =
     return moments.groupBy("foundation", "start", "stop").applyInPandas(solve, HEAD)
 
 
+def fit_stacked_lda(aligned: DataFrame, columns: list[str], shrinkage: float = 0.1, source: str = "stacked") -> DataFrame:
+    """The shrinkage classifier on the unit vectors of several sources side by side.
+
+    ``aligned`` has one vector column for each source and ``label``.
+    """
+    x = F.concat(*[l2_normalize(c) for c in columns])
+    return fit_shrinkage_lda(aligned.select(F.lit(source).alias("foundation"), "label", x.alias("x")), shrinkage)
+
+
 def fit_logistic_heads(
     df: DataFrame,
     size: int = 768,

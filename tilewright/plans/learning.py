@@ -687,7 +687,7 @@ def fit_shrinkage_lda(spark, sf):
 def ensemble_fit(spark, sf):
     """Fit with extra rows, then predict the unlabelled tenth: the decision per row."""
     base = {s: fx.patches(spark, sf, s) for s in "abc"}
-    extra = fx.views(spark, sf, every=3)
+    extra = fx.views(spark, sf)
     model = EN.ensemble_fit(base, extra, size=16, grid_size=7)
     out = model.predict(aligned(spark, sf), X_COLS)
     return out.select("name", "pred", fx.r6(F.array_max("proba")).alias("top"))
@@ -695,7 +695,7 @@ def ensemble_fit(spark, sf):
 
 @query("oof_run")
 def oof_run(spark, sf):
-    base = {s: fx.patches(spark, sf, s) for s in "bc"}
+    base = {s: fx.patches(spark, sf, s) for s in "abc"}
     folds = FO.fold_table(base["b"], 3, forced=("patient-007", "patient-013"))
     from tilewright.session import materialize
 

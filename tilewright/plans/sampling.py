@@ -294,9 +294,9 @@ def stratified_split(spark, sf):
     with_ctes(
         f"""WITH c AS (SELECT patient, label, count(*) AS c FROM fx_a WHERE label >= 0 GROUP BY ALL),
             g AS (SELECT patient, sum(c) AS n, arg_max(label, c * 100 - label) AS stratum FROM c GROUP BY patient),
-            r AS (SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY n DESC, {sql_hash32('fold', 'patient')}, patient) - 1) % 10 AS step
+            r AS (SELECT *, (row_number() OVER (ORDER BY stratum, n DESC, {sql_hash32('fold', 'patient')}, patient) - 1) % 10 AS step
                 FROM g WHERE patient NOT IN ('patient-007', 'patient-013')),
-            f AS (SELECT patient, ((CASE WHEN step < 5 THEN step ELSE 9 - step END + stratum) % 5)::INTEGER AS fold FROM r
+            f AS (SELECT patient, (CASE WHEN step < 5 THEN step ELSE 9 - step END)::INTEGER AS fold FROM r
                 UNION ALL SELECT patient, -1 FROM g WHERE patient IN ('patient-007', 'patient-013'))
         SELECT name, patient, label, fold FROM fx_a JOIN f USING (patient) WHERE label >= 0""",
         "fx_a",
