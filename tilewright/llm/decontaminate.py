@@ -9,6 +9,10 @@ slots are consistent: equal values in the item stand for equal values in the doc
 way round. So a question with other numbers or names is caught, and a text that only shares a form
 with inconsistent values is not.
 
+Six windows in a row hold one at every sixth place, so a first pass hashes only every sixth window of
+all documents (fewer are skipped if an item has fewer windows) and finds the documents that are then
+compared window by window.
+
 An item of four to seven tokens is one window of its own length; shorter items take no part.
 """
 
@@ -71,10 +75,10 @@ def templates(rows: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _windows(n: int, where: str = "true") -> str:
-    """Hashes of all windows of n tokens; those of the typed form follow if there is a name."""
-    each = "transform(sequence(0, size(plain) - {n}), i -> xxhash64(slice({form}, i + 1, {n})))"
-    plain, typed = (each.format(n=n, form=f) for f in ("plain", "typed"))
+def _windows(n: int, where: str = "true", step: int = 1) -> str:
+    """Hashes of the windows of n tokens at every ``step``-th place; those of the typed form follow if there is a name."""
+    each = "transform(sequence(0, size(plain) - {n}, {step}), i -> xxhash64(slice({form}, i + 1, {n})))"
+    plain, typed = (each.format(n=n, form=f, step=step) for f in ("plain", "typed"))
     return f"case when size(plain) >= {n} and {where} then if(array_contains(typed, '<name>'), concat({plain}, {typed}), {plain}) else array() end"
 
 
@@ -90,6 +94,15 @@ def _hashed(told: DataFrame, lengths: list[int], short: bool = False) -> DataFra
     return every.select("key", "length", (F.col("at") % (F.col("size") - F.col("length") + 1)).alias("at"), "hash")
 
 
+def _candidates(told: DataFrame, wanted: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """Keys of the documents that can hold an item."""
+    fewest = items.where(F.size("plain") >= WINDOW).agg(F.min(F.size("plain"))).first()[0] or WINDOW
+    steps = {n: min(LEAST, fewest - WINDOW + 1) if n == WINDOW else 1 for n in lengths}
+    hashes = _small(wanted.select("hash").distinct())
+    some = [told.select("key", F.explode(F.expr(_windows(n, step=steps[n]))).alias("hash")) for n in lengths]
+    return stored(reduce(DataFrame.union, some).join(hashes, "hash", "left_semi").select("key").distinct(), "candidates")
+
+
 def _small(keys: DataFrame) -> DataFrame:
     """Keys for a broadcast if they are few; beyond that both sides are shuffled."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
@@ -106,14 +119,14 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str
     sizes = [r[0] for r in items.select(F.least(F.size("plain"), F.lit(WINDOW)).alias("n")).distinct().collect()]  # 4 to 8
     lengths = sorted(sizes) or [WINDOW]
     wanted = stored(_hashed(items, lengths, short=True).withColumnRenamed("key", "item_id").withColumnRenamed("at", "item_at"), "windows")
-    hashes = _small(wanted.select("hash").distinct())
     told = templates(docs.where(F.col(id_col).isNotNull()), id_col, text)
-    seen = stored(_hashed(told, lengths).join(hashes, "hash", "left_semi"), "hits").withColumnRenamed("key", "doc_id")
+    ids = _small(_candidates(told, wanted, items, lengths).withColumnRenamed("key", id_col))
+    found = stored(templates(docs.join(ids, id_col, "left_semi"), id_col, text), "candidates")
+    hashes = _small(wanted.select("hash").distinct())
+    seen = _hashed(found, lengths).join(hashes, "hash", "left_semi").withColumnRenamed("key", "doc_id")
     pairs = seen.join(wanted, ["hash", "length"]).select("doc_id", "item_id", "length", "at", "item_at").distinct()
 
     # the tokens themselves decide, and show what fills the slots
-    ids = _small(stored(seen.select(F.col("doc_id").alias(id_col)).distinct(), "hit-ids"))
-    found = templates(docs.join(ids, id_col, "left_semi"), id_col, text)
     of_doc = found.select(F.col("key").alias("doc_id"), F.col("plain").alias("dp"), F.col("typed").alias("dt"), F.col("value").alias("dv"))
     of_item = items.select(F.col("key").alias("item_id"), F.col("plain").alias("ip"), F.col("typed").alias("it"), F.col("value").alias("iv"))
     cut = lambda name, at: f"slice({name}, {at} + 1, length)"
