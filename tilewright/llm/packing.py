@@ -15,6 +15,7 @@ Only counts and checksums leave the encoding, not the ids.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -28,8 +29,8 @@ from tilewright.llm.common import stored
 from tilewright.llm.tokens import installed, tokenizer
 
 FILE, END, CAPACITY, WINDOWS = "word_bpe_49k.json", 2, 4096, 96
-#: Words and stems whose ids a worker remembers in each of two generations, and the longest that it does.
-REMEMBERED, LONGEST = 250_000, 32
+#: Words and pieces whose ids a worker remembers in each of two generations, and the longest that it does.
+WORDS, PIECES, LONGEST = 100_000, 600_000, 32
 #: ASCII marks that are pieces of their own behind a letter.
 MARKS = ".,;:!?*%&$#"
 
@@ -58,20 +59,26 @@ class Recent:
             self.new, self.old = {}, self.new
 
 
+#: The tokenizer's own pieces, spelled out for characters below U+0250, all of which are in
+#: composed form: contractions, runs of letters, single numbers, runs of anything else but white space.
+_LETTERS, _NUMBERS, _SPACES = "a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_OTHER = re.compile("[^\x00-\u024f]|<\\|")
 _known: dict[str, tuple[Recent, Recent]] = {}
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
-    The tokenizer drops white space and its pieces never reach over it, so a text is cut at spaces
-    and line ends and the ids of each word are remembered. A word that ends with marks behind a letter
+    A text of Latin letters without special strings is cut into the tokenizer's own pieces, and the ids
+    of each are remembered. Others are cut at spaces and line ends, which no piece reaches over, and
+    the ids of each word are remembered. A word that ends with marks behind a letter
     is two pieces, and ASCII letters are lower-cased one by one, so words share their stems.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
-        self.words, self.stems = _known.setdefault(path, (Recent(REMEMBERED), Recent(REMEMBERED)))
+        self.words, self.stems = _known.setdefault(path, (Recent(WORDS), Recent(PIECES)))
 
     def _ids(self, stems: list[str]) -> dict[str, bytes]:
         """Encodes stems as one text and deals the ids out by their offsets."""
@@ -87,6 +94,17 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        plain = [t is None or not _OTHER.search(t) for t in texts]
+        cut = [_PIECE.findall(t.lower()) if t and p else [] for t, p in zip(texts, plain)]
+        known, missing = self.stems.look(set().union(*cut))
+        fresh = self._ids(missing)
+        self.stems.put(fresh)
+        known |= fresh
+        rest = iter(self._by_words([t for t, p in zip(texts, plain) if not p]))
+        return [b"".join(map(known.__getitem__, c)) if p else next(rest) for c, p in zip(cut, plain)]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """For any characters."""
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
         known, new = self.words.look({w for ws in words for w in ws})
         if new:
