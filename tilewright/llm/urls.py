@@ -91,7 +91,7 @@ def unigrams(pages: DataFrame, html: str = "html", words: int = WORDS, seeds: tu
     every = pages.select(F.explode(F.regexp_extract_all(F.lower(title), F.lit(r"\p{L}{2,20}"), F.lit(0))).alias("word"))
     counts = every.groupBy("word").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
-    top = counts.orderBy(F.desc("count"), "word").limit(words).collect()
+    top = stored(counts.orderBy(F.desc("count"), "word").limit(words), "words").collect()  # tasks merge their top rows
     costs = {r["word"]: -math.log(r["count"] / total) for r in top}
     costs |= {w: min(costs.get(w, math.inf), math.log(1000)) for w in seeds}
     return Unigrams(costs, float(total or 1))
@@ -149,7 +149,7 @@ def fit_bayes(rows: DataFrame, tokens: int = TOKENS) -> Bayes:
     whole = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("n")).first()
     if not whole.n:
         return Bayes(math.log(classes["block"] / classes["allow"]))
-    top = counts.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(tokens).collect()
+    top = stored(counts.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(tokens), "tokens").collect()
     odds = {r.token: math.log((r.block + 1) / (whole.block + whole.n)) - math.log((r.allow + 1) / (whole.allow + whole.n)) for r in top}
     return Bayes(math.log(classes["block"] / classes["allow"]), odds)
 
