@@ -377,14 +377,23 @@ def _copies(chunks: DataFrame, id_col: str, text: str, length: int) -> DataFrame
         for b in batches:
             for chunk, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids, texts = _texts(_rows(blob), id_col, text)
-                known = [(i, t) for i, t in enumerate(texts) if t is not None and len(t) >= length]
-                marks = [hashlib.blake2b(t, digest_size=16).digest() for _, t in known]
-                columns = [[chunk] * len(known), [i for i, _ in known], [ids[i] for i, _ in known]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(marks, pa.binary())], names=["chunk", "row", "doc", "mark"])
-
-    marks = stored(chunks.select("chunk", "rows").mapInArrow(mark, "chunk long, row long, doc long, mark binary"), "marks")
-    first = marks.groupBy("mark").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    return marks.join(first, "mark").where("doc > first").groupBy("chunk").agg(F.collect_list("row").alias("copies"))
+                alike: dict[bytes, list[int]] = {}
+                for i, t in enumerate(texts):
+                    if t is not None and len(t) >= length:
+                        alike.setdefault(hashlib.blake2b(t, digest_size=16).digest(), []).append(i)
+                doc = [min(ids[i] for i in rows) for rows in alike.values()]
+                first = [[i for i in rows if ids[i] == d] for rows, d in zip(alike.values(), doc)]
+                later = [[i for i in rows if ids[i] != d] for rows, d in zip(alike.values(), doc)]
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                columns = ([chunk] * len(doc), doc, list(alike), first, later)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "doc", "mark", "first", "later"])
+
+    # one row for each text and chunk, so that a text of very many copies stays a few rows
+    marks = stored(chunks.select("chunk", "rows").mapInArrow(mark, "chunk long, doc long, mark binary, first array<long>, later array<long>"), "marks")
+    least = marks.groupBy("mark").agg(F.min("doc").alias("least"))
+    copies = F.when(F.col("doc") > F.col("least"), F.concat("first", "later")).otherwise(F.col("later"))
+    found = marks.join(least, "mark").select("chunk", copies.alias("copies")).where(F.size("copies") > 0)
+    return found.groupBy("chunk").agg(F.flatten(F.collect_list("copies")).alias("copies"))
 
 
 def _spans(chunks: DataFrame, shared: DataFrame, id_col: str, text: str, length: int, anchor: int, buckets: int, batch: int) -> DataFrame:
