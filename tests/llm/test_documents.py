@@ -216,6 +216,19 @@ def test_reparameterised_questions_are_caught_and_others_left(make, spark):
     assert left.columns == docs.columns and left.count() == 6
 
 
+def test_changed_words_lose_no_occurrence_at_any_place(make, spark):
+    item = spoken("aa", random.Random(21), 22).split()
+    rows, want = [], set()
+    for at in range(22):
+        said = [*item[:at], "changed", *item[at + 1 :]]
+        for lead in range(6):
+            rows.append((10 * at + lead, " ".join(["so"] * lead + said + ["end"])))
+            if max(at - 7, 0) + max(22 - at - 8, 0) >= 6:
+                want.add(10 * at + lead)
+    got = decontaminate.matches(make(rows), spark.createDataFrame([(1, " ".join(item))], "item_id int, text string"))
+    assert 11 * 10 + 1 in want and {r.doc_id for r in got.collect()} == want
+
+
 # --- shards --------------------------------------------------------------------------------------
 
 

@@ -9,9 +9,9 @@ slots are consistent: equal values in the item stand for equal values in the doc
 way round. So a question with other numbers or names is caught, and a text that only shares a form
 with inconsistent values is not.
 
-Six windows in a row hold one at every sixth place, so a first pass hashes only every sixth window of
-all documents (fewer are skipped if an item has fewer windows) and finds the documents that are then
-compared window by window.
+A first pass finds the documents that are then compared window by window. It leaves out none: a window
+that matches holds four parts of five tokens in a row that match in the same form, and one of any four
+starts in a row is a multiple of four. So the hashes of every fourth part of a document are enough.
 
 An item of four to seven tokens is one window of its own length; shorter items take no part.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.common import stored
 
-WINDOW, LEAST, SHORTEST = 8, 6, 4
+WINDOW, LEAST, SHORTEST, PART = 8, 6, 4, 5
 #: Keys (hashes of windows, ids of documents with a match) up to which they travel to every task.
 BROADCAST_ROWS = 1_000_000
 
@@ -95,11 +95,14 @@ def _hashed(told: DataFrame, lengths: list[int], short: bool = False) -> DataFra
 
 
 def _candidates(told: DataFrame, wanted: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
-    """Keys of the documents that can hold an item."""
-    fewest = items.where(F.size("plain") >= WINDOW).agg(F.min(F.size("plain"))).first()[0] or WINDOW
-    steps = {n: min(LEAST, fewest - WINDOW + 1) if n == WINDOW else 1 for n in lengths}
-    hashes = _small(wanted.select("hash").distinct())
-    some = [told.select("key", F.explode(F.expr(_windows(n, step=steps[n]))).alias("hash")) for n in lengths]
+    """Keys of all documents with a window of an item."""
+    whole = [n for n in lengths if n < WINDOW]
+    keys = wanted.where(F.col("length") < WINDOW).select("hash")
+    some = [told.select("key", F.explode(F.expr(_windows(n))).alias("hash")) for n in whole]
+    if WINDOW in lengths:
+        keys = keys.union(items.where(F.size("plain") >= WINDOW).select(F.explode(F.expr(_windows(PART)))))
+        some.append(told.select("key", F.explode(F.expr(_windows(PART, step=WINDOW - PART + 1))).alias("hash")))
+    hashes = _small(stored(keys.distinct(), "parts"))
     return stored(reduce(DataFrame.union, some).join(hashes, "hash", "left_semi").select("key").distinct(), "candidates")
 
 
