@@ -1,7 +1,8 @@
 """The corpus pipeline: each stage works on all that its predecessor kept.
 
 1. language: documents without a language go (hyperdimensional profiles).
-2. near_duplicates: one document of each class of near copies stays (fast similarity sketches).
+2. near_duplicates: one document of each class of near copies (five-word shingles, 0.8 or more) stays
+   (fast similarity sketches).
 3. repeated_passages: passages of 50 bytes that an earlier document holds are cut out (suffix
    arrays); documents of which nothing is left go.
 4. decontaminate: documents that hold a benchmark item go (templates).
@@ -18,6 +19,9 @@ from pyspark.sql import functions as F
 from tilewright.llm import decontaminate, language, neardup, packing, suffix
 from tilewright.llm.common import read, stored
 
+#: Near copies share this much of their five-word shingles.
+NEAR_PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language."""
@@ -26,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class."""
-    return neardup.keep_one_of_each(docs)
+    return neardup.keep_one_of_each(docs, NEAR_PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

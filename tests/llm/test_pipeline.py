@@ -36,6 +36,17 @@ def test_stages_keep_clean_documents_and_drop_planted_ones(spark, make, tmp_path
     assert {r.doc_id for r in packed} == ids["decontaminate"]
 
 
+def test_near_copies_at_0_82_are_linked(spark, make, tmp_path):
+    first = [words(300 + k, 1) for k in range(104)]
+    near, far = list(first), list(first)
+    for at in (20, 60):
+        near[at] = f"new{at}"  # 90 of 110 shingles
+    for at in (20, 45, 70):
+        far[at] = f"other{at}"  # 85 of 115
+    docs = make([(1, " ".join(first)), (2, " ".join(near)), (3, " ".join(far))])
+    assert sorted(r.doc_id for r in P.near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
 def test_empty_documents_pass(spark, make, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     make([(1, "a")]).where("false").write.parquet(f"{tmp_path}/documents.parquet")

@@ -9,12 +9,13 @@ after about n + 128 log 128 hashes instead of 128 n.
 
 1. Documents with the same set form a class, represented by its smallest id.
 2. Representatives that agree on one of 25 bands of five places are candidates: a pair at 0.85
-   is missed with a chance of 4e-7.
+   is missed with a chance of 4e-7, one at 0.80 with 5e-5.
 3. In each band bucket every member is held against the bucket's first one; verified links form
    components. Buckets whose members are still in several components are then compared whole, in
    cells of two blocks of bounded size: a task multiplies the incidence matrix of a cell with itself
    and returns the links that join components, at most one less than it has members.
-4. Links count only where the full sets satisfy ``100 * intersection >= 85 * union``.
+4. Links count only where the full sets satisfy ``100 * intersection >= percent * union``; ``percent``
+   is 85 in op9 and 80 in the corpus pipeline.
 """
 
 from __future__ import annotations
@@ -272,9 +273,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     return lowest.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each class; the columns stay as they are. Rows that share an id count as one."""
-    found = classes(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    found = classes(docs, percent=percent).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     known = docs.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi")
     repeated = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1")
     if not repeated.isEmpty():
