@@ -229,6 +229,20 @@ def test_changed_words_lose_no_occurrence_at_any_place(make, spark):
     assert 11 * 10 + 1 in want and {r.doc_id for r in got.collect()} == want
 
 
+def test_questions_that_start_with_other_names_are_dropped(make, spark):
+    item = "Maria has 12 apples. Maria buys 7 more apples. Peter takes 5 apples. How many apples are left?"
+    short = "Maria has 12 apples and buys 7 more apples at the market"
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id int, text string")
+    other = item.replace("Maria", "Anna").replace("Peter", "John").replace("12", "31").replace("7", "8")
+    docs = make([
+        (1, other), (2, "So. " + short.replace("Maria", "Anna")), (3, other.replace("Anna buys", "Clara buys")), (4, item), (5, item.lower()),
+        (6, "Anna has 31 pears. Anna buys 8 more plums. John takes 5 figs. How many are left?"),
+    ])
+    got = {r.doc_id: r.n_windows for r in decontaminate.matches(docs, bench, starts=True).collect()}
+    assert got == {1: 11, 2: 5, 4: 11, 5: 11}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()} == {3, 6}
+
+
 # --- shards --------------------------------------------------------------------------------------
 
 

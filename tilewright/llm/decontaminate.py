@@ -13,6 +13,11 @@ A first pass finds the documents that are then compared window by window. It lea
 that matches holds four parts of five tokens in a row that match in the same form, and one of any four
 starts in a row is a multiple of four. So the hashes of every fourth part of a document are enough.
 
+A third form, ``loose``, has every capitalised word as ``<name>``, first words of sentences too, so a
+question whose sentences begin with other names is caught. The pipeline compares it as well (``starts``);
+op3 does not, as its SQL defines two forms. What the third form adds is judged by itself, with first words
+as slots, so it never undoes what the other two find.
+
 An item of four to seven tokens is one window of its own length; shorter items take no part.
 """
 
@@ -47,9 +52,10 @@ def _listed(values) -> str:
 
 
 def templates(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, plain, typed, value)``: equally long arrays of template tokens and of what fills them.
+    """``(key, plain, typed, loose, value)``: equally long arrays of template tokens and of what fills them.
 
-    ``plain`` keeps names as words, ``typed`` has them as ``<name>``; a null text has no tokens.
+    ``plain`` keeps names as words, ``typed`` has them as ``<name>``, ``loose`` also the capitalised first
+    words of sentences; a null text has no tokens.
     """
     raw = rows.select(F.col(key).alias("key"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
     number = "w >= '0' and w < ':'"
@@ -62,31 +68,36 @@ def templates(rows: DataFrame, key: str, text: str) -> DataFrame:
                 'kind', case when {number} then '<num>'
                              when {after_number} and lower(w) in ({_listed(UNITS)}) then '<unit>'
                              when w in ({_listed(STOPS)}) or w in ('%', '°', '$', '€', '£') then ''
-                             when i > 0 and left(w, 1) <> lower(left(w, 1)) and substr(w, 2) = lower(substr(w, 2))
-                                  and length(w) > 1 and get(raw, i - 1) not in ({_listed(STOPS)}) then '<name>'
+                             when left(w, 1) <> lower(left(w, 1)) and substr(w, 2) = lower(substr(w, 2)) and length(w) > 1
+                                  then if(i > 0 and get(raw, i - 1) not in ({_listed(STOPS)}), '<name>', '<start>')
                              else 'w' end)), t -> t.kind <> '')"""
         ).alias("told"),
     )
     return told.select(
         "key",
-        F.expr("transform(told, t -> case when t.kind in ('w', '<name>') then t.value else t.kind end)").alias("plain"),
-        F.expr("transform(told, t -> case when t.kind = 'w' then t.value else t.kind end)").alias("typed"),
+        F.expr("transform(told, t -> case when t.kind in ('w', '<name>', '<start>') then t.value else t.kind end)").alias("plain"),
+        F.expr("transform(told, t -> case when t.kind in ('w', '<start>') then t.value else t.kind end)").alias("typed"),
+        F.expr("transform(told, t -> case t.kind when 'w' then t.value when '<start>' then '<name>' else t.kind end)").alias("loose"),
         F.expr("told.value").alias("value"),
     )
 
 
-def _windows(n: int, where: str = "true", step: int = 1) -> str:
-    """Hashes of the windows of n tokens at every ``step``-th place; those of the typed form follow if there is a name."""
+def _windows(n: int, starts: bool, where: str = "true", step: int = 1) -> str:
+    """Hashes of the windows of n tokens at every ``step``-th place; those of the other forms follow where they differ."""
     each = "transform(sequence(0, size(plain) - {n}, {step}), i -> xxhash64(slice({form}, i + 1, {n})))"
-    plain, typed = (each.format(n=n, form=f, step=step) for f in ("plain", "typed"))
-    return f"case when size(plain) >= {n} and {where} then if(array_contains(typed, '<name>'), concat({plain}, {typed}), {plain}) else array() end"
+    plain, typed, loose = (each.format(n=n, form=f, step=step) for f in ("plain", "typed", "loose"))
+    if starts:
+        forms = f"concat({plain}, if(typed <> plain, {typed}, array()), if(loose <> typed, {loose}, array()))"
+    else:
+        forms = f"if(array_contains(typed, '<name>'), concat({plain}, {typed}), {plain})"
+    return f"case when size(plain) >= {n} and {where} then {forms} else array() end"
 
 
-def _hashed(told: DataFrame, lengths: list[int], short: bool = False) -> DataFrame:
+def _hashed(told: DataFrame, lengths: list[int], starts: bool, short: bool = False) -> DataFrame:
     """``(key, length, size, at, hash)``; ``short``: windows below the full length are whole items."""
     parts = [
         told.select(
-            "key", F.lit(n).alias("length"), F.size("plain").alias("size"), F.posexplode(F.expr(_windows(n, f"size(plain) = {n}" if short and n < WINDOW else "true"))).alias("at", "hash")
+            "key", F.lit(n).alias("length"), F.size("plain").alias("size"), F.posexplode(F.expr(_windows(n, starts, f"size(plain) = {n}" if short and n < WINDOW else "true"))).alias("at", "hash")
         )
         for n in lengths
     ]
@@ -94,14 +105,14 @@ def _hashed(told: DataFrame, lengths: list[int], short: bool = False) -> DataFra
     return every.select("key", "length", (F.col("at") % (F.col("size") - F.col("length") + 1)).alias("at"), "hash")
 
 
-def _candidates(told: DataFrame, wanted: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+def _candidates(told: DataFrame, wanted: DataFrame, items: DataFrame, lengths: list[int], starts: bool) -> DataFrame:
     """Keys of all documents with a window of an item."""
     whole = [n for n in lengths if n < WINDOW]
     keys = wanted.where(F.col("length") < WINDOW).select("hash")
-    some = [told.select("key", F.explode(F.expr(_windows(n))).alias("hash")) for n in whole]
+    some = [told.select("key", F.explode(F.expr(_windows(n, starts))).alias("hash")) for n in whole]
     if WINDOW in lengths:
-        keys = keys.union(items.where(F.size("plain") >= WINDOW).select(F.explode(F.expr(_windows(PART)))))
-        some.append(told.select("key", F.explode(F.expr(_windows(PART, step=WINDOW - PART + 1))).alias("hash")))
+        keys = keys.union(items.where(F.size("plain") >= WINDOW).select(F.explode(F.expr(_windows(PART, starts)))))
+        some.append(told.select("key", F.explode(F.expr(_windows(PART, starts, step=WINDOW - PART + 1))).alias("hash")))
     hashes = _small(stored(keys.distinct(), "parts"))
     return stored(reduce(DataFrame.union, some).join(hashes, "hash", "left_semi").select("key").distinct(), "candidates")
 
@@ -111,27 +122,28 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", starts: bool = False) -> DataFrame:
     """``(doc_id, item_id, n_windows, share, n_slots)`` for each document and item it contains.
 
     ``n_windows`` counts matching windows of the best occurrence, ``share`` is their part of the
     item's windows, ``n_slots`` the item's slot values seen. Null and empty texts match nothing; rows
     without an id are not judged; rows that share an id are judged together. Empty tables give no rows.
+    ``starts``: capitalised first words of sentences can be names, too.
     """
     items = stored(templates(bench.where(F.col(item).isNotNull()), item, item_text), "items").where(F.size("plain") >= SHORTEST)
     sizes = [r[0] for r in items.select(F.least(F.size("plain"), F.lit(WINDOW)).alias("n")).distinct().collect()]  # 4 to 8
     lengths = sorted(sizes) or [WINDOW]
-    wanted = stored(_hashed(items, lengths, short=True).withColumnRenamed("key", "item_id").withColumnRenamed("at", "item_at"), "windows")
+    wanted = stored(_hashed(items, lengths, starts, short=True).withColumnRenamed("key", "item_id").withColumnRenamed("at", "item_at"), "windows")
     told = templates(docs.where(F.col(id_col).isNotNull()), id_col, text)
-    ids = _small(_candidates(told, wanted, items, lengths).withColumnRenamed("key", id_col))
+    ids = _small(_candidates(told, wanted, items, lengths, starts).withColumnRenamed("key", id_col))
     found = stored(templates(docs.join(ids, id_col, "left_semi"), id_col, text), "candidates")
     hashes = _small(wanted.select("hash").distinct())
-    seen = _hashed(found, lengths).join(hashes, "hash", "left_semi").withColumnRenamed("key", "doc_id")
+    seen = _hashed(found, lengths, starts).join(hashes, "hash", "left_semi").withColumnRenamed("key", "doc_id")
     pairs = seen.join(wanted, ["hash", "length"]).select("doc_id", "item_id", "length", "at", "item_at").distinct()
 
     # the tokens themselves decide, and show what fills the slots
-    of_doc = found.select(F.col("key").alias("doc_id"), F.col("plain").alias("dp"), F.col("typed").alias("dt"), F.col("value").alias("dv"))
-    of_item = items.select(F.col("key").alias("item_id"), F.col("plain").alias("ip"), F.col("typed").alias("it"), F.col("value").alias("iv"))
+    of_doc = found.select(F.col("key").alias("doc_id"), F.col("plain").alias("dp"), F.col("typed").alias("dt"), F.col("loose").alias("dl"), F.col("value").alias("dv"))
+    of_item = items.select(F.col("key").alias("item_id"), F.col("plain").alias("ip"), F.col("typed").alias("it"), F.col("loose").alias("il"), F.col("value").alias("iv"))
     cut = lambda name, at: f"slice({name}, {at} + 1, length)"
     held = (
         pairs.join(of_doc, "doc_id")
@@ -139,15 +151,19 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str
         .select(
             "doc_id", "item_id", "at", "item_at", F.expr("size(ip) - length + 1").alias("of"),
             F.expr(f"{cut('dp', 'at')} = {cut('ip', 'item_at')} or {cut('dt', 'at')} = {cut('it', 'item_at')}").alias("same"),
-            F.expr(f"arrays_zip({cut('it', 'item_at')}, {cut('iv', 'item_at')}, {cut('dv', 'at')})").alias("zip"),
+            F.expr(f"{cut('dl', 'at')} = {cut('il', 'item_at')}" if starts else "false").alias("alike"),
+            F.expr(f"{cut('it', 'item_at')}").alias("it"), F.expr(f"{cut('il', 'item_at')}").alias("il"),
+            F.expr(f"{cut('iv', 'item_at')}").alias("iv"), F.expr(f"{cut('dv', 'at')}").alias("dv"),
         )
-        .where("same")
+        .where("same or alike")
+        .withColumn("wider", F.explode(F.expr("if(same, array(false, true), array(true))" if starts else "array(false)")))  # with the third form
+        .withColumn("kind", F.expr("if(wider, il, it)"))
         .select(
-            "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "of",
-            F.expr("transform(filter(zip, z -> z['0'] like '<%'), z -> struct(z['1'] as mine, z['2'] as theirs))").alias("slots"),
+            "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", "of", "wider",
+            F.expr("transform(filter(arrays_zip(kind, iv, dv), z -> z.kind like '<%'), z -> struct(z.iv as mine, z.dv as theirs))").alias("slots"),
         )
     )
-    by = ["doc_id", "item_id", "diagonal"]
+    by = ["doc_id", "item_id", "diagonal", "wider"]
     counted = held.groupBy(by).agg(F.count_distinct("item_at").alias("n_windows"), F.max("of").alias("of"))
     slots = held.select(*by, F.explode("slots").alias("s")).groupBy(by).agg(
         F.count_distinct("s").alias("n_pairs"), F.count_distinct("s.mine").alias("n_mine"), F.count_distinct("s.theirs").alias("n_theirs")
@@ -164,7 +180,7 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; the columns stay as they are."""
-    found = stored(matches(docs, bench).select("doc_id").distinct(), "contaminated")
+    found = stored(matches(docs, bench, starts=True).select("doc_id").distinct(), "contaminated")
     return docs.join(_small(found), "doc_id", "left_anti").select(*docs.columns)
 
 
