@@ -90,6 +90,30 @@ def test_concatenated_seed_words_block(pages):
     assert all(got[i] == "allow" for i in [*range(40), 201]) and all(got[100 + i] == "block" for i in range(5))
 
 
+@pytest.mark.parametrize("limit", [2, 100_000])
+def test_every_word_and_token_counts_whatever_fits_a_task(pages, monkeypatch, limit):
+    monkeypatch.setattr(urls, "LIMIT", limit, raising=False)
+    slug = "very" * 20
+    rows = [(i, f"http://green{w}.org/a{i % 3}/{slug}{'xy'[i % 2]}", f"<title>green {w} day</title>") for i, w in enumerate(["tea", "ivy", "hat", "sea"] * 3)]
+    rows += [(50 + i, f"http://best{w}.net/{slug}x/b", f"<title>best {w}</title>") for i, w in enumerate(["poker", "casino", "poker"])]
+    titles = [w for _, _, t in rows for w in t[7:-8].split()]
+    costs = {w: -math.log(titles.count(w) / len(titles)) for w in titles}
+    model = urls.Unigrams(costs | {w: min(costs.get(w, math.inf), math.log(1000)) for w in urls.SEEDS}, float(len(titles)))
+    said = {}
+    for i, url, _ in rows:
+        host, _, path = url[7:].partition("/")
+        said[i] = ["h:" + w for label in host.split(".") for w in model.split(label)]
+        for part in path.split("/"):
+            said[i] += ["p:" + part.rstrip("012"), "p:#"] if part[-1].isdigit() else ["p:" + part]
+    sides = {s: [i for i in said if bool({"h:" + w for w in urls.SEEDS} & set(said[i])) == s] for s in (True, False)}
+    every = {s: [t for i in sides[s] for t in said[i]] for s in sides}
+    n = len({t for s in every.values() for t in s})
+    odds = {t: math.log((every[True].count(t) + 1) / (len(every[True]) + n)) - math.log((every[False].count(t) + 1) / (len(every[False]) + n)) for i in said for t in said[i]}
+    want = {i: math.log(len(sides[True]) / len(sides[False])) + sum(odds[t] for t in said[i]) for i in said}
+    got = urls.judge(pages(rows), rules=(("block", "nowhere", "/"),)).collect()
+    assert len(sides[True]) == 3 and {r.page_id: r.score for r in got} == pytest.approx(want)
+
+
 # --- top-k ---------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,8 @@ Host labels such as ``cheappills`` are split into words by the most likely seque
 model (Viterbi); the unigrams are the words of all page titles and the seed words. Multinomial naive
 Bayes learns from all pages: those whose segmented host has a seed word are examples of what to block,
 the others of what to allow. So words that go with the seeds count too. Rules speak of sections, not of
-unwanted hosts, so they are no labels; where one fits, it decides. Counts cover all rows.
+unwanted hosts, so they are no labels; where one fits, it decides. Counts cover all rows, and every word
+and token has its own: they are looked up by joins, the most used keys by broadcast, the others by shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql import types as T
 
 from tilewright.llm.common import stored
 
-#: Sizes of the models that travel to the tasks: the most frequent words and tokens.
-WORDS, TOKENS, LONGEST = 50_000, 100_000, 20
+#: Keys of a lookup that travel to every task, and letters of the longest word.
+LIMIT, LONGEST = 100_000, 20
 #: Verdict, host and path prefix of each rule.
 RULES = (
     ("allow", "com", "/"),
@@ -85,73 +86,82 @@ class Unigrams:
         return out[::-1]
 
 
-def unigrams(pages: DataFrame, html: str = "html", words: int = WORDS, seeds: tuple[str, ...] = SEEDS) -> Unigrams:
-    """Word counts over the titles of all pages; a seed word counts as one in a thousand words at least."""
+def looked_up(rows: DataFrame, table: DataFrame, key: str, uses: str) -> DataFrame:
+    """Inner join with a table of distinct keys; whatever its size, no key that many rows use is shuffled."""
+    if table.count() <= LIMIT:
+        return rows.join(F.broadcast(table.drop(uses)), key)
+    hot = F.broadcast(stored(table.orderBy(F.desc(uses), key).limit(LIMIT), "hot"))
+    rest = table.join(hot.select(key), key, "left_anti")
+    near, far = rows.join(hot.drop(uses), key), rows.join(hot.select(key), key, "left_anti").join(rest.drop(uses), key)
+    return near.unionByName(far)
+
+
+def unigrams(pages: DataFrame, html: str = "html") -> tuple[DataFrame, float]:
+    """``(word, count)`` over the titles of all pages, and the sum of the counts."""
     title = F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1)
     every = pages.select(F.explode(F.regexp_extract_all(F.lower(title), F.lit(r"\p{L}{2,20}"), F.lit(0))).alias("word"))
-    counts = every.groupBy("word").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    top = stored(counts.orderBy(F.desc("count"), "word").limit(words), "words").collect()  # tasks merge their top rows
-    costs = {r["word"]: -math.log(r["count"] / total) for r in top}
-    costs |= {w: min(costs.get(w, math.inf), math.log(1000)) for w in seeds}
-    return Unigrams(costs, float(total or 1))
+    counts = stored(every.groupBy("word").count(), "words")
+    return counts, float(counts.agg(F.sum("count")).first()[0] or 1)
 
 
 _NAME = re.compile(r"[^\W\d_]+|\d+")
 
 
-def url_tokens(host: str, path: str, model: Unigrams, seen: dict[str, list[str]]) -> list[str]:
-    """Host words and path words, each with its place; numbers are one token."""
-    out = []
-    for label in host.split("."):
-        for name in _NAME.findall(label):
-            if name not in seen:
-                seen[name] = ["#"] if name.isdigit() else model.split(name)
-            out += ["h:" + w for w in seen[name]]
-    for name in _NAME.findall(path.lower()):
-        out.append("p:#" if name.isdigit() else "p:" + name[:64])
-    return out
+def segmented(hosts: DataFrame, counts: DataFrame, total: float, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    """``(host, words)`` of distinct hosts; a seed word counts as one in a thousand words at least."""
 
-
-def tokenized(rows: DataFrame, model: Unigrams) -> DataFrame:
-    """``rows`` (with host and path) and their ``tokens``."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for host in b.column(0).to_pylist():
+                names = [x for x in _NAME.findall(host) if not x.isdigit()]
+                rows += [(host, w) for w in {x[i:j] for x in names for i in range(len(x)) for j in range(i + 2, min(i + LONGEST, len(x)) + 1)}]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows) if rows else ((), ()))], names=["host", "word"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, list[str]] = {}
         for b in batches:
-            at, to = b.schema.get_field_index("host"), b.schema.get_field_index("path")
-            tokens = [url_tokens(h, p, model, seen) for h, p in zip(b.column(at).to_pylist(), b.column(to).to_pylist())]
-            if len(seen) > 200_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.list_(pa.string()))], names=[*b.schema.names, "tokens"])
+            words = []
+            for host, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                costs = {r["word"]: -math.log(r["count"] / total) for r in known or ()}
+                model = Unigrams(costs | {w: min(costs.get(w, math.inf), math.log(1000)) for w in seeds}, total)
+                words.append([w for label in host.split(".") for x in _NAME.findall(label) for w in (["#"] if x.isdigit() else model.split(x))])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["host", "words"])
 
-    return rows.mapInArrow(split, T.StructType([*rows.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))]))
+    pieces = stored(hosts.mapInArrow(cut, "host string, word string"), "pieces")
+    table = stored(counts.join(pieces.groupBy("word").agg(F.count("*").alias("uses")), "word"), "known-words")
+    known = looked_up(pieces, table, "word", "uses").groupBy("host").agg(F.collect_list(F.struct("word", "count")).alias("known"))
+    return hosts.join(known, "host", "left").select("host", "known").mapInArrow(split, "host string, words array<string>")
 
 
-@dataclass
-class Bayes:
-    """Log odds of block against allow."""
+def tokenized(rows: DataFrame) -> DataFrame:
+    """``rows`` (with path and host words) and their ``tokens``: host and path words, each with its place; numbers are one token."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, to = b.schema.get_field_index("words"), b.schema.get_field_index("path")
+            names = (_NAME.findall(p.lower()) for p in b.column(to).to_pylist())
+            tokens = [["h:" + x for x in w] + ["p:#" if x.isdigit() else "p:" + x for x in n] for w, n in zip(b.column(at).to_pylist(), names)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tokens, pa.list_(pa.string()))], names=[*b.schema.names, "tokens"])
 
-    prior: float = 0.0
-    odds: dict[str, float] = field(default_factory=dict)
+    return rows.mapInArrow(split, T.StructType([*rows.schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))]))
 
-    def score(self, tokens: list[str]) -> float:
-        return self.prior + sum(self.odds.get(t, 0.0) for t in tokens)
 
+def fit_bayes(rows: DataFrame) -> tuple[float, DataFrame | None]:
+    """From ``(tokens, label)``: the prior and ``(token, odds, uses)``, log odds of block against allow.
 
-def fit_bayes(rows: DataFrame, tokens: int = TOKENS) -> Bayes:
-    """From ``(tokens, label)``; with rows of one class only, or none, everything is allowed."""
+    With rows of one class only, or none, everything is allowed.
+    """
     classes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(classes) < 2:
-        return Bayes(-1.0)
+        return -1.0, None
     block, allow = (F.sum(F.when(F.col("label") == c, 1).otherwise(0)).alias(c) for c in ("block", "allow"))
     counts = stored(rows.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(block, allow), "url-tokens")
     whole = counts.agg(F.sum("block").alias("block"), F.sum("allow").alias("allow"), F.count("*").alias("n")).first()
+    prior = math.log(classes["block"] / classes["allow"])
     if not whole.n:
-        return Bayes(math.log(classes["block"] / classes["allow"]))
-    top = stored(counts.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(tokens), "tokens").collect()
-    odds = {r.token: math.log((r.block + 1) / (whole.block + whole.n)) - math.log((r.allow + 1) / (whole.allow + whole.n)) for r in top}
-    return Bayes(math.log(classes["block"] / classes["allow"]), odds)
+        return prior, None
+    odds = F.log((F.col("block") + 1) / (whole.block + whole.n)) - F.log((F.col("allow") + 1) / (whole.allow + whole.n))
+    return prior, counts.select("token", odds.alias("odds"), (F.col("block") + F.col("allow")).alias("uses"))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", rules=RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
@@ -160,18 +170,20 @@ def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str
     ``score`` is the log odds for block; the verdict is the rule's, else ``block`` above 0 and ``allow``
     otherwise. A url that is null or has no host is judged by the prior.
     """
-    words = unigrams(pages, html, seeds=seeds)
+    counts, total = unigrams(pages, html)
     parts = pages.select(F.col(id_col).alias("page_id"), *host_and_path(url)).select("page_id", "host", "path", *ruled(rules))
-    rows = stored(tokenized(parts, words), "urls")
+    hosts = stored(parts.groupBy("host").agg(F.count("*").alias("uses")), "hosts")
+    split = stored(segmented(hosts.select("host"), counts, total, seeds).join(hosts, "host"), "host-words")
+    rows = stored(tokenized(looked_up(parts, split, "host", "uses")).withColumn("row", F.monotonically_increasing_id()), "urls")
     seeded = F.arrays_overlap("tokens", F.array(*[F.lit("h:" + w) for w in seeds]))
-    model = fit_bayes(rows.select("tokens", F.when(seeded, "block").otherwise("allow").alias("label")))
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = [model.score(t) for t in b.column(5).to_pylist()]
-            verdicts = [v or ("block" if s > 0 else "allow") for v, s in zip(b.column(4).to_pylist(), scores)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
-
-    fields = [rows.schema[c] for c in ("page_id", "host", "path", "rule")]
-    schema = T.StructType([*fields, T.StructField("verdict", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.select("page_id", "host", "path", "rule", "ruled", "tokens").mapInArrow(decide, schema)
+    prior, odds = fit_bayes(rows.select("tokens", F.when(seeded, "block").otherwise("allow").alias("label")))
+    score = F.lit(prior)
+    if odds is not None:
+        each = looked_up(rows.select("row", F.posexplode("tokens").alias("at", "token")), odds, "token", "uses")
+        # summed in the order of the url, so that no run differs in the last bit
+        summed = F.aggregate(F.array_sort(F.collect_list(F.struct("at", "odds"))), F.lit(0.0), lambda x, t: x + t["odds"])
+        rows = rows.join(each.groupBy("row").agg(summed.alias("sum")), "row", "left")
+        score = score + F.coalesce("sum", F.lit(0.0))
+    judged = rows.withColumn("score", score)
+    verdict = F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict")
+    return judged.select("page_id", "host", "path", "rule", verdict, "score")
