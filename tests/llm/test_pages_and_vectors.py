@@ -49,6 +49,16 @@ def test_style_tree_removes_what_repeats_on_a_site(spark, pages):
     assert sitetree.extract(pages(rows).where("false")).count() == 0
 
 
+def test_one_rule_for_hosts_of_any_size_and_pages_without_body(pages):
+    site = "<html><body><div class=only{0}>Join our club</div><div class=y>Own words {1} of page {1}</div></body></html>"
+    rows = [(100 * n + i, f"http://h{n}.com/{i}", site.format(n, f"{n}-{i}")) for n in (2, 5, 19, 20, 60) for i in range(n)]
+    bare = "<title>T</title><div class=z>Join our club</div><div class=y>Own words {0} of page {0}</div>"
+    rows += [(9000 + i, f"http://bare.com/{i}", bare.format(i)) for i in range(30)] + [(9999, "http://one.com/", site.format("one", "x"))]
+    got = {r.page_id: r.text for r in sitetree.extract(pages(rows)).collect()}
+    assert got.pop(9999) == "Join our club\nOwn words x of page x"  # a single page says nothing
+    assert len(got) == len(rows) - 1 and all(t.startswith("Own words ") and "club" not in t for t in got.values())
+
+
 # --- urls ----------------------------------------------------------------------------------------
 
 

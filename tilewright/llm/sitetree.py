@@ -4,7 +4,8 @@ The DOMs of a host are merged: nodes with the same path of tags and classes are
 style tree. An element knows, over the distinct pages of its host, the styles (sequences of child
 elements) and the texts that it had. Its importance is the entropy of both, as a part of the largest
 possible entropy: a menu that is the same on every page has 0, an article 1. Elements of low importance
-are noise and go with their branch; for a host with few pages the tree over all hosts decides.
+are noise and go with their branch. The tree over all hosts counts besides with up to 20 pages, so the fewer
+pages a host has, the more the others decide; one rule holds for hosts of any size.
 
 Elements whose name or class says what they are need no statistics: scripts, styles, menus, headers,
 footers, sidebars, forms, notices, adverts and comments always go. Headings and paragraphs of an
@@ -23,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import stored
-from tilewright.llm.urls import host_and_path
+from tilewright.llm.urls import host_and_path, looked_up
 
-#: Pages from which a host's own tree decides; importance below which a branch goes.
+#: Pages that the tree of all hosts counts beside a host's own; importance below which a branch goes.
 PAGES, IMPORTANCE = 20, 0.35
-#: Rows of noise lists up to which they travel to every task.
-BROADCAST_ROWS = 50_000
+#: Paths that never go: the page itself, and what stands in its head.
+OUTSIDE = r"^(/html(\.[^/]*)?)?(/(head|title|meta|link|base|script|style|noscript)(\.[^/]*)?(/.*)?)?$"
 
 #: Names of elements.
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp", "noembed", "noframes")
@@ -211,16 +212,24 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def noise_paths(tree: DataFrame, pages: int = PAGES, importance: float = IMPORTANCE) -> DataFrame:
-    """``(host, noise)``: the paths that go; the null host is for hosts without enough pages.
+    """``(host, noise, uses)`` of every host: the paths that go, and the most pages of one path.
 
-    An element is as important as the most important one inside it.
+    A value is the mean of the host's and of all hosts', weighted by pages, the latter by ``pages`` at
+    most. An element is as important as the most important one inside it.
     """
-    own = tree.where((F.col("n_pages") >= pages) & F.col("path").contains("/body"))
-    low = F.greatest("importance", "texts") < importance
+    every = tree.where(F.col("host").isNull()).select(
+        "path", F.least("n_pages", F.lit(pages)).alias("m"), F.col("texts").alias("t"), F.col("importance").alias("i"), F.col("n_pages").alias("uses")
+    )
+    own = looked_up(tree.where(F.col("host").isNotNull()), stored(every, "all-hosts"), "path", "uses")
+    mean = lambda mine, all_: (F.col("n_pages") * F.col(mine) + F.col("m") * F.col(all_)) / (F.col("n_pages") + F.col("m"))
+    low = F.greatest(mean("importance", "i"), mean("texts", "t")) < importance
+    judged = F.col("path").contains("/body") | ~F.col("path").rlike(OUTSIDE)  # the tag <body> may be left out
     sides = own.groupBy("host").agg(
-        F.collect_list(F.when(low, F.col("path"))).alias("low"), F.collect_list(F.when(~low, F.concat("path", F.lit("/")))).alias("kept")
+        F.collect_list(F.when(judged & low, F.col("path"))).alias("low"),
+        F.collect_list(F.when(judged & ~low, F.concat("path", F.lit("/")))).alias("kept"),
+        F.max("n_pages").alias("uses"),
     )
-    return sides.select("host", F.expr("filter(low, p -> not exists(kept, q -> startswith(q, p || '/')))").alias("noise"))
+    return sides.select("host", F.expr("filter(low, p -> not exists(kept, q -> startswith(q, p || '/')))").alias("noise"), "uses")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -229,18 +238,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     ``n_chars`` counts code points. Pages without a host share the tree of the empty host.
     """
     lists = stored(noise_paths(style_tree(pages, url, html)), "noise")
-    default = lists.where(F.col("host").isNull()).select("noise").first()
-    fallback = frozenset(default.noise) if default else frozenset()
-    lists = lists.where(F.col("host").isNotNull())
-    if lists.count() <= BROADCAST_ROWS:
-        lists = F.broadcast(lists)
-    rows = pages.select(F.col(id_col), F.col(url), host_and_path(url)[0], F.col(html)).join(lists, "host", "left").select(id_col, url, html, "noise")
+    read = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host_and_path(url)[0], F.col(html).alias("html"))
+    rows = looked_up(read, lists, "host", "uses").select("page_id", "url", "html", "noise")
     schema = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pages_, lists_ = b.column(2).to_pylist(), b.column(3).to_pylist()
-            texts = [main_text(p, fallback if n is None else frozenset(n)) for p, n in zip(pages_, lists_)]
+            texts = [main_text(p, frozenset(n)) for p, n in zip(pages_, lists_)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(take, schema)
