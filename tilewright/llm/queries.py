@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import decontaminate, language, neardup, packing, shards, sitetree, suffix, tokens, topk, urls
+from tilewright.llm import decontaminate, filteraudit, language, lexical, neardup, packing, prefixtree, shards, sitetree, suffix, tokens, topk, urls
 from tilewright.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,18 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_urls")
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read(spark, sf_dir, "pages"))
+
+
+@query("op11_filter_audit", filteraudit.ORACLE)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op12_lexical_search", lexical.ORACLE)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op13_ngram_join", prefixtree.ORACLE)
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtree.join(read(spark, sf_dir, "documents"))
