@@ -26,11 +26,11 @@ def package_zip(target: str) -> str:
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors, once for each application.
 
-    A local master has them beside the driver. Where the package is installed on the
-    cluster (``pip install .``), the copy does no harm.
+    A local master gets it, too: its Python workers find the package only where the driver was
+    started in its folder. Where it is installed (``pip install .``), the copy does no harm.
     """
     sc = spark.sparkContext
-    if sc.master.startswith("local") or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     sc.addPyFile(package_zip(os.path.join(tempfile.mkdtemp(prefix="tilewright-"), "tilewright.zip")))
     _shipped.add(sc.applicationId)
