@@ -10,8 +10,10 @@ hash). Any fixed order is right; this one keeps passages that many documents sha
    sets have gets a home, the smallest id among them, and a set goes to the distinct homes of its
    shingles. Two partners share a shingle, so they meet at its home; near copies mostly share homes,
    so a set travels to few of them.
-2. The sets of a home are cut into blocks of bounded size, and its first sets are put in every block. A block's
-   sets are stored in a prefix tree. It is walked once for all sets at a time: a node carries the
+2. The sets of a home are cut into blocks of bounded size, and its first sets are put in every block. First
+   their parity bitmaps meet: two sets differ in at least as many members as their bitmaps differ in
+   bits, so a set that is too far from all others of its block stays behind, and only the
+   others are sent whole. A block's sets are stored in a prefix tree. It is walked once for all sets at a time: a node carries the
    partial overlap of every set that is still in question, shared by all leaves below, and a set leaves a
    subtree when the overlap so far plus the smaller remaining length cannot reach the least overlap
    needed there. Only links that join components are returned.
@@ -22,6 +24,7 @@ hash). Any fixed order is right; this one keeps passages that many documents sha
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +44,8 @@ PER_COUNTER, COUNTERS = 128, 1 << 22
 SLICE = 1 << 16
 #: Sets and shingles of a block, sets of a home that every block holds, rows that a task gets at once.
 MEMBERS, SHINGLES, LEADS, PART_ROWS = 512, 1 << 17, 16, 1024
+#: Bits of the smallest and the largest parity bitmap, rows of bitmaps that are held against each other at once.
+LEAST_BITS, MOST_BITS, NEAR_ROWS = 64, 8192, 512
 
 _U = np.uint64
 _LOW = _U((1 << 56) - 1)
@@ -62,7 +67,7 @@ def rarity(docs: DataFrame, text: str = "text", words: int = WORDS) -> np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([_bytes(total[a : a + SLICE]) for a in at], pa.binary())], names=["at", "counts"])
 
     def add(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": [key[0]], "counts": [_bytes(sum(np.frombuffer(c, np.int64) for c in group["counts"]))]})
+        return pd.DataFrame({"at": [key[0]], "counts": [_bytes(sum(_numbers(c) for c in group["counts"]))]})
 
     # partial sums of a few tasks first, so that no task reads a slice of all of them
     parts = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("binary")).mapInArrow(count, "at long, counts binary")
@@ -70,13 +75,17 @@ def rarity(docs: DataFrame, text: str = "text", words: int = WORDS) -> np.ndarra
     sums = few.groupBy("at", "few").applyInPandas(lambda k, g: add(k, g), "at long, counts binary").groupBy("at").applyInPandas(add, "at long, counts binary")
     total = np.zeros(n, np.int64)
     for r in sums.collect():  # at most COUNTERS numbers
-        c = np.frombuffer(r.counts, np.int64)
+        c = _numbers(r.counts)
         total[r["at"] : r["at"] + len(c)] = c
     return np.minimum(4 * np.log2(total + 1), 255).astype(np.uint8)
 
 
 def _bytes(a: np.ndarray) -> bytes:
-    return a.astype(np.int64).tobytes()
+    return zlib.compress(a.astype("<i8").tobytes(), 1)
+
+
+def _numbers(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b), "<i8")
 
 
 def _slices(b: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
@@ -101,6 +110,34 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n // 100) + 1
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parity bitmap of a set: a bit says whether an odd number of members fell on it; about two bits a member."""
+    bits = min(max(1 << (2 * len(s) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    return (np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+
+
+def _folded(bitmap: np.ndarray, bits: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bitmap.reshape(-1, bits), axis=0)
+
+
+def plausible(cell: np.ndarray, component: np.ndarray, size: np.ndarray, bitmaps: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which rows have another one in their cell that is not too far for a link, in another component."""
+    keep = np.zeros(len(cell), bool)
+    width = np.array([len(x) for x in bitmaps])
+    for bits in np.unique(width).tolist():
+        mine, wider = np.flatnonzero(width == bits), np.flatnonzero((width >= bits) & (size * percent <= 100 * size[width == bits].max()))
+        a = 1 - 2 * np.stack([bitmaps[i] for i in mine]).astype(np.float32)
+        b = 1 - 2 * np.stack([_folded(bitmaps[i], bits) for i in wider]).astype(np.float32)
+        differ = (bits - (a @ b.T)) / 2  # whole numbers below 2**24 are exact
+        both = size[mine][:, None] + size[wider][None, :]
+        near = (differ <= both - 2 * least_overlap(both, 0, percent)) & (cell[mine][:, None] == cell[wider][None, :])
+        near &= component[mine][:, None] != component[wider][None, :]
+        near &= 100 * np.minimum(size[mine][:, None], size[wider][None, :]) >= percent * np.maximum(size[mine][:, None], size[wider][None, :])
+        keep[mine[near.any(axis=1)]] = True
+        keep[wider[near.any(axis=0)]] = True
+    return keep
+
+
 class Tree:
     """Ordered sets in a prefix tree, walked for all of them at once.
 
@@ -177,6 +214,21 @@ class Tree:
         return found
 
 
+def _near(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of each cell that have a plausible partner; small cells are held against themselves together."""
+    group = group.sort_values(["cell", "head"], kind="stable").drop_duplicates(["cell", "head"])
+    cell = group["cell"].to_numpy()
+    edges = [*np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)).tolist(), len(cell)]
+    keep, start = [], 0
+    for a, b in zip(edges, edges[1:]):
+        if b - start >= NEAR_ROWS or b == len(cell):
+            part = group.iloc[start:b]
+            bitmaps = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in part["bits"]]
+            keep.append(plausible(part["cell"].to_numpy(), part["component"].to_numpy(), part["n"].to_numpy(), bitmaps, percent))
+            start = b
+    return group.loc[np.concatenate(keep), ["cell", "head", "component", "n"]]
+
+
 def _walk(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """For each cell, links that join its components."""
     found: list[tuple[int, int]] = []
@@ -189,22 +241,23 @@ def _walk(group: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def signatures(docs: DataFrame, classes: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n, key, prefix)`` of every row; an empty set has a null key."""
+    """``(doc_id, n, key, prefix, bits)`` of every row; an empty set has a null key."""
     known = docs.sparkSession.sparkContext.broadcast(classes)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in _slices(b, 1):
-                sizes, keys, prefixes = [], [], []
+                sizes, keys, prefixes, bits = [], [], [], []
                 for s in shingle_sets(part.column(1).to_pylist(), words):
                     s = ordered(s, known.value)
                     sizes.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     prefixes.append(s[: prefix_length(len(s), percent)].astype(np.int64) if len(s) else [])
-                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "prefix"])
+                    bits.append(np.packbits(parity(s)).tobytes() if len(s) else b"")
+                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "prefix", "bits"])
 
-    return docs.mapInArrow(sign, "doc_id long, n long, key binary, prefix array<long>")
+    return docs.mapInArrow(sign, "doc_id long, n long, key binary, prefix array<long>, bits binary")
 
 
 def _sets(docs: DataFrame, heads: DataFrame, classes: np.ndarray, words: int) -> DataFrame:
@@ -221,12 +274,21 @@ def _sets(docs: DataFrame, heads: DataFrame, classes: np.ndarray, words: int) ->
     return docs.join(heads.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(make, "head long, key binary, items binary")
 
 
-def _joined(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links found in ``cells (cell, head, component, n)``."""
-    whole = cells.agg(F.count("*"), F.sum("n")).first()
-    parts = max(1, -(-whole[0] // PART_ROWS), -(-(whole[1] or 0) // (2 * SHINGLES)))
-    dealt = cells.select("cell", "head", "component").join(sets, "head").withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(parts)))
-    return stored(dealt.groupBy("part").applyInPandas(lambda g: _walk(g, percent), "a long, b long"), "links")
+def _dealt(cells: DataFrame, weight: str, most: int) -> DataFrame:
+    """``cells`` with a ``part``: whole cells, about ``PART_ROWS`` rows and a bounded weight for each."""
+    whole = cells.agg(F.count("*"), F.sum(weight)).first()
+    parts = max(1, -(-whole[0] // PART_ROWS), -(-(whole[1] or 0) // most))
+    return cells.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(parts)))
+
+
+def _joined(cells: DataFrame, rows: DataFrame, heads: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
+    """The links that join components, found in ``cells (cell, head, component, n)``."""
+    light = _dealt(cells, "n", 16 * SHINGLES).join(heads.select("head", "n", "bits"), ["head", "n"])
+    near = light.groupBy("part").applyInPandas(lambda g: _near(g, percent), "cell long, head long, component long, n long")
+    near = stored(near, "near")
+    sets = stored(_sets(rows, near, classes, words).join(heads.select("key", "head"), ["key", "head"], "left_semi").select("head", "items").distinct(), "sets")
+    heavy = _dealt(near, "n", 2 * SHINGLES).select("part", "cell", "head", "component").join(sets, "head")
+    return stored(heavy.groupBy("part").applyInPandas(lambda g: _walk(g, percent), "a long, b long"), "links")
 
 
 def join(
@@ -245,20 +307,18 @@ def join(
     signed = stored(signatures(rows, classes, words, percent), "signatures")
     inside = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     # a set is named by its smallest id; ids that repeat may stand for several sets
-    heads = stored(inside.groupBy("key").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "heads")
+    heads = stored(inside.groupBy("key").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "heads")
     entries = heads.select("head", "n", F.explode("prefix").alias("token"))
     tokens = entries.groupBy("token").agg(F.min("head").alias("home"), F.count("*").alias("size")).where("size > 1").drop("size")
     homes = stored(entries.join(tokens, "token").groupBy("home", "head").agg(F.max("n").alias("n")), "homes")
     wide = homes.groupBy("home").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
     blocks = F.greatest(F.ceil(F.col("size") / members), F.ceil(F.col("weight") / shingles)).cast("int")
     placed = stored(homes.join(wide, "home").withColumn("blocks", F.least(blocks, "size")).withColumn("block", F.pmod(F.xxhash64("head", "home"), "blocks").cast("int")), "placed")
-    sets = stored(_sets(rows, placed, classes, words).join(heads.select("key", "head"), ["key", "head"], "left_semi").select("head", "items").distinct(), "sets")
-
     rank = F.row_number().over(Window.partitionBy("home").orderBy("head"))
     first = placed.where("blocks > 1").withColumn("rank", rank).where(F.col("rank") <= leads)
     everywhere = first.select("home", "head", "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     blocked = placed.select("home", "head", "n", "block").unionByName(everywhere.select("home", "head", "n", "block")).distinct()
-    links = _joined(blocked.select(F.xxhash64("home", "block").alias("cell"), "head", F.col("head").alias("component"), "n"), sets, percent)
+    links = _joined(blocked.select(F.xxhash64("home", "block").alias("cell"), "head", F.col("head").alias("component"), "n"), rows, heads, classes, words, percent)
     labels = components(links)
 
     named = placed.where("blocks > 1").join(labels.withColumnRenamed("node", "head"), "head", "left").withColumn("component", F.coalesce("component", "head"))
@@ -269,7 +329,7 @@ def join(
     cells = stored(pairs.select(cell, "head", "component", "n"), "cells")
     mixed = cells.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("cell")
     if not cells.isEmpty():
-        further = _joined(cells.join(mixed, "cell"), sets, percent)
+        further = _joined(cells.join(mixed, "cell"), rows, heads, classes, words, percent)
         labels = components(links.union(further))
 
     classed = heads.select("key", "head").join(labels.withColumnRenamed("node", "head"), "head", "left").select("key", F.coalesce("component", "head").alias("component_id"))
