@@ -216,7 +216,9 @@ def test_trees_find_every_link_once():
 
 
 def test_repeated_and_missing_ids_in_a_join(make):
-    t = text_of(3, 50)
+    t, u = text_of(3, 50), text_of(4, 60)
+    docs = make([(20, t + " one"), (20, u + " one"), (21, u + " two"), (22, t + " two")])
+    assert {r.component_id for r in prefixtree.join(docs).collect()} == {20}
     docs = make([(5, t), (4, t.upper()), (4, t), (7, ""), (8, None), (None, t), (9, "other words"), (9, t)])
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in prefixtree.join(docs).collect())
     assert got == [(0, 48, None), (4, 48, 4), (4, 48, 4), (5, 48, 4), (7, 0, 7), (8, 0, 8), (9, 1, 9), (9, 48, 4)]

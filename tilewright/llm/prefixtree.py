@@ -43,7 +43,7 @@ PER_COUNTER, COUNTERS = 128, 1 << 22
 #: Counters of a slice that travels by itself.
 SLICE = 1 << 16
 #: Sets and shingles of a block, sets of a home that every block holds, rows that a task gets at once.
-MEMBERS, SHINGLES, LEADS, PART_ROWS = 512, 1 << 17, 16, 1024
+MEMBERS, SHINGLES, LEADS, PART_ROWS = 512, 1 << 17, 16, 256
 #: Bits of the smallest and the largest parity bitmap, rows of bitmaps that are held against each other at once.
 LEAST_BITS, MOST_BITS, NEAR_ROWS = 64, 8192, 512
 
@@ -111,8 +111,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """The parity bitmap of a set: a bit says whether an odd number of members fell on it; about two bits a member."""
-    bits = min(max(1 << (2 * len(s) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    """The parity bitmap of a set: a bit says whether an odd number of members fell on it; half a bit to one for a member."""
+    bits = min(max(1 << (len(s) // 2).bit_length(), LEAST_BITS), MOST_BITS)
     return (np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
 
 
@@ -216,7 +216,7 @@ class Tree:
 
 def _near(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """The rows of each cell that have a plausible partner; small cells are held against themselves together."""
-    group = group.sort_values(["cell", "head"], kind="stable").drop_duplicates(["cell", "head"])
+    group = group.sort_values(["cell", "head"], kind="stable").drop_duplicates(["cell", "head", "n", "bits"])
     cell = group["cell"].to_numpy()
     edges = [*np.flatnonzero(np.diff(cell, prepend=cell[0] - 1)).tolist(), len(cell)]
     keep, start = [], 0
@@ -226,14 +226,14 @@ def _near(group: pd.DataFrame, percent: int) -> pd.DataFrame:
             bitmaps = [np.unpackbits(np.frombuffer(x, np.uint8)) for x in part["bits"]]
             keep.append(plausible(part["cell"].to_numpy(), part["component"].to_numpy(), part["n"].to_numpy(), bitmaps, percent))
             start = b
-    return group.loc[np.concatenate(keep), ["cell", "head", "component", "n"]]
+    return group.loc[np.concatenate(keep), ["cell", "head", "component", "n"]].drop_duplicates(["cell", "head"])
 
 
 def _walk(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     """For each cell, links that join its components."""
     found: list[tuple[int, int]] = []
     for _, cell in group.groupby("cell", sort=False):
-        cell = cell.drop_duplicates("head")
+        cell = cell.drop_duplicates(["head", "items"])
         head = cell["head"].tolist()
         tree = Tree([np.frombuffer(x, _U) for x in cell["items"]], percent)
         found += [(head[a], head[b]) for a, b in tree.links(cell["component"].tolist())]
@@ -274,20 +274,20 @@ def _sets(docs: DataFrame, heads: DataFrame, classes: np.ndarray, words: int) ->
     return docs.join(heads.select(F.col("head").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(make, "head long, key binary, items binary")
 
 
-def _dealt(cells: DataFrame, weight: str, most: int) -> DataFrame:
-    """``cells`` with a ``part``: whole cells, about ``PART_ROWS`` rows and a bounded weight for each."""
+def _dealt(cells: DataFrame, weight: str, most: int, rows: int) -> DataFrame:
+    """``cells`` with a ``part``: whole cells, about ``rows`` rows and a bounded weight for each."""
     whole = cells.agg(F.count("*"), F.sum(weight)).first()
-    parts = max(1, -(-whole[0] // PART_ROWS), -(-(whole[1] or 0) // most))
+    parts = max(1, -(-whole[0] // rows), -(-(whole[1] or 0) // most))
     return cells.withColumn("part", F.pmod(F.xxhash64("cell"), F.lit(parts)))
 
 
 def _joined(cells: DataFrame, rows: DataFrame, heads: DataFrame, classes: np.ndarray, words: int, percent: int) -> DataFrame:
     """The links that join components, found in ``cells (cell, head, component, n)``."""
-    light = _dealt(cells, "n", 16 * SHINGLES).join(heads.select("head", "n", "bits"), ["head", "n"])
+    light = _dealt(cells, "n", 16 * SHINGLES, 4 * PART_ROWS).drop("n").join(heads.select("head", "n", "bits"), "head")
     near = light.groupBy("part").applyInPandas(lambda g: _near(g, percent), "cell long, head long, component long, n long")
     near = stored(near, "near")
     sets = stored(_sets(rows, near, classes, words).join(heads.select("key", "head"), ["key", "head"], "left_semi").select("head", "items").distinct(), "sets")
-    heavy = _dealt(near, "n", 2 * SHINGLES).select("part", "cell", "head", "component").join(sets, "head")
+    heavy = _dealt(near, "n", 2 * SHINGLES, PART_ROWS).select("part", "cell", "head", "component").join(sets, "head")
     return stored(heavy.groupBy("part").applyInPandas(lambda g: _walk(g, percent), "a long, b long"), "links")
 
 
@@ -308,9 +308,9 @@ def join(
     inside = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     # a set is named by its smallest id; ids that repeat may stand for several sets
     heads = stored(inside.groupBy("key").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "heads")
-    entries = heads.select("head", "n", F.explode("prefix").alias("token"))
+    entries = heads.select("head", F.explode("prefix").alias("token"))
     tokens = entries.groupBy("token").agg(F.min("head").alias("home"), F.count("*").alias("size")).where("size > 1").drop("size")
-    homes = stored(entries.join(tokens, "token").groupBy("home", "head").agg(F.max("n").alias("n")), "homes")
+    homes = stored(entries.join(tokens, "token").select("home", "head").distinct(), "homes").join(heads.select("head", "n").groupBy("head").agg(F.max("n").alias("n")), "head")
     wide = homes.groupBy("home").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
     blocks = F.greatest(F.ceil(F.col("size") / members), F.ceil(F.col("weight") / shingles)).cast("int")
     placed = stored(homes.join(wide, "home").withColumn("blocks", F.least(blocks, "size")).withColumn("block", F.pmod(F.xxhash64("head", "home"), "blocks").cast("int")), "placed")
