@@ -48,6 +48,9 @@ def test_the_awkward_table_passes_every_operator(awkward, empty):
     assert decontaminate.drop_contaminated(awkward, bench.where("false")).count() == len(AWKWARD)
     for run in (language.identify_documents, neardup.classes, suffix.digest, suffix.remove_repeats, shards.assign, tokens.document_tokens):
         assert run(awkward).count() == len(AWKWARD)
+    assert packing.sequences(awkward).where("start = 0").count() == len(AWKWARD)
+    assert {r.doc_id for r in language.keep_identified(awkward).collect()} <= {None, *range(5, 13)}
+    assert sorted(r.doc_id or 0 for r in neardup.keep_one_of_each(awkward).collect()) == [0, 1, 2, 3, 4, 5, 8, 9, 11, 12]
 
 
 # --- language ------------------------------------------------------------------------------------
@@ -340,6 +343,26 @@ def test_packing_round_trip(make):
     assert sum(r.length for r in got) > 0.9 * 4096 * len(by_seq)
 
 
+def test_ids_of_every_letter_are_the_tokenizers():
+    whole, encoder = tokens.tokenizer(tokens.installed(packing.FILE)), packing.Encoder(tokens.installed(packing.FILE))
+    rng = random.Random(8)
+    chars = [chr(c) for c in [*range(1, 0x0600), *range(0x1E00, 0x2100), 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    texts = [c for c in chars] + [f"a{c}b {c}mi{c}" for c in chars] + ["Ətraf mühit", "Ɛdeen", "Ɗan Ɓera"]
+    texts += ["".join(rng.choice(chars) if rng.random() < 0.2 else rng.choice("aB '1.") for _ in range(30)) for _ in range(3000)]
+    for at in range(0, len(texts), 500):
+        lot = texts[at : at + 500]
+        for t, ids in zip(lot, encoder.encode(lot)):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
+def test_many_empty_texts_and_one_hot_row_are_packed(spark):
+    rows = spark.range(400_000).select(F.when(F.col("id") % 2 == 0, 7).alias("doc_id"), F.when(F.col("id") % 3 == 0, "").alias("text"))
+    got = packing.sequences(rows)
+    sums = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    r = sums.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("k"), F.max(F.abs(F.col("n") - F.col("end"))).alias("gap")).first()
+    assert (r.n, r.gap) == (400_000, 0) and r.most <= 4096 and r.k < 120
+
+
 def test_differencing_is_near_equal():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 900, 300).tolist()

@@ -2,8 +2,8 @@
 
 1. Each text is encoded; the document is its ids and an end mark. Pieces of the full capacity are cut
    off from its start, each of them a sequence by itself; what is left is one open piece.
-2. Open pieces are dealt into groups of about ``WINDOWS`` sequences by a hash, so that no group grows
-   with the table.
+2. Open pieces are dealt into groups of about ``WINDOWS`` sequences and at most ``PER_GROUP`` pieces on average by
+   a hash of their place, so that no group grows with the table, whatever repeats in it.
 3. In a group, Karmarkar-Karp differencing spreads the pieces over k windows: each piece starts as a
    partition of its own, and the two partitions with the largest imbalance are merged so that the
    largest windows of one meet the smallest of the other. k begins at the total over the capacity
@@ -29,34 +29,38 @@ from tilewright.llm.common import stored
 from tilewright.llm.tokens import installed, tokenizer
 
 FILE, END, CAPACITY, WINDOWS = "word_bpe_49k.json", 2, 4096, 96
-#: Words and pieces whose ids a worker remembers in each of two generations, and the longest that it does.
-WORDS, PIECES, LONGEST = 100_000, 600_000, 32
+#: Bytes of words and of pieces whose ids a worker remembers, what an entry takes beside its characters,
+#: and the longest that it remembers.
+WORDS, PIECES, ENTRY, LONGEST = 8 << 20, 72 << 20, 190, 32
 #: ASCII marks that are pieces of their own behind a letter.
 MARKS = ".,;:!?*%&$#"
+#: Pieces of a group.
+PER_GROUP = 1 << 15
+
 
 class Recent:
-    """A bounded memory: what was asked for of late stays, the rest goes a generation at a time."""
+    """A memory bounded by bytes; it starts anew when it is full."""
 
     def __init__(self, limit: int):
-        self.limit, self.new, self.old = limit, {}, {}
+        self.limit, self.known, self.size = limit, {}, 0
 
     def look(self, keys: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
-        found, missing = {}, []
+        found, missing, get = {}, [], self.known.get
         for k in keys:
-            v = self.new.get(k)
+            v = get(k)
             if v is None:
-                v = self.old.get(k)
-                if v is None:
-                    missing.append(k)
-                    continue
-                self.new[k] = v
-            found[k] = v
+                missing.append(k)
+            else:
+                found[k] = v
         return found, missing
 
     def put(self, items: dict[str, bytes]) -> None:
-        self.new.update((k, v) for k, v in items.items() if len(k) <= LONGEST)
-        if len(self.new) > self.limit:
-            self.new, self.old = {}, self.new
+        short = {k: v for k, v in items.items() if len(k) <= LONGEST}
+        self.size += sum(map(len, short)) + sum(map(len, short.values())) + ENTRY * len(short)
+        if self.size > self.limit:
+            self.known, self.size = {}, 0
+        else:
+            self.known.update(short)
 
 
 #: The tokenizer's own pieces, spelled out for characters below U+0250, all of which are in
@@ -94,8 +98,9 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        plain = [t is None or not _OTHER.search(t) for t in texts]
-        cut = [_PIECE.findall(t.lower()) if t and p else [] for t, p in zip(texts, plain)]
+        low = [t.lower() if t else "" for t in texts]  # some capitals of the range have their small letter outside
+        plain = [not _OTHER.search(t) for t in low]
+        cut = [_PIECE.findall(t) if p else [] for t, p in zip(low, plain)]
         known, missing = self.stems.look(set().union(*cut))
         fresh = self._ids(missing)
         self.stems.put(fresh)
@@ -125,25 +130,22 @@ class Encoder:
 
 def difference(sizes: list[int], k: int) -> list[int]:
     """The window of each item, from k windows with near-equal sums."""
-    if k == 1:
-        return [0] * len(sizes)
-    # a partition: its sums in descending order and the items of each place
-    heap = []
-    for i, s in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[0] = s
-        heap.append((-s, i, sums, [[i], *([] for _ in range(k - 1))]))
+    # a partition: its windows in descending order of their sums, empty ones left out, and the items of each
+    heap = [(-s, i, [s], [[i]]) for i, s in enumerate(sizes)] if k > 1 else []
     heapq.heapify(heap)
     while len(heap) > 1:
         _, i, a, x = heapq.heappop(heap)
         _, j, b, y = heapq.heappop(heap)
-        sums = a + b[::-1]
-        joined = [p + q if q else p for p, q in zip(x, reversed(y))]
-        order = np.argsort(-sums, kind="stable")
-        sums = sums[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), min(i, j), sums, [joined[o] for o in order.tolist()]))
+        alone = max(0, k - len(b))  # so many of a's places meet an empty one
+        free = max(0, k - len(a))
+        sums = a[:alone] + b[:free] + [s + b[k - 1 - p] for p, s in enumerate(a[alone:], alone)]
+        items = x[:alone] + y[:free] + [s + y[k - 1 - p] for p, s in enumerate(x[alone:], alone)]
+        order = sorted(range(len(sums)), key=sums.__getitem__, reverse=True)
+        sums = [sums[o] for o in order]
+        least = sums[-1] if len(sums) == k else 0
+        heapq.heappush(heap, (least - sums[0], min(i, j), sums, [items[o] for o in order]))
     window = [0] * len(sizes)
-    for w, items in enumerate(heap[0][3]):
+    for w, items in enumerate(heap[0][3] if heap else []):
         for i in items:
             window[i] = w
     return window
@@ -160,7 +162,10 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, end: int = END, capacity: int = CAPACITY) -> DataFrame:
-    """``(doc_id, start, length, ids_crc32, doc_tokens)``, full pieces first."""
+    """``(doc_id, start, length, ids_crc32, doc_tokens)``, full pieces first.
+
+    ``path`` is another place of the same vocabulary: where texts may be cut follows from its rules.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -189,10 +194,10 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path:
     A null or empty text is its end mark alone. Rows whose ids repeat or are null are packed like any
     other. Sequence ids are unique but not dense. An empty table gives no rows.
     """
-    cut = stored(pieces(docs, id_col, text, path, end, capacity), "pieces")
-    total = cut.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-total // (windows * capacity)))
-    dealt = cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    cut = stored(pieces(docs, id_col, text, path, end, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    whole = cut.agg(F.sum("length"), F.count("*")).first()
+    groups = max(1, -(-(whole[0] or 0) // (windows * capacity)), -(-whole[1] // PER_GROUP))
+    dealt = cut.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(groups))).drop("row")  # equal rows spread, too
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
