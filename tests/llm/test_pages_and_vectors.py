@@ -128,7 +128,7 @@ def test_every_word_and_token_counts_whatever_fits_a_task(pages, monkeypatch, li
 
 
 def brute(rows, every, k):
-    ok = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     width = max(len(v) for _, v in ok)
     data = np.array([np.pad(v, (0, width - len(v))) for _, v in ok])
     ids = np.array([i for i, _ in ok])
@@ -140,7 +140,7 @@ def brute(rows, every, k):
     return out
 
 
-@pytest.mark.parametrize("scale", [0.1, 1.0, 300.0])
+@pytest.mark.parametrize("scale", [0.1, 1.0, 300.0, 1e6])
 def test_top_k_against_brute_force(spark, scale, monkeypatch):
     rng = np.random.default_rng(int(scale * 10))
     base = rng.normal(size=(30, 12)) * scale
@@ -157,6 +157,15 @@ def test_top_k_of_small_and_empty_tables(spark):
     assert topk.nearest(df.where("vec_id = 0")).count() == 0 and topk.nearest(df.where("false")).count() == 0
 
 
+def test_large_components_are_exact(spark):
+    rows = [(0, [200000.0]), (50, [200000.0]), (1, [-3.0e8, 2.0]), (2, [1e18]), (3, [])]
+    got = {tuple(r) for r in topk.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    a, b = 51_200_000, 256 * -300_000_000
+    most = (1 << 63) - 1  # no 64-bit number
+    each = lambda q, o: {(q, 1, 2, min(most, a * 256 << 54)), (q, 2, o, a * a), (q, 3, 3, 0), (q, 4, 1, a * b)}
+    assert got == each(0, 50) | each(50, 0) and a * a == 2621440000000000
+
+
 def test_reading_stops_early():
     rng = np.random.default_rng(2)
     near = rng.normal(size=(1, 16)) * 100

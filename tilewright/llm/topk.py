@@ -28,10 +28,10 @@ K, EVERY, SCALE = 5, 50, 256
 VECTORS, QUERIES, GROUP, LOT, RESOLVE = 4096, 256, 4, 16, 512
 #: Parts of a list that are read in one step.
 STEPS = (0.5, 0.65, 0.8, 0.9)
-#: Larger components count as this; a score of 4096 of them still fits into 64 bits.
-LARGEST = 1 << 25
+#: Scores are 64-bit numbers; components beyond this (before scaling) count as this, since no score of theirs is one.
+LARGEST = float(1 << 54)
 
-_LEAST = np.iinfo(np.int64).min
+_LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 class Block:
@@ -45,12 +45,14 @@ class Block:
         rank = np.argsort(np.argsort(self.vectors, axis=0, kind="stable"), axis=0, kind="stable")
         self.rank = rank.astype(np.int16 if self.n < 1 << 15 else np.int32)  # from the smallest
         # single precision is exact while all sums stay below 2**24
-        top = int(np.abs(self.vectors).max(initial=0))
+        self.top = top = int(np.abs(self.vectors).max(initial=0))
         self.single = vectors.shape[1] * top * top < 1 << 24
         self.floats = self.vectors.astype(np.float32 if self.single else np.float64)
 
     def search(self, query: np.ndarray, own: int, k: int, floor: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and scores of up to k best rows; rows that cannot reach ``floor`` may be missing."""
+        if self.top * int(np.abs(query).max(initial=0)) * len(query) >= 1 << 53:  # bounds in float64 would not be exact
+            return self._resolved(np.flatnonzero(self.ids != own), query, k)
         kind = np.float32 if self.single and np.abs(query).max(initial=0) <= 4096 else np.float64
         slack = 0.5 if kind == np.float64 else 1.0 + 1e-5 * float(np.abs(query.astype(np.float64)).sum() * np.abs(self.sorted[[0, -1]]).max(initial=0))
         q = query.astype(kind)
@@ -69,17 +71,24 @@ class Block:
             bound = np.partition(lower, len(lower) - k)[len(lower) - k] - slack
             keep = np.flatnonzero(upper + slack >= max(bound, float(floor) if floor > _LEAST else -np.inf))
             alive, x, place = alive[keep], x[keep], place[keep]
-        alive = alive[self.ids[alive] != own]
-        scores = self.vectors[alive] @ query
-        best = np.lexsort((self.ids[alive], -scores))[:k]
-        return alive[best], scores[best]
+        return self._resolved(alive[self.ids[alive] != own], query, k)
+
+    def _resolved(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of these rows by their final scores; sums beyond 64 bits are made with whole numbers of any size."""
+        if self.top * int(np.abs(query).max(initial=0)) * len(query) < 1 << 63:
+            scores = self.vectors[rows] @ query
+        else:
+            exact = self.vectors[rows].astype(object) @ query.astype(object)
+            scores = np.array([min(max(x, _LEAST + 1), _MOST) for x in exact], np.int64)
+        best = np.lexsort((self.ids[rows], -scores))[:k]
+        return rows[best], scores[best]
 
 
 def whole_numbers(vectors: DataFrame, id_col: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """``(id, v)`` with floor(scale * x); vectors that are null, empty or hold no finite number somewhere are left out."""
+    """``(id, v)`` with floor(scale * x); vectors that are null or hold no finite number somewhere are left out, an empty one is all zeros."""
     x = F.col(vector).cast("array<double>")
-    good = x.isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    whole = F.transform(x, lambda c: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), c)) * scale))).cast("int"))
+    good = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = F.transform(x, lambda c: F.floor(F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), c)) * scale))
     return vectors.where(good & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
 
@@ -95,10 +104,12 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             nonlocal ids, vectors, n
-            width = max(map(len, vectors))
-            data = np.zeros((len(ids), width), np.int32)  # missing components count as 0
+            width = max(1, *map(len, vectors))
+            data = np.zeros((len(ids), width), np.int64)  # missing components count as 0
             for i, v in enumerate(vectors):
                 data[i, : len(v)] = v
+            if np.abs(data).max() < 1 << 31:
+                data = data.astype(np.int32)
             columns = [pa.array([task + n]), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary()), pa.array([width])]
             ids, vectors, n = [], [], n + 1
             return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "data", "width"])
@@ -117,7 +128,8 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
 
 def _read(row) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(row.ids, np.int64)
-    return ids, np.frombuffer(row.data, np.int32).reshape(len(ids), row.width).astype(np.int64)
+    kind = np.int32 if len(row.data) == 4 * len(ids) * row.width else np.int64
+    return ids, np.frombuffer(row.data, kind).reshape(len(ids), row.width).astype(np.int64)
 
 
 def _fit(a: np.ndarray, width: int) -> np.ndarray:
