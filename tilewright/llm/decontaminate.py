@@ -14,9 +14,8 @@ that matches holds four parts of five tokens in a row that match in the same for
 starts in a row is a multiple of four. So the hashes of every fourth part of a document are enough.
 
 A third form, ``loose``, has every capitalised word as ``<name>``, first words of sentences too, so a
-question whose sentences begin with other names is caught. The pipeline compares it as well (``starts``);
-op3 does not, as its SQL defines two forms. What the third form adds is judged by itself, with first words
-as slots, so it never undoes what the other two find.
+question whose sentences begin with other names is caught (``starts``). What the third form adds is judged
+by itself, with first words as slots, so it never undoes what the other two find.
 
 An item of four to seven tokens is one window of its own length; shorter items take no part.
 """
@@ -122,7 +121,7 @@ def _small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
-def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", starts: bool = False) -> DataFrame:
+def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", starts: bool = True) -> DataFrame:
     """``(doc_id, item_id, n_windows, share, n_slots)`` for each document and item it contains.
 
     ``n_windows`` counts matching windows of the best occurrence, ``share`` is their part of the
@@ -145,16 +144,12 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text: str
     of_doc = found.select(F.col("key").alias("doc_id"), F.col("plain").alias("dp"), F.col("typed").alias("dt"), F.col("loose").alias("dl"), F.col("value").alias("dv"))
     of_item = items.select(F.col("key").alias("item_id"), F.col("plain").alias("ip"), F.col("typed").alias("it"), F.col("loose").alias("il"), F.col("value").alias("iv"))
     cut = lambda name, at: f"slice({name}, {at} + 1, length)"
+    names = ["doc_id", "item_id", "length", "at", "item_at"]
+    sliced = pairs.join(of_doc, "doc_id").select(*names, *(F.expr(cut(c, "at")).alias(c) for c in ("dp", "dt", "dl", "dv")))
     held = (
-        pairs.join(of_doc, "doc_id")
-        .join(of_item, "item_id")
-        .select(
-            "doc_id", "item_id", "at", "item_at", F.expr("size(ip) - length + 1").alias("of"),
-            F.expr(f"{cut('dp', 'at')} = {cut('ip', 'item_at')} or {cut('dt', 'at')} = {cut('it', 'item_at')}").alias("same"),
-            F.expr(f"{cut('dl', 'at')} = {cut('il', 'item_at')}" if starts else "false").alias("alike"),
-            F.expr(f"{cut('it', 'item_at')}").alias("it"), F.expr(f"{cut('il', 'item_at')}").alias("il"),
-            F.expr(f"{cut('iv', 'item_at')}").alias("iv"), F.expr(f"{cut('dv', 'at')}").alias("dv"),
-        )
+        sliced.join(of_item, "item_id")
+        .select(*names, "dp", "dt", "dl", "dv", F.expr("size(ip) - length + 1").alias("of"), *(F.expr(cut(c, "item_at")).alias(c) for c in ("ip", "it", "il", "iv")))
+        .select("doc_id", "item_id", "at", "item_at", "of", F.expr("dp = ip or dt = it").alias("same"), F.expr("dl = il" if starts else "false").alias("alike"), "it", "il", "iv", "dv")
         .where("same or alike")
         .withColumn("wider", F.explode(F.expr("if(same, array(false, true), array(true))" if starts else "array(false)")))  # with the third form
         .withColumn("kind", F.expr("if(wider, il, it)"))
@@ -190,11 +185,13 @@ def _sql_templates(table: str, key: str) -> str:
     stops = ", ".join("chr(10)" if s == "\n" else f"'{s}'" for s in STOPS)
     return f"""
     SELECT key, row_number() OVER (PARTITION BY key ORDER BY i) AS pos, count(*) OVER (PARTITION BY key) AS total, lower(w) AS val,
-           CASE WHEN kind IN ('w', '<name>') THEN lower(w) ELSE kind END AS plain, CASE WHEN kind = 'w' THEN lower(w) ELSE kind END AS typed
+           CASE WHEN kind IN ('w', '<name>', '<start>') THEN lower(w) ELSE kind END AS plain, CASE WHEN kind IN ('w', '<start>') THEN lower(w) ELSE kind END AS typed,
+           CASE kind WHEN 'w' THEN lower(w) WHEN '<start>' THEN '<name>' ELSE kind END AS loose
     FROM (SELECT *, CASE WHEN w >= '0' AND w < ':' THEN '<num>'
                          WHEN prev >= '0' AND prev < ':' AND lower(w) IN ({units}) THEN '<unit>'
                          WHEN w IN ({stops}) OR w IN ('%', '°', '$', '€', '£') THEN ''
-                         WHEN prev IS NOT NULL AND w[1] <> lower(w[1]) AND w[2:] = lower(w[2:]) AND length(w) > 1 AND prev NOT IN ({stops}) THEN '<name>'
+                         WHEN w[1] <> lower(w[1]) AND w[2:] = lower(w[2:]) AND length(w) > 1
+                              THEN CASE WHEN prev IS NOT NULL AND prev NOT IN ({stops}) THEN '<name>' ELSE '<start>' END
                          ELSE 'w' END AS kind
           FROM (SELECT key, i, w, lag(w) OVER (PARTITION BY key ORDER BY i) AS prev
                 FROM (SELECT key, unnest(raw) AS w, generate_subscripts(raw, 1) AS i
@@ -204,7 +201,7 @@ def _sql_templates(table: str, key: str) -> str:
 
 def _sql_windows(n: int, source: str, where: str) -> str:
     row = lambda c: "[" + ", ".join(f"lead({c}, {k}) OVER (PARTITION BY key ORDER BY pos)" for k in range(n)) + "]"
-    return f"""SELECT key, {n} AS n, pos, total - {n} + 1 AS total, {row('plain')} AS p, {row('typed')} AS t, {row('val')} AS v
+    return f"""SELECT key, {n} AS n, pos, total - {n} + 1 AS total, {row('plain')} AS p, {row('typed')} AS t, {row('loose')} AS l, {row('val')} AS v
         FROM {source} WHERE {where} QUALIFY pos <= {source}.total - {n} + 1"""
 
 
@@ -213,16 +210,21 @@ ORACLE = f"""
 WITH d AS MATERIALIZED ({_sql_templates("documents", "doc_id")}), b AS MATERIALIZED ({_sql_templates("benchmark", "item_id")}),
 bwin AS MATERIALIZED ({" UNION ALL ".join(_sql_windows(n, "b", f"b.total {'>=' if n == WINDOW else '='} {n}") for n in _SIZES)}),
 dwin AS ({" UNION ALL ".join(_sql_windows(n, "d", f"{n} IN (SELECT n FROM bwin)") for n in _SIZES)}),
-hit AS (SELECT dwin.key AS doc_id, bwin.key AS item_id, dwin.pos - bwin.pos AS diagonal, bwin.pos AS j, bwin.total AS total, bwin.t AS t, bwin.v AS bv, dwin.v AS dv
+met AS (SELECT dwin.key AS doc_id, bwin.key AS item_id, dwin.pos - bwin.pos AS diagonal, bwin.pos AS j, bwin.total AS total, bwin.t AS t, bwin.l AS l, bwin.v AS bv, dwin.v AS dv,
+          dwin.p = bwin.p OR dwin.t = bwin.t AS same
         FROM dwin JOIN bwin ON dwin.n = bwin.n AND dwin.p = bwin.p
-        UNION SELECT dwin.key, bwin.key, dwin.pos - bwin.pos, bwin.pos, bwin.total, bwin.t, bwin.v, dwin.v FROM dwin JOIN bwin ON dwin.n = bwin.n AND dwin.t = bwin.t),
-counted AS (SELECT doc_id, item_id, diagonal, count(DISTINCT j) AS n_windows, max(total) AS total FROM hit GROUP BY ALL),
-slot AS (SELECT doc_id, item_id, diagonal, unnest(t) AS kind, unnest(bv) AS mine, unnest(dv) AS theirs FROM hit),
-slots AS (SELECT doc_id, item_id, diagonal, count(DISTINCT (mine, theirs)) AS n_pairs, count(DISTINCT mine) AS n_mine, count(DISTINCT theirs) AS n_theirs
+        UNION SELECT dwin.key, bwin.key, dwin.pos - bwin.pos, bwin.pos, bwin.total, bwin.t, bwin.l, bwin.v, dwin.v, TRUE FROM dwin JOIN bwin ON dwin.n = bwin.n AND dwin.t = bwin.t
+        UNION SELECT dwin.key, bwin.key, dwin.pos - bwin.pos, bwin.pos, bwin.total, bwin.t, bwin.l, bwin.v, dwin.v, dwin.p = bwin.p OR dwin.t = bwin.t
+        FROM dwin JOIN bwin ON dwin.n = bwin.n AND dwin.l = bwin.l),
+hit AS (SELECT doc_id, item_id, diagonal, j, total, t AS kinds, bv, dv, FALSE AS wider FROM met WHERE same
+        UNION ALL SELECT doc_id, item_id, diagonal, j, total, l, bv, dv, TRUE FROM met),
+counted AS (SELECT doc_id, item_id, diagonal, wider, count(DISTINCT j) AS n_windows, max(total) AS total FROM hit GROUP BY ALL),
+slot AS (SELECT doc_id, item_id, diagonal, wider, unnest(kinds) AS kind, unnest(bv) AS mine, unnest(dv) AS theirs FROM hit),
+slots AS (SELECT doc_id, item_id, diagonal, wider, count(DISTINCT (mine, theirs)) AS n_pairs, count(DISTINCT mine) AS n_mine, count(DISTINCT theirs) AS n_theirs
           FROM slot WHERE kind LIKE '<%' GROUP BY ALL),
 best AS (SELECT doc_id, item_id, n_windows, n_windows / total AS share, coalesce(n_mine, 0) AS n_slots,
                 row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, n_windows / total DESC, coalesce(n_mine, 0) DESC) AS r
-         FROM counted LEFT JOIN slots USING (doc_id, item_id, diagonal)
+         FROM counted LEFT JOIN slots USING (doc_id, item_id, diagonal, wider)
          WHERE n_windows >= least({LEAST}, total) AND (n_pairs IS NULL OR (n_pairs = n_mine AND n_pairs = n_theirs)))
 SELECT doc_id, item_id, n_windows, share, n_slots FROM best WHERE r = 1
 """
