@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tilewright.session import shared_dir
 
 
+#: Tables that a Python worker keeps between tasks; a reused worker may hold those of earlier stages.
+TABLES: list[dict] = []
+
+
+def release() -> None:
+    """Drop the tables of earlier stages and give free memory back to the system."""
+    for t in TABLES:
+        t.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import stored
+from tilewright.llm.common import TABLES, stored
 from tilewright.llm.components import components
 
 WORDS, PERCENT = 5, 85
@@ -47,6 +47,7 @@ _TURN = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | _U(1)
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[str, np.ndarray] = {}
+TABLES.append(_powers)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

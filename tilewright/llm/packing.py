@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import stored
+from tilewright.llm.common import release, stored
 from tilewright.llm.tokens import installed, tokenizer
 
 FILE, END, CAPACITY, WINDOWS = "word_bpe_49k.json", 2, 4096, 96
@@ -171,6 +171,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        release()
         encoder, mark = Encoder(path or installed(FILE)), np.array([end], "<u4").tobytes()
         for b in batches:
             per = max(1, int(b.num_rows * (1 << 20) / max(b.column(1).nbytes, 1)))

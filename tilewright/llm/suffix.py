@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import stored
+from tilewright.llm.common import TABLES, stored
 
 LENGTH = 50
 ANCHOR = 16
@@ -48,6 +48,7 @@ _DROPPED = _U(16)
 _BASE = 0x5851F42D4C957F2D
 _BYTES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 _powers: dict[str, np.ndarray] = {}
+TABLES.append(_powers)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
