@@ -1,6 +1,8 @@
 """Unit and property tests beside the SQL checks."""
 
 import hashlib
+import os
+import time
 
 import numpy as np
 import pytest
@@ -29,6 +31,7 @@ from tilewright.plans.curate import STRUCTURES
 from tilewright.schema import EXTERNAL_CLASSES, class_table
 from tilewright.session import scratch_path
 from tilewright.streaming import ingest as SI
+from tilewright.streaming import keys as SK
 
 SF = "/root/testdata/sf0.001"
 
@@ -308,17 +311,72 @@ def _feed(spark, folder, rows):
     df.coalesce(1).write.mode("append").parquet(folder)
 
 
-def test_late_and_young_files_pass_once(spark):
+def _uids(df):
+    return sorted(r["patch_uid"] for r in df.collect())
+
+
+def test_late_files_pass_and_a_timer_releases_young_ones_after_a_restart(spark):
     root, folder = scratch_path(spark, "t"), scratch_path(spark, "f")
-    _feed(spark, folder, [(1, "p1", "u1", "CT", 1000, 5), (2, "p2", "u2", "CT", 5000, 5)])
-    _feed(spark, folder, [(3, "p3", "u3", "IC", 4990, 5), (4, "p4", "u4", "IC", 10, 5)])  # u4 is old and late
+    now = int(time.time())
+    _feed(spark, folder, [(1, "p1", "u1", "CT", 1000, 5), (2, "p2", "u2", "CT", now, 5)])
+    _feed(spark, folder, [(3, "p3", "u3", "IC", now - 10, 5), (4, "p4", "u4", "IC", 10, 5)])  # u4 is old and late
     feed = SI.read_feed(spark, folder, 1)
-    uids = lambda df: sorted(r["patch_uid"] for r in df.collect())
-    assert uids(SI.stream_min_age(feed, root, 120, lambda: 5000.0)) == ["u1", "u4"]
-    SI.release_rest(spark, root, 120, 5200.0)  # the feed is quiet
-    SI.release_rest(spark, root, 120, 5300.0)
-    assert uids(SI.written(spark, f"{root}/out", SI.FEED)) == ["u1", "u2", "u3", "u4"]
-    assert uids(SI.stream_dedup(feed, scratch_path(spark, "d"))) == ["u1", "u2", "u3", "u4"]
+    assert _uids(SI.stream_min_age(feed, root, 40)) == ["u1", "u4"]
+    assert _uids(SI.stream_min_age(feed, root, 40)) == ["u1", "u4"]  # nothing new, nothing due
+    assert not any(name.startswith(("young", "passed")) for name in os.listdir(root))
+    time.sleep(max(now + 42 - time.time(), 0))
+    assert _uids(SI.stream_min_age(feed, root, 40)) == ["u1", "u2", "u3", "u4"]  # a quiet feed
+    _feed(spark, folder, [(5, "p5", "u2", "CT", 20, 5)])
+    got = SI.stream_min_age(feed, root, 40)
+    assert _uids(got) == ["u1", "u2", "u3", "u4"] and {r["path"] for r in got.collect()} == {"p1", "p2", "p3", "p4"}
+    assert _uids(SI.stream_dedup(feed, scratch_path(spark, "d"))) == ["u1", "u2", "u3", "u4"]
+
+
+def test_quotas_hold_over_restarts_and_a_lost_checkpoint(spark):
+    import shutil
+
+    root, folder = scratch_path(spark, "t"), scratch_path(spark, "f")
+    quota = {"CT": 5, "IC": 2, "LE": 3}
+    _feed(spark, folder, [(i, f"p{i}", f"u{i}", "CT" if i % 2 else "IC", 1000 + i, 5) for i in range(6)])
+    feed = SI.read_feed(spark, folder)
+    counts = lambda df: {r["cls"]: r["count"] for r in df.groupBy("cls").count().collect()}
+    assert counts(SI.stream_quota(feed, root, quota)) == {"CT": 3, "IC": 2}
+    _feed(spark, folder, [(i, f"p{i}", f"u{i}", "CT", 1000 + i, 5) for i in range(10, 15)] + [(20, "z", "z", "LE", 5, 0), (21, "y", "y", "OT", 5, 9)])
+    full = SI.stream_quota(feed, root, quota)
+    assert counts(full) == {"CT": 5, "IC": 2}
+    late = [r["path"] for r in full.where("event_id between 10 and 14").collect()]
+    by_hash = spark.createDataFrame([(f"p{i}",) for i in range(10, 15)], "path string").orderBy(u01(42, "path"), "path").limit(2)
+    assert sorted(late) == sorted(r["path"] for r in by_hash.collect())
+    shutil.rmtree(f"{root}/ckpt")
+    _feed(spark, folder, [(30, "q", "q", "LE", 1000, 5)])
+    assert counts(SI.stream_quota(feed, root, quota)) == {"CT": 5, "IC": 2, "LE": 1}
+
+
+def test_class_counts_after_a_lost_checkpoint(spark):
+    import shutil
+
+    root, folder = scratch_path(spark, "t"), scratch_path(spark, "f")
+    for i in range(3):
+        _feed(spark, folder, [(i, f"p{i}", f"u{i}", "CT", 1000 + i, 5)])
+    assert SI.stream_class_counts(SI.read_feed(spark, folder, 1), root).collect() == [("CT", 3)]
+    shutil.rmtree(f"{root}/ckpt")
+    _feed(spark, folder, [(9, "p9", "u9", "CT", 2000, 5)])
+    assert SI.stream_class_counts(SI.read_feed(spark, folder), root).collect() == [("CT", 4)]
+
+
+def test_a_batch_opens_only_the_folders_that_may_hold_its_keys(spark):
+    registry = scratch_path(spark, "registry")
+    keys = lambda xs: spark.createDataFrame([(x,) for x in xs], "k string").coalesce(1)
+    for b in range(60):
+        SK.register(keys([f"k{b}-{i}" for i in range(3)]), registry, f"b{b:03d}", "k")
+    batch = keys(["k7-1", "k55-2", "new", None])
+    met = SK.hits(batch, registry, "k")
+    assert {"b007", "b055"} <= {b for b, _ in met} and len(met) <= 3
+    assert sorted(r["k"] or "" for r in SK.without_known(batch, registry, "k").collect()) == ["", "new"]
+    assert sorted(r["k"] or "" for r in SK.without_known(batch, registry, "k", "b007").collect()) == ["", "k7-1", "new"]
+    assert SK.without_known(keys([]), registry, "k").count() == 0
+    SK.register(keys([]), registry, "b007", "k")  # a replaced block
+    assert "k7-1" in {r["k"] for r in SK.without_known(batch, registry, "k").collect()}
 
 
 def test_a_lost_checkpoint_commits_nothing_twice(spark):

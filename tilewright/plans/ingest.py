@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import tarfile
+import time
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from tilewright.sources import tables as TB
 from tilewright.sources import tarshards as TS
 from tilewright.sources.files import make_dirs, publish
 from tilewright.streaming import ingest as ST
+from tilewright.streaming.keys import register
 
 SHARDS = 8
 
@@ -447,7 +449,8 @@ def stream_commit(spark, sf):
     ST.committer(f"{root}/data", f"{root}/registry", f"{root}/ckpt")(materialize(again, "replay"), 1)
     kept = ST.written(spark, f"{root}/registry", "patch_uid string")
     partial = scratch_path(spark, "registry")
-    kept.where(F.col("block") != f"{run}-2").write.partitionBy("block").parquet(partial)
+    for (block,) in kept.where(F.col("block") != f"{run}-2").select("block").distinct().collect():  # one row per batch
+        register(kept.where(F.col("block") == block).select("patch_uid"), partial, block, "patch_uid")
     ST.recover(spark, f"{root}/data", partial)
     data = ST.written(spark, f"{root}/data", "patch_uid string")
     reg = ST.written(spark, partial, "patch_uid string")
@@ -466,12 +469,15 @@ def stream_commit(spark, sf):
     ),
 )
 def stream_min_age(spark, sf):
-    """The clock stands at the newest file while the feed runs and passes the rest afterwards."""
+    """The newest files are held when the feed is drained, and a timer passes them a few seconds later."""
     root = scratch_path(spark, "min-age")
+    feed = live(spark, sf)
     newest = fx.feed(spark, sf).agg(F.max("mtime").cast("double")).first()[0] or 0.0
-    ST.stream_min_age(live(spark, sf), root, 120, lambda: newest)
-    ST.release_rest(spark, root, 120, newest + 121)
-    return ST.written(spark, f"{root}/out", ST.FEED).select("patch_uid", "path", "cls")
+    due = time.time() + 15
+    ST.stream_min_age(feed, root, due - newest)
+    time.sleep(max(due + 2 - time.time(), 0))
+    out = ST.stream_min_age(feed, root, due - newest)
+    return out.select("patch_uid", "path", "cls")
 
 
 @query(

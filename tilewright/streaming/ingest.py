@@ -2,7 +2,8 @@
 
 The feed is a folder that another process keeps writing. Each micro-batch takes the
 new files; rows are held until they are old enough, deduplicated, counted against class
-quotas, and committed data first, registry second.
+quotas, and committed data first, registry second. What is held and what a quota took lies in keyed
+state (``stateful``); committed keys lie in a partitioned registry (``keys``).
 
 Every write goes to a block named after the checkpoint's own id and the batch, so a replayed
 batch overwrites itself, while a new checkpoint, whose batches start at 0 again, adds blocks
@@ -19,7 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tilewright.operators.ranking import bottom_k, first_by
+from tilewright.operators.ranking import first_by
+from tilewright.streaming.keys import exists, register, remove, without_known
+from tilewright.streaming.stateful import filled, held_by_age, run_blocks, with_tick
 
 FEED = "event_id bigint, path string, patch_uid string, cls string, mtime timestamp, size bigint"
 
@@ -39,12 +42,6 @@ def drain(writer, checkpoint: str) -> StreamingQuery:
     return query
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path exists in its file system; faults other than its absence are raised."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 def run_id(spark: SparkSession, checkpoint: str) -> str:
     """The id that Spark gave to the checkpoint; a lost checkpoint gets another one."""
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
@@ -56,8 +53,8 @@ def _block(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
 
 def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All blocks below ``path`` with their name; empty before the first one."""
-    schema = f"{schema}, block string"
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    empty = spark.createDataFrame([], f"{schema}, block string")
+    return spark.read.schema(empty.schema).parquet(path).select(*empty.columns) if exists(spark, path) else empty
 
 
 def committer(data: str, registry: str, checkpoint: str, schema: str = FEED, key: str = "patch_uid") -> Callable:
@@ -72,12 +69,10 @@ def committer(data: str, registry: str, checkpoint: str, schema: str = FEED, key
 def commit_block(batch: DataFrame, block: str, data: str, registry: str, schema: str = FEED, key: str = "patch_uid") -> None:
     """Commit a batch as ``block``: what any other block registers is left out."""
     spark = batch.sparkSession
-    known = written(spark, registry, f"{key} string").where(F.col("block") != block)
     new = first_by(batch.where("size > 0"), [key], [F.col("mtime"), F.col("path")])
-    new = new.join(known, key, "left_anti")
     out = f"{data}/block={block}"
-    new.write.mode("overwrite").parquet(out)
-    spark.read.schema(schema).parquet(out).select(key).write.mode("overwrite").parquet(f"{registry}/block={block}")
+    without_known(new, registry, key, block).write.mode("overwrite").parquet(out)
+    register(spark.read.schema(schema).parquet(out).select(key), registry, block, key)
 
 
 def recover(spark: SparkSession, data: str, registry: str, key: str = "patch_uid") -> list[str]:
@@ -99,7 +94,7 @@ def recover(spark: SparkSession, data: str, registry: str, key: str = "patch_uid
         raise RuntimeError(f"partially registered blocks {partial}")
     for r in state:
         b = r["block"]
-        blocks.where(F.col("block") == b).select(key).write.mode("overwrite").parquet(f"{registry}/block={b}")
+        register(blocks.where(F.col("block") == b).select(key), registry, b, key)
     return sorted(r["block"] for r in state)
 
 
@@ -110,46 +105,24 @@ def stream_ingest(feed: DataFrame, root: str, schema: str = FEED) -> DataFrame:
     return written(feed.sparkSession, f"{root}/data", schema)
 
 
-def _release(waiting: DataFrame, block: str, root: str, seconds: int, now: float, schema: str) -> None:
-    """Commit what is old enough at ``now`` and keep the rest for later."""
-    spark = waiting.sparkSession
-    old = F.col("mtime").cast("double") <= F.lit(float(now) - seconds)
-    commit_block(waiting.where(old), block, f"{root}/out", f"{root}/registry", schema)
-    waiting.where(~old).write.mode("overwrite").parquet(f"{root}/young/block={block}")
-
+def stream_min_age(feed: DataFrame, root: str, seconds: float = 120, schema: str = FEED) -> DataFrame:
+    """Drain the feed; returns the files that are old enough by now, once per uid, with path and class.
 
-def age_gate(root: str, checkpoint: str, seconds: int, clock: Callable[[], float], schema: str = FEED) -> Callable:
-    """A ``foreachBatch`` function that holds files until the clock says they are old enough.
-
-    A file source never offers a file twice, so young rows travel from batch to batch. What counts
-    is the clock, not the other files' times: a file with an old time that arrives late passes at once.
+    A file source never offers a file twice, so young rows stay in the state and a timer of the clock
+    releases them; the next run passes what is due, with new files or without. An old file that
+    arrives late passes at once. A lost checkpoint loses held rows only until the feed is read anew.
     """
 
-    def hold(batch: DataFrame, batch_id: int) -> None:
+    def commit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        waiting = batch.where("size > 0")
-        before = f"{root}/young/block={_block(spark, checkpoint, batch_id - 1)}"
-        if batch_id and exists(spark, before):
-            waiting = waiting.unionByName(spark.read.schema(schema).parquet(before))
-        _release(waiting, _block(spark, checkpoint, batch_id), root, seconds, clock(), schema)
-
-    return hold
-
-
-def release_rest(spark: SparkSession, root: str, seconds: int, now: float, schema: str = FEED) -> None:
-    """Run on the clock when the feed is quiet: pass every held file that is old enough by now.
-
-    Files that already passed are in the registry, so all blocks of held files can be offered again.
-    """
-    waiting = written(spark, f"{root}/young", schema).drop("block")
-    _release(waiting, f"clock-{int(now)}", root, seconds, now, schema)
-
-
-def stream_min_age(
-    feed: DataFrame, root: str, seconds: int = 120, clock: Callable[[], float] = time.time, schema: str = FEED
-) -> DataFrame:
-    """Drain the feed; returns the files that were old enough, once per uid, with path and class."""
-    drain(feed.writeStream.foreachBatch(age_gate(root, f"{root}/ckpt", seconds, clock, schema)), f"{root}/ckpt")
+        block = _block(spark, f"{root}/ckpt", batch_id)
+        passed = f"{root}/passed-{block}"  # the state is read once; the commit reads the rows more often
+        batch.write.mode("overwrite").parquet(passed)
+        commit_block(spark.read.schema(schema).parquet(passed), block, f"{root}/out", f"{root}/registry", schema)
+        remove(spark, passed)
+
+    rows = with_tick(feed, f"{root}/ticks").where("size > 0")
+    run_blocks(held_by_age(rows, seconds), f"{root}/ckpt", commit)
     return written(feed.sparkSession, f"{root}/out", schema)
 
 
@@ -157,55 +130,50 @@ def stream_dedup(feed: DataFrame, root: str, registry: DataFrame | None = None,
     """First sight of every uid, however late; registered uids never pass."""
 
     def once(batch: DataFrame, batch_id: int) -> None:
-        block = _block(batch.sparkSession, f"{root}/ckpt", batch_id)
-        seen = written(batch.sparkSession, f"{root}/out", schema).where(F.col("block") != block)
-        new = first_by(batch, ["patch_uid"], [F.col("mtime"), F.col("path")]).join(seen.select("patch_uid"), "patch_uid", "left_anti")
+        spark = batch.sparkSession
+        block = _block(spark, f"{root}/ckpt", batch_id)
+        new = first_by(batch, ["patch_uid"], [F.col("mtime"), F.col("path")])
         if registry is not None:
             new = new.join(registry.select("patch_uid"), "patch_uid", "left_anti")
-        new.write.mode("overwrite").parquet(f"{root}/out/block={block}")
+        out = f"{root}/out/block={block}"
+        without_known(new, f"{root}/registry", "patch_uid", block).write.mode("overwrite").parquet(out)
+        register(spark.read.schema(schema).parquet(out).select("patch_uid"), f"{root}/registry", block, "patch_uid")
 
     drain(feed.writeStream.foreachBatch(once), f"{root}/ckpt")
     return written(feed.sparkSession, f"{root}/out", schema)
 
 
-def quota_taker(out: str, totals: str, checkpoint: str, quota: dict[str, int], seed: int = 42) -> Callable:
-    """A ``foreachBatch`` function that fills class quotas across batches.
+def stream_quota(feed: DataFrame, root: str, quota: dict[str, int], schema: str = FEED, seed: int = 42) -> DataFrame:
+    """Fill class quotas across batches and runs; what runs with other, lost checkpoints wrote counts, too."""
+    spark = feed.sparkSession
+    taken = written(spark, f"{root}/out", schema)
+    if exists(spark, f"{root}/ckpt/metadata"):
+        taken = taken.where(~F.col("block").startswith(run_id(spark, f"{root}/ckpt")))
+    before = {r["cls"]: r["n"] for r in taken.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
+    left = {c: max(q - before.get(c, 0), 0) for c, q in quota.items()}
 
-    Each block writes how many rows it took of each class, so a batch reads a few rows for each
-    earlier block instead of their files; inside a batch the rows come in hash order.
-    """
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/block={_block(batch.sparkSession, f'{root}/ckpt', batch_id)}")
 
-    def take(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        block = _block(spark, checkpoint, batch_id)
-        earlier = written(spark, totals, "cls string, t bigint").where(F.col("block") != block)
-        taken = earlier.groupBy("cls").agg(F.sum("t").alias("t"))
-        want = spark.createDataFrame(sorted(quota.items()), "cls string, q bigint")  # one row per class
-        left = want.join(taken, "cls", "left").select(
-            "cls", F.greatest(F.col("q") - F.coalesce("t", F.lit(0)), F.lit(0)).alias("k")
-        )
-        kept = bottom_k(batch.where("size > 0"), ["cls"], left, "path", seed, bounded=True)
-        kept.write.mode("overwrite").parquet(f"{out}/block={block}")
-        now = spark.read.schema(batch.schema).parquet(f"{out}/block={block}").groupBy("cls").agg(F.count(F.lit(1)).alias("t"))
-        now.coalesce(1).write.mode("overwrite").parquet(f"{totals}/block={block}")
-
-    return take
-
-
-def stream_quota(feed: DataFrame, root: str, quota: dict[str, int], schema: str = FEED) -> DataFrame:
-    take = quota_taker(f"{root}/out", f"{root}/totals", f"{root}/ckpt", quota)
-    drain(feed.writeStream.foreachBatch(take), f"{root}/ckpt")
-    return written(feed.sparkSession, f"{root}/out", schema)
+    run_blocks(filled(feed.where("size > 0"), left, seed), f"{root}/ckpt", keep)
+    return written(spark, f"{root}/out", schema)
 
 
 def stream_class_counts(feed: DataFrame, root: str) -> DataFrame:
-    """Running counts per class; returns the last state of every class."""
+    """Running counts per class; returns the last state of every class.
+
+    Blocks carry the run and its start: after a lost checkpoint the new run counts all files anew, and
+    its blocks come after those of the old one, whatever their batch ids are.
+    """
     spark = feed.sparkSession
     counts = feed.where("size > 0").groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    stamp = time.time_ns()
 
     def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+        block = _block(batch.sparkSession, f"{root}/ckpt", batch_id)
+        rows = batch.select("cls", "n", F.lit(stamp).alias("started"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+        rows.write.mode("overwrite").parquet(f"{root}/out/block={block}")
 
     drain(counts.writeStream.outputMode("update").foreachBatch(keep), f"{root}/ckpt")
-    seen = spark.read.schema("cls string, n bigint, batch_id bigint").parquet(f"{root}/out")
-    return first_by(seen, ["cls"], [F.desc("batch_id")]).select("cls", "n")
+    seen = written(spark, f"{root}/out", "cls string, n bigint, started bigint, batch_id bigint")
+    return first_by(seen, ["cls"], [F.desc("started"), F.desc("batch_id")]).select("cls", "n")
