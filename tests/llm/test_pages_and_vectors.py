@@ -59,6 +59,85 @@ def test_one_rule_for_hosts_of_any_size_and_pages_without_body(pages):
     assert len(got) == len(rows) - 1 and all(t.startswith("Own words ") and "club" not in t for t in got.values())
 
 
+ARTICLE = "<article><h1>Title</h1><p>First words {0}.</p><p>Second words {0}.</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><div class="layout with-sidebar">' + ARTICLE + '<div class="sidebar">side</div></div></body>',
+        '<body id="page" class="single"><div id="page" class="single no-comments">' + ARTICLE + "</div></body>",
+        '<body><div class="main-content share-enabled">' + ARTICLE + '<div class="share">post it</div></div></body>',
+        '<body><div class="widget"><div class="menu">a b c</div>' + ARTICLE + "</div></body>",
+        "<body>" + ARTICLE + "<section><h2>Comments</h2><article><p>I agree with all of this, and more so.</p></article></section></body>",
+        "<body>" + ARTICLE + "<section><article><p>A remark of a reader</p></article><article><p>Another one</p></article></section></body>",
+        "<body><main>" + ARTICLE + "</main><section><article><h1>Aside</h1>elsewhere</article></section></body>",
+        '<body><div class="comments"><article><p>Long ' + "remark " * 50 + "</p></article></div>" + ARTICLE + "</body>",
+        "<body>" + ARTICLE.replace("</article>", "<article><p>Comment inside</p></article><h3>3 Comments</h3><p>me too</p></article>") + "</body>",
+        '<body><div class="header"><h1>Title</h1><p>First words {0}.</p><p>Second words {0}.</p></div><div class="ad">buy</div></body>',
+        '<body><div class="nav-wrap widget"><h1>Title</h1><div><p>First words {0}.</p><p>Second words {0}.</p></div></div><div class="comments"><p>x</p></div></body>',
+    ],
+)
+def test_names_never_drop_the_article(page):
+    assert sitetree.main_text(page.format(7)) == "Title\nFirst words 7.\nSecond words 7."
+
+
+def test_pages_without_an_article_keep_suspects_only_if_nothing_else_is_left():
+    assert sitetree.main_text('<body><div class="promo"><p>Only words.</p></div><nav>menu</nav></body>') == "Only words."
+    assert sitetree.main_text('<body><div class="promo"><p>Words.</p></div><p>Text.</p></body>') == "Text."
+    assert sitetree.main_text('<body><div class="ad">buy</div><nav>menu</nav></body>') == ""
+    assert sitetree.main_text("<body><article></article><nav>menu</nav></body>") == ""
+
+
+def test_lists_of_articles_stay_whole():
+    page = "<body><div>" + "".join(f"<article><h2>Part {i}</h2><p>Words {i}</p></article>" for i in range(3)) + "</div></body>"
+    assert sitetree.main_text(page) == "\n".join(f"Part {i}\nWords {i}" for i in range(3))
+
+
+def test_the_tree_decides_inside_an_article_unless_nothing_is_left(pages):
+    site = "<body><article><h1>On {0}</h1><p class=legal>All rights are reserved.</p><p>Own words {0}</p></article></body>"
+    same = "<body><nav>{0}</nav><article><p>Just one text.</p></article></body>"
+    rows = [(i, f"http://a.com/{i}", site.format(i)) for i in range(40)] + [(100 + i, f"http://b.com/{i}", same.format(i)) for i in range(40)]
+    got = {r.page_id: r.text for r in sitetree.extract(pages(rows)).collect()}
+    assert all(got[i] == f"On {i}\nOwn words {i}" and got[100 + i] == "Just one text." for i in range(40))
+
+
+@pytest.mark.parametrize("limit", [1, 100_000])
+def test_style_tree_and_noise_by_brute_force(pages, monkeypatch, limit):
+    monkeypatch.setattr(urls, "LIMIT", limit)
+    rng = np.random.default_rng(5)
+    kinds = ["<div class=teaser>{2}</div>", "<div class=box><section class=own>{0} {1}</section><section class=tag>{2}</section></div>", "<ul><li>{2}<li>{0}</ul>"]
+    rows = []
+    for i in range(160):
+        parts = [kinds[k].format(rng.integers(99), i, rng.integers(3)) for k in rng.permutation(3)[: rng.integers(1, 4)]]
+        rows.append((i, f"http://h{rng.integers(6) ** 2}.com/", "<html><body>" + "".join(parts) + "</body></html>"))
+    rows += rows[:20]
+    values: dict = {}
+    for host, page in {(u.split("/")[2], p) for _, u, p in rows}:
+        for path, (styles, texts) in sitetree.elements(sitetree.parse(page)).items():
+            for h in (host, None):
+                values.setdefault((h, path), []).append(("|".join(styles), "|".join(texts)))
+
+    def entropy(xs):
+        return 1.0 if len(xs) == 1 else -sum(xs.count(x) / len(xs) * math.log(xs.count(x) / len(xs)) for x in set(xs)) / math.log(len(xs))
+
+    tree = {k: (len(v), entropy([c for _, c in v]), (entropy([s for s, _ in v]) + entropy([c for _, c in v])) / 2) for k, v in values.items()}
+    got = sitetree.style_tree(pages(rows))
+    found = {(r.host, r.path): (r.n_pages, r.texts, r.importance) for r in got.collect()}
+    assert found.keys() == tree.keys() and all(found[k] == pytest.approx(tree[k], abs=1e-9) for k in tree)
+    low, want = {}, set()
+    for (host, path), (n, *own) in tree.items():
+        m, *every = min(tree[None, path][0], sitetree.PAGES), *tree[None, path][1:]
+        low[host, path] = "/body" in path and max((n * a + m * b) / (n + m) for a, b in zip(own, every)) < sitetree.IMPORTANCE
+    for (host, path), gone in low.items():
+        if host and gone and all(v for (h, p), v in low.items() if h == host and p.startswith(path + "/")):
+            want.add((host, path))
+    want = {(h, p) for h, p in want if (h, p.rpartition("/")[0]) not in want}
+    assert want and {(r.host, r.path) for r in sitetree.noise_paths(got).collect()} == want
+    texts = {r.page_id: r.text for r in sitetree.extract(pages(rows)).collect()}
+    assert all(texts[i] == sitetree.main_text(p, frozenset(q for h, q in want if h == u.split("/")[2])) for i, u, p in rows)
+
+
 # --- urls ----------------------------------------------------------------------------------------
 
 

@@ -7,9 +7,11 @@ possible entropy: a menu that is the same on every page has 0, an article 1. Ele
 are noise and go with their branch. The tree over all hosts counts besides with up to 20 pages, so the fewer
 pages a host has, the more the others decide; one rule holds for hosts of any size.
 
-Elements whose name or class says what they are need no statistics: scripts, styles, menus, headers,
-footers, sidebars, forms, notices, adverts and comments always go. Headings and paragraphs of an
-``article`` or ``main`` always stay; where a page has such an element, what lies outside goes.
+Some elements need no statistics: scripts, styles, menus, headers, footers, sidebars and forms go by
+their tag. A class, id or role that names such a thing makes a branch a suspect, which goes unless it
+holds the article. Where a page has an ``article`` or ``main``, what lies outside it goes; of several articles
+the leading one and those built like it stay, so reader comments marked up as articles go, as does what
+follows a heading of comments. Inside an article the tree decides as long as it leaves a paragraph.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from tilewright.llm.urls import host_and_path, looked_up
 
 #: Pages that the tree of all hosts counts beside a host's own; importance below which a branch goes.
 PAGES, IMPORTANCE = 20, 0.35
+#: Levels of the style tree; what lies deeper belongs to its ancestor at that level.
+DEPTH = 48
 #: Paths that never go: the page itself, and what stands in its head.
 OUTSIDE = r"^(/html(\.[^/]*)?)?(/(head|title|meta|link|base|script|style|noscript)(\.[^/]*)?(/.*)?)?$"
 
@@ -40,7 +44,8 @@ INLINE = (
     "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "wbr",
 )
 BODY = ("article", "main")
-KEPT = ("p", "h1", "h2", "h3", "h4", "h5", "h6", *INLINE)
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+PARAGRAPHS = ("p", "li", "blockquote", "pre", "dd", "td")
 #: What a class, id or role may say.
 NOISE_WORDS = (
     "ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
@@ -49,11 +54,20 @@ NOISE_WORDS = (
     "subscribe", "toolbar", "widget", "complementary", "contentinfo", "search",
 )
 
+#: Parts of a class or id that tell a state of the page, not what the element is.
+STATES_BEFORE = ("with", "no", "has", "without", "is", "not", "hide", "show")
+STATES_AFTER = ("enabled", "disabled", "open", "closed", "on", "off", "true", "false", "active", "visible", "hidden")
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z]+(?:[-_]+[a-z]+)*")
+_COMMENTS = re.compile(
+    r"\W*(\d+\s+)?(reader |user |leave a |post a |add a |your |all )?(comments?|repl(y|ies)|responses|kommentare?|leserkommentare|commentaires?|comentarios?)(\s*\(\d+\))?\W*", re.I
+)
 _raw, _void, _noise, _inline, _words = map(frozenset, (RAW, VOID, NOISE, INLINE, NOISE_WORDS))
+_before, _after, _paragraphs = map(frozenset, (STATES_BEFORE, STATES_AFTER, PARAGRAPHS))
 #: An opening tag ends the open elements named behind it, up to the nearest container.
 _CLOSES = {
     "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}),
@@ -66,11 +80,26 @@ _CONTAINERS = frozenset("body article main div section ul ol dl table nav header
 
 
 class Node:
-    __slots__ = ("tag", "name", "children", "noise")
+    """``noise``: goes; ``named``: a class, id or role names noise; ``letters`` and ``head`` (2 with an h1,
+    1 with an h2 or h3) speak of the whole branch."""
+
+    __slots__ = ("tag", "name", "children", "noise", "named", "letters", "head")
 
-    def __init__(self, tag: str, name: str, noise: bool):
-        self.tag, self.name, self.noise = tag, name, noise
+    def __init__(self, tag: str, name: str, noise: bool, named: bool = False):
+        self.tag, self.name, self.noise, self.named = tag, name, noise, named
         self.children: list[Node | str] = []
+        self.letters = self.head = 0
+
+
+def names_noise(said: str) -> bool:
+    """Whether a class, id or role names noise; states such as ``no-comments`` or ``with-sidebar`` do not."""
+    for token in _PART.findall(said):
+        parts = re.split("[-_]+", token)
+        if len(parts) > 1 and (parts[0] in _before or parts[-1] in _after):
+            continue
+        if not _words.isdisjoint(parts):
+            return True
+    return False
 
 
 def parse(page: str) -> Node:
@@ -83,7 +112,7 @@ def parse(page: str) -> Node:
         if text:
             stack[-1].children.append(text)
         if not m:
-            return root
+            return judged(root)
         at = m.end()
         if m[2] is None:
             continue
@@ -106,7 +135,8 @@ def parse(page: str) -> Node:
                     break
         said = " ".join(x for g in _ATTR.findall(m[3]) for x in g[1:] if x).lower() if "=" in m[3] else ""
         words = set(_WORD.findall(said)) if said else ()
-        node = Node(tag, f"{tag}.{' '.join(sorted(words))}" if words else tag, tag in _noise or tag in _raw or bool(words and not _words.isdisjoint(words) and tag not in ("body", "html", *BODY)))
+        named = bool(said) and tag not in ("body", "html", "main") and names_noise(said)
+        node = Node(tag, f"{tag}.{' '.join(sorted(words))}" if words else tag, tag in _noise or tag in _raw, named)
         stack[-1].children.append(node)
         if tag in _raw:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -126,55 +156,165 @@ def _plain(node: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
+def _has(node: Node, tags: tuple[str, ...]) -> bool:
+    todo = [node]
+    while todo:
+        n = todo.pop()
+        if n.tag in tags:
+            return True
+        todo += [c for c in n.children if not isinstance(c, str)]
+    return False
+
+
+def _without_comments(node: Node) -> None:
+    """Drops what follows a heading of comments among its siblings, up to a heading as high or an h1 or ``main``."""
+    level, kept = 0, []
+    for c in node.children:
+        if level and not isinstance(c, str) and _has(c, ("h1", "main")):
+            level = 0
+        if not isinstance(c, str) and c.tag in HEADINGS:
+            here = int(c.tag[1])
+            if level and here <= level:
+                level = 0
+            if not level and here > 1 and _COMMENTS.fullmatch(_plain(c)):
+                level = here
+        if not level:
+            kept.append(c)
+    node.children = kept
+
+
+def judged(root: Node) -> Node:
+    """Marks what goes by tag, name or place. A suspect stays if it holds the leading article.
+
+    That is the article with an h1, else the one with fewest suspects around it, else the longest one; in
+    ``main``, where there is one. Articles inside an article, and others neither built like the leading one nor
+    with a heading as high, are comments or teasers. On a page without such an element a suspect
+    stays with an h1 and half of the letters; if nothing is left, the suspects with paragraphs stay.
+    """
+    found: list[tuple[Node, int, str, int, int, int]] = []  # node, parent, path, suspects, outer article, outer main
+    todo: list[tuple[Node, int, str, int, int, int]] = [(root, -1, "", 0, -1, -1)]
+    while todo:
+        node, up, path, suspects, article, main = row = todo.pop()
+        at = len(found)
+        found.append(row)
+        _without_comments(node)
+        suspects += node.named
+        article, main = (at if node.tag == "article" else article), (at if node.tag == "main" and main < 0 else main)
+        todo += [(c, at, path if len(path) > 4096 else f"{path}/{c.name}", suspects, article, main) for c in reversed(node.children) if not isinstance(c, str) and not c.noise]
+    for node, up, *_ in reversed(found):
+        node.letters += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        node.head = max(node.head, {"h1": 2, "h2": 1, "h3": 1}.get(node.tag, 0))
+        if up >= 0:
+            parent = found[up][0]
+            parent.letters, parent.head = parent.letters + node.letters, max(parent.head, node.head)
+    mains = {i for i, r in enumerate(found) if r[0].tag == "main" and r[0].letters and r[5] < 0}
+    articles = [i for i, r in enumerate(found) if r[0].tag == "article" and r[0].letters and (not mains or r[5] in mains)]
+    plain = [i for i in articles if not found[i][0].named] or articles
+    rank = lambda i: (found[i][0].head == 2, -found[i][3], found[i][0].letters, -i)
+    lead = max(plain or mains, key=rank, default=-1)
+    holds, at = set(mains), -1
+    for i in {lead, *mains} - {-1}:
+        at = i
+        while at >= 0 and (at not in holds or at == i):
+            holds.add(at)
+            at = found[at][1]
+    inner: dict[int, int] = {}  # letters of an article that lie in articles inside it
+    for i, r in enumerate(found):
+        if r[0].tag == "article" and r[4] >= 0:
+            inner[r[4]] = inner.get(r[4], 0) + r[0].letters
+    for i, (node, _, path, _, outer, main) in enumerate(found):
+        if i in holds:
+            continue
+        if node.named:
+            node.noise = lead >= 0 or node.head < 2 or 2 * node.letters < root.letters
+        if node.tag == "article" and lead >= 0 and not node.noise:
+            first = found[lead]
+            if mains and main not in mains:
+                node.noise = True
+            elif outer >= 0:
+                node.noise = node.head < 2 and found[outer][0].letters > inner[outer]
+            else:
+                node.noise = not (path == first[2] or node.head == 2 or (first[0].head < 2 and node.head == 1 and first[0].tag == "article"))
+    if lead < 0 and root.letters:
+        left, todo_ = 0, [root]
+        while todo_ and not left:
+            n = todo_.pop()
+            left += sum(len(c.strip()) for c in n.children if isinstance(c, str))
+            todo_ += [c for c in n.children if not isinstance(c, str) and not c.noise]
+        if not left:
+            open_ = set()
+            for i in range(len(found) - 1, -1, -1):
+                if found[i][0].tag == "p" and found[i][0].letters or i in open_:
+                    found[i][0].noise = False
+                    open_.add(found[i][1])
+    return root
+
+
+def _below(path: str, depth: int, node: Node) -> str:
+    return path if depth > DEPTH else f"{path}/{node.name}"
+
+
 def elements(root: Node) -> dict[str, tuple[list[str], list[str]]]:
     """Styles and texts by path, without the branches that are noise by name."""
     found: dict[str, tuple[list[str], list[str]]] = {}
-    todo = [(root, "")]
+    todo = [(root, "", 1)]
     while todo:
-        node, path = todo.pop()
+        node, path, depth = todo.pop()
         styles, texts = found.setdefault(path, ([], []))
         styles.append(",".join(dict.fromkeys(c.name for c in node.children if not isinstance(c, str))))
         texts.append(" ".join(" ".join(c for c in node.children if isinstance(c, str)).split()))
-        todo += [(c, f"{path}/{c.name}") for c in reversed(node.children) if not isinstance(c, str) and not c.noise and c.tag not in _inline]
+        todo += [(c, _below(path, depth, c), depth + 1) for c in reversed(node.children) if not isinstance(c, str) and not c.noise and c.tag not in _inline]
     return found
 
 
-def _body(root: Node) -> list[tuple[Node, str]]:
+def _body(root: Node) -> list[tuple[Node, str, int]]:
     """The outermost article and main elements that are not noise, or else the whole page."""
-    found, todo = [], [(root, "")]
+    found, todo = [], [(root, "", 1)]
     while todo:
-        node, path = todo.pop()
-        if node.tag in BODY:
-            found.append((node, path))
+        node, path, depth = todo.pop()
+        if node.tag in BODY and node.letters:
+            found.append((node, path, depth))
         else:
-            todo += [(c, f"{path}/{c.name}") for c in reversed(node.children) if not isinstance(c, str) and not c.noise]
-    return found or [(root, "")]
+            todo += [(c, _below(path, depth, c), depth + 1) for c in reversed(node.children) if not isinstance(c, str) and not c.noise]
+    return found or [(root, "", 1)]
 
 
-def main_text(page: str | None, noise: frozenset[str] = frozenset()) -> str:
-    """The blocks of the main text, one to a line. ``noise``: paths of low importance."""
-    root = parse(page or "")
+def _blocks(top: Node, where: str, depth: int, noise: frozenset[str]) -> tuple[list[list[str]], int]:
+    """Blocks below ``top`` and the letters of those that are paragraphs."""
     blocks: list[list[str]] = [[]]
-    for top, where in _body(root):
-        inside = top.tag in BODY
-        blocks.append([])
-        todo: list[tuple[Node | str | None, str]] = [(c, where) for c in reversed(top.children)]
-        while todo:
-            node, path = todo.pop()
-            if node is None:
+    todo: list[tuple[Node | str | None, str, int, bool]] = [(c, where, depth, top.tag in _paragraphs) for c in reversed(top.children)]
+    paragraphs = 0
+    while todo:
+        node, path, level, text = todo.pop()
+        if node is None:
+            blocks.append([])
+        elif isinstance(node, str):
+            blocks[-1].append(node)
+            paragraphs += len(node.strip()) if text else 0
+        elif not node.noise:
+            flow = node.tag in _inline
+            here = _below(path, level, node)
+            if not flow and here != path and here in noise:
+                continue
+            if not flow:
                 blocks.append([])
-            elif isinstance(node, str):
-                blocks[-1].append(node)
-            else:
-                here = f"{path}/{node.name}"
-                if node.noise or (here in noise and not (inside and node.tag in KEPT)):
-                    continue
-                flow = node.tag in _inline
-                if not flow:
-                    blocks.append([])
-                    todo.append((None, path))
-                todo += [(c, here) for c in reversed(node.children)]
-    lines = (_SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in blocks)
+                todo.append((None, path, level, text))
+            todo += [(c, here, level + 1, text or node.tag in _paragraphs) for c in reversed(node.children)]
+    return blocks, paragraphs
+
+
+def main_text(page: str | None, noise: frozenset[str] = frozenset()) -> str:
+    """The blocks of the main text, one to a line. ``noise``: paths of low importance.
+
+    Where these would take every paragraph of an article, it stays as it is.
+    """
+    lines = []
+    for top, where, depth in _body(parse(page or "")):
+        blocks, left = _blocks(top, where, depth, noise)
+        if noise and top.tag in BODY and not left:
+            whole, paragraphs = _blocks(top, where, depth, frozenset())
+            blocks = whole if paragraphs else blocks
+        lines += [_SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in blocks]
     return "\n".join(x for x in lines if x)
 
 
@@ -212,34 +352,39 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def noise_paths(tree: DataFrame, pages: int = PAGES, importance: float = IMPORTANCE) -> DataFrame:
-    """``(host, noise, uses)`` of every host: the paths that go, and the most pages of one path.
+    """``(host, path, n_pages)``: the topmost paths that go, one row for each.
 
     A value is the mean of the host's and of all hosts', weighted by pages, the latter by ``pages`` at
-    most. An element is as important as the most important one inside it.
+    most. An element is as important as the most important one inside it: each path counts for its
+    ancestors, too, before the maximum is taken.
     """
     every = tree.where(F.col("host").isNull()).select(
         "path", F.least("n_pages", F.lit(pages)).alias("m"), F.col("texts").alias("t"), F.col("importance").alias("i"), F.col("n_pages").alias("uses")
     )
     own = looked_up(tree.where(F.col("host").isNotNull()), stored(every, "all-hosts"), "path", "uses")
     mean = lambda mine, all_: (F.col("n_pages") * F.col(mine) + F.col("m") * F.col(all_)) / (F.col("n_pages") + F.col("m"))
-    low = F.greatest(mean("importance", "i"), mean("texts", "t")) < importance
-    judged = F.col("path").contains("/body") | ~F.col("path").rlike(OUTSIDE)  # the tag <body> may be left out
-    sides = own.groupBy("host").agg(
-        F.collect_list(F.when(judged & low, F.col("path"))).alias("low"),
-        F.collect_list(F.when(judged & ~low, F.concat("path", F.lit("/")))).alias("kept"),
-        F.max("n_pages").alias("uses"),
-    )
-    return sides.select("host", F.expr("filter(low, p -> not exists(kept, q -> startswith(q, p || '/')))").alias("noise"), "uses")
+    judged_ = F.col("path").contains("/body") | ~F.col("path").rlike(OUTSIDE)  # the tag <body> may be left out
+    value = F.greatest(mean("importance", "i"), mean("texts", "t"))
+    lineage = F.expr("transform(sequence(2, size(split(path, '/'))), n -> struct(array_join(slice(split(path, '/'), 1, n), '/') AS path, n = size(split(path, '/')) AS own))")
+    ways = own.where(judged_).select("host", "n_pages", value.alias("value"), F.explode(lineage).alias("at"))
+    best = ways.groupBy("host", "at.path").agg(F.max("value").alias("value"), F.max(F.when(F.col("at.own"), F.col("n_pages"))).alias("n_pages"))
+    low = stored(best.where((F.col("value") < importance) & judged_ & F.col("n_pages").isNotNull()), "low-paths")
+    parents = low.select("host", F.col("path").alias("parent"))
+    return low.withColumn("parent", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).join(parents, ["host", "parent"], "left_anti").select("host", "path", "n_pages")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every row; a null or empty page has an empty text.
 
-    ``n_chars`` counts code points. Pages without a host share the tree of the empty host.
+    ``n_chars`` counts code points. Pages without a host share the tree of the empty host. Repeated ids
+    and rows are read like any others; equal pages of a host count once in its tree.
     """
-    lists = stored(noise_paths(style_tree(pages, url, html)), "noise")
+    tree = stored(style_tree(pages, url, html), "style-tree")
+    hosts = tree.where(F.col("host").isNotNull()).groupBy("host").agg(F.max("n_pages").alias("uses"))
+    low = noise_paths(tree).groupBy("host").agg(F.collect_list("path").alias("noise"))
+    lists = stored(hosts.join(low, "host", "left").select("host", F.coalesce("noise", F.array().cast("array<string>")).alias("noise"), "uses"), "noise")
     read = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host_and_path(url)[0], F.col(html).alias("html"))
-    rows = looked_up(read, lists, "host", "uses").select("page_id", "url", "html", "noise")
+    rows = looked_up(read, lists, "host", "uses", F.length(F.array_join("noise", "/"))).select("page_id", "url", "html", "noise")
     schema = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

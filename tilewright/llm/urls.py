@@ -24,6 +24,8 @@ from tilewright.llm.common import stored
 
 #: Keys of a lookup that travel to every task, and letters of the longest word.
 LIMIT, LONGEST = 100_000, 20
+#: Letters that a row of such a lookup has on average at most.
+WIDTH = 100
 #: Verdict, host and path prefix of each rule.
 RULES = (
     ("allow", "com", "/"),
@@ -86,11 +88,16 @@ class Unigrams:
         return out[::-1]
 
 
-def looked_up(rows: DataFrame, table: DataFrame, key: str, uses: str) -> DataFrame:
-    """Inner join with a table of distinct keys; whatever its size, no key that many rows use is shuffled."""
-    if table.count() <= LIMIT:
+def looked_up(rows: DataFrame, table: DataFrame, key: str, uses: str, size: Column | None = None) -> DataFrame:
+    """Inner join with a table of distinct keys; whatever its size, no key that many rows use is shuffled.
+
+    ``size``: letters of a row, where rows may be long; then ``LIMIT`` rows of ``WIDTH`` letters travel at most.
+    """
+    n, letters = table.agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).first()
+    if n <= LIMIT and (letters or 0) <= LIMIT * WIDTH:
         return rows.join(F.broadcast(table.drop(uses)), key)
-    hot = F.broadcast(stored(table.orderBy(F.desc(uses), key).limit(LIMIT), "hot"))
+    most = table if size is None else table.where(size <= WIDTH * 1000)
+    hot = F.broadcast(stored(most.orderBy(F.desc(uses), key).limit(LIMIT if size is None else max(LIMIT // 1000, 1)), "hot"))
     rest = table.join(hot.select(key), key, "left_anti")
     near, far = rows.join(hot.drop(uses), key), rows.join(hot.select(key), key, "left_anti").join(rest.drop(uses), key)
     return near.unionByName(far)
