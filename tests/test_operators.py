@@ -243,6 +243,29 @@ def test_ensemble_fit_and_predict(spark):
     assert len(model.thresholds) == 10 and set(model.bank) == {"b", "c"}
 
 
+def test_one_pass_over_all_folds_equals_one_fit_for_each(spark):
+    base = {s: fx.patches(spark, SF, s) for s in "bc"}
+    folds = base["b"].select("patient").distinct().withColumn("fold", F.substring("patient", -3, 3).cast("int") % 4 - 1)
+    kinds = ("ridge", "lda")
+    want = EN.oof_run(base, folds, kinds=kinds, size=16, calibration=0.0)
+    got = EN.oof_one_pass(base, folds, kinds=kinds, size=16)
+    both = want.withColumnRenamed("proba", "p").join(got, ["name", "patient", "fold", "y"])
+    gap = both.select(F.array_max(F.zip_with("p", "proba", lambda a, b: F.abs(a - b))).alias("d")).agg(F.count("*"), F.max("d")).first()
+    assert gap[0] == want.count() == got.count() > 0 and gap[1] < 1e-9
+    with pytest.raises(ValueError, match="depends on the fold"):
+        EN.oof_one_pass(base, folds, "standard")
+
+
+def test_heads_by_fold_leave_out_that_fold_only(spark):
+    rows = fx.patches(spark, SF, "b").withColumn("fold", F.substring("patient", -3, 3).cast("int") % 4 - 1)
+    every = {(r.fold, r.start, r.cls): r for r in H.ridge_heads_by_fold(rows, size=16).collect()}
+    assert {k for k, *_ in every} == {0, 1, 2}
+    for k in range(3):
+        for r in H.fit_ridge_heads(rows.where(F.col("fold") != k).drop("fold"), size=16).collect():
+            np.testing.assert_allclose(every[k, r.start, r.cls].coef, r.coef, atol=1e-9)
+            assert abs(every[k, r.start, r.cls].intercept - r.intercept) < 1e-9
+
+
 def test_candidate_counts_equal_direct_predictions(spark):
     rng = np.random.default_rng(3)
     p = rng.dirichlet(np.ones(10), 200).round(2)  # rounding makes ties

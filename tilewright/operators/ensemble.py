@@ -18,6 +18,7 @@ from tilewright.operators.calibrate import tune_thresholds
 from tilewright.operators.joins import align_sources
 from tilewright.operators.sample import cap_per_class, stratified_split
 from tilewright.schema import N_CLASSES
+from tilewright.session import materialize
 
 
 def match_representation(extra: DataFrame, home: DataFrame, mode: str = "auto") -> DataFrame:
@@ -147,6 +148,46 @@ def ensemble_fit(
         roles.unpersist()
 
 
+BY_FOLD: dict[str, Callable[[DataFrame, int, int], DataFrame]] = {
+    "ridge": H.ridge_heads_by_fold,
+    "lda": lambda df, size, min_dim: H.lda_heads_by_fold(df, size=size),
+}
+
+
+def oof_one_pass(
+    base: dict[str, DataFrame],
+    folds: DataFrame,
+    transform: str = "none",
+    group: str = "patient",
+    key: str = "name",
+    kinds: tuple[str, ...] = ("ridge",),
+    size: int = 768,
+    min_dim: int = 16,
+    boost: float = 1.10,
+    rare_quantile: float = 0.35,
+    how: str = "source_mean",
+) -> DataFrame:
+    """``oof_run`` without calibration, from one scan for each kind of head whatever the number of folds.
+
+    Only ``none`` and ``l2`` are taken: a scaler that sees the training side changes the vectors of each fold.
+    The aligned rows are written once; every fold's rows are scored with the heads that have not seen them.
+    """
+    if transform not in ("none", "l2"):
+        raise ValueError(f"{transform!r} depends on the fold; use oof_run")
+    sources = sorted(base)
+    moved = {s: fold_transform(base[s], transform, F.lit(True)) for s in sources}
+    aligned = materialize(align_sources(moved).where("label >= 0").join(folds, group), "oof-aligned")
+    rows = reduce(DataFrame.unionByName, [aligned.select(F.lit(s).alias("foundation"), "label", F.col(f"x_{s}").alias("x"), "fold") for s in sources])
+    heads = materialize(reduce(DataFrame.unionByName, [BY_FOLD[k](rows, size, min_dim) for k in kinds]), "oof-heads")
+    out = []
+    for (k,) in aligned.where("fold >= 0").select("fold").distinct().orderBy("fold").collect():  # one row per fold
+        rare = [int(r["label"]) for r in rare_classes(aligned.where(F.col("fold") != k).select(key, "label"), rare_quantile).collect()]
+        model = EnsembleModel(H.head_bank(heads.where(F.col("fold") == k).drop("fold")), rare=rare, boost=boost, how=how)
+        scored = model.predict(aligned.where(F.col("fold") == k), {s: f"x_{s}" for s in sources})
+        out.append(scored.select(key, group, F.lit(int(k)).alias("fold"), F.col("label").cast("int").alias("y"), "proba"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def oof_run(
     base: dict[str, DataFrame],
     folds: DataFrame,

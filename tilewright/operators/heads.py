@@ -20,6 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.functions.hashing import hash32, mix32
 from tilewright.functions.vectors import chunk_bounds, chunk_slices, l2_normalize, let
@@ -255,20 +256,41 @@ def _class_counts(df: DataFrame) -> dict[str, dict[int, int]]:
     return out
 
 
+#: Fold of rows that every training side holds, and the only training side where there are no folds.
+NO_FOLD = -1
+HEAD_BY_FOLD = T.StructType([T.StructField("fold", T.IntegerType()), *HEAD.fields])
+
+
+def _training_counts(df: DataFrame) -> dict[str, dict[int, dict[int, int]]]:
+    """Source, fold left out, class: rows of the training side. Rows of fold ``NO_FOLD`` are in all of them."""
+    rows = df.where("label >= 0").groupBy("foundation", "fold", "label").count().collect()  # sources x folds x classes
+    folds = sorted({r["fold"] for r in rows} - {NO_FOLD}) or [NO_FOLD]
+    out: dict[str, dict[int, dict[int, int]]] = {r["foundation"]: {k: {} for k in folds} for r in rows}
+    for r in rows:
+        for k in folds:
+            if r["fold"] != k or k == NO_FOLD:
+                side = out[r["foundation"]][k]
+                side[int(r["label"])] = side.get(int(r["label"]), 0) + int(r["count"])
+    return out
+
+
 def class_moments(
     df: DataFrame,
     chunks: dict[str, list[tuple[int, int]]],
-    weights: dict[str, dict[int, float]],
+    weights: dict[str, dict[int, dict[int, float]]],
 ) -> DataFrame:
-    """Weighted second moments per (foundation, start): one pass over the vectors.
-
-    Row i >= 0 of a chunk holds row i of X'WX followed by the weighted class sums of
-    dim i; row -1 holds the class weights.  A task emits one partial per chunk; the
-    element-wise sum of the partials is a JVM aggregate.
+    """Weighted second moments per (foundation, fold left out, start): one pass over the vectors.
+
+    ``weights`` are by source, fold left out and class. Class weights differ between training sides, so a row
+    is added to each side it belongs to, in that side's weight; moments by fold and class that would be
+    subtracted later hold more numbers as soon as there are more classes than one. Row i >= 0 of
+    a chunk holds row i of the upper triangle of X'WX, then the weighted class sums of dim i; row -1 holds
+    the class weights. A task emits one packed partial per fold and chunk; the element-wise sum of the
+    partials is a JVM aggregate with a row to each i, so one system's sum is spread over many tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple[str, int, int], list[np.ndarray]] = {}
+        acc: dict[tuple[str, int, int, int], list[np.ndarray]] = {}
         for batch in batches:
             t = pa.Table.from_batches([batch])
             sources = t["foundation"].combine_chunks()
@@ -276,37 +298,36 @@ def class_moments(
                 sub = t.filter(pa.compute.equal(t["foundation"], s)).combine_chunks()
                 x = matrix(sub["x"].combine_chunks())
                 y = sub["label"].to_numpy().astype(np.int64)
-                w = np.array([weights[s].get(c, 0.0) for c in range(N_CLASSES)])[y]
-                onehot = np.zeros((len(y), N_CLASSES))
-                onehot[np.arange(len(y)), y] = w
-                for a, b in chunks[s]:
-                    xc = x[:, a:b]
-                    part = [(xc * w[:, None]).T @ xc, xc.T @ onehot, onehot.sum(axis=0)]
-                    if (s, a, b) in acc:
-                        for total, p in zip(acc[(s, a, b)], part):
-                            total += p
-                    else:
-                        acc[(s, a, b)] = part
-        for (s, a, b), (g, xs, n) in acc.items():
+                fold = sub["fold"].to_numpy()
+                for k, by_class in weights[s].items():
+                    w = np.array([by_class.get(c, 0.0) for c in range(N_CLASSES)])[y]
+                    inside = (fold != k) | (k == NO_FOLD)
+                    xk, yk, wk = (x, y, w) if inside.all() else (x[inside], y[inside], w[inside])
+                    onehot = np.zeros((len(yk), N_CLASSES))
+                    onehot[np.arange(len(yk)), yk] = wk
+                    for a, b in chunks[s]:
+                        xc = xk[:, a:b]
+                        part = [(xc * wk[:, None]).T @ xc, xc.T @ onehot, onehot.sum(axis=0)]
+                        if (s, k, a, b) in acc:
+                            for total, p in zip(acc[(s, k, a, b)], part):
+                                total += p
+                        else:
+                            acc[(s, k, a, b)] = part
+        for (s, k, a, b), (g, xs, n) in acc.items():
             d = b - a
-            rows = [list(n)] + [list(r) for r in np.hstack([g, xs])]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "foundation": [s] * (d + 1),
-                    "start": pa.array([a] * (d + 1), pa.int32()),
-                    "stop": pa.array([b] * (d + 1), pa.int32()),
-                    "i": pa.array(range(-1, d), pa.int32()),
-                    "v": pa.array(rows, pa.list_(pa.float64())),
-                }
-            )
+            rows = [n] + [np.concatenate([g[i, i:], xs[i]]) for i in range(d)]
+            ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+            constant = [pa.array([v] * (d + 1), t) for v, t in ((s, pa.string()), (k, pa.int32()), (a, pa.int32()), (b, pa.int32()))]
+            packed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows)))
+            yield pa.RecordBatch.from_arrays([*constant, pa.array(np.arange(-1, d), pa.int32()), packed], names=["foundation", "fold", "start", "stop", "i", "v"])
 
     partial = (
         df.where("label >= 0")
-        .select("foundation", "label", "x")
-        .mapInArrow(run, "foundation string, start int, stop int, i int, v array<double>")
+        .select("foundation", "label", "x", F.col("fold").cast("int").alias("fold"))
+        .mapInArrow(run, "foundation string, fold int, start int, stop int, i int, v array<double>")
     )
     return (
-        partial.groupBy("foundation", "start", "stop", "i")
+        partial.groupBy("foundation", "fold", "start", "stop", "i")
         .agg(Summarizer.sum(array_to_vector("v")).alias("s"))
         .withColumn("v", vector_to_array("s"))
         .drop("s")
@@ -316,15 +337,18 @@ def class_moments(
 def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pdf = pdf.sort_values("i")
     n = np.asarray(pdf["v"].iloc[0], dtype=float)
-    body = np.stack([np.asarray(v, dtype=float) for v in pdf["v"].iloc[1:]])
-    d = len(body)
-    return body[:, :d], body[:, d:], n
+    d = len(pdf) - 1
+    g, xs = np.zeros((d, d)), np.zeros((d, N_CLASSES))
+    for i, v in enumerate(pdf["v"].iloc[1:]):
+        g[i, i:], xs[i] = v[: d - i], v[d - i :]
+    return g + np.triu(g, 1).T, xs, n
 
 
 def _head_rows(pdf, kind, classes, coef, intercept) -> pd.DataFrame:
     k = len(classes)
     return pd.DataFrame(
         {
+            "fold": [int(pdf["fold"].iloc[0])] * k,
             "source": [pdf["foundation"].iloc[0]] * k,
             "kind": [kind] * k,
             "start": [int(pdf["start"].iloc[0])] * k,
@@ -340,18 +364,17 @@ def _chunks(df: DataFrame, size: int, min_dim: int) -> dict[str, list[tuple[int,
     return {s: chunk_bounds(d, size, min_dim) for s, d in source_dims(df).items()}
 
 
-def fit_ridge_heads(
+def ridge_heads_by_fold(
     df: DataFrame, size: int = 768, min_dim: int = 16, alpha: float = 10.0, balanced: bool = True
 ) -> DataFrame:
-    """One-vs-rest +-1 ridge per (source, chunk), free intercept, exact solution.
+    """(fold, head): one-vs-rest +-1 ridge without each ``fold``, free intercept, exact solution.
 
-    Moments come from one distributed pass; each (at most ``size`` wide) system is
-    solved in its own task.
+    Moments of all training sides come from one distributed pass; each (at most ``size`` wide) system is
+    solved in its own task. ``fold`` of the result is the one left out; rows of fold -1 are in all sides.
     """
-    counts = _class_counts(df)
     weights = {
-        s: {c: (sum(n.values()) / (len(n) * v) if balanced else 1.0) for c, v in n.items()}
-        for s, n in counts.items()
+        s: {k: {c: (sum(n.values()) / (len(n) * v) if balanced else 1.0) for c, v in n.items()} for k, n in sides.items()}
+        for s, sides in _training_counts(df).items()
     }
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -366,18 +389,12 @@ def fit_ridge_heads(
         return _head_rows(pdf, "ridge", classes, coef.T, my - mx @ coef)
 
     moments = class_moments(df, _chunks(df, size, min_dim), weights)
-    return moments.groupBy("foundation", "start", "stop").applyInPandas(solve, HEAD)
+    return moments.groupBy("foundation", "fold", "start", "stop").applyInPandas(solve, HEAD_BY_FOLD)
 
 
-def fit_shrinkage_lda(df: DataFrame, shrinkage: float = 0.1, size: int | None = None) -> DataFrame:
-    """Shared-covariance Gaussian classifier, exported as linear heads.
-
-    The pooled covariance is shrunk to its trace average.  With a shared covariance the
-    log posterior is linear in x, so scoring needs no quadratic form.  Classes of fewer
-    than two rows are absent.
-    """
-    counts = _class_counts(df)
-    weights = {s: {c: 1.0 for c, v in n.items() if v >= 2} for s, n in counts.items()}
+def lda_heads_by_fold(df: DataFrame, shrinkage: float = 0.1, size: int | None = None) -> DataFrame:
+    """(fold, head): the classifier of ``fit_shrinkage_lda`` without each ``fold``, from one pass."""
+    weights = {s: {k: {c: 1.0 for c, v in n.items() if v >= 2} for k, n in sides.items()} for s, sides in _training_counts(df).items()}
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         g, xs, n = _unpack(pdf)
@@ -395,7 +412,24 @@ def fit_shrinkage_lda(df: DataFrame, shrinkage: float = 0.1, size: int | None =
 
     width = max(source_dims(df).values())
     moments = class_moments(df, _chunks(df, size or width, 1), weights)
-    return moments.groupBy("foundation", "start", "stop").applyInPandas(solve, HEAD)
+    return moments.groupBy("foundation", "fold", "start", "stop").applyInPandas(solve, HEAD_BY_FOLD)
+
+
+def fit_ridge_heads(
+    df: DataFrame, size: int = 768, min_dim: int = 16, alpha: float = 10.0, balanced: bool = True
+) -> DataFrame:
+    """One-vs-rest +-1 ridge per (source, chunk) over all rows: ``ridge_heads_by_fold`` without folds."""
+    return ridge_heads_by_fold(df.withColumn("fold", F.lit(NO_FOLD)), size, min_dim, alpha, balanced).drop("fold")
+
+
+def fit_shrinkage_lda(df: DataFrame, shrinkage: float = 0.1, size: int | None = None) -> DataFrame:
+    """Shared-covariance Gaussian classifier, exported as linear heads.
+
+    The pooled covariance is shrunk to its trace average.  With a shared covariance the
+    log posterior is linear in x, so scoring needs no quadratic form.  Classes of fewer
+    than two rows are absent.
+    """
+    return lda_heads_by_fold(df.withColumn("fold", F.lit(NO_FOLD)), shrinkage, size).drop("fold")
 
 
 def fit_stacked_lda(aligned: DataFrame, columns: list[str], shrinkage: float = 0.1, source: str = "stacked") -> DataFrame:

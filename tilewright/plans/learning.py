@@ -644,43 +644,69 @@ def _sql_heads(kind: str) -> str:
     return f"""SELECT source, '{kind}' AS kind, start, (start + 2)::INTEGER AS stop, label::INTEGER AS cls, {coef} AS coef, {sql_r6('icpt')} AS intercept FROM solved"""
 
 
-@query(
-    "fit_ridge_heads",
-    with_ctes(
-        f"""WITH g AS (SELECT source, start, sum(w) AS sw, sum(w * x1) AS s1, sum(w * x2) AS s2, sum(w * x1 * x1) AS s11, sum(w * x1 * x2) AS s12,
-                sum(w * x2 * x2) AS s22 FROM fx_pairs GROUP BY ALL),
-            c AS (SELECT source, start, label, sum(w) AS n, sum(w * x1) AS c1, sum(w * x2) AS c2 FROM fx_pairs GROUP BY ALL),
-            m AS (SELECT *, s1 / sw AS m1, s2 / sw AS m2, (2 * n - sw) / sw AS my FROM g JOIN c USING (source, start)),
-            e AS (SELECT *, s11 - sw * m1 * m1 + 10 AS a11, s12 - sw * m1 * m2 AS a12, s22 - sw * m2 * m2 + 10 AS a22,
-                2 * c1 - s1 - sw * m1 * my AS b1, 2 * c2 - s2 - sw * m2 * my AS b2 FROM m),
-            k AS (SELECT *, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS k1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS k2 FROM e),
-            solved AS (SELECT *, my - m1 * k1 - m2 * k2 AS icpt FROM k)
-        {_sql_heads('ridge')}""",
-        "fx_pairs",
-    ),
-)
+_RIDGE_SQL = f"""WITH g AS (SELECT source, start, sum(w) AS sw, sum(w * x1) AS s1, sum(w * x2) AS s2, sum(w * x1 * x1) AS s11, sum(w * x1 * x2) AS s12,
+            sum(w * x2 * x2) AS s22 FROM fx_pairs GROUP BY ALL),
+        c AS (SELECT source, start, label, sum(w) AS n, sum(w * x1) AS c1, sum(w * x2) AS c2 FROM fx_pairs GROUP BY ALL),
+        m AS (SELECT *, s1 / sw AS m1, s2 / sw AS m2, (2 * n - sw) / sw AS my FROM g JOIN c USING (source, start)),
+        e AS (SELECT *, s11 - sw * m1 * m1 + 10 AS a11, s12 - sw * m1 * m2 AS a12, s22 - sw * m2 * m2 + 10 AS a22,
+            2 * c1 - s1 - sw * m1 * my AS b1, 2 * c2 - s2 - sw * m2 * my AS b2 FROM m),
+        k AS (SELECT *, (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS k1, (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS k2 FROM e),
+        solved AS (SELECT *, my - m1 * k1 - m2 * k2 AS icpt FROM k)
+    {_sql_heads('ridge')}"""
+
+
+@query("fit_ridge_heads", with_ctes(_RIDGE_SQL, "fx_pairs"))
 def fit_ridge_heads(spark, sf):
     return _head_rows(H.fit_ridge_heads(all_sources(spark, sf), size=2, min_dim=2))
 
 
+_LDA_SQL = f"""WITH p AS (SELECT * FROM fx_pairs WHERE n >= 2),
+        c AS (SELECT source, start, label, count(*) AS n, avg(x1) AS u1, avg(x2) AS u2 FROM p GROUP BY ALL),
+        g AS (SELECT source, start, count(*) AS t, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22 FROM p GROUP BY ALL),
+        d AS (SELECT source, start, sum(n * u1 * u1) AS d11, sum(n * u1 * u2) AS d12, sum(n * u2 * u2) AS d22, max(n) AS most FROM c GROUP BY ALL),
+        v AS (SELECT source, start, most, (s11 - d11) / greatest(t - 1, 1) AS v11, (s12 - d12) / greatest(t - 1, 1) AS v12, (s22 - d22) / greatest(t - 1, 1) AS v22
+            FROM g JOIN d USING (source, start)),
+        h AS (SELECT source, start, most, 0.9 * v11 + 0.05 * (v11 + v22) AS a11, 0.9 * v12 AS a12, 0.9 * v22 + 0.05 * (v11 + v22) AS a22 FROM v),
+        k AS (SELECT *, (a22 * u1 - a12 * u2) / (a11 * a22 - a12 * a12) AS k1, (a11 * u2 - a12 * u1) / (a11 * a22 - a12 * a12) AS k2 FROM c JOIN h USING (source, start)),
+        solved AS (SELECT *, -0.5 * (u1 * k1 + u2 * k2) + ln(n::DOUBLE / most) AS icpt FROM k)
+    {_sql_heads('lda')}"""
+
+
+@query("fit_shrinkage_lda", with_ctes(_LDA_SQL, "fx_pairs"))
+def fit_shrinkage_lda(spark, sf):
+    return _head_rows(H.fit_shrinkage_lda(all_sources(spark, sf), size=2))
+
+
+# The training side of each of three folds, as a source of its own.
+cte(
+    "fx_fold_pairs",
+    """WITH r AS (SELECT * FROM fx_a UNION ALL SELECT * FROM fx_b UNION ALL SELECT * FROM fx_c),
+        u AS (SELECT foundation || ':' || k AS foundation, label, x FROM r JOIN (SELECT unnest(range(3)) AS k) ON CAST(right(patient, 3) AS INTEGER) % 3 <> k
+            WHERE label >= 0),
+        n AS (SELECT foundation, label, count(*) AS n FROM u GROUP BY ALL),
+        w AS (SELECT foundation, label, n, sum(n) OVER (PARTITION BY foundation) / (count(*) OVER (PARTITION BY foundation) * n::DOUBLE) AS w FROM n),
+        c AS (SELECT foundation, label, x, unnest(range(0, len(x), 2)) AS start FROM u)
+    SELECT c.foundation AS source, start::INTEGER AS start, label, w, n, x[start + 1]::DOUBLE AS x1, x[start + 2]::DOUBLE AS x2
+    FROM c JOIN w USING (foundation, label)""",
+    "fx_a",
+    "fx_b",
+    "fx_c",
+)
+
+
 @query(
-    "fit_shrinkage_lda",
+    "oof_heads",
     with_ctes(
-        f"""WITH p AS (SELECT * FROM fx_pairs WHERE n >= 2),
-            c AS (SELECT source, start, label, count(*) AS n, avg(x1) AS u1, avg(x2) AS u2 FROM p GROUP BY ALL),
-            g AS (SELECT source, start, count(*) AS t, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22 FROM p GROUP BY ALL),
-            d AS (SELECT source, start, sum(n * u1 * u1) AS d11, sum(n * u1 * u2) AS d12, sum(n * u2 * u2) AS d22, max(n) AS most FROM c GROUP BY ALL),
-            v AS (SELECT source, start, most, (s11 - d11) / greatest(t - 1, 1) AS v11, (s12 - d12) / greatest(t - 1, 1) AS v12, (s22 - d22) / greatest(t - 1, 1) AS v22
-                FROM g JOIN d USING (source, start)),
-            h AS (SELECT source, start, most, 0.9 * v11 + 0.05 * (v11 + v22) AS a11, 0.9 * v12 AS a12, 0.9 * v22 + 0.05 * (v11 + v22) AS a22 FROM v),
-            k AS (SELECT *, (a22 * u1 - a12 * u2) / (a11 * a22 - a12 * a12) AS k1, (a11 * u2 - a12 * u1) / (a11 * a22 - a12 * a12) AS k2 FROM c JOIN h USING (source, start)),
-            solved AS (SELECT *, -0.5 * (u1 * k1 + u2 * k2) + ln(n::DOUBLE / most) AS icpt FROM k)
-        {_sql_heads('lda')}""",
-        "fx_pairs",
+        f"SELECT * FROM ({_RIDGE_SQL}) UNION ALL SELECT * FROM ({_LDA_SQL})".replace("fx_pairs", "fx_fold_pairs"),
+        "fx_fold_pairs",
     ),
 )
-def fit_shrinkage_lda(spark, sf):
-    return _head_rows(H.fit_shrinkage_lda(all_sources(spark, sf), size=2))
+def oof_heads(spark, sf):
+    """Ridge and discriminant heads without each fold, the moments of all folds from one scan."""
+    rows = reduce(DataFrame.unionByName, [fx.patches(spark, sf, s) for s in "abc"])
+    rows = rows.withColumn("fold", F.substring("patient", -3, 3).cast("int") % 3)
+    heads = H.ridge_heads_by_fold(rows, size=2, min_dim=2).unionByName(H.lda_heads_by_fold(rows, size=2))
+    return _head_rows(heads.withColumn("source", F.concat_ws(":", "source", "fold")).drop("fold"))
 
 
 @query("ensemble_fit")
