@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import masks as M
 from tilewright.functions import text as TX
 from tilewright.functions import vectors as VX
-from tilewright.functions.hashing import u01
+from tilewright.functions.hashing import hash32, u01
 from tilewright.operators import calibrate as C
 from tilewright.operators import embed as EM
 from tilewright.operators import ensemble as EN
@@ -243,6 +243,26 @@ def test_ensemble_fit_and_predict(spark):
     assert len(model.thresholds) == 10 and set(model.bank) == {"b", "c"}
 
 
+def test_a_million_groups_of_equal_size_share_no_task(spark):
+    df = spark.range(1_000_000).select(F.col("id").cast("string").alias("patient"), F.lit(3).cast("short").alias("label"))
+    placed = FO.fold_table(df, 5)
+    sizes = [r["count"] for r in placed.groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and set(sizes) == {200_000}
+    largest = df.groupBy(F.floor(hash32("fold", "patient") / F.lit(2**32 // FO.PARTS))).count().agg(F.max("count")).first()[0]
+    assert largest < 1_000_000 / FO.PARTS * 1.2
+
+
+def test_small_groups_are_dealt_in_the_stated_order(spark):
+    rng = np.random.default_rng(11)
+    rows = [(f"p{g}", int(g % 3)) for g in range(300) for _ in range(int(rng.integers(1, 4)))]
+    df = spark.createDataFrame(rows, "patient string, label smallint")
+    drawn = {r.patient: r.h for r in df.select("patient", hash32("fold", "patient").alias("h")).distinct().collect()}
+    size = {g: sum(p == g for p, _ in rows) for g in drawn}
+    order = sorted(drawn, key=lambda g: (int(g[1:]) % 3, -size[g], drawn[g], g))
+    want = {g: min(i % 10, 9 - i % 10) for i, g in enumerate(order)}
+    assert {r.patient: r.fold for r in FO.fold_table(df, 5).collect()} == want
+
+
 def test_one_pass_over_all_folds_equals_one_fit_for_each(spark):
     base = {s: fx.patches(spark, SF, s) for s in "bc"}
     folds = base["b"].select("patient").distinct().withColumn("fold", F.substring("patient", -3, 3).cast("int") % 4 - 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.functions.hashing import hash32
 from tilewright.operators.ranking import rank_in_group
 
-PIECES = 1024
+PIECES, PARTS = 1024, 256
 
 
 def fold_table(df: DataFrame, k: int, group: str = "patient", forced: tuple[str, ...] = ()) -> DataFrame:
@@ -31,14 +31,17 @@ def fold_table(df: DataFrame, k: int, group: str = "patient", forced: tuple[str,
     if n_groups < 2:
         raise ValueError(f"need at least two groups for folds, found {n_groups}")
     k = min(k, n_groups)
-    # descending sizes as pieces: exact up to PIECES rows, then one piece for each binary order
+    # descending sizes as pieces: exact up to PIECES rows and cut into PARTS by the hash that orders groups of
+    # equal size, so many small groups share no task; then one piece for each binary order
     exact = F.lit(0) - F.least(F.col("n"), F.lit(PIECES))
     piece = F.when(F.col("n") <= PIECES, exact).otherwise(-PIECES - F.floor(F.log2("n")))
+    drawn = hash32("fold", group)
+    part = F.when(F.col("n") <= PIECES, F.floor(drawn / F.lit(2**32 // PARTS))).otherwise(0)
     ranked = rank_in_group(
         eligible,
         [],
-        (F.col("stratum") * 2 * PIECES + piece).cast("int"),
-        [F.desc("n"), hash32("fold", group), F.col(group)],
+        ((F.col("stratum").cast("long") * 2 * PIECES + piece) * PARTS + part).cast("long"),
+        [F.desc("n"), drawn, F.col(group)],
         out="_r",
     )
     at = F.pmod(F.col("_r") - 1, F.lit(2 * k))

@@ -48,7 +48,9 @@ def align_sources(
     once = W.partitionBy(*on)  # the join has dealt the rows by this key, and a key has few rows
     fail = F.raise_error(F.concat(F.lit("key occurs twice in a source: "), F.col(on[-1]))).cast("smallint")
     out = out.withColumn("label", F.when(F.count(F.lit(1)).over(once) == 1, F.col("label")).otherwise(fail))
-    if must_overlap and out.isEmpty():
+    # keys alone: no vector is shuffled for this, and the first common key ends it
+    common = reduce(lambda a, b: a.join(b, list(on), "left_semi"), [d.select(*on) for d in sources.values()])
+    if must_overlap and common.isEmpty():
         raise ValueError(f"no overlapping keys between {names}")
     return out
 

@@ -8,10 +8,12 @@ import tarfile
 import time
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators import embed as EM
@@ -138,9 +140,9 @@ def sample_first_n(spark, sf):
     return S.sample_first_n(scan, 300).select("shard", "pos", "key", "label")
 
 
-def npz_folder(spark, sf) -> str:
-    """Write source ``b`` as one legacy array file per (patient, slide)."""
-    root = scratch_path(spark, "npz")
+def npz_folder(spark, sf, source: str) -> str:
+    """Write a source as one legacy array file per (patient, slide)."""
+    root = scratch_path(spark, f"npz-{source}")
     make_dirs(root)
 
     def write(rows: list) -> None:
@@ -169,7 +171,7 @@ def npz_folder(spark, sf) -> str:
         yield pd.DataFrame({"n": [n]})
 
     (
-        fx.patches(spark, sf, "b")
+        fx.patches(spark, sf, source)
         .repartition("patient", "slide")
         .sortWithinPartitions("patient", "slide", "name")
         .mapInPandas(run, "n long")
@@ -181,12 +183,18 @@ def npz_folder(spark, sf) -> str:
 @query(
     "scan_npz",
     with_ctes(
-        f"SELECT patient || '_' || slide || '.npz' AS file, patient, slide, name, label, {fx.sql_vec('x')} AS x FROM fx_b",
+        " UNION ALL ".join(
+            f"SELECT foundation, patient || '_' || slide || '.npz' AS file, patient, slide, name, label, {fx.sql_vec('x')} AS x FROM fx_{s}" for s in "abc"
+        ),
+        "fx_a",
         "fx_b",
+        "fx_c",
     ),
 )
 def scan_npz(spark, sf):
-    df = NZ.scan_npz(spark, f"{npz_folder(spark, sf)}/*.npz")
+    """All sources, a folder of array files each."""
+    read = {s: NZ.scan_npz(spark, f"{npz_folder(spark, sf, s)}/*.npz") for s in "abc"}
+    df = reduce(DataFrame.unionByName, [d.withColumn("foundation", F.lit(s)) for s, d in read.items()])
     return df.withColumn("x", fx.vec_text("x"))
 
 
