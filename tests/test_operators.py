@@ -538,3 +538,150 @@ def test_stacked_sources_are_normalised(spark):
     get = lambda h: {r["cls"]: [*r["coef"], r["intercept"]] for r in h.collect()}
     a, b = get(H.fit_stacked_lda(df, ["x_a", "x_b"])), get(want)
     assert a.keys() == b.keys() and all(np.allclose(a[c], b[c], rtol=1e-3, atol=1e-4) for c in a)
+
+
+# --- shards and array files ------------------------------------------------------------------
+
+
+def shard_rows(spark, n=60, shards=6):
+    i = F.col("id")
+    return spark.range(n).select(
+        F.format_string("s-%02d.tar", i % shards).alias("shard"),
+        F.format_string("k%04d", i).alias("key"),
+        F.lit("png").alias("ext"),
+        F.encode(F.repeat(F.format_string("image %d;", i), 40), "utf-8").alias("bytes"),
+        F.when(i % 7 == 0, -1).otherwise(i % 10).cast("int").alias("label"),
+    )
+
+
+def spoil(path):
+    with open(path, "wb") as f:
+        f.write(b"\xff" * 5000)
+
+
+def test_shards_round_trip_with_and_without_index(spark, tmp_path):
+    from tilewright.sources import tarshards as TS
+
+    rows = shard_rows(spark)
+    TS.write_tar_shards(rows, str(tmp_path))
+    cols = ["shard", "key", "ext", "bytes", "label"]
+    want = sorted(map(tuple, rows.select(*cols).collect()))
+    assert sorted(map(tuple, TS.scan_tar_shards(spark, f"{tmp_path}/*.tar").select(*cols).collect())) == want
+    assert TS.write_indexes(spark, f"{tmp_path}/*.tar") == 60
+    ranged = TS.scan_tar_shards(spark, f"{tmp_path}/*.tar", split_bytes=4096)
+    assert ranged.rdd.getNumPartitions() > 6
+    assert sorted(map(tuple, ranged.select(*cols).collect())) == want
+    where = [("pos", ">=", 3), ("pos", "<=", 5), ("key", "!=", "k0020")]
+    got = TS.scan_tar_shards(spark, f"{tmp_path}/*.tar", where=where, split_bytes=4096).collect()
+    assert sorted(r["key"] for r in got) == sorted(f"k{i:04d}" for i in range(60) if 3 <= i // 6 <= 5 and i != 20)
+
+
+def test_a_condition_on_the_shard_opens_no_other_shard(spark, tmp_path):
+    from tilewright.sources import tarshards as TS
+
+    TS.write_tar_shards(shard_rows(spark), str(tmp_path))
+    for i in range(1, 6):
+        spoil(f"{tmp_path}/s-{i:02d}.tar")
+
+    def scan(*where):
+        return TS.scan_tar_shards(spark, f"{tmp_path}/*.tar", where=where)
+
+    assert scan(("shard", "=", "s-00.tar")).count() == 10
+    one = scan(("shard", "in", ["s-00.tar", "none"]))
+    assert one.rdd.getNumPartitions() == 1
+    assert one.where("pos < 3").count() == 3 and one.count() == 10  # filters of one query stay with it
+    assert one.where("pos < 3").union(one.where("pos > 8")).count() == 4
+    assert scan(("shard", "=", "none")).count() == 0
+    with pytest.raises(Exception):
+        scan().count()
+    with pytest.raises(Exception, match="is not one of"):
+        scan(("label", "=", 3)).count()
+
+
+def test_a_changed_shard_makes_its_index_stale(spark, tmp_path):
+    from tilewright.sources import tarshards as TS
+
+    TS.write_tar_shards(shard_rows(spark), str(tmp_path))
+    TS.write_indexes(spark, f"{tmp_path}/*.tar")
+    TS.write_tar_shards(shard_rows(spark, 120), str(tmp_path))
+    with pytest.raises(Exception, match="has changed"):
+        TS.scan_tar_shards(spark, f"{tmp_path}/*.tar").count()
+
+
+def test_targets_meet_places_before_images_are_read(spark, tmp_path):
+    from tilewright.sources import tarshards as TS
+
+    TS.write_tar_shards(shard_rows(spark), str(tmp_path))
+    targets = spark.createDataFrame([("k0003",), ("k0031",), ("k0003",), ("gone",)], "key string")
+    got = TS.fetch_targets(spark, f"{tmp_path}/*.tar", targets)
+    want = shard_rows(spark).where("key IN ('k0003', 'k0031')")
+    cols = ["shard", "key", "ext", "bytes", "label"]
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_a_failed_write_shows_nothing(spark, tmp_path):
+    from tilewright.sources import npz as NZ
+    from tilewright.sources import tarshards as TS
+
+    bad = shard_rows(spark).withColumn("bytes", F.when(F.col("key") != "k0059", F.col("bytes")))
+    with pytest.raises(Exception):
+        TS.write_tar_shards(bad, f"{tmp_path}/tar")
+    assert os.listdir(f"{tmp_path}/tar") == []
+    rows = spark.sql(
+        "SELECT 'P' AS patient, 'S' || (id % 4) AS slide, 'n' || id AS name, IF(id = 39, NULL, 1) AS label, array(1.0F) AS x FROM range(40)"
+    )
+    with pytest.raises(Exception):
+        NZ.write_npz(rows, f"{tmp_path}/npz")
+    assert os.listdir(f"{tmp_path}/npz") == []
+
+
+def test_shards_that_lie_apart_are_refused(spark, tmp_path):
+    from tilewright.sources import tarshards as TS
+
+    spark.dataSource.register(TS.TarShards)
+    rows = shard_rows(spark, 12, 1).repartition(3).select("shard", "key", "ext", "bytes", "label")
+    with pytest.raises(Exception, match="lie apart"):
+        rows.write.format("tarshards").option("path", str(tmp_path)).mode("append").save()
+    assert os.listdir(tmp_path) == []
+
+
+def test_new_shards_stream_once_each_across_a_restart(spark, tmp_path):
+    from tilewright.sources import tarshards as TS
+
+    def run():
+        feed = TS.stream_tar_shards(spark, f"{tmp_path}/in/*.tar", f"{tmp_path}/log").drop("bytes")
+        out = feed.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ckpt")
+        out.trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+        return sorted(r["key"] for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    rows = shard_rows(spark)
+    for n in (2, 2, 6):
+        TS.write_tar_shards(rows.where(F.substring("shard", 3, 2).cast("int") < n).where(f"shard NOT IN ({done(tmp_path)})"), f"{tmp_path}/in")
+        assert run() == sorted(f"k{i:04d}" for i in range(60) if i % 6 < n)
+
+
+def done(tmp_path):
+    names = os.listdir(f"{tmp_path}/in") if os.path.isdir(f"{tmp_path}/in") else []
+    return ", ".join(f"'{n}'" for n in ["-", *names])
+
+
+def test_npz_conditions_open_only_what_they_need(spark, tmp_path):
+    from tilewright.sources import npz as NZ
+
+    rows = spark.sql(
+        "SELECT 'P' || (id % 3) AS patient, 'S' || (id % 6) AS slide, 'n' || id AS name, CAST(id % 5 AS INT) AS label, array(CAST(id AS FLOAT), 1.5F) AS x FROM range(60)"
+    )
+    NZ.write_npz(rows, str(tmp_path))
+    cols = ["patient", "slide", "name", "label", "x"]
+    for where, cond in (
+        ([], "true"),
+        ([("slide", "=", "S4")], "slide = 'S4'"),
+        ([("label", "in", [1, 3]), ("name", ">", "n3")], "label IN (1, 3) AND name > 'n3'"),
+        ([("patient", "startswith", "P1"), ("label", "!=", 2)], "patient = 'P1' AND label <> 2"),
+    ):
+        got = NZ.scan_npz(spark, f"{tmp_path}/*.npz", where=where).select(*cols).collect()
+        assert sorted(map(str, got)) == sorted(map(str, rows.where(cond).select(*cols).collect()))
+    for name in os.listdir(tmp_path):
+        if name.endswith(".npz") and name != "P1_S4.npz":
+            spoil(f"{tmp_path}/{name}")
+    assert NZ.scan_npz(spark, f"{tmp_path}/*.npz", where=[("file", "=", "P1_S4.npz")]).count() == 10

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import io
 import struct
-import tarfile
 import time
 import zlib
 from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -67,46 +64,22 @@ def labelled_images(spark, sf):
     )
 
 
-def tar_folder(spark, sf) -> str:
-    """Write the labelled tiles as tar shards, one task per shard."""
-    root = scratch_path(spark, "shards")
-    make_dirs(root)
+def tar_samples(spark, sf):
+    """The labelled tiles as PNG samples of their shards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_no, buf, tar, count = None, None, None, 0
-        done = []
+        for pdf in batches:
+            data = [png(w, h, rgb) for w, h, rgb in zip(pdf["w"], pdf["h"], pdf["rgb"])]
+            yield pdf.assign(ext="png", bytes=data)[["shard", "key", "ext", "bytes", "label", "n"]]
 
-        def close():
-            tar.close()
-            _publish(f"{root}/shard-{open_no:04d}.tar", buf.getvalue())
-            done.append((open_no, count))
+    rows = labelled_images(spark, sf).withColumn("shard", F.format_string("shard-%04d.tar", "shard_no"))
+    return rows.drop("shard_no").mapInPandas(run, "shard string, key string, ext string, bytes binary, label int, n long")
 
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if r.shard_no != open_no:
-                    if tar is not None:
-                        close()
-                    open_no, buf, count = r.shard_no, io.BytesIO(), 0
-                    tar = tarfile.open(fileobj=buf, mode="w")
-                parts = [("png", png(r.w, r.h, r.rgb))]
-                if r.label >= 0:
-                    parts.append(("cls", str(r.label).encode()))
-                for ext, data in parts:
-                    info = tarfile.TarInfo(f"{r.key}.{ext}")
-                    info.size = len(data)
-                    tar.addfile(info, io.BytesIO(data))
-                count += 1
-        if tar is not None:
-            close()
-        yield pd.DataFrame(done, columns=["shard_no", "n"])
-
-    (
-        labelled_images(spark, sf)
-        .repartition(SHARDS, "shard_no")
-        .sortWithinPartitions("shard_no", "n")
-        .mapInPandas(run, "shard_no int, n long")
-        .collect()  # one row per shard
-    )
+
+def tar_folder(spark, sf) -> str:
+    """The samples written by the shard sink."""
+    root = scratch_path(spark, "shards")
+    TS.write_tar_shards(tar_samples(spark, sf), root, order="n")
     return root
 
 
@@ -123,6 +96,44 @@ def scan_tar_shards(spark, sf):
     return TS.scan_tar_shards(spark, f"{tar_folder(spark, sf)}/*.tar").select("shard", "pos", "key", "ext", "label")
 
 
+@query(
+    "scan_tar_ranges",
+    with_ctes(
+        "SELECT shard, pos, key, ext, label FROM fx_tar WHERE shard <> 'shard-0003.tar' AND pos BETWEEN 2 AND 40", "fx_tar"
+    ),
+)
+def scan_tar_ranges(spark, sf):
+    """Indexed shards in byte ranges; the conditions are tested in the source."""
+    pattern = f"{tar_folder(spark, sf)}/*.tar"
+    TS.write_indexes(spark, pattern)
+    where = [("shard", "!=", "shard-0003.tar"), ("pos", ">=", 2), ("pos", "<=", 40)]
+    return TS.scan_tar_shards(spark, pattern, where=where, split_bytes=256 << 10).select("shard", "pos", "key", "ext", "label")
+
+
+@query(
+    "fetch_targets",
+    with_ctes("SELECT shard, pos, key, ext, label FROM fx_tar WHERE label IN (1, 4) OR key LIKE '%7'", "fx_tar"),
+)
+def fetch_targets(spark, sf):
+    """Planned keys meet the members' places; only their images are read."""
+    targets = labelled_images(spark, sf).where("label IN (1, 4) OR key LIKE '%7'").select("key")
+    rows = TS.fetch_targets(spark, f"{tar_folder(spark, sf)}/*.tar", targets)
+    return rows.where("length(bytes) > 0").select("shard", "pos", "key", "ext", "label")
+
+
+@query("stream_shards", with_ctes("SELECT shard, pos, key, ext, label FROM fx_tar", "fx_tar"))
+def stream_shards(spark, sf):
+    """Half of the shards, then the others after a restart: each once."""
+    root, out = scratch_path(spark, "live-shards"), scratch_path(spark, "stream-shards")
+    samples = tar_samples(spark, sf)
+    for later in (False, True):
+        TS.write_tar_shards(samples.where((F.col("n") % SHARDS >= SHARDS // 2) == later), root, order="n")
+        feed = TS.stream_tar_shards(spark, f"{root}/*.tar", f"{out}/log").drop("bytes")
+        run = feed.writeStream.format("parquet").option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True)
+        run.start(f"{out}/data").awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("shard", "pos", "key", "ext", "label")
+
+
 @query(
     "count_shard_entries",
     with_ctes("SELECT shard, count(*) AS n_images FROM fx_tar GROUP BY shard", "fx_tar"),
@@ -141,42 +152,9 @@ def sample_first_n(spark, sf):
 
 
 def npz_folder(spark, sf, source: str) -> str:
-    """Write a source as one legacy array file per (patient, slide)."""
+    """A source written by the array sink, one file per (patient, slide)."""
     root = scratch_path(spark, f"npz-{source}")
-    make_dirs(root)
-
-    def write(rows: list) -> None:
-        buf = io.BytesIO()
-        np.savez(
-            buf,
-            X=np.stack([np.asarray(r.x, dtype=np.float32) for r in rows]),
-            y=np.array([r.label for r in rows], dtype=np.int16),
-            names=np.array([r.name for r in rows]),
-            patient=np.array(rows[0].patient),
-            slide=np.array(rows[0].slide),
-        )
-        _publish(f"{root}/{rows[0].patient}_{rows[0].slide}.npz", buf.getvalue())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, n = [], 0
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                if rows and (r.patient, r.slide) != (rows[0].patient, rows[0].slide):
-                    write(rows)
-                    rows, n = [], n + 1
-                rows.append(r)
-        if rows:
-            write(rows)
-            n += 1
-        yield pd.DataFrame({"n": [n]})
-
-    (
-        fx.patches(spark, sf, source)
-        .repartition("patient", "slide")
-        .sortWithinPartitions("patient", "slide", "name")
-        .mapInPandas(run, "n long")
-        .collect()  # one row per task
-    )
+    NZ.write_npz(fx.patches(spark, sf, source), root)
     return root
 
 

@@ -25,7 +25,7 @@ def expand(pattern: str) -> list[str]:
     folder, name = posixpath.split(path)
     base = pattern[: len(pattern) - len(name)]  # keeps scheme and authority
     found = (posixpath.basename(i.path) for i in filesystem.get_file_info(fs.FileSelector(folder)))
-    return sorted(base + n for n in found if fnmatch.fnmatch(n, name))
+    return sorted(base + n for n in found if fnmatch.fnmatch(n, name) and not n.startswith("."))
 
 
 def open_file(path: str):
@@ -34,6 +34,29 @@ def open_file(path: str):
     return filesystem.open_input_file(p)
 
 
+def size_of(path: str) -> int | None:
+    """Bytes of a file, None if it is missing."""
+    filesystem, p = _split(path)
+    return filesystem.get_file_info(p).size
+
+
+def open_output(path: str):
+    filesystem, p = _split(path)
+    return filesystem.open_output_stream(p)
+
+
+def move(source: str, target: str) -> None:
+    filesystem, p = _split(source)
+    filesystem.move(p, _split(target)[1])
+
+
+def remove(path: str) -> None:
+    """Delete a file; one that is missing does no harm."""
+    filesystem, p = _split(path)
+    if filesystem.get_file_info(p).type != fs.FileType.NotFound:
+        filesystem.delete_file(p)
+
+
 def make_dirs(path: str) -> None:
     filesystem, p = _split(path)
     filesystem.create_dir(p, recursive=True)
