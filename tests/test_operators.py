@@ -317,6 +317,55 @@ def test_auc_with_ties_equals_pair_counting(spark):
         assert abs(E.weighted_auroc(df, buckets=buckets).first()["auroc"] - num / den) < 1e-12
 
 
+def test_auc_with_hot_scores_null_labels_and_small_batches(spark):
+    rng = np.random.default_rng(6)
+    y = [None if v == 3 else int(v) for v in rng.integers(0, 4, 400)]
+    p = np.where(rng.random((400, 10)) < 0.4, 0.0, rng.random((400, 10)).round(2))
+    rows = [("c", i % 2, a, [float(v) for v in b]) for i, (a, b) in enumerate(zip(y, p))]
+    df = spark.createDataFrame(rows, "config_id string, fold int, y int, proba array<float>")
+    want = {}
+    for fold in (0, 1):
+        num = den = 0.0
+        for c in range(3):
+            pos = p[[i for i, v in enumerate(y) if i % 2 == fold and v == c], c].astype(np.float32)
+            neg = p[[i for i, v in enumerate(y) if i % 2 == fold and v not in (None, c)], c].astype(np.float32)
+            wins = (pos[:, None] > neg[None]).sum() + 0.5 * (pos[:, None] == neg[None]).sum()
+            num, den = num + wins / len(neg), den + len(pos)
+        want[fold] = num / den
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["fold"]: r["auroc"] for r in E.weighted_auroc(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(abs(got[f] - want[f]) < 1e-12 for f in (0, 1))
+    assert E.weighted_auroc(df.limit(0)).count() == 0
+
+
+def test_rasters_and_pixel_rows_agree(spark):
+    from tilewright.operators import pixels as PI
+
+    rng = np.random.default_rng(9)
+    palette = [(200, 30, 30, "b"), (30, 200, 30, "a"), (30, 30, 200, "c"), (30, 30, 204, "a")]
+    tiles, rows = [], []
+    for t in range(40):
+        base = np.array([e[:3] for e in palette])[rng.integers(0, 4 if t % 2 else 2, 30)]
+        px = np.clip(base + rng.integers(-6, 7, (30, 3)), 0, 255).astype(np.uint8)
+        px[: t % 30] = 255  # white
+        tiles.append((t, px.tobytes()))
+        rows += [(t, *map(int, v)) for v in px]
+    tiles += [(40, b""), (41, None)]
+    raster = spark.createDataFrame(tiles, "tile_id long, rgb binary")
+    pixel = spark.createDataFrame(rows, "tile_id long, r int, g int, b int")
+    text = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    for tol in (5.0, 12.0):
+        assert text(O.nearest_color_join(raster, palette, tol)) == text(O.nearest_color_join(pixel, palette, tol))
+        assert text(O.annotate_tiles(raster, palette, tol)) == text(O.annotate_tiles(pixel, palette, tol))
+    assert text(PI.tissue_qc(raster, bg_max=0.4)) == text(PI.tissue_qc(pixel, bg_max=0.4))
+    assert text(O.annotate_tiles(raster, [], 5.0)) == text(O.annotate_tiles(pixel, [], 5.0))
+    plans = [O.annotate_tiles(raster, palette), PI.tissue_qc(raster), O.nearest_color_join(raster, palette)]
+    assert all("Exchange" not in df._jdf.queryExecution().toString() for df in plans)
+
+
 # --- registry, streaming, pixels --------------------------------------------------------------
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tilewright.operators.ranking import rank_in_group
 from tilewright.schema import N_CLASSES
@@ -94,23 +100,60 @@ def _score_bucket(s: Column, buckets: int) -> Column:
     return F.when(s < 0.5, to_zero).otherwise(to_one).cast("int")
 
 
+def _score_counts(df: DataFrame, by: tuple[str, ...], proba: str, buckets: int) -> DataFrame:
+    """(run, cls, _b, s, pos, neg), each score once for an Arrow batch, class and run.
+
+    Counted before anything is exploded, so a batch never becomes rows x classes rows on their way out.
+    """
+    rows = df.select(*by, "y", F.col(proba).cast("array<double>").alias("_p"))
+    fields = [rows.schema[c] for c in by]
+    kinds = T.StructType([*fields, *(T.StructField(n, t) for n, t in (("cls", T.IntegerType()), ("s", T.DoubleType()), ("pos", T.LongType()), ("neg", T.LongType())))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            lists = table["_p"].combine_chunks()
+            rows_of = pc.list_parent_indices(lists).to_numpy()
+            if not len(rows_of):
+                continue
+            first = np.searchsorted(rows_of, np.arange(len(lists)))
+            cls = np.arange(len(rows_of)) - first[rows_of]
+            known = pc.is_valid(table["y"]).to_numpy()[rows_of]  # unlabelled rows neither win nor lose
+            y = table["y"].fill_null(-1).to_numpy()
+            hit = (y[rows_of] == cls) & known
+            flat = pa.table(
+                {
+                    **{c: table[c].take(pa.array(rows_of)) for c in by},
+                    "cls": pa.array(cls, pa.int32()),
+                    "s": lists.flatten(),
+                    "pos": pa.array(hit.astype(np.int64)),
+                    "neg": pa.array((known & ~hit).astype(np.int64)),
+                }
+            )
+            got = flat.group_by([*by, "cls", "s"]).aggregate([("pos", "sum"), ("neg", "sum")])
+            got = got.rename_columns([n.removesuffix("_sum") for n in got.column_names])
+            yield from got.select([*by, "cls", "s", "pos", "neg"]).combine_chunks().to_batches()
+
+    return rows.mapInArrow(count, kinds).withColumn("_b", _score_bucket(F.col("s"), buckets))
+
+
 def weighted_auroc(
     df: DataFrame, by: tuple[str, ...] = RUN, proba: str = "proba", buckets: int = 1024
 ) -> DataFrame:
     """Support-weighted one-vs-rest rank AUC; one-class columns are skipped.
 
-    Rows are first counted per distinct score.  Wins inside a score bucket and wins over
-    all earlier buckets add up, so no task orders a whole class and only bucket totals
-    are ever accumulated along a class.  Buckets have equal relative width towards 0 and
-    towards 1 (``buckets`` for each halving), so scores that crowd at either end spread.
+    Rows are first counted per distinct score, in Arrow batches and again after the one large
+    shuffle, which deals out the score buckets; a score on which many rows agree arrives as a count.
+    Wins inside a bucket and wins over all earlier buckets add up, so no task orders a whole class and
+    only bucket totals are ever accumulated along a class.  Buckets have equal relative width towards 0
+    and towards 1 (``buckets`` for each halving), so scores that crowd at either end spread.
     """
-    long = df.select(*by, "y", F.posexplode(proba).alias("cls", "s"))
-    y = F.col("y") == F.col("cls")
     key = [*by, "cls"]
     score = (
-        long.groupBy(*key, "s")
-        .agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
-        .withColumn("_b", _score_bucket(F.col("s"), buckets))
+        _score_counts(df, by, proba, buckets)
+        .repartition(*key, "_b")
+        .groupBy(*key, "_b", "s")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
     inside = W.partitionBy(*key, "_b").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
     local = score.withColumn("_below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))

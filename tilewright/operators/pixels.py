@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.hashing import u01
+from tilewright.operators.ontology import is_raster, packed, unpack
 from tilewright.operators.ranking import hash_bucket, rank_in_group
 from tilewright.session import materialize
 
@@ -31,9 +34,50 @@ def tissue_qc(
 ) -> DataFrame:
     """Background, saturation and eosin shares per tile, and the verdict.
 
-    Colours are counted per tile first, so later steps see each colour once.  The eosin
-    scale is the tile's own minimum-to-maximum range.
+    The eosin scale is the tile's own minimum-to-maximum range. Tiles with an ``rgb`` column are
+    checked in place, without a shuffle; of pixel rows, colours are counted per tile first, so
+    later steps see each colour once.
     """
+    if is_raster(pixels):
+        shares = raster_shares(pixels, eosin_level)
+    else:
+        shares = _pixel_shares(pixels, eosin_level)
+    verdict = (
+        F.when(F.col("bg_frac") > bg_max, "background")
+        .when(F.col("lowsat_frac") > lowsat_max, "low_saturation")
+        .when(F.col("eosin_low_frac") > eosin_max, "low_eosin")
+        .otherwise("ok")
+    )
+    return shares.withColumn("verdict", verdict)
+
+
+def raster_shares(tiles: DataFrame, eosin_level: float) -> DataFrame:
+    """Background, low saturation and low eosin shares of each tile, from its own bytes; a tile
+    without pixels has no row."""
+    kept = tiles.select("tile_id", "rgb").where("length(rgb) > 0")
+    kind = kept.schema["tile_id"].dataType.simpleString()
+
+    def shares(rgb: bytes) -> tuple[float, float, float]:
+        codes, n = np.unique(packed(rgb), return_counts=True)
+        px = unpack(codes)
+        hi, lo = px.max(axis=1), px.min(axis=1)
+        sat = np.divide(hi - lo, hi, out=np.zeros(len(px)), where=hi > 0)
+        logs = np.log(np.maximum(px / 255.0, 1e-6)) / np.log(1e-6)
+        e = np.maximum(logs[:, 0] * EOSIN[0] + logs[:, 1] * EOSIN[1] + logs[:, 2] * EOSIN[2], 0.0)
+        level = (e - e.min()) / (e.max() - e.min() + 1e-8) * 255.0
+        tests = ((lo > 230) | (hi < 25), sat < 0.05, level < eosin_level)
+        return tuple(float(n[t].sum() / n.sum()) for t in tests)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pd.DataFrame([shares(v) for v in pdf["rgb"]], columns=["bg_frac", "lowsat_frac", "eosin_low_frac"])
+            yield pd.concat([pdf[["tile_id"]].reset_index(drop=True), out], axis=1)
+
+    return kept.mapInPandas(run, f"tile_id {kind}, bg_frac double, lowsat_frac double, eosin_low_frac double")
+
+
+def _pixel_shares(pixels: DataFrame, eosin_level: float) -> DataFrame:
+    """As ``raster_shares``, from one row for each pixel."""
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     hi, lo = F.greatest(r, g, b), F.least(r, g, b)
     colors = (
@@ -49,12 +93,6 @@ def tissue_qc(
     def share(cond: Column) -> Column:
         return F.sum(F.when(cond, F.col("n")).otherwise(0)) / F.sum("n")
 
-    verdict = (
-        F.when(F.col("bg_frac") > bg_max, "background")
-        .when(F.col("lowsat_frac") > lowsat_max, "low_saturation")
-        .when(F.col("eosin_low_frac") > eosin_max, "low_eosin")
-        .otherwise("ok")
-    )
     return (
         colors.join(span, "tile_id")
         .groupBy("tile_id")
@@ -63,7 +101,6 @@ def tissue_qc(
             share(F.col("sat") < 0.05).alias("lowsat_frac"),
             share(level < eosin_level).alias("eosin_low_frac"),
         )
-        .withColumn("verdict", verdict)
     )
 
 

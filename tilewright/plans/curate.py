@@ -643,32 +643,33 @@ def sections(spark, sf):
     )
 
 
-def pixels(spark, sf, per_tile: int = 64):
-    """Annotation raster: 64 pixels per section, palette colours with noise or white."""
+def rasters(spark, sf, per_tile: int = 64):
+    """Annotation raster of each section: 64 pixels, palette colours with noise or white, as bytes."""
     from tilewright.functions.hashing import hash32
 
-    h = hash32("px", "tile_id", "i")
     entries = F.array(
         *[F.struct(F.lit(r).alias("r"), F.lit(g).alias("g"), F.lit(b).alias("b")) for r, g, b, _ in PALETTE]
     )
-    # A tile leans to one palette entry; hash picks another entry or white at times.
-    entry = F.get(
-        entries,
-        F.when(F.col("h") % 10 < 6 + F.col("tile_id") % 4, F.col("tile_id") % 7)
-        .otherwise(F.floor(F.col("h") / 16) % 7)
-        .cast("int"),
-    )
-    white = (F.col("h") % 100 < F.col("tile_id") % 3 * 30).cast("int")
-    noise = (F.floor(F.col("h") / 1024) % 11).cast("int") - 5
 
-    def channel(c):
-        return F.when(white == 1, 255).otherwise(F.least(F.greatest(entry[c] + noise, F.lit(0)), F.lit(255))).cast("int")
+    def pixel(h):
+        # A tile leans to one palette entry; hash picks another entry or white at times.
+        own = F.when(h % 10 < 6 + F.col("tile_id") % 4, F.col("tile_id") % 7)
+        entry = F.get(entries, own.otherwise(F.floor(h / 16) % 7).cast("int"))
+        white = h % 100 < F.col("tile_id") % 3 * 30
+        noise = (F.floor(h / 1024) % 11).cast("int") - 5
+
+        def channel(c):
+            value = F.when(white, 255).otherwise(F.least(F.greatest(entry[c] + noise, F.lit(0)), F.lit(255)))
+            return F.lpad(F.hex(value.cast("int")), 2, "0")
+
+        return F.concat(*[channel(c) for c in "rgb"])
 
+    hashes = F.transform(F.sequence(F.lit(0), F.lit(per_tile - 1)), lambda i: hash32("px", "tile_id", i))
     return (
         fx.table(spark, sf, "part")
-        .select(F.col("p_partkey").alias("tile_id"), F.explode(F.sequence(F.lit(0), F.lit(per_tile - 1))).alias("i"))
-        .withColumn("h", h)
-        .select("tile_id", channel("r").alias("r"), channel("g").alias("g"), channel("b").alias("b"))
+        .select(F.col("p_partkey").alias("tile_id"))
+        .withColumn("_h", hashes)
+        .select("tile_id", F.unhex(F.array_join(F.transform("_h", pixel), "")).alias("rgb"))
     )
 
 
@@ -708,7 +709,7 @@ COLOR_TOL = 8.0
 
 @query("nearest_color_join", with_ctes("SELECT * FROM fx_nearest", "fx_nearest"))
 def nearest_color_join(spark, sf):
-    return O.nearest_color_join(pixels(spark, sf), PALETTE, COLOR_TOL)
+    return O.nearest_color_join(rasters(spark, sf), PALETTE, COLOR_TOL)
 
 
 cte(
@@ -734,7 +735,7 @@ cte(
     ),
 )
 def annotate_tiles(spark, sf):
-    out = O.annotate_tiles(pixels(spark, sf), PALETTE, COLOR_TOL)
+    out = O.annotate_tiles(rasters(spark, sf), PALETTE, COLOR_TOL)
     return out.withColumn("coverage", fx.r6("coverage")).withColumn("top_frac", fx.r6("top_frac"))
 
 

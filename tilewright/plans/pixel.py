@@ -17,7 +17,7 @@ from tilewright.operators import sample as S
 from tilewright.operators import stain as ST
 from tilewright.operators.aggregate import slide_profile_median
 from tilewright.plans import fixtures as fx
-from tilewright.plans.curate import COLOR_TOL, PALETTE, pixels
+from tilewright.plans.curate import COLOR_TOL, PALETTE, rasters
 from tilewright.plans.fixtures import cte, sql_r6, sql_u, with_ctes
 from tilewright.plans.registry import query
 from tilewright.session import materialize
@@ -139,7 +139,7 @@ def qc(px):
     ),
 )
 def tissue_qc(spark, sf):
-    out = qc(pixels(spark, sf))
+    out = qc(rasters(spark, sf))
     for c in ("bg_frac", "lowsat_frac", "eosin_low_frac"):
         out = out.withColumn(c, fx.r6(c))
     return out
@@ -159,7 +159,7 @@ SCAN_CAP = 4
     ),
 )
 def two_phase_scan(spark, sf):
-    px = pixels(spark, sf)
+    px = rasters(spark, sf)
     cheap = O.annotate_tiles(px, PALETTE, COLOR_TOL).select(
         F.concat(F.lit("S"), (F.col("tile_id") % 40).cast("string")).alias("specimen"), "label", "tile_id"
     )
