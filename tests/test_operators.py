@@ -208,6 +208,40 @@ def test_logistic_is_stationary(spark):
         assert np.abs(grad).max() < 1e-3 and abs(r.mean()) < 1e-3
 
 
+@pytest.mark.parametrize("weighting", ["positive", "own"])
+def test_logistic_heads_reach_their_minimum_in_few_jobs(spark, weighting, monkeypatch):
+    df = fx.patches(spark, SF, "a").where("label >= 0")
+    passes = []
+    real = H.logistic_gradients
+    monkeypatch.setattr(H, "logistic_gradients", lambda *a: passes.append(1) or real(*a))
+    alpha = 1e-3
+    heads = H.fit_logistic_heads(df, size=32, alpha=alpha, weighting=weighting).collect()
+    assert len(passes) < 150
+    rows = df.collect()
+    x, y = np.array([r["x"] for r in rows], float), np.array([r["label"] for r in rows])
+    classes = np.unique(y)
+    assert sorted((h["start"], h["cls"]) for h in heads) == [(a, c) for a in (0, 32) for c in classes]
+    balanced = {c: len(y) / (len(classes) * (y == c).sum()) for c in classes}
+    for h in heads:
+        xc, hit = x[:, h["start"] : h["stop"]], y == h["cls"]
+        w = np.array([balanced[v] if weighting == "own" or v == h["cls"] else 1.0 for v in y])
+        coef = np.array(h["coef"])
+        r = w * (1 / (1 + np.exp(-(xc @ coef + h["intercept"]))) - hit)
+        grad = (xc.T @ r + alpha * len(y) * coef) / w.sum()
+        assert np.abs(grad).max() < 1.1e-5 and abs(r.sum() / w.sum()) < 1.1e-5
+
+
+def test_logistic_head_of_a_single_class_and_flat_dimensions(spark):
+    rows = [("s", 0, [float(i), 1.0]) for i in range(20)]
+    schema = "foundation string, label int, x array<float>"
+    only = H.fit_logistic_heads(spark.createDataFrame(rows, schema), size=2, min_dim=1).collect()
+    assert len(only) == 1 and only[0]["intercept"] > 10 and np.isfinite(only[0]["coef"]).all()
+    both = spark.createDataFrame([*rows, *[("s", 1, [30.0 - i, 1.0]) for i in range(20)]], schema)
+    got = H.fit_logistic_heads(both, size=2, min_dim=1, alpha=1e-2).collect()
+    assert [h["cls"] for h in got] == [0, 1] and np.isfinite([h["coef"] for h in got]).all()
+    assert H.fit_logistic_heads(both.limit(0), size=2, min_dim=1).count() == 0
+
+
 def test_lda_matches_the_quadratic_form(spark):
     x, y = _xy(spark)
     df = fx.patches(spark, SF, "b")

@@ -9,13 +9,11 @@ one matrix product per head.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.functions.hashing import hash32, mix32
-from tilewright.functions.vectors import chunk_bounds, chunk_slices, l2_normalize, let
+from tilewright.functions.vectors import chunk_bounds, l2_normalize, let
 from tilewright.schema import HEAD, N_CLASSES
 
 # Score of a class the head never saw, before the softmax.
@@ -432,13 +430,106 @@ def fit_shrinkage_lda(df: DataFrame, shrinkage: float = 0.1, size: int | None =
     return lda_heads_by_fold(df.withColumn("fold", F.lit(NO_FOLD)), shrinkage, size).drop("fold")
 
 
-def fit_stacked_lda(aligned: DataFrame, columns: list[str], shrinkage: float = 0.1, source: str = "stacked") -> DataFrame:
+def fit_stacked_lda(
+    aligned: DataFrame, columns: list[str], shrinkage: float = 0.1, source: str = "stacked", size: int | None = None
+) -> DataFrame:
     """The shrinkage classifier on the unit vectors of several sources side by side.
 
-    ``aligned`` has one vector column for each source and ``label``.
+    ``aligned`` has one vector column for each source and ``label``; ``size`` cuts the stacked vector into chunks.
     """
     x = F.concat(*[l2_normalize(c) for c in columns])
-    return fit_shrinkage_lda(aligned.select(F.lit(source).alias("foundation"), "label", x.alias("x")), shrinkage)
+    return fit_shrinkage_lda(aligned.select(F.lit(source).alias("foundation"), "label", x.alias("x")), shrinkage, size)
+
+
+class Descent:
+    """Limited-memory quasi-Newton search for one head, told its loss and gradient from outside.
+
+    ``trial`` is the point to evaluate next. A trial that does not lower the loss enough is followed by a
+    shorter step along the same direction.
+    """
+
+    MEMORY = 10
+
+    def __init__(self, start: np.ndarray):
+        self.at = self.trial = start
+        self.f = self.g = self.direction = None
+        self.step, self.pairs = 1.0, []
+
+    def tell(self, f: float, g: np.ndarray) -> None:
+        if self.f is not None:
+            slope = self.g @ self.direction
+            if f > self.f + 1e-4 * self.step * slope:
+                bend = f - self.f - self.step * slope
+                best = -slope * self.step**2 / (2 * bend)
+                self.step = float(np.clip(best, 0.1 * self.step, 0.5 * self.step))
+                self.trial = self.at + self.step * self.direction
+                return
+            s, y = self.trial - self.at, g - self.g
+            if s @ y > 1e-12 * (y @ y):
+                self.pairs = [*self.pairs, (s, y)][-self.MEMORY :]
+        self.at, self.f, self.g = self.trial, f, g
+        self.direction = self._direction()
+        self.step = 1.0 if self.pairs else min(1.0, 1.0 / max(np.abs(g).sum(), 1e-300))
+        self.trial = self.at + self.step * self.direction
+
+    def _direction(self) -> np.ndarray:
+        q, alphas = self.g.copy(), []
+        for s, y in reversed(self.pairs):
+            alphas.append((s @ q) / (s @ y))
+            q -= alphas[-1] * y
+        if self.pairs:
+            s, y = self.pairs[-1]
+            q *= (s @ y) / (y @ y)
+        for (s, y), a in zip(self.pairs, reversed(alphas)):
+            q += (a - (y @ q) / (s @ y)) * s
+        return -q if q @ self.g > 0 else -self.g
+
+
+def logistic_gradients(
+    df: DataFrame, points: dict[tuple[str, int, int], dict[int, np.ndarray]], weight: dict[str, np.ndarray]
+) -> dict[tuple[str, int, int, int], np.ndarray]:
+    """Loss, intercept slope and slopes of every head in ``points``, summed over its source's rows in one pass.
+
+    ``points``: (source, start, stop) -> class -> [intercept, coefficients]; ``weight``: source -> class of the
+    head x label of the row. Partials have a row for each head, so their sum is spread over the tasks; what
+    returns is as large as the model.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[tuple[str, int, int, int], np.ndarray] = {}
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            for s in t["foundation"].unique().to_pylist():
+                sub = t.filter(pa.compute.equal(t["foundation"], s)).combine_chunks()
+                x = matrix(sub["x"].combine_chunks()).astype(np.float64, copy=False)
+                y = sub["label"].to_numpy().astype(np.int64)
+                for (source, a, b), heads in points.items():
+                    if source != s:
+                        continue
+                    classes = np.array(sorted(heads))
+                    p = np.stack([heads[c] for c in classes])
+                    z = x[:, a:b] @ p[:, 1:].T + p[:, 0]
+                    hit, w = y[:, None] == classes, weight[s][classes][:, y].T
+                    loss = w * (np.logaddexp(0.0, z) - hit * z)
+                    r = w * (0.5 * (1.0 + np.tanh(0.5 * z)) - hit)
+                    part = np.column_stack([loss.sum(axis=0), r.sum(axis=0), r.T @ x[:, a:b]])
+                    for c, v in zip(classes, part):
+                        k = (s, a, b, int(c))
+                        acc[k] = acc[k] + v if k in acc else v
+        if acc:
+            keys = list(zip(*acc))
+            ends = np.concatenate([[0], np.cumsum([len(v) for v in acc.values()])])
+            packed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(list(acc.values()))))
+            cols = [pa.array(k, pa.string() if i == 0 else pa.int32()) for i, k in enumerate(keys)]
+            yield pa.RecordBatch.from_arrays([*cols, packed], names=["foundation", "start", "stop", "cls", "v"])
+
+    sums = (
+        df.select("foundation", "label", "x")
+        .mapInArrow(run, "foundation string, start int, stop int, cls int, v array<double>")
+        .groupBy("foundation", "start", "stop", "cls")
+        .agg(Summarizer.sum(array_to_vector("v")).alias("s"))
+    )
+    return {(r["foundation"], r["start"], r["stop"], r["cls"]): r["s"].toArray() for r in sums.collect()}  # one row per head
 
 
 def fit_logistic_heads(
@@ -447,10 +538,15 @@ def fit_logistic_heads(
     min_dim: int = 16,
     alpha: float = 3e-5,
     weighting: str = "positive",
-    max_iter: int = 50,
-    parallelism: int = 8,
+    max_iter: int = 150,
+    tol: float = 1e-5,
 ) -> DataFrame:
-    """One-vs-rest logistic heads per (source, chunk) with an L2 penalty.
+    """One-vs-rest logistic heads per (source, chunk) with an L2 penalty; the intercept is free.
+
+    All heads descend together: one pass over the vectors gives every head its loss and gradient, so the
+    number of jobs is that of the iterations, whatever the number of heads. A head leaves the passes when
+    its mean gradient is below ``tol``; ``max_iter`` bounds the passes. The search runs on standardised
+    dimensions, the penalty holds for the given ones.
 
     ``weighting`` is the reading of balanced classes: ``positive`` weights the rows of
     the head's own class only, ``own`` weights every row by its class.  The penalty is
@@ -458,58 +554,55 @@ def fit_logistic_heads(
     """
     if weighting not in ("positive", "own"):
         raise ValueError(f"unknown weighting {weighting!r}")
-    counts = _class_counts(df)
-    chunks = _chunks(df, size, min_dim)
-    sliced = (
-        chunk_slices(df.where("label >= 0").select("foundation", "label", "x"), "x", size, min_dim)
-        .select(
-            "foundation",
-            "label",
-            "start",
-            array_to_vector(F.transform("chunk", lambda v: v.cast("double"))).alias("features"),
-        )
-        .persist()
-    )
-
-    def fit(job: tuple[str, int, int, int]) -> tuple:
-        s, start, stop, c = job
-        n = counts[s]
-        total, k = sum(n.values()), len(n)
-        balanced = {i: total / (k * v) for i, v in n.items()}
-        weight = F.when(F.col("label") == c, balanced[c])
-        if weighting == "own":
-            for i, v in balanced.items():
-                weight = weight.when(F.col("label") == i, v)
-        mass = (
-            float(total)
-            if weighting == "own"
-            else balanced[c] * n[c] + (total - n[c])
-        )
-        rows = sliced.where((F.col("foundation") == s) & (F.col("start") == start)).select(
-            "features",
-            (F.col("label") == c).cast("double").alias("target"),
-            weight.otherwise(1.0).alias("w"),
-        )
-        model = LogisticRegression(
-            labelCol="target",
-            weightCol="w",
-            regParam=alpha * total / mass,
-            elasticNetParam=0.0,
-            standardization=False,
-            family="binomial",
-            maxIter=max_iter,
-        ).fit(rows)
-        return s, "logistic", start, stop, c, [float(v) for v in model.coefficients], float(model.intercept)
-
-    jobs = [
-        (s, a, b, c) for s in sorted(chunks) for a, b in chunks[s] for c in sorted(counts.get(s, {}))
-    ]
+    rows = df.where("label >= 0").select("foundation", F.col("label").cast("int").alias("label"), "x").persist()
     try:
-        with ThreadPoolExecutor(parallelism) as pool:
-            rows = list(pool.map(fit, jobs))
+        counts = _class_counts(rows)
+        vector = array_to_vector(F.transform("x", lambda v: v.cast("double")))
+        spread = rows.groupBy("foundation").agg(Summarizer.metrics("mean", "std").summary(vector).alias("m"))
+        moments = {r["foundation"]: (r["m"]["mean"].toArray(), r["m"]["std"].toArray()) for r in spread.collect()}
+        weight, open_heads = {}, {}
+        for s, n in counts.items():
+            balanced = np.ones(N_CLASSES)
+            for c, v in n.items():
+                balanced[c] = sum(n.values()) / (len(n) * v)
+            own = np.tile(balanced, (N_CLASSES, 1))
+            weight[s] = own if weighting == "own" else np.where(np.eye(N_CLASSES, dtype=bool), own, 1.0)
+        chunks = {s: chunk_bounds(len(m[0]), size, min_dim) for s, m in moments.items()}
+        for s, a, b, c in ((s, a, b, c) for s in counts for a, b in chunks[s] for c in counts[s]):
+            mass = sum(weight[s][c, k] * v for k, v in counts[s].items())
+            positive = weight[s][c, c] * counts[s][c]
+            start = np.zeros(b - a + 1)
+            start[0] = np.log(positive / max(mass - positive, 1e-9 * mass))
+            mean, std = (m[a:b] for m in moments[s])
+            scale = np.where(std > 0, std, 1.0)
+            open_heads[(s, a, b, c)] = (Descent(start), mass, alpha * sum(counts[s].values()) / mass, mean, scale)
+        done: dict[tuple[str, int, int, int], np.ndarray] = {}
+        for _ in range(max_iter):
+            points: dict[tuple[str, int, int], dict[int, np.ndarray]] = {}
+            for (s, a, b, c), (search, _, _, mean, scale) in open_heads.items():
+                coef = search.trial[1:] / scale
+                points.setdefault((s, a, b), {})[c] = np.concatenate([[search.trial[0] - coef @ mean], coef])
+            for key, v in logistic_gradients(rows, points, weight).items():
+                search, mass, reg, mean, scale = open_heads[key]
+                point = points[key[:3]][key[3]]
+                g0, g = v[1] / mass, v[2:] / mass
+                slope = g + reg * point[1:]
+                search.tell(
+                    v[0] / mass + reg / 2 * point[1:] @ point[1:],
+                    np.concatenate([[g0], (g - mean * g0 + reg * point[1:]) / scale]),
+                )
+                if max(np.abs(slope).max(), abs(g0)) < tol:
+                    done[key] = point
+                    del open_heads[key]
+            if not open_heads:
+                break
+        for (s, a, b, c), (search, _, _, mean, scale) in open_heads.items():
+            coef = search.at[1:] / scale
+            done[(s, a, b, c)] = np.concatenate([[search.at[0] - coef @ mean], coef])
     finally:
-        sliced.unpersist()
-    return df.sparkSession.createDataFrame(rows, HEAD)
+        rows.unpersist()
+    table = [(s, "logistic", a, b, c, p[1:].tolist(), float(p[0])) for (s, a, b, c), p in sorted(done.items())]
+    return df.sparkSession.createDataFrame(table, HEAD)
 
 
 def heads_manifest(heads: DataFrame, expected: dict[str, int]) -> DataFrame:
