@@ -13,6 +13,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tilewright.plans import load_all  # noqa: E402
 from tilewright.plans.registry import QUERIES  # noqa: E402
 from tilewright.session import local_session  # noqa: E402
+from tilewright.shipping import ship  # noqa: E402
 
 KEYS = (
     "parse_patch_filename",
@@ -39,6 +40,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 4))
     spark = local_session(cpus)
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     load_all()
     budget = float(os.environ.get("BENCH_BUDGET_S", "900"))
     begun = time.time()

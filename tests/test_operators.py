@@ -611,6 +611,13 @@ def test_own_estimators_plug_in(spark):
     assert seen == [16] and {h.kind for bank in model.bank.values() for h in bank} == {"ridge"}
 
 
+def test_an_own_kind_of_head_never_picks_an_absent_class():
+    head = H.Head("centroid", 0, 2, np.ones((2, 10)), np.zeros(10), np.array([True] * 3 + [False] * 7))
+    p = H.head_posterior(head, np.array([[0.5, 0.25], [-9.0, -9.0]]))
+    np.testing.assert_allclose(p[:, :3], 1 / 3)
+    assert (p[:, 3:] == 0).all()
+
+
 def test_stacked_sources_are_normalised(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i % 2), (rng.normal(size=3) + i % 2).tolist(), (100 * (rng.normal(size=2) - i % 2)).tolist()) for i in range(60)]

@@ -24,8 +24,9 @@ from tilewright.functions.hashing import hash32, mix32
 from tilewright.functions.vectors import chunk_bounds, l2_normalize, let
 from tilewright.schema import HEAD, N_CLASSES
 
-# Score of a class the head never saw, before the softmax.
+# Score of a class the head never saw, before the softmax; own kinds of heads never pick one.
 ABSENT = {"ridge": -20.0, "lda": -1e9}
+ABSENT_ELSE = -1e9
 
 
 @dataclass
@@ -69,7 +70,7 @@ def head_posterior(head: Head, x: np.ndarray) -> np.ndarray:
             p = np.where(head.present, 1.0 / (1.0 + np.exp(-z)), 0.0)
         p = np.nan_to_num(p, nan=0.0)
     else:
-        z = np.where(head.present, z, ABSENT[head.kind])
+        z = np.where(head.present, z, ABSENT.get(head.kind, ABSENT_ELSE))
         p = np.exp(z - z.max(axis=1, keepdims=True))
     total = p.sum(axis=1, keepdims=True)
     bad = ~np.isfinite(total[:, 0]) | (total[:, 0] <= 0)

@@ -17,9 +17,14 @@ N_SLIDES = 92
 CHUNK = 16
 
 
+#: Tables whose rows become the large fixtures, dealt out because a small file is one split of a scan.
+DEALT, PARTS = frozenset({"lineitem", "part"}), 16
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table."""
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A given table; ``DEALT`` ones in ``PARTS`` partitions at every scale."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df.repartition(PARTS) if name in DEALT else df
 
 
 # --- rendering shared by Spark and DuckDB -----------------------------------

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -677,6 +679,22 @@ def fit_shrinkage_lda(spark, sf):
     return _head_rows(H.fit_shrinkage_lda(all_sources(spark, sf), size=2))
 
 
+# Unit vectors of the sources side by side, two dims to a chunk.
+cte(
+    "fx_stacked_pairs",
+    f"""WITH u AS (SELECT 'stacked' AS foundation, label, list_concat(list_concat({sql_l2('x_a')}, {sql_l2('x_b')}), {sql_l2('x_c')}) AS x FROM fx_aligned WHERE label >= 0),
+        n AS (SELECT label, count(*) AS n FROM u GROUP BY ALL)
+    SELECT foundation AS source, start::INTEGER AS start, label, n, x[start + 1]::DOUBLE AS x1, x[start + 2]::DOUBLE AS x2
+    FROM (SELECT foundation, label, x, unnest(range(0, len(x), 2)) AS start FROM u) JOIN n USING (label)""",
+    "fx_aligned",
+)
+
+
+@query("fit_stacked_lda", with_ctes(_LDA_SQL.replace("fx_pairs", "fx_stacked_pairs"), "fx_stacked_pairs"))
+def fit_stacked_lda(spark, sf):
+    return _head_rows(H.fit_stacked_lda(aligned(spark, sf), list(X_COLS.values()), size=2))
+
+
 # The training side of each of three folds, as a source of its own.
 cte(
     "fx_fold_pairs",
@@ -709,12 +727,56 @@ def oof_heads(spark, sf):
     return _head_rows(heads.withColumn("source", F.concat_ws(":", "source", "fold")).drop("fold"))
 
 
+SHARPNESS = 8.0
+
+
+def centroid_heads(rows: DataFrame, size: int, min_dim: int) -> DataFrame:
+    """An own fitter: the nearest class mean as linear heads over whole vectors."""
+    vector = array_to_vector(F.transform("x", lambda v: v.cast("double")))
+    means = rows.where("label >= 0").groupBy("foundation", "label").agg(vector_to_array(Summarizer.mean(vector)).alias("m"))
+    half = F.aggregate("m", F.lit(0.0), lambda s, v: s + v * v) * 0.5
+    return means.select(
+        F.col("foundation").alias("source"),
+        F.lit("centroid").alias("kind"),
+        F.lit(0).alias("start"),
+        F.size("m").alias("stop"),
+        F.col("label").cast("int").alias("cls"),
+        F.transform("m", lambda v: v * SHARPNESS).alias("coef"),
+        (half * -SHARPNESS).alias("intercept"),
+    )
+
+
+cte(
+    "fx_centroid_posterior",
+    f"""WITH d AS (SELECT source, label, unnest(x)::DOUBLE AS v, generate_subscripts(x, 1) AS i FROM fx_wide WHERE label >= 0),
+        m AS (SELECT source, label, i, avg(v) AS m FROM d GROUP BY ALL),
+        h AS (SELECT source, label AS cls, list(m ORDER BY i) AS coef, -0.5 * sum(m * m) AS icpt FROM m GROUP BY ALL),
+        z AS (SELECT name, w.source, c.cls, {SHARPNESS} * (list_dot_product(w.x::DOUBLE[], h.coef) + h.icpt) AS z FROM fx_wide w
+            CROSS JOIN (SELECT unnest(range(10))::INTEGER AS cls) c LEFT JOIN h ON h.source = w.source AND h.cls = c.cls),
+        e AS (SELECT *, CASE WHEN z IS NULL THEN 0 ELSE exp(z - max(z) OVER (PARTITION BY name, source)) END AS e FROM z)
+    SELECT name, source, cls, e / sum(e) OVER (PARTITION BY name, source) AS p FROM e""",
+    "fx_wide",
+)
+cte("fx_centroid_ensemble", _source_mean_sql("fx_centroid_posterior", "name"), "fx_centroid_posterior")
+
+
+@query(
+    "own_estimator",
+    with_ctes(f"SELECT name, cls, {sql_r6('p')} AS p FROM fx_centroid_ensemble", "fx_centroid_ensemble"),
+)
+def own_estimator(spark, sf):
+    """The whole ensemble with a fitter of the caller's, without calibration and boost."""
+    base = {s: fx.patches(spark, sf, s) for s in "abc"}
+    model = EN.ensemble_fit(base, calibration=0.0, boost=1.0, kinds=(centroid_heads,))
+    return _long(model.predict(aligned(spark, sf), X_COLS), "proba", "name")
+
+
 @query("ensemble_fit")
 def ensemble_fit(spark, sf):
-    """Fit with extra rows, then predict the unlabelled tenth: the decision per row."""
+    """Fit logistic heads and ridge probes with extra rows, then predict: the decision per row."""
     base = {s: fx.patches(spark, sf, s) for s in "abc"}
     extra = fx.views(spark, sf)
-    model = EN.ensemble_fit(base, extra, size=16, grid_size=7)
+    model = EN.ensemble_fit(base, extra, size=16, grid_size=7, kinds=("logistic", "ridge"))
     out = model.predict(aligned(spark, sf), X_COLS)
     return out.select("name", "pred", fx.r6(F.array_max("proba")).alias("top"))
 
