@@ -735,6 +735,24 @@ def test_shards_that_lie_apart_are_refused(spark, tmp_path):
     assert os.listdir(tmp_path) == []
 
 
+def test_stream_code_needs_no_package_where_it_runs(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from tilewright.shipping import by_value
+    from tilewright.sources import tarshards as TS
+    from tilewright.streaming import stateful as SX
+
+    with by_value(SX.__name__, TS.__name__, TS.Conditions.__module__, TS.StagedWriter.__module__, TS.expand.__module__):
+        data = cloudpickle.dumps((SX.Hold(StructType([StructField("mtime", LongType())]), 1.0), SX.Fill, TS.TarShards))
+    code = "import sys; from pyspark import cloudpickle; cloudpickle.loads(sys.stdin.buffer.read()); assert 'tilewright' not in sys.modules"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], input=data, cwd=tmp_path, env=env, check=True)
+
+
 def test_new_shards_stream_once_each_across_a_restart(spark, tmp_path):
     from tilewright.sources import tarshards as TS
 

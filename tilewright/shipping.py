@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
@@ -34,3 +38,20 @@ def ship(spark: SparkSession) -> None:
         return
     sc.addPyFile(package_zip(os.path.join(tempfile.mkdtemp(prefix="tilewright-"), "tilewright.zip")))
     _shipped.add(sc.applicationId)
+
+
+@contextmanager
+def by_value(*names: str) -> Iterator[None]:
+    """What is pickled inside carries the code of these modules instead of their names.
+
+    Spark starts Python processes of its own for stateful streams and streaming sources; they see none of
+    the files sent to executors.
+    """
+    modules = [sys.modules[n] for n in names]
+    for m in modules:
+        cloudpickle.register_pickle_by_value(m)
+    try:
+        yield
+    finally:
+        for m in modules:
+            cloudpickle.unregister_pickle_by_value(m)

@@ -14,7 +14,6 @@ from __future__ import annotations
 import io
 import json
 import posixpath
-import sys
 import tarfile
 import uuid
 from collections.abc import Iterator
@@ -22,7 +21,6 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -33,6 +31,7 @@ from pyspark.sql.datasource import (
     InputPartition,
 )
 
+from tilewright.shipping import by_value
 from tilewright.sources.conditions import Conditions, Where, option
 from tilewright.sources.files import expand, make_dirs, move, open_file, open_output, size_of
 from tilewright.sources.staging import StagedWriter
@@ -392,12 +391,6 @@ def stream_tar_shards(spark: SparkSession, pattern: str, log: str) -> DataFrame:
     The process that plans a Python stream sees none of the files sent to executors, so the source
     travels whole instead of by name.
     """
-    modules = [sys.modules[m] for m in (__name__, Conditions.__module__, StagedWriter.__module__, expand.__module__)]
-    for m in modules:
-        cloudpickle.register_pickle_by_value(m)
-    try:
+    with by_value(__name__, Conditions.__module__, StagedWriter.__module__, expand.__module__):
         spark.dataSource.register(TarShards)
         return spark.readStream.format("tarshards").options(path=pattern, log=log).load()
-    finally:
-        for m in modules:
-            cloudpickle.unregister_pickle_by_value(m)

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tilewright.functions.hashing import u01
+from tilewright.shipping import by_value
 
 #: Keys that held rows are spread over; a key's state is what it holds at a time.
 HOLDERS = 256
@@ -115,7 +116,8 @@ def held_by_age(feed: DataFrame, seconds: float, key: str = "patch_uid") -> Data
     """The feed's rows, each as soon as its ``mtime`` is ``seconds`` old on the clock."""
     types = _plain_types(feed)
     spread = feed.withColumn("mtime", F.unix_micros("mtime")).withColumn("_holder", F.pmod(F.xxhash64(key), F.lit(HOLDERS)))
-    out = spread.groupBy("_holder").transformWithStateInPandas(Hold(types, seconds), types, "Append", "ProcessingTime")
+    with by_value(__name__):
+        out = spread.groupBy("_holder").transformWithStateInPandas(Hold(types, seconds), types, "Append", "ProcessingTime")
     return out.withColumn("mtime", F.timestamp_micros("mtime"))
 
 
@@ -143,7 +145,8 @@ def filled(feed: DataFrame, quota: dict[str, int], seed: int = 42) -> DataFrame:
 
     pruned = rows.mapInPandas(prune, rows.schema)
     # the state's keys are rows made by keyword, so theirs is not called ``cls``; names in pandas start with a letter
-    out = pruned.withColumn("of_class", F.col("cls")).groupBy("of_class").transformWithStateInPandas(Fill(feed.columns, quota), types, "Append", "None")
+    with by_value(__name__):
+        out = pruned.withColumn("of_class", F.col("cls")).groupBy("of_class").transformWithStateInPandas(Fill(feed.columns, quota), types, "Append", "None")
     return out.withColumn("mtime", F.timestamp_micros("mtime"))
 
 
