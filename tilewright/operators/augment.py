@@ -87,12 +87,12 @@ def expand_views(sources: DataFrame, copies: str = "copies", seed=42, key: str =
 
 
 def plan_summary(sources: DataFrame, cell: list[str], copies: str = "copies") -> DataFrame:
-    """Dry run: cells, source patches and expected views."""
+    """Dry run: cells, source patches and expected views; without a source no cells, no patches and unknown views."""
     per_cell = sources.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(copies).alias("_v")
     )
     return per_cell.agg(
         F.count(F.lit(1)).alias("n_cells"),
-        F.sum("_n").alias("n_sources"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_sources"),
         F.sum("_v").alias("n_views"),
     )
