@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from oracle_check import TABLES, compare
 from pyspark.sql import functions as F
 
@@ -28,6 +29,12 @@ def same(spark, sf, key):
     assert got["ok"] and got["rows"], got
 
 
+@pytest.mark.parametrize("key", ["registry_upsert"])
+def test_configuration_numbers_of_seven_digits(spark, tmp_path, key):
+    part = spark.read.parquet(f"{SMALL}/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 999_950)
+    same(spark, folder(tmp_path, part=part.coalesce(1)), key)
+
+
 def test_plan_summary_without_a_scarce_cell(spark, tmp_path):
     one = spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id < 3")
     full = one.crossJoin(spark.range(5).select("id")).withColumn("vec_id", F.col("vec_id") + F.col("id") * 23).drop("id")

@@ -1069,7 +1069,7 @@ def _experiments(spark, sf):
         round(CASE WHEN p_partkey % 4 = 1 THEN 0.5 ELSE f1 END, 6) AS f1 FROM r WHERE p_partkey % 3 <> 0 OR p_partkey % 4 = 1""",
 )
 def registry_upsert(spark, sf):
-    e = _experiments(spark, sf).withColumn("k", F.substring("config_id", 5, 6).cast("int"))
+    e = _experiments(spark, sf).withColumn("k", F.substring("config_id", 5, 20).cast("int"))
     batch = e.where("k % 4 = 1").withColumn("status", F.lit("completed")).withColumn("f1", F.lit(0.5))
     out = R.registry_upsert(e.where("k % 3 <> 0").drop("k"), batch.drop("k"))
     return out.withColumn("f1", fx.r6("f1"))
