@@ -29,7 +29,7 @@ def same(spark, sf, key):
     assert got["ok"] and got["rows"], got
 
 
-@pytest.mark.parametrize("key", ["registry_upsert"])
+@pytest.mark.parametrize("key", ["registry_upsert", "skip_completed"])
 def test_configuration_numbers_of_seven_digits(spark, tmp_path, key):
     part = spark.read.parquet(f"{SMALL}/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 999_950)
     same(spark, folder(tmp_path, part=part.coalesce(1)), key)

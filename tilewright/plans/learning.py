@@ -1082,7 +1082,7 @@ def registry_upsert(spark, sf):
 )
 def skip_completed(spark, sf):
     e = _experiments(spark, sf)
-    k = F.substring("config_id", 5, 6).cast("int")
+    k = F.substring("config_id", 5, 20).cast("int")
     return R.skip_completed(e.select("config_id"), e.where((k % 2 == 0) | (k % 3 == 0)))
 
 
