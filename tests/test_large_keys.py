@@ -39,3 +39,28 @@ def test_plan_summary_without_a_scarce_cell(spark, tmp_path):
     one = spark.read.parquet(f"{SMALL}/embeddings.parquet").where("vec_id < 3")
     full = one.crossJoin(spark.range(5).select("id")).withColumn("vec_id", F.col("vec_id") + F.col("id") * 23).drop("id")
     same(spark, folder(tmp_path, embeddings=full.coalesce(1)), "plan_summary")
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().toString()
+
+
+def test_dealt_tables_need_no_sort_and_grow_in_partitions(spark, monkeypatch):
+    from tilewright.plans import fixtures as fx
+
+    plan = _plan(fx.table(spark, SMALL, "lineitem"))
+    assert "RoundRobin" not in plan and "hashpartitioning(l_orderkey" in plan
+    monkeypatch.setitem(fx.DEALT, "lineitem", (("l_orderkey",), 100))
+    assert fx.table(spark, SMALL, "lineitem").rdd.getNumPartitions() > fx.PARTS
+
+
+def test_tile_pixels_come_from_arrow_batches_of_the_wanted_tiles(spark):
+    from tilewright.plans.curate import rasters
+    from tilewright.plans.pixel import image_bytes
+
+    for df in (rasters(spark, SMALL), image_bytes(spark, SMALL)):
+        assert "MapInArrow" in _plan(df) and "lambda" not in _plan(df)
+    some = spark.createDataFrame([(3,), (5,), (-1,)], "tile_id bigint")
+    got = {r[0]: r[1] for r in rasters(spark, SMALL, some).collect()}
+    every = {r[0]: r[1] for r in rasters(spark, SMALL).collect()}
+    assert got == {k: every[k] for k in (3, 5)}

@@ -17,14 +17,19 @@ N_SLIDES = 92
 CHUNK = 16
 
 
-#: Tables whose rows become the large fixtures, dealt out because a small file is one split of a scan.
-DEALT, PARTS = frozenset({"lineitem", "part"}), 16
+#: Tables whose rows become the large fixtures, with the key that deals them out and the rows of a partition:
+#: a small file is one split of a scan. Dealing by key needs no sort, as dealing in turn does.
+DEALT = {"lineitem": (("l_orderkey", "l_linenumber"), 500_000), "part": (("p_partkey",), 50_000)}
+PARTS = 16
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table; ``DEALT`` ones in ``PARTS`` partitions at every scale."""
+    """A given table; ``DEALT`` ones in at least ``PARTS`` partitions, more as the table grows."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
-    return df.repartition(PARTS) if name in DEALT else df
+    if name not in DEALT:
+        return df
+    keys, rows = DEALT[name]
+    return df.repartition(max(PARTS, -(-df.count() // rows)), *keys)
 
 
 # --- rendering shared by Spark and DuckDB -----------------------------------
