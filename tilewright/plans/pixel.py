@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tilewright.functions import ids as ID
@@ -159,13 +161,12 @@ SCAN_CAP = 4
     ),
 )
 def two_phase_scan(spark, sf):
-    px = rasters(spark, sf)
-    cheap = O.annotate_tiles(px, PALETTE, COLOR_TOL).select(
+    cheap = O.annotate_tiles(rasters(spark, sf), PALETTE, COLOR_TOL).select(
         F.concat(F.lit("S"), (F.col("tile_id") % 40).cast("string")).alias("specimen"), "label", "tile_id"
     )
 
     def costly(tiles):
-        return qc(px.join(tiles.select("tile_id"), "tile_id", "left_semi")).where("verdict = 'ok'")
+        return qc(rasters(spark, sf, tiles)).where("verdict = 'ok'")
 
     return PX.two_phase_scan(cheap, costly, SCAN_CAP).select("specimen", "label", "tile_id")
 
@@ -183,24 +184,35 @@ COLORS = [
 ]
 
 
-def image_bytes(spark, sf):
-    """16 x 16 two-stain tiles: the colour of a pixel is a closed formula of key and place."""
+def image_keys(spark, sf):
+    """The tiles without their pixels."""
     k = F.col("p_partkey")
-    table = F.array(*[F.lit("".join(f"{v:02x}" for v in rgb)) for rgb in COLORS])
-    i = lambda v: v % SIDE * 7 + F.floor(v / SIDE) * (k % 5 + 1)
-    cell = lambda v: (
-        (i(v) + k * 3) % 8 * 8 + (v * 5 + k + F.floor(v / SIDE) * 3) % 8
-    ).cast("int")
-    hexes = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda v: F.get(table, cell(v))), "")
     return fx.table(spark, sf, "part").select(
         F.concat(F.lit("tile_"), k.cast("string")).alias("key"),
         F.concat(F.lit("slide-"), (k % 40).cast("string")).alias("slide"),
         F.lit(SIDE).alias("w"),
         F.lit(SIDE).alias("h"),
-        F.unhex(hexes).alias("rgb"),
+        k.alias("k"),
     )
 
 
+def image_bytes(spark, sf):
+    """16 x 16 two-stain tiles: the colour of a pixel is a closed formula of key and place."""
+    table = np.array(COLORS, dtype=np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y, v = np.arange(SIDE * SIDE) % SIDE, np.arange(SIDE * SIDE) // SIDE, np.arange(SIDE * SIDE)
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                k = part.column(4).to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
+                cell = (x * 7 + y * (k % 5 + 1) + k * 3) % 8 * 8 + (v * 5 + k + y * 3) % 8
+                rgb = pa.array([t.tobytes() for t in table[cell]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], rgb], names=["key", "slide", "w", "h", "rgb"])
+
+    return image_keys(spark, sf).mapInArrow(run, "key string, slide string, w int, h int, rgb binary")
+
+
 _HEX = [f"{r:02x}{g:02x}{b:02x}" for r, g, b in COLORS]
 
 
@@ -285,7 +297,7 @@ def library(spark, sf):
 
 
 def image_views(spark, sf):
-    rows = image_bytes(spark, sf).select("key", F.lit(2).alias("copies"))
+    rows = image_keys(spark, sf).select("key", F.lit(2).alias("copies"))
     return AU.expand_views(rows, "copies", 42, "key").select("key", "view", "geom")
 
 
@@ -374,7 +386,7 @@ FROM n WHERE k % 10 <> 3 GROUP BY k"""
 def embed_batch(spark, sf):
     """Embed the tiles that an earlier run has not embedded yet."""
     imgs = image_bytes(spark, sf)
-    done = imgs.where(F.substring("key", -1, 1) == "3").select("key")
+    done = image_keys(spark, sf).where(F.substring("key", -1, 1) == "3").select("key")
     parts = F.transform("x", lambda v: (F.round(v.cast("double"), 4) + 0.0).cast("decimal(9,4)").cast("string"))
     return EM.embed_batch(imgs, EM.ProjectionEncoder(32), done).select("key", "error", F.array_join(parts, ",").alias("x"))
 
