@@ -64,3 +64,16 @@ def test_tile_pixels_come_from_arrow_batches_of_the_wanted_tiles(spark):
     got = {r[0]: r[1] for r in rasters(spark, SMALL, some).collect()}
     every = {r[0]: r[1] for r in rasters(spark, SMALL).collect()}
     assert got == {k: every[k] for k in (3, 5)}
+
+
+def test_stain_estimate_pays_no_set_up_for_each_tile(monkeypatch):
+    import numpy as np
+
+    from tilewright.operators import stain as ST
+
+    values = np.random.default_rng(5).normal(size=(77, 2))
+    assert np.array_equal(ST.percentile(values, (1.0, 99.0)), np.percentile(values, (1.0, 99.0), axis=0))
+    assert np.array_equal(ST.cross(values[0].repeat(2)[:3], [1.0, -2.0, 3.0]), np.cross(values[0].repeat(2)[:3], [1.0, -2.0, 3.0]))
+    for slow in ("percentile", "cov", "cross"):
+        monkeypatch.setattr(np, slow, None)
+    assert ST.estimate(np.random.default_rng(6).integers(0, 256, 768, dtype=np.uint8)) is not None
