@@ -77,3 +77,33 @@ def test_stain_estimate_pays_no_set_up_for_each_tile(monkeypatch):
     for slow in ("percentile", "cov", "cross"):
         monkeypatch.setattr(np, slow, None)
     assert ST.estimate(np.random.default_rng(6).integers(0, 256, 768, dtype=np.uint8)) is not None
+
+
+def test_images_are_listed_and_decoded_in_tasks(spark, tmp_path):
+    import struct
+    import zlib
+
+    from tilewright.plans.ingest import png
+    from tilewright.sources import tables as TB
+
+    def chunk(tag, body):
+        return struct.pack(">I", len(body)) + tag + body + struct.pack(">I", zlib.crc32(tag + body))
+
+    rgb = bytes(range(24))
+    plain = png(4, 2, rgb)
+    # The second row holds differences to the first: not a plain file.
+    lines = b"\0" + rgb[:12] + b"\2" + bytes((b - a) % 256 for a, b in zip(rgb[:12], rgb[12:]))
+    filtered = plain[:33] + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    grey = plain[:8] + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\7\x09")) + chunk(b"IEND", b"")
+    for name, data in {"p/a.png": plain, "p/q/b[1].PNG": filtered, "c.jpg": grey, "p/d.txt": b"no image", "p/e.png": plain[:-30], "_x.png": plain}.items():
+        os.makedirs(os.path.dirname(f"{tmp_path}/{name}"), exist_ok=True)
+        with open(f"{tmp_path}/{name}", "wb") as f:
+            f.write(data)
+    rows = TB.decode_images(spark, str(tmp_path)).collect()
+    got = {os.path.basename(r.path.replace("%5B", "[").replace("%5D", "]")): (r.w, r.h, bytes(r.rgb) if r.rgb else None, r.error) for r in rows}
+    bad = (None, None, None, "not decodable")
+    assert got == {"a.png": (4, 2, rgb, None), "b[1].PNG": (4, 2, rgb, None), "c.jpg": (2, 1, b"\7\7\7\x09\x09\x09", None), "d.txt": bad, "e.png": bad}
+    assert len(rows) == 5
+    listed = TB.scan_images(spark, str(tmp_path), content=True)
+    assert "InMemoryFileIndex" not in _plan(listed)  # the driver holds no listing
+    assert {r.filename: bytes(r.content) for r in listed.collect()} == {"a.png": plain, "b[1].PNG": filtered, "c.jpg": grey, "e.png": plain[:-30]}

@@ -249,19 +249,19 @@ def scan_selection_manifest(spark, sf):
 def image_folder(spark, sf) -> str:
     """Write every tile as a PNG below a folder per shard; some carry other suffixes."""
     root = scratch_path(spark, "images")
+    for i in range(SHARDS):
+        make_dirs(f"{root}/part-{i}")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = 0
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                folder = f"{root}/part-{r.shard_no}"
-                make_dirs(folder)
                 suffix = "txt" if r.n % 10 == 9 else "PNG" if r.n % 10 == 4 else "png"
-                _publish(f"{folder}/{r.key}.{suffix}", png(r.w, r.h, r.rgb))
+                _publish(f"{root}/part-{r.shard_no}/{r.key}.{suffix}", png(r.w, r.h, r.rgb))
                 n += 1
         yield pd.DataFrame({"n": [n]})
 
-    labelled_images(spark, sf).repartition(SHARDS, "n").mapInPandas(run, "n long").collect()
+    labelled_images(spark, sf).mapInPandas(run, "n long").agg(F.sum("n")).collect()
     return root
 
 
@@ -283,11 +283,12 @@ def scan_images(spark, sf):
 )
 def decode_images(spark, sf):
     """Decode the image files and check the pixels against the tiles they came from."""
-    got = TB.decode_images(spark, image_folder(spark, sf)).select(
+    root = image_folder(spark, sf)
+    got = TB.decode_images(spark, root).select(
         F.regexp_extract("path", r"(tile_\d+)\.[^/]*$", 1).alias("key"), "w", "h", F.sha2("rgb", 256).alias("s")
     )
     made = image_bytes(spark, sf).select("key", F.sha2("rgb", 256).alias("s"))
-    listed = TB.scan_images(spark, image_folder(spark, sf)).select(
+    listed = TB.scan_images(spark, root).select(
         F.regexp_extract("filename", r"^(.*)\.[^.]*$", 1).alias("key")
     )
     return got.join(made, ["key", "s"], "left_semi").join(listed, "key", "left_semi").drop("s")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import fnmatch
 import glob
+import os
 import posixpath
+from collections.abc import Iterator
 
 from pyarrow import fs
 
@@ -28,6 +30,22 @@ def expand(pattern: str) -> list[str]:
     return sorted(base + n for n in found if fnmatch.fnmatch(n, name) and not n.startswith("."))
 
 
+def entries(folder: str) -> Iterator[tuple[str, bool, int, float]]:
+    """(path, is a folder, bytes, time) of what lies in a folder; hidden names are left out, as Spark does."""
+    filesystem, path = _split(folder)
+    if isinstance(filesystem, fs.LocalFileSystem):
+        with os.scandir(path) as found:  # one at a time, however many there are
+            for e in found:
+                if not e.name.startswith((".", "_")):
+                    at = e.stat()
+                    yield f"file:{e.path}", e.is_dir(), at.st_size, at.st_mtime
+        return
+    base = folder.rstrip("/")
+    for i in filesystem.get_file_info(fs.FileSelector(path)):
+        if not i.base_name.startswith((".", "_")):
+            yield f"{base}/{i.base_name}", i.type == fs.FileType.Directory, i.size or 0, (i.mtime_ns or 0) / 1e9
+
+
 def open_file(path: str):
     """A seekable binary file."""
     filesystem, p = _split(path)
