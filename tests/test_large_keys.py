@@ -107,3 +107,17 @@ def test_images_are_listed_and_decoded_in_tasks(spark, tmp_path):
     listed = TB.scan_images(spark, str(tmp_path), content=True)
     assert "InMemoryFileIndex" not in _plan(listed)  # the driver holds no listing
     assert {r.filename: bytes(r.content) for r in listed.collect()} == {"a.png": plain, "b[1].PNG": filtered, "c.jpg": grey, "e.png": plain[:-30]}
+
+
+def test_ranges_past_the_last_position_are_not_planned(spark, tmp_path):
+    from tilewright.sources import tarshards as TS
+
+    rows = spark.range(300).selectExpr("'s.tar' shard", "format_string('k%04d', id) key", "'png' ext", "cast('x' as binary) bytes", "1 label")
+    TS.write_tar_shards(rows, str(tmp_path))
+    TS.write_indexes(spark, f"{tmp_path}/*.tar", 20)
+    narrow = TS.TarReader(f"{tmp_path}/*.tar", split=4096, where='[["pos", "<=", 9]]').partitions()
+    every = TS.TarReader(f"{tmp_path}/*.tar", split=4096).partitions()
+    assert len(every) >= 300 * 2048 // 4096 - 1
+    assert len(narrow) <= 11
+    got = TS.scan_tar_shards(spark, f"{tmp_path}/*.tar", where=[("pos", "<=", 9)], split_bytes=4096).collect()
+    assert sorted(r.pos for r in got) == list(range(10))

@@ -17,6 +17,7 @@ import posixpath
 import tarfile
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -58,6 +59,8 @@ _PLACES = pa.schema(
     + [(c, pa.int64()) for c in ("at", "size", "label_at", "label_size")]
 )
 BATCH_ROWS = 256
+#: Samples of one row group of an index: what a task reads at least to find its range.
+INDEX_ROWS = 2048
 BATCH_BYTES = 32 << 20
 SPLIT_BYTES = 128 << 20
 INDEX = ".index"
@@ -135,14 +138,28 @@ def places(path: str) -> Iterator[tuple]:
             yield path, pos, key, image, at.offset_data, at.size, tag.offset_data if tag else 0, tag.size if tag else 0
 
 
+def _open_index(path: str, f) -> pq.ParquetFile:
+    index = pq.ParquetFile(f)
+    if int(index.schema_arrow.metadata[b"shard_bytes"]) != size_of(path):
+        raise ValueError(f"{path}: the shard has changed since its index was written")
+    return index
+
+
+def _stretches(index: pq.ParquetFile) -> list[dict[str, tuple[int, int]]]:
+    """Least and greatest ``pos`` and ``at`` of each row group, from the footer of the index."""
+    meta, out = index.metadata, []
+    for i in range(meta.num_row_groups):
+        cols = (meta.row_group(i).column(j) for j in range(meta.num_columns))
+        out.append({c.path_in_schema: (c.statistics.min, c.statistics.max) for c in cols if c.path_in_schema in ("pos", "at")})
+    return out
+
+
 def _indexed(path: str, start: int, stop: int) -> Iterator[tuple]:
-    """As ``places``, for one range of an indexed shard."""
+    """As ``places``, for one range of an indexed shard; of the index, only the stretches that meet the range are read."""
     with open_file(path + INDEX) as f:
-        index = pq.ParquetFile(f)
-        written = int(index.schema_arrow.metadata[b"shard_bytes"])
-        if written != size_of(path):
-            raise ValueError(f"{path}: the shard has changed since its index was written")
-        for batch in index.iter_batches():
+        index = _open_index(path, f)
+        groups = [i for i, g in enumerate(_stretches(index)) if g["at"][0] < stop and g["at"][1] >= start]
+        for batch in index.iter_batches(row_groups=groups):
             cols = batch.to_pydict()
             for row in zip(*cols.values()):
                 if start <= row[3] < stop:
@@ -180,11 +197,18 @@ class TarReader(DataSourceReader):
         out = []
         for p in filter(self._wanted, paths):
             if p + INDEX in indexed:
-                out += [ShardPartition(p, a, a + self.split) for a in range(0, size_of(p), self.split)]
+                out += [ShardPartition(p, a, a + self.split) for a in self._splits(p)]
             else:
                 out.append(ShardPartition(p))
         return out or [ShardPartition("")]
 
+    def _splits(self, path: str) -> list[int]:
+        """Starts of the ranges that hold a position below the last wanted one, from the footer of the index."""
+        with open_file(path + INDEX) as f:
+            last = self.where.last("pos")
+            ends = [g["at"][1] for g in _stretches(_open_index(path, f)) if g["pos"][0] <= last]
+        return list(range(0, max(ends, default=-1) + 1, self.split))
+
     def _rows(self, partition: ShardPartition) -> Iterator[tuple]:
         if partition.start is None:
             rows = places(partition.path)
@@ -330,7 +354,7 @@ def write_tar_shards(samples: DataFrame, root: str, order: str = "key") -> None:
     )
 
 
-def write_indexes(spark: SparkSession, pattern: str) -> int:
+def write_indexes(spark: SparkSession, pattern: str, stretch: int = INDEX_ROWS) -> int:
     """Write an index beside every shard, one task for some shards each; the number of samples."""
     paths = expand(pattern)
 
@@ -340,9 +364,11 @@ def write_indexes(spark: SparkSession, pattern: str) -> int:
                 schema = pa.schema(list(_PLACES)[1:], metadata={"shard_bytes": str(size_of(path))})
                 hidden, n = f"{path}{INDEX}-{uuid.uuid4().hex}", 0
                 with open_output(hidden) as out, pq.ParquetWriter(out, schema) as index:
-                    for batch in _batches(places(path), _PLACES, lambda r: 0):
-                        index.write_batch(pa.RecordBatch.from_arrays(batch.columns[1:], schema=schema))
-                        n += len(batch)
+                    rows = places(path)
+                    while part := list(islice(rows, stretch)):
+                        columns = _batch(part, _PLACES).columns[1:]
+                        index.write_batch(pa.RecordBatch.from_arrays(columns, schema=schema))
+                        n += len(part)
                 move(hidden, path + INDEX)
                 yield pd.DataFrame({"n": [n]})
 
