@@ -11,17 +11,30 @@ from tilewright.llm.common import stored
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of ``edges (a, b)``; a component is its smallest node.
 
-    Each round takes the smallest label among the neighbours and then follows it to that node's own
-    label, so a chain of n nodes needs about log2(n) rounds. Labels are written after each round; the
-    driver sees one count. Hot nodes are pre-aggregated on the map side.
+    Randomised contraction: in each round a node joins whichever of itself and its neighbours has the smallest
+    hash, with new hashes each round, and the edges are renamed. At least a quarter of the nodes is expected to go in
+    a round, so rows of all rounds together grow with the edges, also on long chains. Then
+    the names are followed back. Each round is written; the driver sees whether edges are left.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("via"))
-        own = labels.select(F.col("node").alias("via"), F.col("component").alias("beyond"))
-        new = stored(step.join(own, "via").select("node", F.least("via", "beyond").alias("component"), "was"), "labels")
-        labels = new.select("node", "component")
-        if new.where("component <> was").isEmpty():
-            return labels
+    left = stored(_undirected(edges, "a", "b"), "edges")
+    joined: list[DataFrame] = []
+    while not left.isEmpty():
+        near = left.union(left.select("b", "a")).groupBy("a").agg(F.min(_drawn("b", len(joined))).alias("near"))
+        into = F.least(_drawn("a", len(joined)), "near")["node"]
+        joined.append(stored(near.select(F.col("a").alias("node"), into.alias("into")), "joined"))
+        ends = [joined[-1].select(F.col("node").alias(c), F.col("into").alias(f"{c}_into")) for c in ("a", "b")]
+        left = stored(_undirected(left.join(ends[0], "a").join(ends[1], "b"), "a_into", "b_into"), "edges")
+    names = left.select(F.col("a").alias("node"), F.col("b").alias("name"))
+    for step in reversed(joined):
+        names = step.join(names.withColumnRenamed("node", "into"), "into", "left").select("node", F.coalesce("name", "into").alias("name"))
+    names = stored(names, "names")
+    least = names.groupBy("name").agg(F.min("node").alias("component"))
+    return stored(names.join(least, "name").select("node", "component"), "labels")
+
+
+def _undirected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+
+
+def _drawn(node: str, seed: int):
+    return F.struct(F.xxhash64(F.lit(seed), node).alias("hash"), F.col(node).alias("node"))

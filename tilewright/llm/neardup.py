@@ -263,7 +263,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
         part = F.pmod(F.xxhash64("cell"), F.lit(-(-n // PART_ROWS)))
         further = stored(dealt.groupBy(part.alias("part")).applyInPandas(lambda g: _joining_links(g, percent), "a long, b long"), "links")
         if not further.isEmpty():
-            labels = components(links.union(further))
+            labels = components(labels.toDF("a", "b").union(further))
 
     named = heads.select("key", "head").join(labels.withColumnRenamed("node", "head"), "head", "left").select(
         "key", F.coalesce("component", "head").alias("class")

@@ -330,7 +330,7 @@ def join(
     mixed = cells.groupBy("cell").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("cell")
     if not cells.isEmpty():
         further = _joined(cells.join(mixed, "cell"), rows, heads, classes, words, percent)
-        labels = components(links.union(further))
+        labels = components(labels.toDF("a", "b").union(further))
 
     classed = heads.select("key", "head").join(labels.withColumnRenamed("node", "head"), "head", "left").select("key", F.coalesce("component", "head").alias("component_id"))
     mine = signed.join(classed, "key", "left")
