@@ -16,3 +16,15 @@ def test_blocks_are_listed_once_before_they_are_counted(spark, monkeypatch):
     monkeypatch.setattr(V, "block_config_check", lambda blocks, declared: seen.append(blocks) or blocks)
     curate.block_config_check(spark, SF)
     assert seen[0].count() == seen[0].distinct().count()
+
+
+def test_committed_uids_meet_narrow_index_rows(spark):
+    index = spark.createDataFrame([("p1", "a", "CT"), ("p2", "x", "CT"), ("p3", "c", "CT"), ("p4", "d", "CT"), ("p5", "e", "CT")], "relpath string, patch_uid string, label string")
+    live = spark.createDataFrame([(f"p{i}", 5, 9) for i in range(1, 5)], "relpath string, mtime_s long, size_bytes long")
+    parsed = spark.createDataFrame([("p1", "a", "CT", 5, 9), ("p2", "b", "CT", 5, 9), ("p3", "c", "IC", 5, 9), ("p4", "d", "CT", 5, 9)], "relpath string, patch_uid string, label string, mtime_s long, size_bytes long")
+    done = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "patch_uid string")
+    out = J.reuse_index_join(index, live, parsed, done, ("CT", "IC"), 1000, 10)
+    got = {r.relpath: r.status for r in out.collect()}
+    assert got == {"p1": "already_committed", "p2": "identity_mismatch", "p3": "label_mismatch", "p4": "available", "p5": "missing_source"}
+    joins = [line for line in plan(out).splitlines() if "Join LeftOuter" in line]
+    assert "relpath" in joins[0] and "patch_uid" in joins[-1]  # the last one is the innermost

@@ -192,7 +192,8 @@ def reuse_index_join(
     names = (
         names.groupBy("relpath").agg(F.max(F.struct("mtime_s", "size_bytes", "_uid", "_lab")).alias("_n")).select("relpath", "_n._uid", "_n._lab")
     )
-    done = committed.select(F.col("patch_uid").alias("_uid")).distinct().withColumn("_done", F.lit(True))
+    # the flag counts only where both uids are equal, so it is joined by the index's own, before its rows get wide
+    done = committed.select("patch_uid").distinct().withColumn("_done", F.lit(True))
     status = (
         F.when(~F.col("label").isin(*classes), "unsupported_label")
         .when(F.col("_m").isNull(), "missing_source")
@@ -204,9 +205,9 @@ def reuse_index_join(
         .otherwise("available")
     )
     return (
-        index.join(files, "relpath", "left")
+        index.join(done, "patch_uid", "left")
+        .join(files, "relpath", "left")
         .join(names, "relpath", "left")
-        .join(done, "_uid", "left")
         .withColumn("status", status)
         .select(*index.columns, "status")
     )
