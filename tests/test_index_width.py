@@ -11,6 +11,10 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_index_table_has_the_named_columns(spark):
+    assert curate.ext_table(spark, SF, "patch_uid", "label").columns == ["patch_uid", "label"]
+
+
 def test_blocks_are_listed_once_before_they_are_counted(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(V, "block_config_check", lambda blocks, declared: seen.append(blocks) or blocks)

@@ -20,7 +20,7 @@ from tilewright.operators import folds as FO
 from tilewright.operators import heads as H
 from tilewright.operators import registry as R
 from tilewright.plans import fixtures as fx
-from tilewright.plans.curate import aligned, all_sources, ext_all, ext_table
+from tilewright.plans.curate import aligned, all_sources, ext, ext_all, ext_table
 from tilewright.plans.fixtures import cte, sql_l2, sql_r6, sql_u, sql_vec, with_ctes
 from tilewright.plans.registry import query
 
@@ -1012,7 +1012,7 @@ def score_and_evaluate(spark, sf):
 def surrogate_keys(spark, sf):
     from tilewright.session import materialize
 
-    keys = ext_table(spark, sf).select(F.concat_ws(":", "specimen", "patch_uid").alias("patch_key"), "image_id")
+    keys = ext_table(spark, sf, F.concat_ws(":", "specimen", "patch_uid").alias("patch_key"), "image_id")
     first = materialize(
         R.surrogate_keys(keys.where("image_id % 3 = 0"), None, "patch_key", "patch_id"), "patch-ids"
     )
@@ -1049,7 +1049,7 @@ def registry_insert(spark, sf):
 )
 def registry_conflicts(spark, sf):
     return R.registry_conflicts(
-        ext_table(spark, sf).where("image_id % 3 = 0"),
+        ext(spark, sf).where("image_id % 3 = 0"),
         ext_all(spark, sf).where("image_id % 2 = 0"),
         ["patch_uid"],
     )
