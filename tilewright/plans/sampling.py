@@ -38,7 +38,7 @@ cte(
     with_ctes("SELECT patch_uid, label, specimen, round FROM fx_round_robin", "fx_round_robin"),
 )
 def round_robin_select(spark, sf):
-    return S.round_robin_select(ext_table(spark, sf), QUOTA).select("patch_uid", "label", "specimen", "round")
+    return S.round_robin_select(ext_table(spark, sf, "patch_uid", "label", "specimen"), QUOTA).select("patch_uid", "label", "specimen", "round")
 
 
 @query(
@@ -52,7 +52,7 @@ def round_robin_select(spark, sf):
     ),
 )
 def round_robin_report(spark, sf):
-    e = ext_table(spark, sf)
+    e = ext_table(spark, sf, "patch_uid", "label", "specimen")
     return S.round_robin_report(e, S.round_robin_select(e, QUOTA))
 
 
@@ -66,7 +66,7 @@ def reservoir_per_class(spark, sf):
 
 def _have(spark, sf):
     """Already embedded rows per class, zeros included."""
-    return A.class_counts(ext_table(spark, sf).where("image_id % 8 = 0"), class_table(spark, EXTERNAL_CLASSES))
+    return A.class_counts(ext_table(spark, sf, "label", "image_id").where("image_id % 8 = 0"), class_table(spark, EXTERNAL_CLASSES))
 
 
 cte(
@@ -108,7 +108,7 @@ def quota_plan(spark, sf):
     ),
 )
 def interleave_by_class(spark, sf):
-    out = S.interleave_by_class(ext_table(spark, sf).drop("position"), class_table(spark, EXTERNAL_CLASSES))
+    out = S.interleave_by_class(ext_table(spark, sf, "patch_uid", "label"), class_table(spark, EXTERNAL_CLASSES))
     return out.select("patch_uid", "label", "round", "position")
 
 
@@ -180,7 +180,7 @@ def cap_rows(spark, sf):
     with_ctes(f"SELECT patch_uid, specimen, label FROM ({_low('specimen, label', 3)})", "fx_ext"),
 )
 def per_specimen_cap(spark, sf):
-    return S.per_specimen_cap(ext_table(spark, sf), 3).select("patch_uid", "specimen", "label")
+    return S.per_specimen_cap(ext(spark, sf), 3).select("patch_uid", "specimen", "label")
 
 
 @query(
