@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -84,6 +85,28 @@ def test_bundles_are_sums_of_bound_letters():
     assert np.array_equal(got[0], want) and not got[1].any()
 
 
+def test_the_memory_of_bundles_does_not_grow_with_rows_times_trigrams():
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 397, 300))) for _ in range(3000)]  # nearly all trigrams differ
+    maker = language.Profiler()
+    maker.bundles(texts[:1])
+    tracemalloc.start()
+    out = maker.bundles(texts)
+    peak = tracemalloc.get_traced_memory()[1] - out.nbytes
+    tracemalloc.stop()
+    assert peak < 150e6
+
+
+def test_blocks_rows_and_trigrams_at_a_time_do_not_change_bundles(monkeypatch):
+    texts = [long_text(i, 30 * i) + " éü日本" * i for i in range(9)] + [None, "", "ab", "abc"]
+    classes = np.arange(len(texts)) % 3
+    want, summed = language.Profiler(64).bundles(texts), language.Profiler(64).sums(texts, classes, 3)
+    for name, value in (("BLOCK", 500), ("ROWS", 2), ("GRAMS", 7)):
+        monkeypatch.setattr(language, name, value)
+        assert np.array_equal(language.Profiler(64).bundles(texts), want)
+        assert np.array_equal(language.Profiler(64).sums(texts, classes, 3), summed)
+
+
 def test_one_language_or_none(make):
     one = language.identify_documents(make([(1, "abc def", "aa"), (2, "abc", "aa"), (3, "abc", None)])).collect()
     assert {r.lang_pred for r in one} == {"aa"}

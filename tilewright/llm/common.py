@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,37 @@ def release() -> None:
     """Drop the tables of earlier stages and give free memory back to the system."""
     for t in TABLES:
         t.clear()
+    trim()
+
+
+def trim() -> None:
+    """Give free memory back to the system."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    given = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if given:
+        given(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches; memory that it leaves free goes back to the system, as a reused worker outlives the stage."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        release()
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
+def tidy_group(run: Callable) -> Callable:
+    """As ``tidy``, for a function of one group; tables stay for the next one."""
+
+    def tidied(group):
+        out = run(group)
+        trim()
+        return out
+
+    return tidied
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,11 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilewright.llm.common import tidy
+
 DIMENSIONS = 1024
 SEED = 20240501
 UNKNOWN = "und"
 #: Characters handled at once; longer texts are taken piece by piece and their counts added.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Rows of a block, and trigrams whose counts and vectors are held at a time.
+ROWS, GRAMS = 256, 4096
 GAP = 32
 
 _tables: dict[str, np.ndarray] = {}
@@ -54,18 +58,21 @@ class Profiler:
         self.letters.update(zip(new, letter_vectors(np.array(new, np.int64), self.dimensions, self.seed)))
         return np.array([self.letters[p] for p in points.tolist()])
 
-    def _counted(self, pieces: list[tuple[int, str]], rows: int) -> tuple[np.ndarray, np.ndarray]:
-        """Counts (rows x trigrams) and the trigrams' vectors; no trigram spans two pieces."""
-        points = np.frombuffer("".join(p + "\n" for _, p in pieces).encode("utf-32-le", "replace"), np.uint32)
-        owner = np.repeat([r for r, _ in pieces], [len(p) + 1 for _, p in pieces])
-        piece = np.repeat(np.arange(len(pieces)), [len(p) + 1 for _, p in pieces])
+    def _added(self, pieces: list[tuple[int, str]], out: np.ndarray) -> None:
+        """Add the bundles of the pieces to their rows of ``out``; no trigram spans two pieces.
+
+        Counts (rows x trigrams) and the trigrams' vectors are made for ``GRAMS`` trigrams at a time.
+        """
+        points = np.frombuffer("".join(p for _, p in pieces).encode("utf-32-le", "replace"), np.uint32)
+        owner = np.repeat([r for r, _ in pieces], [len(p) for _, p in pieces])
+        piece = np.repeat(np.arange(len(pieces)), [len(p) for _, p in pieces])
         letter = _is_letter()[points]
         keep = letter.copy()
         keep[1:] |= letter[:-1]  # the first of a run of other characters
         symbols, letter, owner, piece = points[keep], letter[keep], owner[keep], piece[keep]
         symbols = np.where(letter, symbols, GAP)
         if len(symbols) < 3:
-            return np.zeros((rows, 0), np.float32), np.zeros((0, self.dimensions), np.float32)
+            return
         seen = np.flatnonzero(np.bincount(symbols))
         index = np.zeros(seen[-1] + 1, np.int64)
         index[seen] = np.arange(len(seen))
@@ -79,22 +86,33 @@ class Profiler:
             local = place[grams]
         else:
             known, local = np.unique(grams, return_inverse=True)
-        counts = np.bincount(owner * len(known) + local, minlength=rows * len(known))
         v = self._vectors(seen)
-        bound = np.roll(v, 2, 1)[known // (n * n)] * np.roll(v, 1, 1)[known // n % n] * v[known % n]
-        return counts.reshape(rows, len(known)).astype(np.float32), bound.astype(np.float32)
+        first, second = np.roll(v, 2, 1), np.roll(v, 1, 1)
+        rows = len(out)
+        for at in range(0, len(known), GRAMS):
+            some = known[at : at + GRAMS]
+            mine = slice(None) if len(known) <= GRAMS else (local >= at) & (local < at + GRAMS)
+            counts = np.bincount(owner[mine] * len(some) + (local[mine] - at), minlength=rows * len(some))
+            bound = first[some // (n * n)] * second[some // n % n] * v[some % n]
+            out += counts.reshape(rows, len(some)).astype(out.dtype) @ bound.astype(np.float32)
 
     def blocks(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[tuple[int, str]]]]:
-        """Whole texts in blocks of about BLOCK characters: the rows, and (row in block, piece)."""
+        """Whole texts in blocks of about BLOCK characters and at most ROWS rows: the rows, and (row in block, piece)."""
         rows, pieces, size = [], [], 0
         for i, text in enumerate(texts):
             low = (text or "").lower()
             rows.append(i)
-            for at in range(0, max(len(low), 1), BLOCK):
-                # two characters more, so that trigrams across the cut count too
-                pieces.append((len(rows) - 1, low[at : at + BLOCK + 2]))
+            at, end = 0, BLOCK
+            while end < len(low):
+                if low[end].isalpha():
+                    # a piece starts at a letter; with two characters of the next one, trigrams across the cut count, too
+                    pieces.append((len(rows) - 1, low[at : min(at + BLOCK + 1, end)] + low[end : end + 2].ljust(2, "\n")))
+                    at, end = end, end + BLOCK
+                else:
+                    end += 1
+            pieces.append((len(rows) - 1, low[at : at + BLOCK + 1] + "\n"))
             size += len(low)
-            if size >= BLOCK:
+            if size >= BLOCK or len(rows) >= ROWS:
                 yield rows, pieces
                 rows, pieces, size = [], [], 0
         if rows:
@@ -105,8 +123,7 @@ class Profiler:
         out = np.zeros((len(texts), self.dimensions), np.float32)
         for rows, pieces in self.blocks(texts):
             for part in _parts(pieces):
-                counts, vectors = self._counted(part, len(rows))
-                out[rows] += counts @ vectors
+                self._added(part, out[rows[0] : rows[-1] + 1])  # rows of a block lie in a row
         return out
 
     def sums(self, texts: list[str | None], classes: np.ndarray, n: int) -> np.ndarray:
@@ -114,8 +131,7 @@ class Profiler:
         out = np.zeros((n, self.dimensions), np.float64)
         for rows, pieces in self.blocks(texts):
             for part in _parts([(int(classes[rows[r]]), p) for r, p in pieces]):
-                counts, vectors = self._counted(part, n)
-                out += counts.astype(np.float64) @ vectors
+                self._added(part, out)
         return out
 
 
@@ -132,6 +148,13 @@ def _parts(pieces: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
         yield lot
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most twice ROWS rows: as many texts are Python strings at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, 2 * ROWS):
+            yield b.slice(at, 2 * ROWS)
+
+
 @dataclass
 class Prototypes:
     """Languages in alphabetical order and a unit vector for each."""
@@ -151,7 +174,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, total = Profiler(dimensions, seed), {}
-        for b in batches:
+        for b in _slices(batches):
             names, classes = np.unique(np.array(b.column(1).to_pylist(), dtype=object), return_inverse=True)
             for name, row in zip(names, maker.sums(b.column(0).to_pylist(), classes, len(names))):
                 total[name] = total.get(name, 0) + row
@@ -162,7 +185,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
             )
 
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang).cast("string"))
-    sums = known.mapInArrow(partials, "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    sums = known.mapInArrow(tidy(partials), "lang string, place int, value double").groupBy("lang", "place").agg(F.sum("value").alias("value"))
     whole: dict[str, np.ndarray] = {}
     for r in sums.collect():  # languages x dimensions
         whole.setdefault(r.lang, np.zeros(dimensions))[r.place] = r.value
@@ -182,12 +205,13 @@ def identify(docs: DataFrame, model: Prototypes, text: str = "text", keep: list[
     keep = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     out = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     names, vectors, dims, seed = np.array(model.languages, object), model.vectors, model.dimensions, model.seed
-    hidden = "__text"
+    shown = [F.col(f"`{c}`") for c in keep]
+    place = keep.index(text) if text in keep else len(keep)  # a text that stays is sent once
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker, letters = Profiler(dims, seed), _is_letter()
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+        for b in _slices(batches):
+            texts = b.column(place).to_pylist()
             bundles = maker.bundles(texts)
             norms = np.linalg.norm(bundles, axis=1)
             if len(names):
@@ -202,11 +226,11 @@ def identify(docs: DataFrame, model: Prototypes, text: str = "text", keep: list[
                 if not any(letters[ord(c)] for c in texts[i] or ""):
                     lang[i] = UNKNOWN
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(b.num_columns - 1)), pa.array(lang.tolist(), pa.string()), pa.array(score)],
+                [*(b.column(i) for i in range(len(keep))), pa.array(lang.tolist(), pa.string()), pa.array(score)],
                 names=[*keep, "lang_pred", "score"],
             )
 
-    return docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias(hidden)).mapInArrow(tag, out)
+    return docs.select(*shown, *([] if text in keep else [F.col(text).alias("__text")])).mapInArrow(tidy(tag), out)
 
 
 def held_out(doc_id) -> F.Column:
@@ -224,5 +248,6 @@ def identify_documents(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents in which a language is found; ``und`` goes. The columns stay as they are."""
     model = fit(docs.where(~held_out("doc_id")))
-    tagged = identify(docs.withColumn("__all", F.struct(*docs.columns)), model, keep=["__all"])
-    return tagged.where(F.col("lang_pred") != UNKNOWN).select("__all.*")
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))  # whatever their names are
+    tagged = identify(plain, model, f"c{docs.columns.index('text')}").where(F.col("lang_pred") != UNKNOWN)
+    return tagged.select(*(F.col(f"c{i}").alias(c, metadata=docs.schema[i].metadata) for i, c in enumerate(docs.columns)))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import TABLES, stored
+from tilewright.llm.common import TABLES, stored, tidy, tidy_group
 from tilewright.llm.components import components
 
 WORDS, PERCENT = 5, 85
@@ -163,7 +163,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", word
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("binary"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, key binary, bands array<long>")
+    return rows.mapInArrow(tidy(sign), "doc_id long, n_shingles long, key binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +182,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
     whole = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-    return whole.select("a", "b", "x", "y").mapInArrow(hold, "a long, b long")
+    return whole.select("a", "b", "x", "y").mapInArrow(tidy(hold), "a long, b long")
 
 
 def _joining_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -217,7 +217,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "items"])
 
-    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(make, "doc_id long, items binary").dropDuplicates(["doc_id"])
+    return docs.join(wanted, "doc_id", "left_semi").mapInArrow(tidy(make), "doc_id long, items binary").dropDuplicates(["doc_id"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -261,7 +261,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words:
     if n:
         dealt = cells.join(sets.select(F.col("doc_id").alias("head"), "items"), "head")
         part = F.pmod(F.xxhash64("cell"), F.lit(-(-n // PART_ROWS)))
-        further = stored(dealt.groupBy(part.alias("part")).applyInPandas(lambda g: _joining_links(g, percent), "a long, b long"), "links")
+        further = stored(dealt.groupBy(part.alias("part")).applyInPandas(tidy_group(lambda g: _joining_links(g, percent)), "a long, b long"), "links")
         if not further.isEmpty():
             labels = components(labels.toDF("a", "b").union(further))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import release, stored
+from tilewright.llm.common import stored, tidy
 from tilewright.llm.tokens import installed, tokenizer
 
 FILE, END, CAPACITY, WINDOWS = "word_bpe_49k.json", 2, 4096, 96
@@ -171,7 +171,6 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        release()
         encoder, mark = Encoder(path or installed(FILE)), np.array([end], "<u4").tobytes()
         for b in batches:
             per = max(1, int(b.num_rows * (1 << 20) / max(b.column(1).nbytes, 1)))
@@ -186,7 +185,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text))
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, end: int = END, capacity: int = CAPACITY, windows: int = WINDOWS) -> DataFrame:

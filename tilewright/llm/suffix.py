@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.llm.common import TABLES, stored
+from tilewright.llm.common import TABLES, stored, tidy, tidy_group
 
 LENGTH = 50
 ANCHOR = 16
@@ -332,7 +332,7 @@ def _chunks(docs: DataFrame, text: str) -> DataFrame:
         if lot:
             yield out(lot)
 
-    return stored(docs.mapInArrow(pack, "chunk long, size long, rows binary"), "suffix-chunks")
+    return stored(docs.mapInArrow(tidy(pack), "chunk long, size long, rows binary"), "suffix-chunks")
 
 
 def _shared_anchors(chunks: DataFrame, id_col: str, text: str, length: int, anchor: int, buckets: int) -> DataFrame:
@@ -367,8 +367,8 @@ def _shared_anchors(chunks: DataFrame, id_col: str, text: str, length: int, anch
         out = [(c, _pack_keys(k[m])) for c, k, m in zip(group["chunk"], keys, kept) if m.any()]
         return pd.DataFrame(out, columns=["chunk", "keys"])
 
-    anchors = chunks.select("chunk", "rows").mapInArrow(emit, "bucket long, chunk long, keys binary")
-    return anchors.groupBy("bucket").applyInPandas(meet, "chunk long, keys binary").groupBy("chunk").agg(F.collect_list("keys").alias("keys"))
+    anchors = chunks.select("chunk", "rows").mapInArrow(tidy(emit), "bucket long, chunk long, keys binary")
+    return anchors.groupBy("bucket").applyInPandas(tidy_group(meet), "chunk long, keys binary").groupBy("chunk").agg(F.collect_list("keys").alias("keys"))
 
 
 def _copies(chunks: DataFrame, id_col: str, text: str, length: int) -> DataFrame:
@@ -390,7 +390,7 @@ def _copies(chunks: DataFrame, id_col: str, text: str, length: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "doc", "mark", "first", "later"])
 
     # one row for each text and chunk, so that a text of very many copies stays a few rows
-    marks = stored(chunks.select("chunk", "rows").mapInArrow(mark, "chunk long, doc long, mark binary, first array<long>, later array<long>"), "marks")
+    marks = stored(chunks.select("chunk", "rows").mapInArrow(tidy(mark), "chunk long, doc long, mark binary, first array<long>, later array<long>"), "marks")
     least = marks.groupBy("mark").agg(F.min("doc").alias("least"))
     copies = F.when(F.col("doc") > F.col("least"), F.concat("first", "later")).otherwise(F.col("later"))
     found = marks.join(least, "mark").select("chunk", copies.alias("copies")).where(F.size("copies") > 0)
@@ -464,8 +464,8 @@ def _spans(chunks: DataFrame, shared: DataFrame, id_col: str, text: str, length:
     hints = shared.unionByName(_copies(chunks, id_col, text, length), allowMissingColumns=True)
     hints = hints.groupBy("chunk").agg(F.first("keys", True).alias("keys"), F.first("copies", True).alias("copies"))
     joined = chunks.select("chunk", "rows").join(hints, "chunk").select("chunk", "rows", "keys", "copies")
-    found = joined.mapInArrow(emit, "bucket long, chunk long, done boolean, blob binary")
-    return found.groupBy("bucket").applyInPandas(meet, "chunk long, blob binary").groupBy("chunk").agg(F.collect_list("blob").alias("blobs"))
+    found = joined.mapInArrow(tidy(emit), "bucket long, chunk long, done boolean, blob binary")
+    return found.groupBy("bucket").applyInPandas(tidy_group(meet), "chunk long, blob binary").groupBy("chunk").agg(F.collect_list("blob").alias("blobs"))
 
 
 def _cut(data: np.ndarray, sizes: np.ndarray) -> list[bytes]:
@@ -529,7 +529,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 listed = pa.array([[{"start": a, "stop": e} for a, e in s] for s in spans], arrow_spans)
                 yield pa.RecordBatch.from_arrays([*columns, listed], names=[*keep, spans_col])
 
-    return _covered(docs.select(*(F.col(f"`{c}`") for c in keep)), id_col, text, length, anchor, batch).mapInArrow(finish, T.StructType([*fields, T.StructField(spans_col, spans_type)]))
+    return _covered(docs.select(*(F.col(f"`{c}`") for c in keep)), id_col, text, length, anchor, batch).mapInArrow(tidy(finish), T.StructType([*fields, T.StructField(spans_col, spans_type)]))
 
 
 def digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, batch: int = BATCH) -> DataFrame:
@@ -553,4 +553,4 @@ def digest(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, batch: i
                 )
 
     joined = _covered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", "text", length, anchor, batch)
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidy(finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
