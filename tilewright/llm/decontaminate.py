@@ -56,17 +56,20 @@ def templates(rows: DataFrame, key: str, text: str) -> DataFrame:
     ``plain`` keeps names as words, ``typed`` has them as ``<name>``, ``loose`` also the capitalised first
     words of sentences; a null text has no tokens.
     """
+    # most tokens start with a small letter from a to z; the first case settles them with few comparisons
     raw = rows.select(F.col(key).alias("key"), F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0)).alias("raw"))
     number = "w >= '0' and w < ':'"
-    after_number = "get(raw, i - 1) >= '0' and get(raw, i - 1) < ':'"
+    unit = f"get(raw, i - 1) < ':' and get(raw, i - 1) >= '0' and lower(w) in ({_listed(UNITS)})"
+    marks = dict.fromkeys((*STOPS, "%", "°", "$", "€", "£"))
     told = raw.select(
         "key",
         F.expr(
             f"""filter(transform(raw, (w, i) -> named_struct(
                 'value', lower(w),
-                'kind', case when {number} then '<num>'
-                             when {after_number} and lower(w) in ({_listed(UNITS)}) then '<unit>'
-                             when w in ({_listed(STOPS)}) or w in ('%', '°', '$', '€', '£') then ''
+                'kind', case when w >= 'a' and w < '{{' then if({unit}, '<unit>', 'w')
+                             when {number} then '<num>'
+                             when {unit} then '<unit>'
+                             when w in ({_listed(marks)}) then ''
                              when left(w, 1) <> lower(left(w, 1)) and substr(w, 2) = lower(substr(w, 2)) and length(w) > 1
                                   then if(i > 0 and get(raw, i - 1) not in ({_listed(STOPS)}), '<name>', '<start>')
                              else 'w' end)), t -> t.kind <> '')"""
