@@ -196,8 +196,8 @@ def image_keys(spark, sf):
     )
 
 
-def image_bytes(spark, sf):
-    """16 x 16 two-stain tiles: the colour of a pixel is a closed formula of key and place."""
+def image_bytes(spark, sf, where="true"):
+    """16 x 16 two-stain tiles: the colour of a pixel is a closed formula of key and place. ``where`` is on the key."""
     table = np.array(COLORS, dtype=np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def image_bytes(spark, sf):
                 rgb = pa.array([t.tobytes() for t in table[cell]], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], rgb], names=["key", "slide", "w", "h", "rgb"])
 
-    return image_keys(spark, sf).mapInArrow(run, "key string, slide string, w int, h int, rgb binary")
+    return image_keys(spark, sf).where(where).mapInArrow(run, "key string, slide string, w int, h int, rgb binary")
 
 
 _HEX = [f"{r:02x}{g:02x}{b:02x}" for r, g, b in COLORS]
