@@ -2,8 +2,8 @@
 
 The feed is a folder that another process keeps writing. Each micro-batch takes the
 new files; rows are held until they are old enough, deduplicated, counted against class
-quotas, and committed data first, registry second. What is held and what a quota took lies in keyed
-state (``stateful``); committed keys lie in a partitioned registry (``keys``).
+quotas, and committed data first, registry second. What is held lies in keyed state (``stateful``);
+committed keys lie in a partitioned registry (``keys``).
 
 Every write goes to a block named after the checkpoint's own id and the batch, so a replayed
 batch overwrites itself, while a new checkpoint, whose batches start at 0 again, adds blocks
@@ -14,15 +14,16 @@ from __future__ import annotations
 
 import json
 import time
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tilewright.operators.ranking import first_by
+from tilewright.operators.ranking import bottom_k, first_by
 from tilewright.streaming.keys import exists, register, remove, without_known
-from tilewright.streaming.stateful import filled, held_by_age, run_blocks, with_tick
+from tilewright.streaming.stateful import held_by_age, run_blocks, with_tick
 
 FEED = "event_id bigint, path string, patch_uid string, cls string, mtime timestamp, size bigint"
 
@@ -108,22 +109,35 @@ def stream_ingest(feed: DataFrame, root: str, schema: str = FEED) -> DataFrame:
 def stream_min_age(feed: DataFrame, root: str, seconds: float = 120, schema: str = FEED) -> DataFrame:
     """Drain the feed; returns the files that are old enough by now, once per uid, with path and class.
 
-    A file source never offers a file twice, so young rows stay in the state and a timer of the clock
-    releases them; the next run passes what is due, with new files or without. An old file that
-    arrives late passes at once. A lost checkpoint loses held rows only until the feed is read anew.
+    Old files are committed as they come, late ones, too. Young rows, and no others, go by the folder ``young``, which
+    is removed at the end, to a second stream that holds them in its state until a timer of the clock releases them;
+    the next run passes what is due, with new files or without. What is held survives a lost checkpoint of the feed; a batch that is replayed
+    may send a row twice, and the commit passes it once.
     """
+    wait = int(seconds * 1e6)
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        block = _block(batch.sparkSession, f"{root}/ckpt", batch_id)
+        young = F.coalesce(F.unix_micros("mtime") + wait > time.time_ns() // 1000, F.lit(False))  # no time: old
+        rows = batch.where("size > 0")
+        rows.where(young).write.mode("append").parquet(f"{root}/young")
+        commit_block(rows.where(~young), block, f"{root}/out", f"{root}/registry", schema)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        block = _block(spark, f"{root}/ckpt", batch_id)
+        block = _block(spark, f"{root}/held", batch_id)
         passed = f"{root}/passed-{block}"  # the state is read once; the commit reads the rows more often
         batch.write.mode("overwrite").parquet(passed)
         commit_block(spark.read.schema(schema).parquet(passed), block, f"{root}/out", f"{root}/registry", schema)
         remove(spark, passed)
 
-    rows = with_tick(feed, f"{root}/ticks").where("size > 0")
-    run_blocks(held_by_age(rows, seconds), f"{root}/ckpt", commit)
-    return written(feed.sparkSession, f"{root}/out", schema)
+    spark = feed.sparkSession
+    drain(feed.writeStream.foreachBatch(split), f"{root}/ckpt")
+    spark.createDataFrame([], feed.schema).write.mode("append").parquet(f"{root}/young")  # a run without young rows fires timers, too
+    young = spark.readStream.schema(feed.schema).parquet(f"{root}/young")
+    run_blocks(held_by_age(with_tick(young, f"{root}/ticks").where("size > 0"), seconds), f"{root}/held", commit)
+    remove(spark, f"{root}/young")  # the state has all of it
+    return written(spark, f"{root}/out", schema)
 
 
 def stream_dedup(feed: DataFrame, root: str, registry: DataFrame | None = None, schema: str = FEED) -> DataFrame:
@@ -144,18 +158,28 @@ def stream_dedup(feed: DataFrame, root: str, registry: DataFrame | None = None,
 
 
 def stream_quota(feed: DataFrame, root: str, quota: dict[str, int], schema: str = FEED, seed: int = 42) -> DataFrame:
-    """Fill class quotas across batches and runs; what runs with other, lost checkpoints wrote counts, too."""
+    """Fill class quotas across batches and runs, inside a batch in the order of ``u01``, then ``path``.
+
+    What any run wrote counts, also one with a checkpoint that was lost. Spark ranks a batch's rows, so no task holds
+    a class.
+    """
     spark = feed.sparkSession
-    taken = written(spark, f"{root}/out", schema)
-    if exists(spark, f"{root}/ckpt/metadata"):
-        taken = taken.where(~F.col("block").startswith(run_id(spark, f"{root}/ckpt")))
-    before = {r["cls"]: r["n"] for r in taken.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per class
-    left = {c: max(q - before.get(c, 0), 0) for c, q in quota.items()}
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/block={_block(batch.sparkSession, f'{root}/ckpt', batch_id)}")
+    def count(rows: DataFrame) -> Counter:
+        return Counter({r["cls"]: r["n"] for r in rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()})  # one row per class
 
-    run_blocks(filled(feed.where("size > 0"), left, seed), f"{root}/ckpt", keep)
+    taken = count(written(spark, f"{root}/out", schema))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        here = batch.sparkSession
+        out = f"{root}/out/block={_block(here, f'{root}/ckpt', batch_id)}"
+        if exists(here, out):  # a replayed batch takes its places anew
+            taken.subtract(count(here.read.schema(schema).parquet(out)))
+        left = here.createDataFrame([(c, max(q - taken[c], 0)) for c, q in quota.items()], "cls string, k long")
+        bottom_k(batch.where("size > 0"), ["cls"], left, "path", seed, bounded=True).select(*batch.columns).write.mode("overwrite").parquet(out)
+        taken.update(count(here.read.schema(schema).parquet(out)))
+
+    drain(feed.writeStream.foreachBatch(keep), f"{root}/ckpt")
     return written(spark, f"{root}/out", schema)
 
 

@@ -132,7 +132,8 @@ def with_tick(feed: DataFrame, ticks: str) -> DataFrame:
 def filled(feed: DataFrame, quota: dict[str, int], seed: int = 42) -> DataFrame:
     """The rows that fill the class quotas; inside a batch they come in hash order.
 
-    A piece of a batch sends at most a quota of rows of each class to the class's task.
+    A piece of a batch sends at most a quota of rows of each class to the class's task, which holds that many: for
+    small quotas. ``ingest.stream_quota`` takes any.
     """
     types = _plain_types(feed)
     rows = feed.where(F.col("cls").isin(*quota) if quota else F.lit(False)).withColumn("mtime", F.unix_micros("mtime")).withColumn("u01", u01(seed, "path"))
