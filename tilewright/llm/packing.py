@@ -15,13 +15,13 @@ Only counts and checksums leave the encoding, not the ids.
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,103 +29,128 @@ from tilewright.llm.common import stored, tidy
 from tilewright.llm.tokens import installed, tokenizer
 
 FILE, END, CAPACITY, WINDOWS = "word_bpe_49k.json", 2, 4096, 96
-#: Bytes of words and of pieces whose ids a worker remembers, what an entry takes beside its characters,
-#: and the longest that it remembers.
-WORDS, PIECES, ENTRY, LONGEST = 8 << 20, 72 << 20, 190, 32
+#: Bytes of parts and their ids that a worker remembers, the longest part that it does, and bytes of text handled at once.
+REMEMBERED, LONGEST, BLOCK = 24 << 20, 32, 4 << 20
 #: ASCII marks that are pieces of their own behind a letter.
 MARKS = ".,;:!?*%&$#"
 #: Pieces of a group.
 PER_GROUP = 1 << 15
 
 
-class Recent:
-    """A memory bounded by bytes; it starts anew when it is full."""
+#: Fixed value: letters of one code point in either case and form.
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SMALL = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
+#: For each vocabulary: the tokenizer, its bare model, and which ids end a piece; parts and their ids.
+_models: dict[str, tuple] = {}
+_known: dict[str, tuple[pa.Array, pa.Array]] = {}
 
-    def __init__(self, limit: int):
-        self.limit, self.known, self.size = limit, {}, 0
 
-    def look(self, keys: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
-        found, missing, get = {}, [], self.known.get
-        for k in keys:
-            v = get(k)
-            if v is None:
-                missing.append(k)
-            else:
-                found[k] = v
-        return found, missing
+def _lists(lists: list[np.ndarray], ends: np.ndarray) -> pa.Array:
+    values = np.concatenate([np.zeros(0, np.uint32), *lists]).astype(np.uint32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
 
-    def put(self, items: dict[str, bytes]) -> None:
-        short = {k: v for k, v in items.items() if len(k) <= LONGEST}
-        self.size += sum(map(len, short)) + sum(map(len, short.values())) + ENTRY * len(short)
-        if self.size > self.limit:
-            self.known, self.size = {}, 0
-        else:
-            self.known.update(short)
 
+def _parts(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different parts of the words, and the places there of each word's two; the second may be empty.
 
-#: The tokenizer's own pieces, spelled out for characters below U+0250, all of which are in
-#: composed form: contractions, runs of letters, single numbers, runs of anything else but white space.
-_LETTERS, _NUMBERS, _SPACES = "a-zA-Zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
-_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-_OTHER = re.compile("[^\x00-\u024f]|<\\|")
-_known: dict[str, tuple[Recent, Recent]] = {}
+    A word that ends with marks behind a letter is two parts, and words in ASCII are lower-cased.
+    """
+    low = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+    stem = pc.ascii_rtrim(low, characters=MARKS)
+    marked = np.flatnonzero(pc.less(pc.binary_length(stem), pc.binary_length(low)))
+    marked = marked[pc.match_substring_regex(stem.take(pa.array(marked)), f"[{_LETTERS}]$").to_numpy(zero_copy_only=False)]
+    cut = np.zeros(len(words), bool)
+    cut[marked] = True
+    marks = pc.replace_substring_regex(low.take(pa.array(marked)), f"(?s)^.*[{_LETTERS}]", "")
+    parts = pa.concat_arrays([pa.array([""]), pc.if_else(pa.array(cut), stem, low), marks]).dictionary_encode()
+    at = parts.indices.to_numpy()
+    two = np.zeros((len(words), 2), at.dtype)
+    two[:, 0] = at[1 : len(words) + 1]
+    two[marked, 1] = at[len(words) + 1 :]
+    return parts.dictionary, two
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes.
+    """Ids of texts.
 
-    A text of Latin letters without special strings is cut into the tokenizer's own pieces, and the ids
-    of each are remembered. Others are cut at spaces and line ends, which no piece reaches over, and
-    the ids of each word are remembered. A word that ends with marks behind a letter
-    is two pieces, and ASCII letters are lower-cased one by one, so words share their stems.
+    No piece of the tokenizer reaches over white space, so texts are cut there, at ASCII's. Each different part
+    of a block is encoded once, and those of earlier blocks are remembered. Small letters up to U+00FF are a piece
+    as they are: the tokenizer's model takes their bytes without its normalizer, and the last id of each tells that it ends a word.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self.words, self.stems = _known.setdefault(path, (Recent(WORDS), Recent(PIECES)))
-
-    def _ids(self, stems: list[str]) -> dict[str, bytes]:
-        """Encodes stems as one text and deals the ids out by their offsets."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(stems), 4096):
-            lot = stems[at : at + 4096]
+        self.path = path
+        if path not in _models:
+            from tokenizers import Tokenizer
+            from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+            whole = tokenizer(path)
+            bare = Tokenizer(whole.model)
+            bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+            last = np.zeros(whole.get_vocab_size(), bool)
+            last[[i for w, i in whole.get_vocab().items() if w.endswith("</w>")]] = True
+            _models[path] = whole, bare, last
+        self.tokenizer, self.bare, self.last = _models[path]
+
+    def _letters(self, parts: list[str]) -> pa.Array:
+        """Ids of parts of small letters up to U+00FF."""
+        lots, ends, n = [], [], 0
+        for at in range(0, len(parts), 1024):
+            lot = parts[at : at + 1024]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(lot)], add_special_tokens=False)[0].ids, np.uint32)
+            end = np.flatnonzero(self.last[ids]) + 1
+            if len(end) != len(lot):
+                raise ValueError("the vocabulary has no mark for the end of a word")
+            lots.append(ids)
+            ends.append(end + n)
+            n += len(ids)
+        return _lists(lots, np.concatenate(ends) if ends else np.zeros(0, np.int64))
+
+    def _others(self, parts: list[str]) -> pa.Array:
+        """Ids of any parts: some are encoded as one text, and their offsets deal the ids out."""
+        lots, ends, n = [], [], 0
+        for at in range(0, len(parts), 4096):
+            lot = parts[at : at + 4096]
             e = self.tokenizer.encode(" ".join(lot), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in lot)])
+            starts = np.cumsum([len(w) + 1 for w in lot])
             place = np.array([a for a, _ in e.offsets], np.int64)
-            raw = np.array(e.ids, "<u4").tobytes()
-            edges = (4 * np.searchsorted(place, starts)).tolist()
-            out.update((w, raw[a:b]) for w, a, b in zip(lot, edges, edges[1:]))
+            lots.append(np.array(e.ids, np.uint32))
+            ends.append(np.searchsorted(place, starts) + n)
+            n += len(e.ids)
+        return _lists(lots, np.concatenate(ends) if ends else np.zeros(0, np.int64))
+
+    def _of(self, parts: pa.Array) -> pa.Array:
+        """The ids of different parts."""
+        known, ids = _known.get(self.path) or (pa.array([], pa.string()), _lists([], np.zeros(0, np.int64)))
+        at = pc.index_in(parts, value_set=known)
+        new = np.flatnonzero(at.is_null())
+        letters = pc.match_substring_regex(parts.take(pa.array(new)), _SMALL).to_numpy(zero_copy_only=False)
+        place, n = at.fill_null(0).to_numpy().copy(), len(known)
+        for mine, encode in ((new[letters], self._letters), (new[~letters], self._others)):
+            some = parts.take(pa.array(mine))
+            place[mine] = np.arange(n, n + len(mine))
+            known, ids, n = pa.concat_arrays([known, some]), pa.concat_arrays([ids, encode(some.to_pylist())]), n + len(mine)
+        out = ids.take(pa.array(place))
+        if known.nbytes + ids.nbytes > REMEMBERED:  # starts anew, with this block
+            known, ids = parts, out
+        short = pc.less_equal(pc.binary_length(known), LONGEST)
+        _known[self.path] = (known, ids) if pc.all(short).as_py() else (known.filter(short), ids.filter(short))
         return out
 
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each begin, and the end."""
+        words = pc.ascii_split_whitespace(texts.cast(pa.string()).fill_null(""))
+        of = words.flatten().dictionary_encode()
+        parts, two = _parts(of.dictionary)
+        pairs = self._of(parts).take(pa.array(two.ravel()))
+        each = pa.ListArray.from_arrays(pa.array(pairs.offsets.to_numpy()[::2]), pairs.values).take(of.indices)
+        return each.values.to_numpy(), each.offsets.to_numpy()[words.offsets.to_numpy()]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        low = [t.lower() if t else "" for t in texts]  # some capitals of the range have their small letter outside
-        plain = [not _OTHER.search(t) for t in low]
-        cut = [_PIECE.findall(t) if p else [] for t, p in zip(low, plain)]
-        known, missing = self.stems.look(set().union(*cut))
-        fresh = self._ids(missing)
-        self.stems.put(fresh)
-        known |= fresh
-        rest = iter(self._by_words([t for t, p in zip(texts, plain) if not p]))
-        return [b"".join(map(known.__getitem__, c)) if p else next(rest) for c, p in zip(cut, plain)]
-
-    def _by_words(self, texts: list[str]) -> list[bytes]:
-        """For any characters."""
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known, new = self.words.look({w for ws in words for w in ws})
-        if new:
-            cut = {}
-            for w in new:
-                stem = w.rstrip(MARKS)
-                stem = stem if stem and stem[-1].isascii() and stem[-1].isalpha() else w
-                cut[w] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, w[len(stem) :])
-            stems, missing = self.stems.look({s for pair in cut.values() for s in pair})
-            fresh = self._ids(missing)
-            self.stems.put(fresh)
-            stems |= fresh
-            made = {w: stems[a] + stems[b] for w, (a, b) in cut.items()}
-            self.words.put(made)
-            known |= made
-        return [b"".join([known[w] for w in ws]) for ws in words]
+        """The ids of each text as little-endian 32-bit bytes."""
+        ids, at = self.ids(pa.array(texts, pa.string()))
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def difference(sizes: list[int], k: int) -> list[int]:
@@ -173,14 +198,16 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder, mark = Encoder(path or installed(FILE)), np.array([end], "<u4").tobytes()
         for b in batches:
-            per = max(1, int(b.num_rows * (1 << 20) / max(b.column(1).nbytes, 1)))
+            per = max(1, int(b.num_rows * BLOCK / max(b.column(1).nbytes, 1)))
             for at in range(0, b.num_rows, per):
                 part, out = b.slice(at, per), []
-                for i, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids += mark
-                    n = len(ids) // 4
+                ids, bounds = encoder.ids(part.column(1))
+                raw, bounds = memoryview(ids.astype("<u4", copy=False)), bounds.tolist()
+                for i, begin, stop in zip(part.column(0).to_pylist(), bounds, bounds[1:]):
+                    n = stop - begin + 1  # the end mark behind them
                     for a in range(0, n, capacity):
-                        out.append((i, a, min(capacity, n - a), zlib.crc32(ids[4 * a : 4 * (a + capacity)]), n))
+                        check = zlib.crc32(raw[begin + a : min(begin + a + capacity, stop)])
+                        out.append((i, a, min(capacity, n - a), check if n - a > capacity else zlib.crc32(mark, check), n))
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
