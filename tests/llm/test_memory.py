@@ -18,6 +18,22 @@ def words(n: int) -> str:
     return " ".join("".join(letters[i // 26**k % 26] for k in range(4)) + letters[i % 7 :][:6] for i in range(n))
 
 
+def test_another_stage_drops_what_packing_remembers():
+    encoder = packing.Encoder(tokens.installed(packing.FILE))
+    encoder.encode(["warm"])
+    common.release()
+    before, text = held_mb(), words(200_000)
+    ids = encoder.encode([text])
+    list(common.tidy(iter, packing._own)(iter([1])))  # its own next task
+    assert packing._known
+    list(common.tidy(iter)(iter([1])))
+    assert not packing._known and not packing._models and not tokens._known
+    size = len(ids[0]) / (1 << 20)
+    del encoder, ids, text
+    common.trim()
+    assert held_mb() - before < 10 + size
+
+
 def test_packing_encodes_a_word_once():
     """Seconds of the same words again; a memory that is too small for them starts anew each time."""
     encoder, lots, seconds = packing.Encoder(tokens.installed(packing.FILE)), words(420_000).split(" "), []

@@ -16,10 +16,11 @@ from tilewright.session import shared_dir
 TABLES: list[dict] = []
 
 
-def release() -> None:
-    """Drop the tables of earlier stages and give free memory back to the system."""
+def release(keep: tuple[dict, ...] = ()) -> None:
+    """Drop the tables of earlier stages, all but ``keep``, and give free memory back to the system."""
     for t in TABLES:
-        t.clear()
+        if not any(t is k for k in keep):
+            t.clear()
     trim()
 
 
@@ -31,13 +32,16 @@ def trim() -> None:
         given(0)
 
 
-def tidy(run: Callable) -> Callable:
-    """``run`` over batches; memory that it leaves free goes back to the system, as a reused worker outlives the stage."""
+def tidy(run: Callable, keep: Callable[[], tuple[dict, ...]] = tuple) -> Callable:
+    """``run`` over batches; memory that it leaves free goes back to the system, as a reused worker outlives the stage.
+
+    The tables that ``keep`` names in the worker stay for the stage's next task, until one of another stage drops them.
+    """
 
     def tidied(batches: Iterator) -> Iterator:
-        release()
+        release(keep())
         yield from run(batches)
-        release()
+        release(keep())
 
     return tidied
 

@@ -25,7 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import stored, tidy
+from tilewright.llm import tokens
+from tilewright.llm.common import TABLES, stored, tidy
 from tilewright.llm.tokens import installed, tokenizer
 
 FILE, END, CAPACITY, WINDOWS = "word_bpe_49k.json", 2, 4096, 96
@@ -43,6 +44,11 @@ _SMALL = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 #: For each vocabulary: the tokenizer, its bare model, and which ids end a piece; parts and their ids.
 _models: dict[str, tuple] = {}
 _known: dict[str, tuple[pa.Array, pa.Array]] = {}
+TABLES.extend([_models, _known])
+
+
+def _own() -> tuple[dict, ...]:
+    return _models, _known, tokens._known
 
 
 def _lists(lists: list[np.ndarray], ends: np.ndarray) -> pa.Array:
@@ -212,7 +218,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: st
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text))
-    return rows.mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return rows.mapInArrow(tidy(cut, _own), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, end: int = END, capacity: int = CAPACITY, windows: int = WINDOWS) -> DataFrame:

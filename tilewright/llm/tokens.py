@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.common import TABLES
+
 FILE, LIMIT = "byte_bpe_50k.json", 512
 HUGE, CHUNK, OVERLAP = 50_000, 16_384, 256
 #: Parts whose counts a worker remembers, and the longest that it does.
@@ -27,6 +29,7 @@ REMEMBERED, LONGEST = 400_000, 64
 _UNSTABLE = re.compile(r"\s \s")
 _STABLE = re.compile(r"(?<=\S) | (?=\S)")
 _known: dict[str, object] = {}
+TABLES.append(_known)
 
 
 def tokenizer(path: str):
