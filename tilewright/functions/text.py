@@ -73,15 +73,16 @@ def make_patch_uid(specimen, image_id, left, top, downsample) -> Column:
     )
 
 
-def parse_patch_filename(df: DataFrame, filename: str = "filename") -> DataFrame:
-    """Add the fields of a patch file name; rows that do not parse are dropped."""
+def parse_patch_filename(df: DataFrame, filename: str = "filename", keep: bool = False) -> DataFrame:
+    """Add the fields of a patch file name; rows that do not parse are dropped, or kept without fields (``keep``)."""
     known = [F.lit(c) for c in CLASSES]
     parsed = F.filter(
         _groups(F.col(filename), PATCH_FILENAME, 7),
         lambda p: F.array_contains(F.array(*known), F.upper(p[5])),
     )
+    uid = make_patch_uid("specimen", "image_id", "left", "top", "downsample")
     return (
-        df.withColumn("_f", F.explode(parsed))
+        df.withColumn("_f", F.explode_outer(parsed) if keep else F.explode(parsed))
         .withColumn("label", F.upper(F.col("_f")[5]))
         .withColumn("label_int", label_to_int(F.col("label")).cast("short"))
         .withColumn("specimen", F.col("_f")[0])
@@ -89,7 +90,7 @@ def parse_patch_filename(df: DataFrame, filename: str = "filename") -> DataFrame
         .withColumn("left", F.col("_f")[2].cast("long"))
         .withColumn("top", F.col("_f")[3].cast("long"))
         .withColumn("downsample", F.col("_f")[4].cast("short"))
-        .withColumn("patch_uid", make_patch_uid("specimen", "image_id", "left", "top", "downsample"))
+        .withColumn("patch_uid", F.when(F.col("specimen").isNotNull(), uid) if keep else uid)
         .drop("_f")
     )
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tilewright.operators.ranking import first_by
@@ -30,6 +31,12 @@ def dedup_keep_first(df: DataFrame, key: str = "patch_uid", source_order: list[s
     return first_by(df, [key], [rank, F.col("source_dir"), F.col("filename"), F.col("mtime_s"), F.col("size_bytes")])
 
 
+def is_first(keys: list[str]) -> Column:
+    """Whether ``dedup_keep_first`` keeps the row, for plans that need the other rows as well."""
+    order = ["source_dir", "filename", "mtime_s", "size_bytes"]
+    return F.row_number().over(W.partitionBy(*keys).orderBy(*order)) == 1
+
+
 def duplicate_counts(df: DataFrame, key: str = "patch_uid") -> DataFrame:
     """Rows, distinct keys and the duplicates that keep-first drops."""
     return df.agg(

@@ -194,7 +194,18 @@ def reuse_index_join(
     )
     # the flag counts only where both uids are equal, so it is joined by the index's own, before its rows get wide
     done = committed.select("patch_uid").distinct().withColumn("_done", F.lit(True))
-    status = (
+    return (
+        index.join(done, "patch_uid", "left")
+        .join(files, "relpath", "left")
+        .join(names, "relpath", "left")
+        .withColumn("status", _reuse_status(classes, now_s, min_age_s))
+        .select(*index.columns, "status")
+    )
+
+
+def _reuse_status(classes: tuple[str, ...], now_s: int, min_age_s: int) -> Column:
+    """From an index row and its path's latest version (_m, _z), parsed name (_uid, _lab) and committed flag (_done)."""
+    return (
         F.when(~F.col("label").isin(*classes), "unsupported_label")
         .when(F.col("_m").isNull(), "missing_source")
         .when((F.col("_z") <= 0) | (F.lit(now_s) - F.col("_m") < min_age_s), "too_new_or_empty")
@@ -204,12 +215,33 @@ def reuse_index_join(
         .when(F.col("_done"), "already_committed")
         .otherwise("available")
     )
+
+
+def reuse_index_rows(
+    rows: DataFrame, classes: tuple[str, ...], now_s: int, min_age_s: int, home: str = "home"
+) -> DataFrame:
+    """``reuse_index_join`` over one table of index rows and live files; no join, and no exchange of its own if dealt by ``home``.
+
+    ``rows``: home, relpath, patch_uid, label, mtime_s, size_bytes, in_index, committed. A live file has the uid and
+    the label of its name, NULL if that does not parse, and says whether its uid is committed. An index row has
+    its own uid and label. Equal paths must share their home, whose rows meet in one task; they are sorted by path there.
+    """
+    at = W.partitionBy(home, "relpath")
+    live = ~F.col("in_index")
+    file = F.struct(F.col("mtime_s").alias("_m"), F.col("size_bytes").alias("_z"))
+    name = F.struct(
+        "mtime_s", "size_bytes", F.col("patch_uid").alias("_uid"), F.col("label").alias("_lab"), F.col("committed").alias("_done")
+    )
     return (
-        index.join(done, "patch_uid", "left")
-        .join(files, "relpath", "left")
-        .join(names, "relpath", "left")
-        .withColumn("status", status)
-        .select(*index.columns, "status")
+        rows.withColumns(
+            {
+                "_f": F.max(F.when(live, file)).over(at),
+                "_n": F.max(F.when(live & F.col("patch_uid").isNotNull(), name)).over(at),
+            }
+        )
+        .where("in_index")
+        .select("relpath", "patch_uid", "label", "_f.*", "_n._uid", "_n._lab", "_n._done")
+        .select("relpath", "patch_uid", "label", _reuse_status(classes, now_s, min_age_s).alias("status"))
     )
 
 

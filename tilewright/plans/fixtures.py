@@ -23,13 +23,15 @@ DEALT = {"lineitem": (("l_orderkey", "l_linenumber"), 500_000), "part": (("p_par
 PARTS = 16
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table; ``DEALT`` ones in at least ``PARTS`` partitions, more as the table grows."""
+def table(
+    spark: SparkSession, sf: str, name: str, keys: tuple[str, ...] | None = None, rows: int | None = None
+) -> DataFrame:
+    """A given table; ``DEALT`` ones in at least ``PARTS`` partitions, more as the table grows; by other ``keys`` or ``rows``, if given."""
     df = spark.read.parquet(f"{sf}/{name}.parquet")
     if name not in DEALT:
         return df
-    keys, rows = DEALT[name]
-    return df.repartition(max(PARTS, -(-df.count() // rows)), *keys)
+    own_keys, own_rows = DEALT[name]
+    return df.repartition(max(PARTS, -(-df.count() // (rows or own_rows))), *(keys or own_keys))
 
 
 # --- rendering shared by Spark and DuckDB -----------------------------------
@@ -265,9 +267,16 @@ cte(
 # --- external patch files ------------------------------------------------------
 
 
-def files(spark: SparkSession, sf: str) -> DataFrame:
-    """Patch image files as a directory listing: one row per file."""
-    li = table(spark, sf, "lineitem")
+#: Rows of a partition for plans that sort whole listings inside of their partitions.
+HOME_ROWS = 200_000
+
+
+def files(spark: SparkSession, sf: str, home: bool = False) -> DataFrame:
+    """Patch image files as a directory listing: one row per file.
+
+    With ``home`` the image of the file as well, and all files of an image in one partition.
+    """
+    li = table(spark, sf, "lineitem", ("l_orderkey",), HOME_ROWS) if home else table(spark, sf, "lineitem")
     p, o, n = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_linenumber")
     label = F.get(F.array(*[F.lit(c) for c in EXTERNAL_CLASSES]), (p % 5).cast("int"))
     label = (
@@ -279,6 +288,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     )
     name = F.when(p % 100 == 0, F.format_string("thumb_%d.png", o)).otherwise(good)
     base = li.select(
+        *([o.alias("home")] if home else []),
         F.when(o % 2 == 0, F.lit("dir_a")).otherwise(F.lit("dir_b")).alias("source_dir"),
         name.alias("filename"),
         (F.unix_seconds(F.col("l_shipdate").cast("timestamp")) + n).alias("mtime_s"),
